@@ -27,6 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.llm import _text as X
 
@@ -122,9 +123,10 @@ def fit(labelled: DataFrame, per_language: int = 400, landmarks: int = 160, ridg
     return Model(spectrum, languages, np.ascontiguousarray(marks.astype(np.float32)), (root @ solved).astype(np.float32), (y_mean - mean @ solved).astype(np.float32))
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, lang_pred, score) for each row of ``docs (doc_id, text)``."""
-    schema = "doc_id long, lang_pred string, score double"
+def predict(docs: DataFrame, model: Model | None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry``, lang_pred and score for each row of ``docs``."""
+    kept = docs.select(*carry)
+    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's parameters
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,9 +146,9 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 t = t.as_py()
                 if t is None or not _LETTER.search(t):
                     lang[i], score[i] = "und", 0.0
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score)})
+            yield pa.record_batch({c: batch.column(c) for c in carry} | {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score)})
 
-    return docs.select("doc_id", "text").mapInArrow(scan, schema)
+    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(scan, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

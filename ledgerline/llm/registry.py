@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontamination, language_id, line_dedup, mixing, secret_scan, substring_dedup, warc
+from ledgerline.llm import decontamination, jaccard_join, language_id, license_scan, line_dedup, mixing, nearest, secret_scan, substring_dedup, warc
 from ledgerline.llm.oracles import ORACLES
 from pyspark.sql import functions as F
 
@@ -27,14 +27,29 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(_table(spark, sf_dir, "documents"))
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a folder for each source, language and thousand ids."""
+    docs = _table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.expr("doc_id div 1000").cast("string"), F.col("doc_id").cast("string"))
+    return license_scan.scan(docs.select("doc_id", "text", path.alias("path")))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return lines.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
@@ -48,8 +63,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1,
     "op2_substring_dedup": op2,
     "op3_decontamination": op3,
+    "op4_nearest": op4,
     "op5_secret_scan": op5,
+    "op6_license_scan": op6,
     "op7_source_mixing": op7,
+    "op8_jaccard_join": op8,
     "op9_line_dedup": op9,
     "op10_warc": op10,
 }
