@@ -101,7 +101,9 @@ def trigram_query(pattern: str, limit: int = 32) -> list[list[list[str]]]:
             continue
         words = _words(run, limit) or set()
         if words and all(len(w) >= 3 for w in words):
-            groups.append(sorted(sorted({w[i : i + 3] for i in range(len(w) - 2)}) for w in words))
+            needs = {frozenset(w[i : i + 3] for i in range(len(w) - 2)) for w in words}
+            # A or (A and B) is A
+            groups.append(sorted(sorted(a) for a in needs if not any(b < a for b in needs)))
         run = [piece] if piece[1] else []
     return groups
 
