@@ -1,4 +1,6 @@
 """All registered queries of the engine and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from ledgerline.plans import scalar_queries  # noqa: F401
+from ledgerline.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
