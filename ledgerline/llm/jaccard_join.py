@@ -5,7 +5,7 @@ a shorter text is one shingle).  Equal sets collapse to one class first, so
 copies cost a map-side aggregate.
 
 1. *Chosen paths.*  Each set has a min-wise sample of its shingles (one
-   permutation, densified).  In each of ``runs`` runs a sampled coordinate
+   permutation, densified; a byte of each is kept to compare sets).  In each of ``runs`` runs a sampled coordinate
    sends the set to the bucket of the shingle sampled there; two sets of
    similarity s share it with probability s, so all runs miss a pair at the
    threshold with probability (1 - 0.8)^runs.  Buckets of at most
@@ -108,7 +108,7 @@ def _scan(size: int, runs: int):
                 yield pa.record_batch(
                     {
                         "doc_id": ids.slice(lo, hi - lo), "row_key": keys.slice(lo, hi - lo), "set_id": pa.array(names, pa.string()), "n": pa.array([len(s) for s in sets], pa.int32()),
-                        "keys": pa.array(list(sig[:, pick].view(np.int64)), pa.list_(pa.int64())), "sig": pa.array([r.astype(np.uint32).tobytes() for r in sig], pa.binary()),
+                        "keys": pa.array(list(sig[:, pick].view(np.int64)), pa.list_(pa.int64())), "sig": pa.array([r.astype(np.uint8).tobytes() for r in sig], pa.binary()),
                     }
                 )
 
@@ -116,20 +116,28 @@ def _scan(size: int, runs: int):
 
 
 def _sigs(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint32).reshape(-1, SAMPLE)
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, SAMPLE)
 
 
 def leader_links(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (leader, member) among the samples of one bucket."""
-    left, a, b = np.arange(len(sig)), [], []
+    """A spanning forest of the links among the samples of one bucket.
+
+    Leaders are compared with all that follow; only links that join two
+    components so far are kept, so a bucket gives fewer links than members.
+    """
+    left, part, a, b = np.arange(len(sig)), np.arange(len(sig)), [], []
     while len(left) > 1:
-        rest = left[1:]
-        same = (sig[rest] == sig[left[0]]).mean(1)
+        lead, rest = left[0], left[1:]
+        same = (sig[rest] == sig[lead]).mean(1)
         near = rest[same >= LINK]
-        a.append(np.full(len(near), left[0]))
-        b.append(near)
+        near = near[part[near] != part[lead]]
+        if len(near):
+            joined, first = np.unique(part[near], return_index=True)
+            a += [int(lead)] * len(first)
+            b += near[first].tolist()
+            part[np.isin(part, joined)] = part[lead]
         left = rest[same < NEAR]
-    return (np.concatenate(a), np.concatenate(b)) if a else (left[:0], left[:0])
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
 def _bucket_links(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -160,7 +168,7 @@ def _split(depth: int, fan_out: int):
             draw = X.mix(bucket.view(np.uint64)[:, None] + (np.arange(fan_out, dtype=np.uint64) + np.uint64(1 + 100 * depth)) * _SALT) % np.uint64(SAMPLE)
             rows, cols = np.repeat(go_on, fan_out), np.tile(np.arange(fan_out), len(go_on))
             place = draw[rows, cols].astype(np.int64)
-            child = X.mix(X.mix(bucket.view(np.uint64)[rows] + place.astype(np.uint64) * _SALT) + sig[rows, place]).view(np.int64)
+            child = X.mix(X.mix(bucket.view(np.uint64)[rows] + place.astype(np.uint64) * _SALT) + sig[rows, place].astype(np.uint64)).view(np.int64)
             yield pa.record_batch(
                 {
                     "bucket": pa.array(np.concatenate([np.zeros(int(link.sum()), np.int64), child])),
