@@ -6,6 +6,9 @@ a small softmax classifier learns which parts a vector's neighbours lie in.
 How many of the most probable parts a query visits is calibrated on the
 sample, so that ``target`` of its true neighbours lie in them.
 
+The number of parts depends on the sample alone, so the work of a query and a
+slice is alike at every size.
+
 Indexing and search cover every row: each vector goes to its most probable
 part, parts are dealt in slices of at most ``slice_rows`` vectors and queries
 in blocks, each pair of which is one task's matrix product; candidates are
@@ -87,7 +90,7 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 8
     return label
 
 
-def fit(rows: DataFrame, n_rows: int, fit_rows: int = 4096, k: int = 20, target: float = 0.97, rows_per_part: int = 1500, max_parts: int = 128, seed: int = 3) -> Router | None:
+def fit(rows: DataFrame, fit_rows: int = 4096, k: int = 20, target: float = 0.97, max_parts: int = 32, seed: int = 3) -> Router | None:
     """Learns the router from the ``fit_rows`` rows with the smallest hashed ids."""
     got = rows.orderBy(F.xxhash64("id"), "id").limit(fit_rows).collect()
     if not got:
@@ -95,7 +98,7 @@ def fit(rows: DataFrame, n_rows: int, fit_rows: int = 4096, k: int = 20, target:
     lengths = [len(r["vec"]) for r in got]
     dim = max(set(lengths), key=lengths.count)
     x = np.array([r["vec"] for r in got if len(r["vec"]) == dim], np.float64)
-    parts = int(np.clip(n_rows // rows_per_part, 1, min(max_parts, max(1, len(x) // 24))))
+    parts = min(max_parts, max(1, len(x) // 24))
     if parts == 1 or len(x) < 4:
         return Router(np.zeros((dim, 1)), np.zeros(1), 1)
     graph = neighbour_graph(x, k)
@@ -175,8 +178,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id
     """(query_id, rank, vec_id, score): the ``k`` nearest found for each query row."""
     every = stored(usable(rows, id_col, vec_col), "vectors")
     asked = every.where(is_query)
-    n = every.count()
-    router = fit(every, n, k=k, **options)
+    router = fit(every, k=k, **options)
     spark = rows.sparkSession
     if router is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
