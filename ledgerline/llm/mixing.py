@@ -2,10 +2,10 @@
 
 A source's target share gives each of its documents the same expected number
 of copies; the fraction that remains after whole copies is a copy probability.
-Pivotal rounding pairs fractional documents and moves mass at random from one
-to the other until one is integral, so expectations hold for each document
-and the sum of the copies hardly moves.  Pairs are taken in order of size, so
-that the words move little too.
+Pivotal rounding pairs fractional documents and moves mass (in words) at random
+from one to the other until one is integral, so expectations hold for each
+document and the words of a source don't move at all.  Pairs are taken from
+the largest document down, so that what is left fractional is small.
 
 It runs as a reduction tree: documents are dealt to leaf groups by a hash,
 each leaf leaves at most one fractional document, and the leaves' residuals
@@ -76,8 +76,13 @@ def _draw(key: np.ndarray, seed: int) -> np.ndarray:
         return X.mix(key.view(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)).astype(np.float64) / 2.0**64
 
 
-def pivot(p: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """Rounds ``p`` in order, pair by pair; at most one entry stays fractional."""
+def pivot(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Rounds ``p`` in order, pair by pair; at most one entry stays fractional.
+
+    A pair trades words: what one gains, the other loses, so that the sum of
+    ``p * size`` stays as it is.  The two possible trades (each until a copy
+    probability is 0 or 1) are drawn so that every expectation is kept.
+    """
     p, eps = p.copy(), 1e-12
     hold = -1
     for i in range(len(p)):
@@ -87,27 +92,23 @@ def pivot(p: np.ndarray, draws: np.ndarray) -> np.ndarray:
         if hold < 0:
             hold = i
             continue
-        a, b = p[hold], p[i]
-        if a + b < 1:
-            if draws[i] * (a + b) < a:
-                p[hold], p[i] = a + b, 0.0
-            else:
-                p[hold], p[i], hold = 0.0, a + b, i
-        else:
-            if draws[i] * (2 - a - b) < 1 - b:
-                p[hold], p[i], hold = 1.0, a + b - 1, i
-            else:
-                p[hold], p[i] = a + b - 1, 1.0
-        if p[hold] <= eps or p[hold] >= 1 - eps:
-            p[hold], hold = round(p[hold]), -1
+        a, b, m, n = p[hold], p[i], size[hold], size[i]
+        gain, loss = min((1 - a) * m, b * n), min(a * m, (1 - b) * n)
+        moved = gain if draws[i] * (gain + loss) < loss else -loss
+        p[hold], p[i] = a + moved / m, b - moved / n
+        left = [k for k in (hold, i) if eps < p[k] < 1 - eps]
+        for k in (hold, i):
+            if k not in left:
+                p[k] = round(p[k])
+        hold = left[0] if left else -1
     return p
 
 
 def _round(level: int, seed: int):
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "key", "nth"], kind="stable")
+        pdf = pdf.sort_values(["size", "key", "nth"], ascending=[False, True, True], kind="stable")
         draws = _draw(pdf["key"].to_numpy(np.int64) + pdf["nth"].to_numpy(np.int64), seed * 64 + level)
-        return pdf.assign(p=pivot(pdf["p"].to_numpy(np.float64), draws)).drop(columns="node")
+        return pdf.assign(p=pivot(pdf["p"].to_numpy(np.float64), pdf["size"].to_numpy(np.float64), draws)).drop(columns="node")
 
     return task
 

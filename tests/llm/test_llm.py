@@ -235,11 +235,13 @@ def test_mixing(spark, odd, docs):
 
 def test_pivot_keeps_the_sum():
     rng = np.random.default_rng(1)
-    p = rng.random(999)
-    out = mixing.pivot(p, rng.random(999))
-    assert abs(out.sum() - p.sum()) < 1e-6 and ((out > 0) & (out < 1)).sum() <= 1
-    mean = np.mean([mixing.pivot(np.full(7, 0.3), np.random.default_rng(s).random(7)) for s in range(4000)], axis=0)
-    assert np.abs(mean - 0.3).max() < 0.04
+    p, size = rng.random(999), rng.integers(1, 5000, 999).astype(float)
+    for s in (np.ones(999), size):
+        out = mixing.pivot(p, s, rng.random(999))
+        assert abs((out * s).sum() - (p * s).sum()) < 1e-3 and ((out > 0) & (out < 1)).sum() <= 1
+    for s in (np.ones(7), np.arange(7, 0, -1.0)):
+        mean = np.mean([mixing.pivot(np.full(7, 0.3), s, np.random.default_rng(k).random(7)) for k in range(4000)], axis=0)
+        assert np.abs(mean - 0.3).max() < 0.04
 
 
 def brute_sets(text, n=5):
