@@ -45,12 +45,12 @@ def assign_risk(category: Column, n_dependents: Column, confidence: Column) -> C
 
 def fabricated_refs(items: DataFrame, evidence: DataFrame) -> DataFrame:
     """(item_id, ref): references that aren't among the evidence."""
-    return items.select("item_id", F.explode("evidence_refs").alias("ref")).join(evidence.select(F.col("evidence_id").alias("ref")).distinct(), "ref", "left_anti").select("item_id", "ref")
+    return items.select("item_id", F.explode("evidence_refs").alias("ref")).join(evidence.select(F.col("evidence_id").alias("ref")).distinct().hint("shuffle_merge"), "ref", "left_anti").select("item_id", "ref")
 
 
 def dependents(changes: DataFrame, edges: DataFrame) -> DataFrame:
     """(item_id, dependency_ids): one hop from the names that a change affects, distinct and sorted."""
-    named = changes.select("item_id", F.explode("affected").alias("name")).join(edges, "name")
+    named = changes.select("item_id", F.explode("affected").alias("name")).join(edges.hint("shuffle_merge"), "name")
     return named.groupBy("item_id").agg(F.array_sort(F.collect_set("dependent")).alias("dependency_ids"))
 
 

@@ -264,7 +264,7 @@ def chunk_id(source: Column, ids: Column, text: Column, order: Column) -> Column
 def chunk_coverage(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
     """(source_id, covered, total): distinct blocks inside chunks."""
     inside = chunks.select("source_id", F.explode(F.sequence("first_order", "last_order")).alias("order"))
-    have = blocks.select("source_id", "order").join(inside.distinct(), ["source_id", "order"]).groupBy("source_id").agg(F.count("*").alias("covered"))
+    have = blocks.select("source_id", "order").join(inside.distinct().hint("shuffle_merge"), ["source_id", "order"]).groupBy("source_id").agg(F.count("*").alias("covered"))
     return blocks.groupBy("source_id").agg(F.count("*").alias("total")).join(have, "source_id", "left").select("source_id", F.coalesce("covered", F.lit(0)).alias("covered"), "total")
 
 

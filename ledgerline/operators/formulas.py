@@ -79,7 +79,7 @@ def lint_formulas(variables: DataFrame, rules: DataFrame, known_codes: tuple[str
     found = [
         issue(facts.where("not e.ok"), F.lit("invalid syntax")),
         issue(facts.where("size(e.bad) > 0 or size(c.bad) > 0"), F.concat(F.lit("forbidden: "), F.array_join(F.array_union("e.bad", "c.bad"), ","))),
-        issue(reads.join(known, ["formula_id", "name"], "left_anti"), F.concat(F.lit("unknown variable: "), F.col("name"))),
+        issue(reads.join(known.hint("shuffle_merge"), ["formula_id", "name"], "left_anti"), F.concat(F.lit("unknown variable: "), F.col("name"))),
         issue(rules.where(~F.col("output_field").isin(*known_codes)), F.concat(F.lit("not in catalog: "), F.col("output_field"))),
         issue(rules.where(F.col("section").isNotNull() & ~F.col("section").isin(*SECTIONS)), F.concat(F.lit("invalid section: "), F.col("section"))),
         issue(rules.where(bad_rounding), F.concat(F.lit("invalid rounding: "), F.col("rounding"))),
@@ -87,10 +87,10 @@ def lint_formulas(variables: DataFrame, rules: DataFrame, known_codes: tuple[str
         issue(v.where(F.col("source").isin("employee", "attendance") & (F.col("field_code") != S.canonical_code(F.col("field_code")))), F.concat(F.lit("alias code: "), F.col("field_code"))),
         issue(v.groupBy("formula_id", "name", "place").count().where("count > 1"), F.concat(F.lit("duplicate variable: "), F.col("name"))),
     ]
-    left = reads.join(outputs, ["formula_id", "name"]).select("formula_id", "output_field", "name").distinct()
+    left = reads.join(outputs.hint("shuffle_merge"), ["formula_id", "name"]).select("formula_id", "output_field", "name").distinct()
     for _ in range(max_levels):
         still = left.select("formula_id", F.col("output_field").alias("name")).distinct()
-        left = left.join(still, ["formula_id", "name"], "left_semi")
+        left = left.join(still.hint("shuffle_merge"), ["formula_id", "name"], "left_semi")
     found.append(left.select("formula_id", F.lit(-1).alias("place"), F.concat(F.lit("circular: "), F.col("output_field")).alias("issue")).distinct())
     out = found[0]
     for f in found[1:]:

@@ -80,7 +80,7 @@ def build_labels(cells: DataFrame, headers: DataFrame) -> DataFrame:
     span = headers.groupBy("sheet").agg(first.alias("first"), last.alias("end"))
     parts = filled(cells).join(span, "sheet").where((F.col("row") >= F.col("first")) & (F.col("row") < F.col("end"))).groupBy("sheet", "col").agg(F.array_sort(F.collect_list(F.struct("row", F.trim("value").alias("v")))).alias("p"))
     text = F.array_join(F.array_distinct(F.transform("p", lambda x: x["v"])), " ")
-    labels = every.join(span, "sheet").join(parts, ["sheet", "col"], "left").select("sheet", "col", F.coalesce(text, F.concat(F.lit("Col"), column_letters(F.col("col")))).alias("label"))
+    labels = every.join(span.hint("shuffle_merge"), "sheet").join(parts.hint("shuffle_merge"), ["sheet", "col"], "left").select("sheet", "col", F.coalesce(text, F.concat(F.lit("Col"), column_letters(F.col("col")))).alias("label"))
     return dedupe_labels(labels, " (", ")")
 
 
@@ -89,7 +89,7 @@ def rows_to_text(cells: DataFrame, headers: DataFrame, labels: DataFrame, row_ca
     body = filled(cells).join(headers.select("sheet", (F.col("header_row") + F.col("span")).alias("from")), "sheet").where(F.col("row") >= F.col("from"))
     if row_cap is not None:
         body = body.where(F.col("row") < F.col("from") + row_cap)
-    labelled = body.join(labels, ["sheet", "col"]).select("sheet", "row", "col", F.concat(F.col("label"), F.lit(": "), F.trim("value")).alias("part"))
+    labelled = body.join(labels.hint("shuffle_merge"), ["sheet", "col"]).select("sheet", "row", "col", F.concat(F.col("label"), F.lit(": "), F.trim("value")).alias("part"))
     return _joined(labelled)
 
 

@@ -14,7 +14,7 @@ def rate_lookup(people: DataFrame, rates: DataFrame, field_code: str, name: str)
     last = of_field.groupBy("company_id", "employee_type").agg(F.max_by("value", "row_no").alias("v"))
     exact = last.where("employee_type <> '*'").withColumnRenamed("v", "__exact")
     everyone = last.where("employee_type = '*'").select("company_id", F.col("v").alias("__any"))
-    joined = people.join(exact, ["company_id", "employee_type"], "left").join(everyone, "company_id", "left")
+    joined = people.join(exact.hint("shuffle_merge"), ["company_id", "employee_type"], "left").join(everyone.hint("shuffle_merge"), "company_id", "left")
     return joined.withColumn(name, F.coalesce("__exact", "__any")).drop("__exact", "__any")
 
 

@@ -37,7 +37,7 @@ def overlaps(policies: DataFrame, days: int = 365) -> DataFrame:
     p = policies.where("status = 'active'").select("policy_id", "policy_key", "category", F.coalesce("effective_date", first).alias("lo"), F.coalesce("expiry_date", last).alias("hi"), "effective_date", "expiry_date")
     bin_of = lambda c: F.floor(F.datediff(c, first) / days)
     binned = p.withColumn("bin", F.explode(F.sequence(bin_of(F.col("lo")), bin_of(F.col("hi")))))
-    a, b = binned.alias("a"), binned.alias("b")
+    a, b = binned.alias("a"), binned.alias("b").hint("shuffle_merge")
     start, end = F.greatest("a.lo", "b.lo"), F.least("a.hi", "b.hi")
     joined = a.join(b, (F.col("a.category") == F.col("b.category")) & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.policy_id") < F.col("b.policy_id")) & (F.col("a.policy_key") != F.col("b.policy_key")) & (start <= end))
     once = joined.where(F.col("a.bin") == bin_of(start))

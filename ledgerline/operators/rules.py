@@ -190,14 +190,14 @@ def with_totals(results: DataFrame, formula: Formula) -> DataFrame:
 
 
 def explain_rules(inputs: DataFrame, formula: Formula, *keys: str) -> DataFrame:
-    """(keys, rule, inputs, passed, result): per rule what it read and gave, before rounding."""
+    """(keys, rule, inputs, passed, result): per rule what it read (in hundredths) and gave, before rounding."""
     plain = Formula(formula.formula_id, formula.variables, tuple(Rule(r.output, r.expression, r.condition) for r in formula.rules))
     ran = run_rules(inputs, plain)
     names = {v.name: F.col(f"`{v.name}`") for v in formula.variables} | {r.output: F.col(f"`{r.output}`") for r in formula.rules}
     rows = []
     for r in formula.rules:
         read = sorted(names_in(r.expression) | names_in(r.condition))
-        seen = F.concat_ws(";", *[F.concat(F.lit(f"{n}="), F.coalesce(F.round(names[n], 2).cast("decimal(30,2)").cast("string"), F.lit(""))) for n in read])
+        seen = F.concat_ws(";", *[F.concat(F.lit(f"{n}="), F.coalesce(F.floor(names[n] * 100).cast("string"), F.lit(""))) for n in read])
         passed = compile_expression(r.condition, names) if r.condition else F.lit(True)
         rows.append(F.struct(F.lit(r.output).alias("rule"), seen.alias("inputs"), passed.alias("passed"), names[r.output].alias("result")))
     return ran.select(*keys, F.inline(F.array(*rows)))

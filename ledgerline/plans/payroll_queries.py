@@ -72,10 +72,20 @@ def e4(spark, d):
     return R.payroll_items(paid(spark, d), mapped, "employee_id").groupBy("employee_id", "section").agg(F.round(F.sum("amount"), 2).alias("total"))
 
 
-@query("e6_explain", PAID + """ SELECT employee_id, period, 'BONUS' AS rule, 'ot1=' || printf('%.2f', ot1) || ';ot2=' || printf('%.2f', ot2) || ';ot3=' || printf('%.2f', ot3) || ';paid=' || printf('%.2f', paid) || ';sched=' || printf('%.2f', sched) AS inputs, paid = sched AND ot1 + ot2 + ot3 > 10 AS passed, BONUS AS result FROM paid
-UNION ALL SELECT employee_id, period, 'ADVANCE_', 'advance=' || printf('%.2f', advance), advance > 0, ADVANCE_ FROM paid""")
+def _explained() -> str:
+    """Each rule's inputs, condition and result before rounding, in SQL."""
+    parts = []
+    conditions = {"PIT_10": "NET_BASE > relief", "BONUS": "paid = sched AND ot1 + ot2 + ot3 > 10", "ADVANCE_": "advance > 0"}
+    for r in FM.rules:
+        names = sorted(R.names_in(r.expression) | R.names_in(r.condition))
+        inputs = " || ';' || ".join(f"'{n}=' || CAST(CAST(floor({n} * 100) AS BIGINT) AS VARCHAR)" for n in names)
+        parts.append(f"SELECT employee_id, period, '{r.output}' AS rule, {inputs} AS inputs, {conditions.get(r.output, 'true')} AS passed, floor({r.output} * 100) / 100 AS result FROM paid")
+    return " UNION ALL ".join(parts)
+
+
+@query("e6_explain", f"WITH {V.BOUND}, {V.paid_sql(plain=True)} " + _explained())
 def e6(spark, d):
-    return R.explain_rules(bound(spark, d), FM, "employee_id", "period").where("rule in ('BONUS', 'ADVANCE_')")
+    return R.explain_rules(bound(spark, d), FM, "employee_id", "period").withColumn("result", F.floor(F.col("result") * 100) / 100)
 
 
 @query("e9_gate", f"WITH {V.EMP} SELECT employee_id, company_id = CAST(CAST(employee_id AS BIGINT) % 25 AS VARCHAR) AS company_ok, CAST(employee_id AS BIGINT) % 4 = 0 AS status_ok, true AS outputs_ok FROM emp")

@@ -22,9 +22,9 @@ def headers(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey").crossJoin(F.broadcast(rows))  # 22 fixed labels
 
 
-@query("c1_label", f"SELECT doc_id, {LABEL.format('text[1:200]')} AS label FROM documents")
+@query("c1_label", f"SELECT doc_id, {LABEL.format('text')} AS label FROM documents")
 def c1(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", S.normalize_label(F.substring("text", 1, 200)).alias("label"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.normalize_label(F.col("text")).alias("label"))
 
 
 @query("c2_canonical", f"SELECT n_nationkey, h_no, coalesce(code, s) AS code FROM (SELECT n_nationkey, h_no, {SLUG.format('header')} AS s FROM nation, {H}) LEFT JOIN {values(list(S.CODE_ALIASES.items()), 'alias', 'code')} ON s = alias")

@@ -77,14 +77,18 @@ def _tax(x: str) -> str:
     return "(" + " + ".join(parts) + ")"
 
 
-def paid_sql(second: bool = False, name: str = "paid") -> str:
+def paid_sql(second: bool = False, name: str = "paid", plain: bool = False) -> str:
     """CTE of results: the rules written out by hand."""
     s = "0.085" if second else "0.08"
     bonus = "basic * 0.01::DOUBLE AS SENIORITY" if second else "CASE WHEN paid = sched AND ot1 + ot2 + ot3 > 10 THEN 500000.0::DOUBLE ELSE 0 END AS BONUS"
     extra = "SENIORITY" if second else "BONUS"
     p = name
-    return f"""{p}1 AS (SELECT *, floor(basic * paid / sched / 1000) * 1000 AS BASIC_, round_even(basic / sched / 8 * (ot1 * 1.5::DOUBLE + ot2 * 2 + ot3 * 3), 0) AS OT, meal * paid AS MEAL_, {bonus}, CASE WHEN advance > 0 THEN advance ELSE 0 END AS ADVANCE_ FROM bound),
+    sql = f"""{p}1 AS (SELECT *, floor(basic * paid / sched / 1000) * 1000 AS BASIC_, round_even(basic / sched / 8 * (ot1 * 1.5::DOUBLE + ot2 * 2 + ot3 * 3), 0) AS OT, meal * paid AS MEAL_, {bonus}, CASE WHEN advance > 0 THEN advance ELSE 0 END AS ADVANCE_ FROM bound),
 {p}2 AS (SELECT *, BASIC_ * {s}::DOUBLE AS SI_EE, BASIC_ * 0.175::DOUBLE AS SI_ER FROM {p}1),
 {p}3 AS (SELECT *, BASIC_ + OT - SI_EE AS NET_BASE FROM {p}2),
 {p}4 AS (SELECT *, CASE WHEN NET_BASE > relief THEN round_even({_tax('(NET_BASE - relief)')}, 0) ELSE 0 END AS PIT_10 FROM {p}3),
 {p} AS (SELECT *, round(BASIC_ + OT + MEAL_ + {extra}, 2) AS gross, round(PIT_10 + SI_EE + ADVANCE_, 2) AS total_deductions, round(NET_BASE + SI_ER, 2) AS employer_cost, round(BASIC_ + OT + MEAL_ + {extra} - (PIT_10 + SI_EE + ADVANCE_), 2) AS net FROM {p}4)"""
+    if plain:
+        sql = sql.replace("floor(basic * paid / sched / 1000) * 1000", "basic * paid / sched").replace("round_even(basic / sched", "(basic / sched").replace("+ ot3 * 3), 0)", "+ ot3 * 3))")
+        sql = sql.replace(f"round_even({_tax('(NET_BASE - relief)')}, 0)", _tax("(NET_BASE - relief)"))
+    return sql
