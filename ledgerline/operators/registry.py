@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators.retrieval import bounded
+
 
 def _by_key():
     return Window.partitionBy("policy_key").orderBy("uploaded", "policy_id")
@@ -52,14 +54,13 @@ def check_uploads(uploads: DataFrame, required: tuple[str, ...]) -> DataFrame:
     return uploads.withColumn("errors", F.array_compact(F.array(*missing, F.when(F.col("expiry_date") < F.col("effective_date"), F.lit("expiry before effective")))))
 
 
-def access_decisions(items: DataFrame, contexts: DataFrame) -> DataFrame:
+def access_decisions(items: DataFrame, contexts: DataFrame, max_askers: int = 10_000) -> DataFrame:
     """Items for each asker with the first failing reason (null: visible).
 
-    Items that name a company meet only that company's askers (equi join);
-    the others meet all.  Contexts are askers of one batch: a bounded table.
+    Askers of one batch are broadcast if their number, which is checked,
+    allows it; else items meet them block by block.
     """
-    known = F.broadcast(contexts)  # askers of a batch, one row each
-    met = items.join(known)
+    met = items.join(bounded(contexts, max_askers))
     reason = (
         F.when(F.col("item_company").isNotNull() & (F.col("item_company") != F.col("company")), "company")
         .when(F.col("item_scopes").isNotNull() & ~F.arrays_overlap("item_scopes", "scopes"), "scope")

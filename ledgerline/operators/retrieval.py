@@ -53,14 +53,21 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def bounded(rows: DataFrame, most: int) -> DataFrame:
+    """Broadcast if there are at most ``most`` rows, else met in blocks."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows.hint("shuffle_replicate_nl")
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "dot", max_queries: int = 1000) -> DataFrame:
-    """(query, rank, chunk, score); ``queries`` is a batch of at most ``max_queries`` rows, which is checked."""
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError("too many queries for one batch; use blocks of them")
+    """(query, rank, chunk, score).
+
+    Up to ``max_queries`` queries (this is checked) are broadcast; more are met
+    block by block (each partition of vectors with each of queries).
+    """
     score = dot(F.col("vec"), F.col("q_vec"))
     if metric == "cosine":
         score = F.try_divide(score, F.sqrt(dot(F.col("vec"), F.col("vec"))) * F.sqrt(dot(F.col("q_vec"), F.col("q_vec"))))
-    met = vectors.join(F.broadcast(queries.select("query", F.col("vec").alias("q_vec"))))
+    met = vectors.join(bounded(queries.select("query", F.col("vec").alias("q_vec")), max_queries))
     return ranked(met.select("query", "chunk", score.alias("score")), k)
 
 
