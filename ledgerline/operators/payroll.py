@@ -81,10 +81,11 @@ def flag_rows(flagged: DataFrame, *keys: str) -> DataFrame:
 
 
 def publish_gate(flags: DataFrame, resolved: DataFrame, *keys: str) -> DataFrame:
-    """(keys, open_flags, publishable): flags of critical severity must be resolved."""
-    on = [*keys, "code"]
-    still = flags.join(resolved.select(*on).distinct(), on, "left_anti")
-    return still.groupBy(*keys).agg(F.count("*").alias("open_flags"))
+    """(keys, open_flags, publishable) of the groups that have open flags: those
+    of ``flags`` that aren't among ``resolved (employee_id, period, code)``."""
+    on = ["employee_id", "period", "code"]
+    still = flags.join(resolved.select(*on).distinct().hint("shuffle_merge"), on, "left_anti")
+    return still.groupBy(*keys).agg(F.count("*").alias("open_flags")).withColumn("publishable", F.col("open_flags") == 0)
 
 
 def payroll_report(flagged: DataFrame) -> DataFrame:

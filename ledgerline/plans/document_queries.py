@@ -8,13 +8,22 @@ from ledgerline.operators import documents as D
 from ledgerline.plans.base import query, table
 
 _LINES = r"""d AS (SELECT doc_id AS source_id, string_split(text, chr(10)) AS ls FROM documents), l0 AS (SELECT source_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS line_no FROM d),
-l1 AS (SELECT source_id, line_no, trim(CASE WHEN line_no % 4 = 0 THEN CASE WHEN line_no % 8 = 0 THEN (line_no // 8) || '.' || (line_no % 3) || '. ' ELSE line_no || '. ' END || line WHEN line_no % 7 = 0 THEN '- ' || line ELSE line END) AS line FROM l0)"""
+l1 AS (SELECT source_id, line_no, trim(CASE WHEN line_no % 4 = 0 THEN CASE WHEN line_no % 8 = 0 THEN (line_no // 8) || '.' || (line_no % 3) || '. ' ELSE line_no || '. ' END || line WHEN line_no % 7 = 0 THEN '- ' || line ELSE line END@ALTERED) AS line FROM l0@KEPT)"""
 _H = r"regexp_matches(line, '(?i)^\d{1,3}((\.\d{1,3}){1,6}\.?|\.)\s+\S') AND NOT regexp_matches(line, '(?i)^\d{1,3}((\.\d{1,3}){1,6}\.?|\.)\s+(đ|đồng|vnd|usd)(\s|$)')"
-_BLOCKS = f"""WITH {_LINES}, k AS (SELECT *, CASE WHEN line = '' THEN 'blank' WHEN {_H} THEN 'heading' WHEN regexp_matches(line, '^(\\d+[.)]|[a-z][.)]|[-•*])\\s+\\S') THEN 'list_item' ELSE 'paragraph' END AS kind FROM l1),
+_TEMPLATE = f"""WITH {_LINES}, k AS (SELECT *, CASE WHEN line = '' THEN 'blank' WHEN {_H} THEN 'heading' WHEN regexp_matches(line, '^(\\d+[.)]|[a-z][.)]|[-•*])\\s+\\S') THEN 'list_item' ELSE 'paragraph' END AS kind FROM l1),
 s AS (SELECT *, kind <> 'paragraph' OR coalesce(lag(kind) OVER w, '') <> 'paragraph' AS st FROM k WINDOW w AS (PARTITION BY source_id ORDER BY line_no)),
 i AS (SELECT *, sum(CAST(st AS INTEGER)) OVER (PARTITION BY source_id ORDER BY line_no) AS isl FROM s),
 m AS (SELECT source_id, isl, min(line_no) AS line_start, max(line_no) AS line_end, any_value(kind) AS block_type, string_agg(line, ' ' ORDER BY line_no) AS t FROM i WHERE kind <> 'blank' GROUP BY source_id, isl),
 b AS (SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY line_start) - 1 AS INTEGER) AS "order", block_type, CASE WHEN block_type = 'heading' THEN 4 + len(string_split(regexp_extract(t, '^([\\d.]*\\d)', 1), '.')) END AS heading_level, line_start, line_end, CASE WHEN block_type = 'list_item' THEN regexp_replace(t, '^(\\d+[.)]|[a-z][.)]|[-•*])\\s+', '') ELSE t END AS text FROM m)"""
+
+
+def _blocks(version: int = 1) -> str:
+    """The CTE chain from lines to blocks; version 2 drops and alters lines."""
+    altered, kept = ("", "") if version == 1 else (" || CASE WHEN line_no % 7 = 0 THEN ' changed' ELSE '' END", " WHERE line_no % 11 <> 0")
+    return _TEMPLATE.replace("@ALTERED", altered).replace("@KEPT", kept)
+
+
+_BLOCKS = _blocks()
 _OPEN = "o5 AS (SELECT *, last_value(CASE WHEN heading_level = 5 THEN \"order\" END IGNORE NULLS) OVER w AS p5, last_value(CASE WHEN heading_level = 6 THEN \"order\" END IGNORE NULLS) OVER w AS p6, last_value(CASE WHEN heading_level = 5 THEN text END IGNORE NULLS) OVER w AS t5, last_value(CASE WHEN heading_level = 6 THEN text END IGNORE NULLS) OVER w AS t6 FROM b WINDOW w AS (PARTITION BY source_id ORDER BY \"order\" ROWS BETWEEN UNBOUNDED PRECEDING AND {} ))"
 
 
@@ -73,23 +82,21 @@ def versions(spark, d):
     return D.build_sections(blocks(spark, d)), D.build_sections(blocks(spark, d, 2))
 
 
-def _two(sql: str) -> str:
-    """The section CTEs of both versions, then ``sql`` over va and vb."""
-    second = (_BLOCKS[5:] + _SECTIONS).replace("CASE WHEN line_no % 4 = 0", "CASE WHEN line_no % 4 = 0", 1)
-    second = second.replace("FROM l0)", "|| CASE WHEN line_no % 7 = 0 THEN ' changed' ELSE '' END AS line0 FROM l0 WHERE line_no % 11 <> 0)").replace("ELSE line END) AS line ||", "ELSE line END ||").replace("END AS line0", "END) AS line")
-    # dropped lines close up, so numbers of lines are given anew
-    return f"WITH va AS ({_BLOCKS + _SECTIONS} SELECT *, regexp_replace(lower(trim(path)), '\\s+', ' ', 'g') AS key FROM sec), vb AS (WITH {second} SELECT *, regexp_replace(lower(trim(path)), '\\s+', ' ', 'g') AS key FROM sec) {sql}"
+def _two(sql: str = "") -> str:
+    """The section CTEs of both versions as va and vb."""
+    keyed = "SELECT *, regexp_replace(lower(trim(path)), '\\s+', ' ', 'g') AS key FROM sec"
+    return f"WITH va AS ({_blocks() + _SECTIONS} {keyed}), vb AS ({_blocks(2) + _SECTIONS} {keyed}) {sql}"
 
 
 _CHANGES = "ua AS (SELECT source_id, key, max(text) AS old FROM va GROUP BY ALL HAVING count(*) = 1), ub AS (SELECT source_id, key, max(text) AS new FROM vb GROUP BY ALL HAVING count(*) = 1), ch AS (SELECT source_id, key AS path, CASE WHEN old IS NULL THEN 'ADDED' WHEN new IS NULL THEN 'REMOVED' WHEN old = new THEN 'UNCHANGED' ELSE 'MODIFIED' END AS change FROM ua FULL OUTER JOIN ub USING (source_id, key))"
 
 
-@query("h8_section_changes", _two("").rstrip() + ", " + _CHANGES + " SELECT * FROM ch")
+@query("h8_section_changes", _two().rstrip() + ", " + _CHANGES + " SELECT * FROM ch")
 def h8(spark, d):
     return D.section_changes(*versions(spark, d))
 
 
-@query("f9_diff_summary", _two("").rstrip() + ", " + _CHANGES + " SELECT source_id, count(*) FILTER (WHERE change = 'ADDED') AS added, count(*) FILTER (WHERE change = 'REMOVED') AS removed, count(*) FILTER (WHERE change = 'MODIFIED') AS modified, count(*) FILTER (WHERE change = 'UNCHANGED') AS unchanged FROM ch GROUP BY source_id")
+@query("f9_diff_summary", _two().rstrip() + ", " + _CHANGES + " SELECT source_id, count(*) FILTER (WHERE change = 'ADDED') AS added, count(*) FILTER (WHERE change = 'REMOVED') AS removed, count(*) FILTER (WHERE change = 'MODIFIED') AS modified, count(*) FILTER (WHERE change = 'UNCHANGED') AS unchanged FROM ch GROUP BY source_id")
 def f9(spark, d):
     return D.diff_summary(D.section_changes(*versions(spark, d)), "source_id")
 

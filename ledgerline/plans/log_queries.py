@@ -153,9 +153,6 @@ def i11(spark, d):
     return _search(spark, d, diffs.select("query", F.coalesce("new_text", "old_text").alias("text")))
 
 
-_HAY = "CASE doc_id % 4 WHEN 0 THEN 'Lương cơ bản và phụ cấp 500 VND' WHEN 1 THEN 'Overtime payroll tax' WHEN 2 THEN 'nothing 5 vnd' ELSE 'ngày công chuẩn 10 vnd' END"
-
-
 @query("i6_phrase_score", "SELECT doc_id, CAST(CASE doc_id % 4 WHEN 0 THEN 7.0 WHEN 1 THEN 7.5 WHEN 2 THEN 0.0 ELSE 4.0 END AS DOUBLE) AS score FROM documents")
 def i6(spark, d):
     k = F.col("doc_id") % 4

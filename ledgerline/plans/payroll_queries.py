@@ -157,8 +157,7 @@ def _resolved(spark, d):
 @query("f4_gate", _FLAGS + " SELECT company_id, count(*) AS open_flags, false AS publishable FROM flags WHERE NOT (CAST(employee_id AS BIGINT) % 3 = 0 AND code IN ('NET_SALARY_DEVIATION', 'OT_HOURS_EXCEEDED')) GROUP BY company_id")
 def f4(spark, d):
     flags = P.flag_rows(flagged(spark, d), "employee_id", "company_id", "period")
-    still = flags.join(_resolved(spark, d).distinct(), ["employee_id", "period", "code"], "left_anti")
-    return still.groupBy("company_id").agg(F.count("*").alias("open_flags")).withColumn("publishable", F.col("open_flags") == 0)
+    return P.publish_gate(flags, _resolved(spark, d), "company_id")
 
 
 @query("f5_queue", _FLAGS + " SELECT employee_id, period, code, row_number() OVER (PARTITION BY employee_id ORDER BY period, code, field_code) AS place FROM flags WHERE severity = 'critical'")
