@@ -96,7 +96,7 @@ def payroll_report(flagged: DataFrame) -> DataFrame:
 def payslip(results: DataFrame, formula: Formula) -> DataFrame:
     """Long form with signs: income +, deductions -, employer cost +."""
     items = payroll_items(results, formula, "employee_id", "period")
-    return items.select("employee_id", "period", "section", "field_code", F.when(F.col("section") == "deductions", -F.col("amount")).otherwise(F.col("amount")).alias("amount"))
+    return items.select("employee_id", "period", "section", "field_code", F.when(F.col("section") == "deductions", 0 - F.col("amount")).otherwise(F.col("amount")).alias("amount"))
 
 
 def impact_report(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -174,7 +174,7 @@ def b1(spark, d):
     return out.withColumn("flags", F.array_join(F.array_sort(F.split("flags", ", ")), ", "))
 
 
-@query("b2_payslip", PAID + """ SELECT employee_id, period, s AS section, f AS field_code, round(CASE WHEN s = 'deductions' THEN -x ELSE x END, 2) AS amount FROM (SELECT employee_id, period, unnest(['NET_BASE', 'PIT_10', 'BASIC_', 'OT', 'MEAL_', 'BONUS', 'SI_EE', 'SI_ER', 'ADVANCE_']) AS f,
+@query("b2_payslip", PAID + """ SELECT employee_id, period, s AS section, f AS field_code, round(CASE WHEN s = 'deductions' THEN 0 - x ELSE x END, 2) AS amount FROM (SELECT employee_id, period, unnest(['NET_BASE', 'PIT_10', 'BASIC_', 'OT', 'MEAL_', 'BONUS', 'SI_EE', 'SI_ER', 'ADVANCE_']) AS f,
 unnest(['employer_cost', 'deductions', 'line_items', 'line_items', 'line_items', 'line_items', 'deductions', 'employer_cost', 'deductions']) AS s, unnest([NET_BASE, PIT_10, BASIC_, OT, MEAL_, BONUS, SI_EE, SI_ER, ADVANCE_]) AS x FROM paid)""")
 def b2(spark, d):
     return P.payslip(paid(spark, d), FM).withColumn("amount", F.round("amount", 2))
