@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 #: Words of ``[^\x20\x09-\x0D]+``: a byte outside this set belongs to a word.
 SPACE_WORDS = np.ones(256, bool)
@@ -55,7 +55,7 @@ def _powers(base: int, log2: int) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    return _powers(base, max(21, int(n).bit_length()))[:n]
+    return _powers(base, max(20, int(n).bit_length()))[:n]
 
 
 def blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -207,7 +207,7 @@ def _explode_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             )
 
 
-def repeated_windows(docs: DataFrame, window: int = 50, prefix: int = 18, group_limit: int = 4096, per_task: int = 20_000) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = 50, prefix: int = 18, group_limit: int = 4096, per_task: int = 8_000) -> DataFrame:
     """(row_key, start, n): runs of windows that also start in a smaller doc_id.
 
     ``row_key`` is :func:`ledgerline.llm._work.row_key` of ``doc_id, text``.
