@@ -189,7 +189,7 @@ def candidate_links(sets: DataFrame, bucket_limit: int = 2048, fan_out: int = 3,
         counts = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
         there = stored(rows.join(counts.hint("shuffle_merge"), "bucket").distinct(), f"paths{depth}")
         small = there.where(F.col("size") <= bucket_limit)
-        tasks = groups_for(small.count(), 20_000)
+        tasks = groups_for(small.count(), 4_000)
         few = small.select("bucket", "set_id").join(sigs.hint("shuffle_merge"), "set_id")
         links.append(stored(few.withColumn("part", F.pmod(F.xxhash64("bucket"), F.lit(tasks))).groupBy("part").applyInPandas(_drop_part(_bucket_links), "a string, b string").distinct(), f"links{depth}"))
         large = there.where(F.col("size") > bucket_limit)
@@ -322,7 +322,7 @@ def _verify(threshold: float):
     return task
 
 
-def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, runs: int = 8, bucket_limit: int = 2048, block_shingles: int = 1_000_000, block_sets: int = 2048) -> DataFrame:
+def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, runs: int = 8, bucket_limit: int = 2048, block_shingles: int = 600_000, block_sets: int = 2048) -> DataFrame:
     """(doc_id, row_key, class_id, n_links, n_copies) for each row of ``docs (doc_id, text)``."""
     rows = docs.select("doc_id", "text", row_key().alias("row_key"))
     scanned = stored(rows.mapInArrow(_scan(size, runs), _SETS), "sets")
@@ -348,7 +348,7 @@ def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, runs: int = 8,
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = whole.withColumn("other", other).select("set_id", "gid", "copies", "block", "shingles", "n", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "blocks")
     total = whole.agg(F.sum("n")).first()[0] or 0
-    tasks = groups_for(int(total), 2 * block_shingles)
+    tasks = groups_for(int(total), block_shingles // 2)
     part = F.when(F.col("blocks") > 1, F.concat_ws("/", "gid", "one", "two")).otherwise(F.pmod(F.xxhash64("gid"), F.lit(tasks)).cast("string"))
     found = stored(pairs.withColumn("part", part).drop("blocks", "n").groupBy("part").applyInPandas(_drop_part(_verify(threshold)), "a string, b string, n long"), "links")
     links = found.where("b is null").groupBy(F.col("a").alias("set_id")).agg(F.sum("n").alias("n"))
