@@ -89,9 +89,15 @@ class Model:
 
 def fit(labelled: DataFrame, per_language: int = 400, landmarks: int = 160, ridge: float = 1e-3, spectrum: Spectrum = Spectrum()) -> Model | None:  # noqa: B008
     """Fits on ``labelled (doc_id, text, lang)``; null languages and texts don't count."""
+    fine = labelled.where("lang is not null and text is not null and length(text) > 0").select("doc_id", "lang", "text")
+    counts = {r["lang"]: r["n"] for r in fine.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    if not counts:
+        return None
+    # a first cut by the hash leaves about 1.5 x per_language rows, however many there are
+    place = F.xxhash64(F.col("doc_id").cast("string")) / 2.0**64 + 0.5
+    cut = F.coalesce(*[F.when(F.col("lang") == name, F.lit(1.5 * per_language / n + 50 / n)) for name, n in counts.items()])
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", F.xxhash64("text"))
-    ids = labelled.where("lang is not null and text is not null and length(text) > 0").withColumn("nth", F.row_number().over(order))
-    sample = ids.where(F.col("nth") <= per_language).select("lang", "nth", "text")
+    sample = fine.where(place < cut).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("lang", "nth", "text")
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
