@@ -113,7 +113,7 @@ def _round(level: int, seed: int):
     return task
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 7, leaf: int = 20_000, fan_in: int = 512) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 7, leaf: int = 4_000, fan_in: int = 512) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken, key, nth) per row of ``docs``."""
     sizes = stored(sized(docs), "sizes")
     share = stored(targets(sizes, weights, cap), "targets")
