@@ -13,8 +13,9 @@ How it runs:
 2. The anchor's ``prefix`` words are the first prefix by which suffixes are
    split into groups.  Groups whose suffixes all stand in one document hold no
    shared node and go.  Suffixes with equal contexts (a leaf with many
-   occurrences, as exact copies make) collapse to the smallest document by a
-   map-side aggregate, so a hot group costs a row for each task.
+   occurrences, as exact copies make) collapse to one in the smallest document
+   by a map-side aggregate, so a hot group costs a row for each task.  What is
+   found for that one holds for the context's other places in that document.
 3. What is left (different contexts behind one prefix) is split by variable
    length: groups of up to ``group_limit`` contexts are built as a suffix tree
    in memory (sorted suffixes, their common prefix lengths, and the same for
@@ -177,7 +178,8 @@ def _trees(window: int, prefix: int):
             np.minimum.at(least, node, doc[use])
             hit[use, lead[use] - lead_words] = least[node] < doc[use]
         row, start, length = _runs(hit)
-        return pd.DataFrame({"row_key": pdf["row_key"].to_numpy()[row], "start": pdf["first"].to_numpy()[row] + start, "n": length})
+        first = pdf["first"].to_numpy()[row]
+        return pd.DataFrame({"row_key": pdf["row_key"].to_numpy()[row], "first": first, "start": first + start, "n": length})
 
     return build
 
@@ -197,12 +199,14 @@ def _explode_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.int64)
         begin = np.repeat(np.cumsum(counts) - counts, counts)
         if len(codes):
+            first = np.repeat(batch.column("first").to_numpy(), counts)
             yield pa.record_batch(
                 {
                     "node": pa.array(codes),
                     "row_key": pa.array(np.repeat(batch.column("row_key").to_numpy(), counts)),
                     "doc_id": pa.array(np.repeat(batch.column("doc_id").to_numpy(), counts)),
-                    "start": pa.array((np.repeat(batch.column("first").to_numpy(), counts) + np.arange(len(codes)) - begin).astype(np.int32)),
+                    "first": pa.array(first),
+                    "start": pa.array((first + np.arange(len(codes)) - begin).astype(np.int32)),
                 }
             )
 
@@ -215,10 +219,13 @@ def repeated_windows(docs: DataFrame, window: int = 50, prefix: int = 18, group_
     rows = docs.select("doc_id", "text", row_key().alias("row_key")).where("doc_id is not null and text is not null")
     anchors = stored(rows.mapInArrow(_anchor_batches(window, prefix), _ANCHORS), "anchors")
     leaf = ["prefix_hash", "lead", "width", "span"]
-    contexts = anchors.groupBy(*leaf).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min(F.struct("doc_id", "row_key", "first")).alias("at"))
+    contexts = anchors.groupBy(*leaf).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min(F.struct("doc_id", "row_key", "first")).alias("at"), F.count("*").alias("places"))
     contexts = stored(contexts, "contexts")
     prefixes = contexts.groupBy("prefix_hash").agg(F.min("least").alias("p_least"), F.max("most").alias("p_most"), F.count("*").alias("n_contexts")).where("p_least < p_most")
-    whole = anchors.join(contexts.where("least < most").select(*leaf, "least").hint("shuffle_merge"), leaf).where("doc_id > least").select("row_key", F.col("first").alias("start"), F.col("width").alias("n"))
+    again = contexts.where("places > 1").select(*leaf, "least", F.col("at.row_key").alias("at_key"), F.col("at.first").alias("at_first"))
+    again = anchors.join(again.hint("shuffle_merge"), leaf).where("doc_id > least or row_key <> at_key or first <> at_first")
+    again = stored(again.select("row_key", "first", "width", (F.col("doc_id") > F.col("least")).alias("copy"), "at_key", "at_first"), "again")
+    whole = again.where("copy").select("row_key", F.col("first").alias("start"), F.col("width").alias("n"))
     asked = contexts.join(prefixes.where("n_contexts > 1").hint("shuffle_merge"), "prefix_hash").select("at.row_key", F.struct("prefix_hash", "lead", "width", F.col("at.first").alias("first"), (F.col("n_contexts") > group_limit).alias("deep")).alias("x"))
     asked = asked.groupBy("row_key").agg(F.collect_list("x").alias("asked"))
     # repeated equal rows give equal answers, so one of them is asked
@@ -227,11 +234,16 @@ def repeated_windows(docs: DataFrame, window: int = 50, prefix: int = 18, group_
     both = stored(texts.mapInArrow(_both(window), schema + ", deep boolean"), "suffixes")
     few, many = both.where("not deep").drop("deep"), both.where("deep")
     tasks = groups_for(few.count(), per_task)
-    trees = few.withColumn("part", F.expr(f"pmod(prefix_hash, {tasks})")).groupBy("part").applyInPandas(_tree_task(window, prefix), "row_key long, start int, n int")
-    nodes = many.drop("deep").mapInArrow(_explode_windows, "node long, row_key long, doc_id long, start int")
+    trees = few.withColumn("part", F.expr(f"pmod(prefix_hash, {tasks})")).groupBy("part").applyInPandas(_tree_task(window, prefix), "row_key long, first int, start int, n int")
+    nodes = many.drop("deep").mapInArrow(_explode_windows, "node long, row_key long, doc_id long, first int, start int")
     shared = nodes.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("node", "least")
-    deep = nodes.join(shared.hint("shuffle_merge"), "node").where("doc_id > least").select("row_key", "start", F.lit(1).alias("n"))
-    return whole.unionByName(trees).unionByName(deep)
+    deep = nodes.join(shared.hint("shuffle_merge"), "node").where("doc_id > least").select("row_key", "first", "start", F.lit(1).alias("n"))
+    hits = stored(trees.unionByName(deep), "hits")
+    # the asked place's hits, moved to the context's other places in the smallest document; equal rows count once
+    others = again.where("not copy").select("at_key", "at_first", F.col("row_key").alias("to_key"), F.col("first").alias("to_first")).distinct()
+    asked_hits = hits.distinct().select(F.col("row_key").alias("at_key"), F.col("first").alias("at_first"), (F.col("start") - F.col("first")).alias("skip"), "n")
+    moved = others.join(asked_hits.hint("shuffle_merge"), ["at_key", "at_first"]).select(F.col("to_key").alias("row_key"), (F.col("to_first") + F.col("skip")).alias("start"), "n")
+    return whole.unionByName(hits.drop("first")).unionByName(moved)
 
 
 def _both(window: int):

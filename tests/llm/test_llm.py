@@ -76,6 +76,15 @@ def test_substring_dedup_partial_overlaps(spark):
     assert got == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("limit", [4096, 1])
+def test_substring_dedup_repeats_within_the_least_document(spark, limit):
+    a, b, c, d = (numbered(60, 1000 * i) for i in range(4))
+    rows = [(1, f"{a} {c}"), (2, " ".join([a, b] * 3)), (2, " ".join([a, b] * 3)), (2, f"x {b} {a} {b}"), (3, " ".join([a, b] * 2)), (4, " ".join([d, c, d, c])), (5, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(df, group_limit=limit).collect())
+    assert got == brute_repeats(rows)
+
+
 def brute_contamination(docs, items, length=10):
     phrases = defaultdict(set)
     for i, t in items:
