@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import decontamination, jaccard_join, language_id, line_dedup, mixing
-from ledgerline.llm._work import stored
+from ledgerline.llm._work import row_key, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -32,15 +32,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays, the smallest doc_id."""
+    """One row of each class of near copies stays, the smallest doc_id (null last)."""
     return jaccard_join.keep_one(_docs(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontamination.contamination(docs, items).where("contaminated").select("doc_id").distinct()
-    return _docs(docs).join(stored(found, "hit").hint("shuffle_merge"), "doc_id", "left_anti")
+    found = decontamination.search(docs, items).where(F.size("spans") > 0).select(F.col("row_key").alias("key")).distinct()
+    return _docs(docs).withColumn("key", row_key()).join(stored(found, "hit").hint("shuffle_merge"), "key", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

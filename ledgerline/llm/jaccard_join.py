@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm import _text as X
@@ -322,8 +322,13 @@ def _verify(threshold: float):
     return task
 
 
-def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, runs: int = 8, bucket_limit: int = 2048, block_shingles: int = 600_000, block_sets: int = 2048) -> DataFrame:
+def join(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, row_key, class_id, n_links, n_copies) for each row of ``docs (doc_id, text)``."""
+    return _classes(docs, **options).drop("label")
+
+
+def _classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, runs: int = 8, bucket_limit: int = 2048, block_shingles: int = 600_000, block_sets: int = 2048) -> DataFrame:
+    """As :func:`join`, with each class's ``label`` (null for wordless rows), also where no row has an id."""
     rows = docs.select("doc_id", "text", row_key().alias("row_key"))
     scanned = stored(rows.mapInArrow(_scan(size, runs), _SETS), "sets")
     members = scanned.select("doc_id", "row_key", "set_id")
@@ -356,17 +361,26 @@ def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, runs: int = 8,
     known = sets.select("set_id", "least", "copies").join(classes.hint("shuffle_merge"), "set_id", "left").join(links.hint("shuffle_merge"), "set_id", "left")
     known = stored(known.select("set_id", "least", "copies", F.coalesce("label", "set_id").alias("label"), F.coalesce("n", F.lit(0)).alias("n")), "known")
     names = known.groupBy("label").agg(F.min("least").alias("class_id"))
-    named = known.join(names.hint("shuffle_merge"), "label").select("set_id", "class_id", "copies", "n")
+    named = known.join(names.hint("shuffle_merge"), "label").select("set_id", "label", "class_id", "copies", "n")
     out = members.join(named.hint("shuffle_merge"), "set_id", "left")
     return out.select(
         "doc_id", "row_key", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce(F.col("n") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("copies") - 1, F.lit(0)).cast("long").alias("n_copies"),
+        F.coalesce(F.col("n") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("copies") - 1, F.lit(0)).cast("long").alias("n_copies"), "label",
     )
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each class, the smallest doc_id (all rows of that id)."""
-    found = join(docs, **options)
-    gone = found.where("doc_id is not null and class_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    rest = docs.join(stored(gone, "gone").hint("shuffle_merge"), docs["doc_id"] == F.col("__gone"), "left_anti")
-    return rest
+    """``docs`` with one row of each class: the smallest doc_id (null last), then row key; wordless rows stay."""
+    rows = stored(_classes(docs, **options).where("label is not null").groupBy("label", "row_key").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("rows")), "rows")
+    least = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("x")).select("label", F.col("x.row_key").alias("stays"))
+    held = stored(rows.join(least.hint("shuffle_merge"), "label").select("row_key", (F.col("row_key") == F.col("stays")).alias("stays"), "rows"), "held")
+    keyed = docs.withColumn("__key", row_key())
+    # a row that stays and has equal ones goes with the others here, and comes back once
+    gone = held.where("not stays or rows > 1").select(F.col("row_key").alias("__key"))
+    rest = keyed.join(gone.hint("shuffle_merge"), "__key", "left_anti").select(*docs.columns)
+    equal = held.where("stays and rows > 1").select(F.col("row_key").alias("__key"))
+    if equal.isEmpty():
+        return rest
+    nth = F.row_number().over(Window.partitionBy("__key").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0)))
+    once = keyed.join(equal.hint("shuffle_merge"), "__key", "left_semi").withColumn("__nth", nth).where("__nth = 1")
+    return rest.unionByName(once.select(*docs.columns))
