@@ -5,27 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm._work import stored
+from ledgerline.llm._work import join_skewed, release, stored
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label): each node of ``edges (a, b)`` with its component's least node.
 
     Each round takes the least label among the neighbours and then the label
-    of that label, so long chains halve.  Labels and edges stay distributed;
-    every round is written to the shared folder.
+    of that label, so long chains halve; it ends at the fixed point.  Labels
+    and edges stay distributed; every round is written to the shared folder.
+    A node with a large part of all edges, or a label with a large part of all
+    nodes, is joined apart (:func:`join_skewed`).
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = stored(both, "edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "label").hint("shuffle_merge"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        new = labels.join(near.withColumnRenamed("a", "node").hint("shuffle_merge"), "node").select("node", "label", F.least("label", "near").alias("new"))
+    while True:
+        near = join_skewed(both, labels.select(F.col("node").alias("b"), "label"), ["b"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        new = stored(labels.join(near.hint("shuffle_merge"), "node").select("node", "label", F.least("label", "near").alias("new")), "near")
         jump = new.select(F.col("node").alias("new"), F.col("new").alias("further"))
-        new = stored(new.join(jump.hint("shuffle_merge"), "new", "left").select("node", F.least("new", F.coalesce("further", "new")).alias("label"), (F.least("new", F.coalesce("further", "new")) != F.col("label")).alias("moved")), "labels")
-        labels = new.select("node", "label")
-        if not new.where("moved").limit(1).count():
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return labels
+        least = F.least("new", F.coalesce("further", "new"))
+        done = stored(join_skewed(new, jump, ["new"], "left").select("node", least.alias("label"), (least != F.col("label")).alias("moved")), "labels")
+        release(labels, new)
+        labels = done
+        if not done.where("moved").limit(1).count():
+            release(both)
+            return labels.select("node", "label")

@@ -11,9 +11,15 @@ from pyspark.sql import functions as F
 def work_dir(spark: SparkSession) -> str:
     """A new folder below the cluster's shared one (``spark.checkpoint.dir``).
 
-    Only where the session names none (as in tests) a local one is taken.
+    A session of one machine that names none (as in tests) gets a local one; a
+    cluster must name it, since executors don't see each other's folders.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/ledgerline-shared"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file:///tmp/ledgerline-shared"
     return f"{base.rstrip('/')}/ledgerline-{uuid.uuid4().hex}"
 
 
@@ -25,7 +31,42 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: A key that holds more than this part of a table's rows is hot; there are at most that many such keys.
+HOT_KEYS = 200
+
+
+def join_skewed(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", hot_keys: int = HOT_KEYS, least: int = 1000) -> DataFrame:
+    """Joins ``left`` with ``right``, which has at most one row for each key, whatever the skew of ``left``.
+
+    Keys with more than 1 / ``hot_keys`` of the rows of ``left`` (and at least
+    ``least``) are counted first.  They are fewer than ``hot_keys``, which is
+    the proven bound of what is broadcast for them; all other keys meet by a
+    shuffle.  ``left`` is read twice and should be a stored table.
+    """
+    counts = left.groupBy(*on).agg(F.count("*").alias("__n"))
+    most = max(least, left.count() // hot_keys)
+    hot = stored(counts.where(F.col("__n") > most).select(*on), "hot")
+    usual = right.hint("shuffle_merge")
+    if hot.isEmpty():
+        return left.join(usual, on, how)
+    few = stored(right.join(F.broadcast(hot), on, "left_semi"), "hot_rows")
+    cold = left.join(F.broadcast(hot), on, "left_anti").join(usual, on, how)
+    return cold.unionByName(left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(few), on, how))
 
 
 def row_key() -> Column:

@@ -2,21 +2,25 @@
 
 A source's target share gives each of its documents the same expected number
 of copies; the fraction that remains after whole copies is a copy probability.
-Pivotal rounding pairs fractional documents and moves mass (in words) at random
-from one to the other until one is integral, so expectations hold for each
-document and the words of a source don't move at all.  Pairs are taken from
-the largest document down, so that what is left fractional is small.
-
-It runs as a reduction tree: documents are dealt to leaf groups by a hash,
-each leaf leaves at most one fractional document, and the leaves' residuals
-meet ``fan_in`` at a time, level by level, until each source has one left,
-which a last draw settles.  All draws are hashes of the document and the seed:
-reruns agree, and no task sees more than a leaf.
+Pivotal rounding settles the largest fractional document against the next
+smaller ones: its mass (in words) moves to or from them, in a direction drawn
+so that every expectation is kept, until it is integral.  What one side gains
+the other loses, so the words of a source don't move at all, and the documents
+that stay fractional are the smallest ones.
+
+It runs as a reduction tree: documents are dealt to leaf groups of their
+source by a hash, each leaf leaves its ``LAST`` smallest fractional documents (and
+what all smaller ones together could not settle), and the residuals of
+``fan_in`` leaves meet, level by level, until each source has one node.  There
+the rest is set to what brings the source's words nearest to its target, so a
+source's last documents are chosen, not drawn.  All draws are hashes of the document and the seed:
+reruns agree, and no task sees more than a leaf or ``fan_in`` residuals.
 
 Defined cases: null text has size 0 and is taken 0 times; a null source is a
 source of its own, last in order; repeated rows are told apart by a number
-within equal (doc_id, text); an empty table gives an empty result; if all
-sources stand at their limit the rest of the share stays unused.
+within equal (source, doc_id, text); an empty table gives an empty result; if
+all sources stand at their limit the rest of the share stays unused; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm import _text as X
-from ledgerline.llm._work import groups_for, stored
+from ledgerline.llm._work import join_skewed, release, stored
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -46,29 +50,45 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(scan, "doc_id long, source string, size long, key long")
 
 
+def numbered(sources: DataFrame) -> DataFrame:
+    """``sources`` with ``place``, their number from 0 in code point order, null last.
+
+    Ranges of sources are numbered apart; a range starts at the number of
+    sources in the ranges before it (one count for each range on the driver).
+    """
+    ranged = sources.withColumn("last", F.col("source").isNull()).repartitionByRange("last", "source").sortWithinPartitions("last", "source")
+    ranged = stored(ranged.withColumn("range", F.spark_partition_id()), "ranged")
+    sizes = {r["range"]: r["n"] for r in ranged.groupBy("range").agg(F.count("*").alias("n")).collect()}
+    before, start = 0, []
+    for name in sorted(sizes):
+        start += [F.lit(name), F.lit(before)]
+        before += sizes[name]
+    within = F.row_number().over(Window.partitionBy("range").orderBy("last", "source")) - 1
+    first = F.create_map(*start)[F.col("range")] if start else F.lit(0)
+    return ranged.withColumn("place", within + first).drop("last", "range")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
-    """(source, source_size, target) by water-filling, as a table of one row per source.
+    """(source, rows, source_size, target) by water-filling, one row per source.
 
     Sources in code point order, null last, weigh ``weights`` in turn and share
-    all sizes; a target stops at ``cap`` times its source, the excess is
-    shared anew by weight.  In each round the sources with the smallest
-    limit-to-weight ratio fill first, so sorting by that ratio and running sums
-    solve it at once.
+    all sizes; a target stops at ``cap`` times its source and the excess is
+    shared anew by weight, until none is above.  A round is one aggregate over
+    the sources, and only adds full ones.
     """
-    total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # few rows (one per source) at any corpus size; ranks and running sums over them
-    rank = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    weighed = total.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(rank) - 1) % len(weights) + 1).cast("int")))
-    by_ratio = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").isNull(), F.col("source"))
-    before, all_rows = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    steps = weighed.select(
-        "*",
-        (F.sum("source_size").over(all_rows) - F.coalesce(F.sum(cap * F.col("source_size")).over(before), F.lit(0.0))).alias("left"),
-        (F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))).alias("weight_left"),
-    ).withColumn("full", cap * F.col("source_size") * F.col("weight_left") <= F.col("left") * F.col("weight"))
-    # the level is that of the first source that does not fill up
-    level = F.min(F.when(~F.col("full"), F.struct(F.col("source_size") / F.col("weight"), F.col("left") / F.col("weight_left")))).over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))["col2"]
-    return steps.withColumn("level", level).select("source", "source_size", F.least(cap * F.col("source_size"), F.coalesce(F.col("level") * F.col("weight"), cap * F.col("source_size"))).alias("target"))
+    total = stored(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), "sources")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    weighed = stored(numbered(total).withColumn("weight", weight), "weighed")
+    limit, level, full = cap * F.col("source_size"), None, F.lit(False)
+    while True:
+        # the level of the round: what the full ones leave, for each unit of the others' weight
+        r = weighed.agg(F.sum("source_size").alias("all"), F.sum(F.when(full, limit)).alias("full"), F.sum(F.when(~full, F.col("weight"))).alias("weight"), F.count(F.when(full, 1)).alias("n")).first()
+        if not r["weight"] or (level is not None and r["n"] == n_full):
+            break
+        level, n_full = (r["all"] - (r["full"] or 0.0)) / r["weight"], r["n"]
+        full = limit <= F.lit(level) * F.col("weight")
+    share = F.least(limit, F.lit(level) * F.col("weight")) if r["weight"] and level is not None else limit
+    return weighed.select("source", "rows", "source_size", share.cast("double").alias("target"))
 
 
 def _draw(key: np.ndarray, seed: int) -> np.ndarray:
@@ -76,31 +96,61 @@ def _draw(key: np.ndarray, seed: int) -> np.ndarray:
         return X.mix(key.view(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)).astype(np.float64) / 2.0**64
 
 
-def pivot(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """Rounds ``p`` in order, pair by pair; at most one entry stays fractional.
+#: So many of a group's smallest fractional documents stay so; at the root their best subset is taken.
+LAST = 14
 
-    A pair trades words: what one gains, the other loses, so that the sum of
-    ``p * size`` stays as it is.  The two possible trades (each until a copy
-    probability is 0 or 1) are drawn so that every expectation is kept.
+
+def pivot(p: np.ndarray, size: np.ndarray, draws: np.ndarray, keep: int = LAST) -> np.ndarray:
+    """Rounds ``p`` of documents in falling order of ``size``, all but the last ``keep``.
+
+    In turn each fractional document (a, m) trades with the fractional ones
+    after it: partner (b, n) takes part with t words, where up to (1 - a) t
+    may leave it and a t may join it.  With probability a the document becomes
+    1 and its partners give (1 - a) t each, else it becomes 0 and they get a t
+    each.  Another document stays fractional only if all after it offer too little.
     """
-    p, eps = p.copy(), 1e-12
-    hold = -1
+    p, eps = p.copy(), 1e-9
+    p[p < eps], p[p > 1 - eps] = 0.0, 1.0
     for i in range(len(p)):
-        if p[i] <= eps or p[i] >= 1 - eps:
-            p[i] = round(p[i])
+        a, m = p[i], size[i]
+        if not 0 < a < 1:
             continue
-        if hold < 0:
-            hold = i
+        if keep and ((p[i:] > 0) & (p[i:] < 1)).sum() <= keep:
+            break
+        at, chunk, need, got = i + 1, 32, m, []
+        while need > 0 and at < len(p):
+            j = np.arange(at, min(at + chunk, len(p)))
+            at, chunk = at + chunk, 2 * chunk
+            j = j[(p[j] > 0) & (p[j] < 1)]
+            t = np.minimum(p[j] * size[j] / (1 - a), (1 - p[j]) * size[j] / a)
+            before = np.cumsum(t) - t
+            t = np.minimum(t, need - before)
+            use = t > 0
+            got.append((j[use], t[use]))
+            need -= t[use].sum()
+        if need > eps * m:
             continue
-        a, b, m, n = p[hold], p[i], size[hold], size[i]
-        gain, loss = min((1 - a) * m, b * n), min(a * m, (1 - b) * n)
-        moved = gain if draws[i] * (gain + loss) < loss else -loss
-        p[hold], p[i] = a + moved / m, b - moved / n
-        left = [k for k in (hold, i) if eps < p[k] < 1 - eps]
-        for k in (hold, i):
-            if k not in left:
-                p[k] = round(p[k])
-        hold = left[0] if left else -1
+        for j, t in got:
+            p[j] += (-(1 - a) if draws[i] < a else a) * t / size[j]
+            p[j] = np.where(p[j] < eps, 0.0, np.where(p[j] > 1 - eps, 1.0, p[j]))
+        p[i] = 1.0 if draws[i] < a else 0.0
+    return p
+
+
+def settle(p: np.ndarray, size: np.ndarray, last: int = LAST) -> np.ndarray:
+    """Sets what is still fractional so that the fewest words are missing: from
+    the largest down so that the words still due stay in the middle of what the
+    smaller ones can make up, and the ``last`` ones by their best subset."""
+    p = p.copy()
+    left = np.flatnonzero((p > 0) & (p < 1))
+    due, after = float((p[left] * size[left]).sum()), float(size[left].sum())
+    for i in left[:-last]:
+        after -= size[i]
+        p[i] = 1.0 if abs(due - size[i] - after / 2) < abs(due - after / 2) else 0.0
+        due -= p[i] * size[i]
+    few = left[-last:]
+    subset = (np.arange(1 << len(few))[:, None] >> np.arange(len(few))) & 1
+    p[few] = subset[np.argmin(np.abs(subset @ size[few] - due))]
     return p
 
 
@@ -108,42 +158,42 @@ def _round(level: int, seed: int):
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "key", "nth"], ascending=[False, True, True], kind="stable")
         draws = _draw(pdf["key"].to_numpy(np.int64) + pdf["nth"].to_numpy(np.int64), seed * 64 + level)
-        return pdf.assign(p=pivot(pdf["p"].to_numpy(np.float64), pdf["size"].to_numpy(np.float64), draws)).drop(columns="node")
+        size = pdf["size"].to_numpy(np.float64)
+        p = pivot(pdf["p"].to_numpy(np.float64), size, draws)
+        return pdf.assign(p=settle(p, size) if pdf["slices"].iloc[0] == 1 else p).drop(columns="node")
 
     return task
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 7, leaf: int = 4_000, fan_in: int = 512) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 7, leaf: int = 1_000, fan_in: int = 64) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken, key, nth) per row of ``docs``."""
     sizes = stored(sized(docs), "sizes")
     share = stored(targets(sizes, weights, cap), "targets")
-    # one row per source: joined by hash, in slices so that no source is one task
-    slices = groups_for(sizes.count(), leaf)
-    dealt = sizes.withColumn("slice", F.expr(f"pmod(key, {slices})"))
-    spread = share.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))))
+    # equal rows are counted and differ by a number; a source's name is never null as a key
+    named = sizes.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("n")).withColumns({"no_source": F.col("source").isNull(), "source": F.coalesce("source", F.lit(""))})
+    keyed = share.withColumns({"no_source": F.col("source").isNull(), "source": F.coalesce("source", F.lit(""))})
+    joined = join_skewed(stored(named, "rows"), keyed, ["source", "no_source"]).withColumn("source", F.when(~F.col("no_source"), F.col("source"))).drop("no_source")
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    joined = dealt.alias("d").join(spread.alias("s").hint("shuffle_merge"), (F.col("d.slice") == F.col("s.slice")) & F.col("d.source").eqNullSafe(F.col("s.source")))
-    rows = joined.select("d.doc_id", "d.source", "d.size", "d.key", "d.slice", "s.source_size", "s.target", rate.alias("rate"))
-    # equal rows differ by a number; the window's groups are the repeats of one row
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("source", "slice", "key").orderBy("doc_id")).cast("long"))
+    rows = joined.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).withColumn("nth", F.col("nth").cast("long")).withColumn("rate", rate)
+    slices = F.ceil(F.col("rows") / leaf).cast("long")
     whole = F.floor(F.col("rate") + 1e-9)
-    rows = stored(rows.withColumn("base", whole.cast("long")).withColumn("p", F.when(F.col("size") > 0, F.greatest(F.col("rate") - whole, F.lit(0.0))).otherwise(0.0)), "expected")
-    schema = "doc_id long, source string, size long, key long, slice long, source_size long, target double, base long, nth long, p double"
-    level, open_rows, settled = 0, rows.select(*[c.split()[0] for c in schema.split(", ")]).withColumn("node", F.col("slice")), []
+    p = F.when(F.col("size") > 0, F.greatest(F.col("rate") - whole, F.lit(0.0))).otherwise(0.0)
+    schema = "doc_id long, source string, size long, key long, slices long, slice long, source_size long, target double, base long, nth long, p double"
+    rows = rows.select("doc_id", "source", "size", "key", slices.alias("slices"), F.pmod(F.xxhash64("key", "nth"), slices).alias("slice"), "source_size", "target", whole.cast("long").alias("base"), "nth", p.alias("p"))
+    level, open_rows, settled = 0, rows.withColumn("node", F.col("slice")), []
     while True:
         out = stored(open_rows.groupBy("source", "node").applyInPandas(_round(level, seed), schema), f"level{level}")
-        fractional = (F.col("p") > 0) & (F.col("p") < 1)
-        settled.append(out.where(~fractional))
-        if slices <= 1:
-            # a residual of less than one copy: the last draw keeps the expectation
-            settled.append(out.where(fractional).withColumn("p", F.when(F.pmod(F.xxhash64("key", "nth", F.lit(seed)), F.lit(1 << 32)) < F.col("p") * float(1 << 32), 1.0).otherwise(0.0)))
+        up = out.where("p > 0 and p < 1")
+        settled.append(out.where("not (p > 0 and p < 1)"))
+        if up.isEmpty():
             break
-        level, slices = level + 1, -(-slices // fan_in)
-        open_rows = out.where(fractional).withColumn("node", F.expr(f"pmod(slice, {slices})"))
+        level = level + 1
         # the next level finds a residual below its new node
-        open_rows = open_rows.withColumn("slice", F.col("node"))
+        slices = F.ceil(F.col("slices") / fan_in).cast("long")
+        open_rows = up.withColumn("slices", slices).withColumn("slice", F.pmod("slice", "slices")).withColumn("node", F.col("slice"))
+    release(sizes)
     done = settled[0]
     for part in settled[1:]:
         done = done.unionByName(part)
-    copies = F.col("base") + F.round("p").cast("long")
-    return done.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(0).alias("copies"), F.when(F.col("size") > 0, copies * F.col("size")).otherwise(0).cast("long").alias("taken"), "key", "nth")
+    copies = F.when(F.col("size") > 0, F.col("base") + F.round("p").cast("long")).otherwise(0)
+    return done.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "key", "nth")
