@@ -1,19 +1,22 @@
 """Line dedup with DataFrame operations only.
 
-Lines are reduced to hashes of their keys.  Per key the rows are counted by a
-map-side aggregate (salted by document, so a line that stands in a third of
-all documents never meets in one task), then dealt by range of the hash with a
-secondary sort by document and position, where the first row of each key in
-that order is its keeper.  What comes back per document is a sparse bitmap,
-a map from word number to 64 dropped-line bits (absent words keep all 64), and
-never a text.
+Lines are reduced to hashes of their keys.  Per key the rows are first reduced
+by a map-side aggregate (salted by document, so a line that stands in a third
+of all documents never meets in one task) to the first occurrence of each salt;
+these are dealt by range of the hash with a secondary sort by document (largest
+first) and position, and the first row of each key in that order names its
+keeper.  What comes back per document is a compressed keep bitmap, never a
+text: a map from word number to 64 keep bits, in which the words of all ones
+are left out.
 
 A line's key: ``[\\x20\\x09-\\x0D]`` stripped at both ends, A-Z lower-cased.
 Keys are told apart by two independent 64-bit hashes.
 
 Defined cases: null or empty text is one empty line; rows that share a doc_id
 count as one document, and all rows with the keeper's doc_id keep the line;
-rows with a null doc_id keep all lines and don't count; extra columns are ignored.
+rows with a null doc_id keep all lines and don't count; an empty table gives
+an empty result; extra columns pass, whatever their names, but for those named
+n_lines, n_dropped or kept, which the result replaces.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm._work import stored
+from ledgerline.llm._work import join_skewed, stored
 
 _STRIP = " \t\n\x0b\f\r"
 _UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,35 +45,42 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """(row_key, dropped): for documents that lose lines, the sparse bitmap of those."""
+    """(row_key, keep): for documents that lose lines, their keep bitmap without its words of all ones."""
     lines = stored(_lines(docs, min_chars), "lines")
-    first = lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-    per_salt = first.groupBy("h1", "h2", F.expr("pmod(doc_id, 16)").alias("salt")).agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    # the first place of a key in a document, then in all documents of a salt
+    place = F.struct("doc_id", (-F.col("pos")).alias("back"))
+    first = lines.groupBy("h1", "h2", "doc_id").agg(F.max(place).alias("place"))
+    per_salt = first.groupBy("h1", "h2", F.expr("pmod(doc_id, 16)").alias("salt")).agg(F.max("place").alias("place"), F.count("*").alias("n"))
     # range partitions with a secondary sort: the keeper is the first row of each key
-    ranged = per_salt.repartitionByRange("h1").sortWithinPartitions("h1", "h2", F.desc("doc_id"), "salt")
-    stream = Window.partitionBy("h1", "h2").orderBy(F.desc("doc_id"), "salt")
+    ranged = per_salt.repartitionByRange("h1").sortWithinPartitions("h1", "h2", F.desc("place"))
+    stream = Window.partitionBy("h1", "h2").orderBy(F.desc("place"))
     keys = ranged.withColumn("nth", F.row_number().over(stream)).withColumn("n_docs", F.sum("n").over(stream.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    keys = keys.where((F.col("nth") == 1) & (F.col("n_docs") >= min_docs)).select("h1", "h2", F.col("doc_id").alias("keeper"))
-    dropped = lines.join(keys.hint("shuffle_merge"), ["h1", "h2"]).where("doc_id <> keeper")
-    words = dropped.groupBy("row_key", F.expr("pos div 64").cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, pos % 64))").alias("bits"))
-    return words.groupBy("row_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
+    keys = stored(keys.where((F.col("nth") == 1) & (F.col("n_docs") >= min_docs)).select("h1", "h2", F.col("place.doc_id").alias("keeper")), "keepers")
+    dropped = join_skewed(lines, keys, ["h1", "h2"]).where("doc_id <> keeper")
+    words = dropped.groupBy("row_key", F.expr("pos div 64").cast("int").alias("word")).agg(F.bitwise_not(F.expr("bit_or(shiftleft(1L, pos % 64))")).alias("bits"))
+    return words.groupBy("row_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("keep"))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with n_lines, n_dropped and ``kept``, the lines that stay."""
-    rows = docs.withColumn("row_key", F.xxhash64("doc_id", "text")).join(bitmaps.hint("shuffle_merge"), "row_key", "left").drop("row_key")
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
+    extra = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
+    # a document's columns travel as one, so that no name of theirs meets another
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in extra]).alias("doc"))
+    rows = rows.join(bitmaps.hint("shuffle_merge"), "row_key", "left")
+    text = F.coalesce(F.col("doc.text"), F.lit(""))
+    lines = F.split(text, "\n", -1)
 
     def stays(_: Column, i: Column) -> Column:
-        bit = F.call_function("getbit", F.try_element_at("dropped", F.floor(i / 64).cast("int")), F.pmod(i, F.lit(64)).cast("int"))
-        return F.coalesce(bit, F.lit(0)) == 0
+        bit = F.call_function("getbit", F.try_element_at("keep", F.floor(i / 64).cast("int")), F.pmod(i, F.lit(64)).cast("int"))
+        return F.coalesce(bit, F.lit(1)) == 1
 
-    return rows.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+    out = rows.select(
+        "doc",
         F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.aggregate(F.map_values("dropped"), F.lit(0), lambda a, b: a + F.bit_count(b)), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter(lines, stays), "\n")).alias("kept"),
+        F.coalesce(F.aggregate(F.map_values("keep"), F.lit(0), lambda a, b: a + 64 - F.bit_count(b)), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("keep").isNull(), text).otherwise(F.array_join(F.filter(lines, stays), "\n")).alias("kept"),
     )
+    return out.select(*[F.col(f"doc.`{c}`") for c in extra], "n_lines", "n_dropped", "kept")
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:

@@ -334,6 +334,40 @@ def test_line_dedup(spark, odd, docs):
         assert got == brute_lines([(r["doc_id"], r["text"]) for r in df.collect()])
 
 
+def test_line_dedup_defined_cases(spark, odd):
+    line = "a common line of more than forty characters, and more"
+    names = ["row_key", "keep", "kept", "dropped", "doc", "h1", "pos", "n_lines", "a.b"]
+    clash = spark.createDataFrame([(i, f"{line}\n{i}", *[f"x{i}"] * len(names)) for i in range(40)], ["doc_id", "text", *names])
+    got = line_dedup.drop_repeated_lines(clash)
+    assert set(got.columns) == {"doc_id", "text", *names, "n_dropped"} and len(got.columns) == len(names) + 3
+    assert all(r["row_key"] == r["a.b"] == f"x{r['doc_id']}" and (r["n_lines"], r["n_dropped"]) == (2, int(r["doc_id"] < 39)) for r in got.collect())
+    assert line_dedup.drop_repeated_lines(odd.limit(0)).count() == 0
+    bitmap = line_dedup.keep_bitmaps(clash).first()["keep"]
+    assert bitmap == {0: ~1}  # only words with a dropped line are kept; bit 0 is off
+    # the keeper keeps each of its lines, in all rows of its id
+    rows = [(7, f"{line}\n{line}"), (7, f"own\n{line}"), *[(i, line) for i in range(6)]]
+    got = {(r["doc_id"], r["n_dropped"]) for r in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(7, 0), *[(i, 1) for i in range(6)]}
+
+
+def test_join_skewed(spark):
+    from ledgerline.llm._work import join_skewed
+
+    left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    right = spark.range(0, 3000, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    for how in ("inner", "left"):
+        want = Counter(tuple(r) for r in left.join(right, ["k"], how).collect())
+        assert Counter(tuple(r) for r in join_skewed(left, right, ["k"], how, least=100).collect()) == want
+
+
+def test_components_of_chains_and_stars(spark):
+    from ledgerline.llm._graph import components
+
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(1500)]
+    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(301)} | {i: 1000 for i in range(1000, 2501)}
+
+
 def test_warc(spark, sf_dir):
     pages = spark.createDataFrame(
         [(1, "https://a.Example.org:80/x?y#z", "é" * 600), (2, "http://a.example.org/x", "é" * 600), (3, None, None), (4, "", ""), (5, "ftp://b.net", "short"), (6, "ftp://b.net", "short"), (2, "http://a.example.org/x", "é" * 600), (None, "http://n", "z\r\n\r\n" * 400)],
@@ -355,6 +389,11 @@ def test_warc(spark, sf_dir):
     want = spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id % 9 = 0")
     got = {(r["page_id"], bytes(r["payload"]).decode()) for r in warc.read_records(warc.look_up(blocks, want)).where("record_type = 'response'").collect()}
     assert {(r["page_id"], r["html"]) for r in want.collect()} <= got
+    for per_part in (1, 2, 10**6):
+        some = warc.look_up(blocks, want, per_part).collect()
+        assert len(some) == len({(r["archive"], r["offset"]) for r in some}) == want.count()
+    clash = pages.selectExpr("*", "page_id as digest", "url as original", "html as payload", "1 as block")
+    assert warc.round_trip(clash).count() == pages.count()
     assert spark.createDataFrame([("https://u@Blog.site.org:8080/a?b#c",)], "u string").select(warc.url_key(F.col("u"))).first()[0] == "org,site,blog:8080)/a?b"
 
 
