@@ -9,8 +9,11 @@ revisit records that refer to it.
 
 Index: capture lines sorted by reversed-host URL key are dealt by range and
 packed into compressed blocks (level one); the sparse directory holds the
-first key of each block (level two).  A look-up binary-searches the directory,
-inflates one block or a few, and reads byte ranges of the archives.
+first and last key of each block (level two).  A look-up binary-searches the
+directory, inflates the blocks that may hold a key, and reads byte ranges of
+the archives.  The directory is dealt by key ranges, whose bounds are a sample
+of its keys, and the wanted keys with it, so that each task searches its own
+part of it only.  :func:`round_trip` reads all pages back that way.
 
 Archives lie in the folder that the cluster shares (any scheme that pyarrow's
 file systems know, or a plain path).
@@ -37,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm._work import stored, work_dir
+from ledgerline.llm._work import join_skewed, release, stored, work_dir
 
 _CAPTURE = "urlkey string, page_id long, url string, archive string, offset long, length long"
 _RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -106,7 +109,8 @@ def write_archives(pages: DataFrame, revisit_bytes: int = 1000) -> DataFrame:
     """Writes ``pages (page_id, url, html)``; returns the stored capture lines."""
     rows = pages.select("page_id", "url", "html", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n_bytes"))
     shared = rows.where(F.col("n_bytes") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").select("digest", "original")
-    typed = rows.join(stored(shared, "shared").hint("shuffle_merge"), "digest", "left")
+    # a payload that a third of all pages share is joined apart
+    typed = join_skewed(rows, stored(shared, "shared"), ["digest"], "left")
     again = F.col("original").isNotNull() & ~F.col("original").eqNullSafe(F.col("page_id"))
     typed = typed.select("page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("original")).alias("refers_to"), url_key(F.col("url")).alias("urlkey"))
     return stored(typed.mapInArrow(_writer(f"{work_dir(pages.sparkSession)}/archive"), _CAPTURE), "captures")
@@ -141,13 +145,18 @@ def build_index(captures: DataFrame, lines_per_block: int = 3000) -> DataFrame:
     return stored(ranged.mapInArrow(pack, _BLOCK), "blocks")
 
 
+def _lines_of(raw: bytes) -> list[list]:
+    """The capture lines of one compressed block."""
+    return [json.loads(x) for x in zlib.decompress(raw).decode().split("\n")]
+
+
 def read_lines(blocks: DataFrame) -> DataFrame:
     """The capture lines of the given blocks."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column("lines"):
-                rows = [json.loads(x) for x in zlib.decompress(raw.as_py()).decode().split("\n")]
+                rows = _lines_of(raw.as_py())
                 yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=[x.split()[0] for x in _CAPTURE.split(", ")])
 
     return blocks.select("lines").mapInArrow(unpack, _CAPTURE)
@@ -199,40 +208,62 @@ _ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_byt
 
 def directory(blocks: DataFrame) -> DataFrame:
     """Level two: (first_key, last_key, block), in key order."""
-    return blocks.select("first_key", "last_key", "block").orderBy("first_key", "last_key")
+    return blocks.select("first_key", "last_key", "block").repartitionByRange("first_key", "last_key", "block").sortWithinPartitions("first_key", "last_key", "block")
+
 
+def look_up(blocks: DataFrame, urls: DataFrame, entries_per_part: int = 500) -> DataFrame:
+    """Capture lines of ``urls (url)``.
 
-def look_up(blocks: DataFrame, urls: DataFrame, max_urls: int = 100_000) -> DataFrame:
-    """Capture lines of ``urls (url)``.  The directory, one short line for each
-    block, is searched per task in slices of ``max_urls`` urls; the blocks that
-    may hold a key are then joined by their name."""
+    The directory is dealt in parts of about ``entries_per_part`` blocks.  Only
+    the parts' bounds reach the driver: one key of so many blocks, that is of
+    ``entries_per_part`` x ``lines_per_block`` captures.
+    """
     wanted = urls.select(url_key(F.col("url")).alias("wanted")).distinct()
-    parts = groups_of(wanted, max_urls)
-    cut = directory(blocks)
+    cut = stored(directory(blocks), "directory")
+    bounds = [r[0] for r in cut.where(F.pmod(F.xxhash64("block"), F.lit(entries_per_part)) == 0).select("first_key").distinct().orderBy("first_key").collect()]
+
+    def dealt(low: str, high: str):
+        def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            edge = np.array(bounds, object)
+            for pdf in frames:
+                a = np.searchsorted(edge, pdf[low].to_numpy(object), "left")
+                n = np.searchsorted(edge, pdf[high].to_numpy(object), "right") - a + 1
+                out = pdf.loc[pdf.index.repeat(n)]
+                yield out.assign(part=np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n))
+
+        return scan
 
     def search(keys: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        entries = entries.sort_values(["first_key", "last_key"])
-        w = np.sort(keys["wanted"].to_numpy(object))
-        lo = np.searchsorted(entries["last_key"].to_numpy(object).astype(str), w.astype(str), "left") if len(entries) else np.zeros(len(w), int)
-        hi = np.searchsorted(entries["first_key"].to_numpy(object).astype(str), w.astype(str), "right") if len(entries) else lo
-        names, out = entries["block"].to_numpy(object), []
-        for k, a, b in zip(w, lo, hi, strict=True):
-            out += [(k, names[i]) for i in range(a, b)]
-        return pd.DataFrame(out, columns=["wanted", "block"])
+        """(wanted, block): binary search of the keys in this part of the directory."""
+        entries = entries.sort_values(["first_key", "last_key"], kind="stable")
+        first, last, names = (entries[c].to_numpy(object) for c in ("first_key", "last_key", "block"))
+        w = keys["wanted"].to_numpy(object)
+        lo, hi = np.searchsorted(last, w, "left"), np.searchsorted(first, w, "right")
+        n = np.maximum(hi - lo, 0)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        return pd.DataFrame({"wanted": np.repeat(w, n), "block": names[place]}, columns=["wanted", "block"])
 
-    n = parts.agg(F.max("part")).first()[0] or 0
-    entries = cut.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n))))
-    hits = stored(parts.groupBy("part").cogroup(entries.groupBy("part")).applyInPandas(search, "wanted string, block string"), "hits")
-    lines = read_lines(blocks.join(hits.select("block").distinct().hint("shuffle_merge"), "block"))
-    return lines.join(hits.select(F.col("wanted").alias("urlkey")).distinct().hint("shuffle_merge"), "urlkey", "left_semi")
+    # a key or block that spans bounds goes to each part that it touches
+    asked = wanted.mapInPandas(dealt("wanted", "wanted"), "wanted string, part long")
+    entries = cut.mapInPandas(dealt("first_key", "last_key"), "first_key string, last_key string, block string, part long")
+    hits = stored(asked.groupBy("part").cogroup(entries.groupBy("part")).applyInPandas(search, "wanted string, block string").distinct(), "hits")
 
+    def inflate(keys: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        there = set(keys["wanted"])
+        rows = [x for raw in (block["lines"] if there else ()) for x in _lines_of(raw) if x[0] in there]
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in _CAPTURE.split(", ")]).astype({"page_id": "Int64"})
 
-def groups_of(wanted: DataFrame, size: int) -> DataFrame:
-    n = max(1, -(-wanted.count() // size))
-    return wanted.withColumn("part", F.pmod(F.xxhash64("wanted"), F.lit(n)).cast("int"))
+    return hits.groupBy("block").cogroup(blocks.select("block", "lines").groupBy("block")).applyInPandas(inflate, _CAPTURE)
 
 
 def round_trip(pages: DataFrame, revisit_bytes: int = 1000) -> DataFrame:
-    """Writes all pages, builds the index and reads every record through it."""
+    """Writes all pages, builds the index and reads every record through it.
+
+    All urls of the pages are looked up; the lines found are sorted by archive
+    and offset, so that a task reads its ranges of an archive in order.
+    """
     captures = write_archives(pages, revisit_bytes)
-    return read_records(read_lines(build_index(captures)), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    blocks = build_index(captures)
+    release(captures)
+    lines = look_up(blocks, pages.select("url")).repartitionByRange("archive", "offset")
+    return read_records(lines, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
