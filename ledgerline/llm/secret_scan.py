@@ -1,19 +1,21 @@
 """Secret scanning with a trigram inverted index, DataFrame operations only.
 
 From each rule's regular expression a Boolean query of mandatory trigrams is
-derived (an AND of ORs over the lower-cased text).  The index holds postings
-``(trigram, row_key)`` for the trigrams that any rule asks for.  A rule's
-candidates are found by intersecting its postings: rows are grouped by
-document, and each OR group must be met.  Only candidates are scanned with the
-expression.  Rules without a mandatory trigram (a run of hex digits) scan
-every text.
+derived (an AND of ORs of conjunctions, over the lower-cased text).  The index
+is split by document: a document's posting list, of the trigrams that any rule
+asks for, stays with the document, so neither postings nor texts are shuffled.
+A rule's candidates are the documents whose list meets its query; only those
+are scanned with the expression.  Rules without a mandatory trigram (a run of
+hex digits) scan every text.
 
 Spans count code points, end exclusive.  They come from the texts between
 matches (``split``) and the matches (``regexp_extract_all``), which scan
-leftmost and without overlap.
+leftmost and without overlap; their running sums are taken in blocks of about
+the square root of their number, so a text may hold many thousand matches.
 
-Defined cases: null text is empty and has no spans; repeated rows each give a
-row; extra columns are ignored; kinds keep their listed order on ties.
+Defined cases: null text is empty and has no spans; an empty table gives no
+rows; repeated rows each give a row; extra columns are ignored; kinds keep
+their listed order on ties.
 """
 
 from __future__ import annotations
@@ -25,8 +27,6 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm._work import stored
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -108,61 +108,79 @@ def trigram_query(pattern: str, limit: int = 32) -> list[list[list[str]]]:
     return groups
 
 
-def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Postings (trigram, row_key) of the trigrams that the rules ask for."""
+def postings(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The trigrams of a text that the rules ask for."""
     asked = sorted({t for r in rules for g in trigram_query(r.pattern) for c in g for t in c})
-    text = F.lower("text")
-    low = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("row_key"), text.alias("low"))
-    there = F.array_compact(F.array(*[F.when(F.contains(F.col("low"), F.lit(t)), F.lit(t)) for t in asked])) if asked else F.array().cast("array<string>")
-    return low.select("row_key", F.explode(there).alias("trigram"))
+    low = F.lower(text)
+    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in asked])) if asked else F.array().cast("array<string>")
+
+
+def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(doc_id, row_key, trigrams, text): each document with its posting list."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), postings(text, rules).alias("trigrams"), text.alias("text"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(row_key, kinds): rows in the intersection of each rule's postings."""
-    have = index.groupBy("row_key").agg(F.collect_set("trigram").alias("have"))
+    """``index`` with ``kinds``: the rules whose Boolean query a document's posting list meets."""
 
     def met(rule: Rule) -> Column:
         out = F.lit(True)
         for group in trigram_query(rule.pattern):
             some = F.lit(False)
             for all_of in group:
-                some = some | (F.size(F.array_except(F.array(*[F.lit(t) for t in all_of]), "have")) == 0)
+                some = some | (F.size(F.array_except(F.array(*[F.lit(t) for t in all_of]), "trigrams")) == 0)
             out = out & some
         return out
 
-    kinds = F.array_compact(F.array(*[F.when(met(r), F.lit(r.kind)) for r in rules if trigram_query(r.pattern)]))
-    return have.select("row_key", kinds.alias("kinds")).where(F.size("kinds") > 0)
+    return index.withColumn("kinds", F.array_compact(F.array(*[F.when(met(r), F.lit(r.kind)) for r in rules])))
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it's used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _starts(steps: Column) -> Column:
+    """The sum of all entries before each entry of an array, in blocks of its root."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+
+    def blocks(steps: Column, width: Column) -> Column:
+        before = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / width).cast("int")), lambda j: total(F.slice(steps, F.lit(1), j * width)))
+
+        def place(_: Column, i: Column, before: Column) -> Column:
+            block = F.floor(i / width).cast("int")
+            return F.get(before, block) + total(F.slice(steps, block * width + 1, i - block * width))
+
+        return _bound(before, lambda b: F.transform(steps, lambda x, i: place(x, i, b)))
+
+    return _bound(steps, lambda s: _bound(F.greatest(F.ceil(F.sqrt(F.size(s))).cast("int"), F.lit(1)), lambda w: blocks(s, w)))
 
 
 def spans_of(text: Column, rule: Rule, place: int) -> Column:
     """Array of (start, place, kind, end, match) of a rule's matches in a text."""
-    gaps, found = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     item = "struct<start:int,place:int,kind:string,end:int,match:string>"
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{item}>").alias("out"))
-    walked = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), found.alias("hit")),
-        state,
-        lambda a, x: F.struct(
-            (a["at"] + F.char_length(x["gap"]) + F.coalesce(F.char_length(x["hit"]), F.lit(0))).alias("at"),
-            F.when(x["hit"].isNull(), a["out"]).otherwise(F.array_append(a["out"], F.struct(
-                (a["at"] + F.char_length(x["gap"])).alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"),
-                (a["at"] + F.char_length(x["gap"]) + F.char_length(x["hit"])).alias("end"), x["hit"].alias("match"),
-            ))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+    pieces = F.struct(F.split(text, rule.pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("hits"))
+
+    def walk(p: Column) -> Column:
+        gap = lambda i: F.char_length(F.get(p["gaps"], i))
+        steps = F.transform(p["hits"], lambda h, i: gap(i) + F.char_length(h))
+        return _bound(_starts(steps), lambda at: F.transform(p["hits"], lambda h, i: F.struct(
+            (F.get(at, i) + gap(i)).alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"),
+            (F.get(at, i) + gap(i) + F.char_length(h)).alias("end"), h.alias("match"),
+        )))
+
+    walked = _bound(pieces, walk)
     kept = F.filter(walked, lambda s: s["match"].rlike(rule.keep)) if rule.keep else walked
-    return F.when(F.rlike(text, F.lit(rule.pattern)), kept).otherwise(F.array().cast(f"array<{item}>"))
+    return F.when(F.rlike(text, F.lit(rule.pattern)), kept.cast(f"array<{item}>")).otherwise(F.array().cast(f"array<{item}>"))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, spans): spans sorted by start, then by the rules' order."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("row_key"))
-    found = stored(candidates(build_index(docs, rules), rules), "candidates")
-    asked = rows.join(found.hint("shuffle_merge"), "row_key", "left")
+    found = candidates(build_index(docs, rules), rules)
     none = F.array().cast("array<struct<start:int,place:int,kind:string,end:int,match:string>>")
-    parts = [F.when(F.array_contains("kinds", r.kind), spans_of(F.col("text"), r, i)).otherwise(none) if trigram_query(r.pattern) else spans_of(F.col("text"), r, i) for i, r in enumerate(rules)]
-    return asked.select("doc_id", F.array_sort(F.flatten(F.array(*parts))).alias("spans"))
+    parts = [F.when(F.array_contains("kinds", r.kind), spans_of(F.col("text"), r, i)).otherwise(none) for i, r in enumerate(rules)]
+    return found.select("doc_id", F.array_sort(F.flatten(F.array(*parts))).alias("spans"))
 
 
 def joined(spans: Column) -> Column:

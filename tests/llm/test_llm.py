@@ -171,6 +171,19 @@ def test_secret_scan(spark, odd, docs):
         assert got == Counter((r["doc_id"], *brute_secrets(r["text"])) for r in df.collect())
 
 
+def test_secret_scan_many_matches(spark, odd):
+    text = "".join(f"é{i % 7} {i:016x} " for i in range(100_000))
+    row = secret_scan.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    want = [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]{16,}", text)]
+    assert row["n_hex"] == len(want) == 100_000
+    assert row["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+    assert secret_scan.report(odd.limit(0)).count() == 0
+    clash = odd.selectExpr("*", "1 as kinds", "2 as trigrams", "3 as spans")
+    assert secret_scan.report(clash).count() == odd.count()
+    plan = secret_scan.report(odd)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+
+
 def test_trigram_queries():
     q = {r.kind: secret_scan.trigram_query(r.pattern) for r in secret_scan.RULES}
     assert q["hex"] == [] and q["access"] == [[["aki", "kia"]]]
