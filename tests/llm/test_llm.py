@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("ledgerline.llm.registry")
@@ -429,6 +430,59 @@ def test_nearest(spark):
     assert nearest.search(rows.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def brute_nearest(ids, x, wanted, k=20):
+    out = {}
+    for q in np.flatnonzero(wanted):
+        s = np.zeros(len(x))
+        for d in range(x.shape[1]):
+            s += x[:, d] * x[q, d]
+        order = [i for i in np.lexsort((ids, -s)) if ids[i] != ids[q]][:k]
+        out[int(ids[q])] = [(int(ids[i]), float(s[i])) for i in order]
+    return out
+
+
+def found_nearest(frame, **options):
+    got = defaultdict(list)
+    for r in nearest.search(frame, F.col("id") % 20 == 0, **options).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    return got
+
+
+def test_nearest_scale(spark, monkeypatch):
+    """100,000 vectors around 500 centres: two levels, few parts asked, few rows scored."""
+    rng, routers = np.random.default_rng(4), []
+    x = (rng.normal(size=(500, 32))[rng.integers(0, 500, 100_000)] + 0.3 * rng.normal(size=(100_000, 32))).astype(np.float64)
+    frame = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x))}))
+    fit = nearest.fit
+    monkeypatch.setattr(nearest, "fit", lambda *a, **o: routers.append(fit(*a, **o)) or routers[-1])
+    got = found_nearest(frame)
+    router = routers[0]
+    some = np.arange(len(x)) % 2000 == 0
+    want = brute_nearest(np.arange(len(x)), x, some)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in near}) for q, near in want.items())
+    assert hits >= 0.9 * 20 * some.sum()
+    size = np.bincount(router.home(x), minlength=router.first[-1])
+    asked = np.argsort(-router.scores(x[some]), axis=1)[:, : router.probes]
+    assert router.below and router.first[-1] > 150 and size[asked].sum(1).mean() <= 0.25 * len(x)
+
+
+def test_nearest_defined_cases(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(30, 4)).round(1)
+    x[5:15] = x[4]  # ties
+    rows = [(int(i), x[i].tolist(), i) for i in range(30)] + [(4, x[4].tolist(), 1), (20, x[20].tolist(), 2), (7, x[7].tolist(), 3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id long")
+    for n in (33, 12, 1):
+        few = frame.limit(n)
+        ids = np.array([r["vec_id"] for r in few.collect()])
+        once = np.unique(ids)
+        assert found_nearest(few) == {q: near for q, near in brute_nearest(once, x[once], once % 20 == 0).items() if near}
+    # a far part with few rows: its queries are topped up from elsewhere
+    far = np.vstack([rng.normal(size=(3000, 4)), rng.normal(size=(6, 4)) - 50])
+    frame = spark.createDataFrame([(20 * i if i >= 3000 else 20 * i + 1, v.tolist()) for i, v in enumerate(far)], "vec_id long, embedding array<double>")
+    assert {len(v) for v in found_nearest(frame, target=0.3, part_rows=5).values()} == {20}
+
+
 def test_queries_run_and_pipeline(spark, sf_dir):
     import corpus_pipeline
 
