@@ -16,18 +16,22 @@ How it runs:
    occurrences, as exact copies make) collapse to one in the smallest document
    by a map-side aggregate, so a hot group costs a row for each task.  What is
    found for that one holds for the context's other places in that document.
-3. What is left (different contexts behind one prefix) is split by variable
-   length: groups of up to ``group_limit`` contexts are built as a suffix tree
-   in memory (sorted suffixes, their common prefix lengths, and the same for
-   the reversed left contexts); longer groups take the full window as prefix,
-   at which a group is one node and needs an aggregate only.
-4. A window's node is the pair (left node at its offset, right node at the
+3. Prefixes have variable length: while a group holds more than ``group_limit``
+   contexts, its windows are halved by where they start before the anchor.
+   The windows of a half share more words (those from its last start to its
+   first end), and these are the longer prefix by which the group's contexts
+   are split again.  A half of a single start has the whole window as prefix
+   and is one node, which an aggregate answers.
+4. A group that fits is built as a suffix tree in memory (sorted suffixes,
+   their common prefix lengths, and the same for the reversed left contexts).
+   A window's node is the pair (left node at its offset, right node at the
    rest of its length); the node's smallest document decides.
 
 Defined cases: null or wordless text gives 0 words and the hash of the empty
 string; texts under ``window`` words lose nothing; rows with a null
-``doc_id`` keep everything and match nothing; repeated rows with one doc_id
-don't match each other and each gives a row; other columns are ignored.
+``doc_id`` keep everything and match nothing; rows that share a doc_id don't
+match each other and each gives a row; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm import _text as X
-from ledgerline.llm._work import groups_for, row_key, stored
+from ledgerline.llm._work import groups_for, join_skewed, release, row_key, stored
 
 _ANCHORS = "prefix_hash long, lead int, width int, span long, row_key long, doc_id long, first int"
 
@@ -95,8 +99,17 @@ def _anchor_batches(window: int, prefix: int):
     return scan
 
 
-def _contexts(window: int, split: bool):
-    """Word codes (or, for long groups, window codes) around given anchors."""
+_CONTEXT = "key long, lo int, hi int, lead int, width int, codes binary, row_key long, doc_id long, first int, origin int"
+
+
+def _context_batch(rows: dict[str, list]) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in _CONTEXT.split(", ")]
+    return pa.record_batch({name: pa.array(rows[name], types[kind]) for name, kind in fields})
+
+
+def _contexts(window: int, prefix: int):
+    """Word codes around the asked anchors, with all starts that a window has before one."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,27 +118,44 @@ def _contexts(window: int, split: bool):
             for lo, hi, data, offsets in X.blocks(batch.column("text")):
                 starts, ends, at = X.word_spans(data, offsets, X.SPACE_WORDS)
                 words = X.word_hashes(data, starts, ends)
-                sums = X.run_sums(words)
-                rows: dict[str, list] = {c: [] for c in ("prefix_hash", "lead", "width", "codes", "row_key", "doc_id", "first")}
+                rows: dict[str, list] = {f.split()[0]: [] for f in _CONTEXT.split(", ")}
                 for i in range(lo, hi):
                     for x in asked[i]:
-                        if x["deep"] != split:
-                            continue
                         a = int(at[i - lo]) + x["first"]
-                        if split:
-                            s = np.arange(a, a + x["width"])
-                            codes = X.run_hash(sums, s, s + window)
-                        else:
-                            codes = words[a : a + x["width"] - 1 + window]
-                        for c, v in (("prefix_hash", x["prefix_hash"]), ("lead", x["lead"]), ("width", x["width"]), ("codes", codes.tobytes()), ("row_key", keys[i]), ("doc_id", ids[i]), ("first", x["first"])):
+                        codes = words[a : a + x["width"] - 1 + window]
+                        for c, v in zip(rows, (x["prefix_hash"], 0, window - prefix, x["lead"], x["width"], codes.tobytes(), keys[i], ids[i], x["first"], x["first"]), strict=True):
                             rows[c].append(v)
-                if rows["lead"]:
-                    yield pa.record_batch(
-                        {
-                            "prefix_hash": pa.array(rows["prefix_hash"], pa.int64()), "lead": pa.array(rows["lead"], pa.int32()), "width": pa.array(rows["width"], pa.int32()),
-                            "codes": pa.array(rows["codes"], pa.binary()), "row_key": pa.array(rows["row_key"], pa.int64()), "doc_id": pa.array(rows["doc_id"], pa.int64()), "first": pa.array(rows["first"], pa.int32()),
-                        }
-                    )
+                if rows["key"]:
+                    yield _context_batch(rows)
+
+    return scan
+
+
+def _lengthen(window: int):
+    """Halves the starts [lo, hi] of a group's windows; each half gets its longer prefix as key.
+
+    A context's windows start lead - width + 1 to lead words before its anchor.
+    A half with one start has the whole window as its key.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: dict[str, list] = {f.split()[0]: [] for f in _CONTEXT.split(", ")}
+            for r in batch.to_pylist():
+                words, anchor = np.frombuffer(r["codes"], np.uint64), r["lead"]
+                sums = X.run_sums(words)
+                middle = (r["lo"] + r["hi"]) // 2
+                for lo, hi in ((r["lo"], middle), (middle + 1, r["hi"])):
+                    most, least = min(hi, anchor), max(lo, anchor - r["width"] + 1)
+                    if least > most or lo > hi:
+                        continue
+                    key = X.mix(X.run_hash(sums, np.array([anchor - lo]), np.array([anchor + window - hi])) + np.uint64(lo * window + hi + 1))
+                    skip = anchor - most
+                    codes = words[skip : anchor - least + window]
+                    for c, v in zip(rows, (int(key.view(np.int64)[0]), lo, hi, most, most - least + 1, codes.tobytes(), r["row_key"], r["doc_id"], r["first"] + skip, r["origin"]), strict=True):
+                        rows[c].append(v)
+            if rows["key"]:
+                yield _context_batch(rows)
 
     return scan
 
@@ -157,7 +187,7 @@ def _trees(window: int, prefix: int):
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         n = len(pdf)
-        group = np.unique(pdf["prefix_hash"].to_numpy(), return_inverse=True)[1]
+        group = np.unique(pdf["key"].to_numpy(), return_inverse=True)[1]
         lead, width, doc = (pdf[c].to_numpy(np.int64) for c in ("lead", "width", "doc_id"))
         left, right = np.zeros((n, reach), np.uint64), np.zeros((n, window), np.uint64)
         for i, raw in enumerate(pdf["codes"]):
@@ -179,7 +209,7 @@ def _trees(window: int, prefix: int):
             hit[use, lead[use] - lead_words] = least[node] < doc[use]
         row, start, length = _runs(hit)
         first = pdf["first"].to_numpy()[row]
-        return pd.DataFrame({"row_key": pdf["row_key"].to_numpy()[row], "first": first, "start": first + start, "n": length})
+        return pd.DataFrame({"row_key": pdf["row_key"].to_numpy()[row], "origin": pdf["origin"].to_numpy()[row], "start": first + start, "n": length})
 
     return build
 
@@ -193,28 +223,11 @@ def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, start, np.nonzero(step == -1)[1] - start
 
 
-def _explode_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts = batch.column("width").to_numpy().astype(np.int64)
-        codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.int64)
-        begin = np.repeat(np.cumsum(counts) - counts, counts)
-        if len(codes):
-            first = np.repeat(batch.column("first").to_numpy(), counts)
-            yield pa.record_batch(
-                {
-                    "node": pa.array(codes),
-                    "row_key": pa.array(np.repeat(batch.column("row_key").to_numpy(), counts)),
-                    "doc_id": pa.array(np.repeat(batch.column("doc_id").to_numpy(), counts)),
-                    "first": pa.array(first),
-                    "start": pa.array((first + np.arange(len(codes)) - begin).astype(np.int32)),
-                }
-            )
-
-
 def repeated_windows(docs: DataFrame, window: int = 50, prefix: int = 18, group_limit: int = 4096, per_task: int = 8_000) -> DataFrame:
     """(row_key, start, n): runs of windows that also start in a smaller doc_id.
 
-    ``row_key`` is :func:`ledgerline.llm._work.row_key` of ``doc_id, text``.
+    ``row_key`` is :func:`ledgerline.llm._work.row_key` of ``doc_id, text``;
+    ``group_limit`` contexts are built as one tree in memory.
     """
     rows = docs.select("doc_id", "text", row_key().alias("row_key")).where("doc_id is not null and text is not null")
     anchors = stored(rows.mapInArrow(_anchor_batches(window, prefix), _ANCHORS), "anchors")
@@ -223,39 +236,45 @@ def repeated_windows(docs: DataFrame, window: int = 50, prefix: int = 18, group_
     contexts = stored(contexts, "contexts")
     prefixes = contexts.groupBy("prefix_hash").agg(F.min("least").alias("p_least"), F.max("most").alias("p_most"), F.count("*").alias("n_contexts")).where("p_least < p_most")
     again = contexts.where("places > 1").select(*leaf, "least", F.col("at.row_key").alias("at_key"), F.col("at.first").alias("at_first"))
-    again = anchors.join(again.hint("shuffle_merge"), leaf).where("doc_id > least or row_key <> at_key or first <> at_first")
+    # a context that a third of all documents share is joined apart
+    again = join_skewed(anchors, again, leaf).where("doc_id > least or row_key <> at_key or first <> at_first")
     again = stored(again.select("row_key", "first", "width", (F.col("doc_id") > F.col("least")).alias("copy"), "at_key", "at_first"), "again")
     whole = again.where("copy").select("row_key", F.col("first").alias("start"), F.col("width").alias("n"))
-    asked = contexts.join(prefixes.where("n_contexts > 1").hint("shuffle_merge"), "prefix_hash").select("at.row_key", F.struct("prefix_hash", "lead", "width", F.col("at.first").alias("first"), (F.col("n_contexts") > group_limit).alias("deep")).alias("x"))
+    several = stored(prefixes.where("n_contexts > 1").select("prefix_hash"), "prefixes")
+    asked = join_skewed(contexts, several, ["prefix_hash"]).select("at.row_key", F.struct("prefix_hash", "lead", "width", F.col("at.first").alias("first")).alias("x"))
     asked = asked.groupBy("row_key").agg(F.collect_list("x").alias("asked"))
     # repeated equal rows give equal answers, so one of them is asked
     texts = rows.join(asked.hint("shuffle_merge"), "row_key").select("row_key", "doc_id", "text", "asked")
-    schema = "prefix_hash long, lead int, width int, codes binary, row_key long, doc_id long, first int"
-    both = stored(texts.mapInArrow(_both(window), schema + ", deep boolean"), "suffixes")
-    few, many = both.where("not deep").drop("deep"), both.where("deep")
-    tasks = groups_for(few.count(), per_task)
-    trees = few.withColumn("part", F.expr(f"pmod(prefix_hash, {tasks})")).groupBy("part").applyInPandas(_tree_task(window, prefix), "row_key long, first int, start int, n int")
-    nodes = many.drop("deep").mapInArrow(_explode_windows, "node long, row_key long, doc_id long, first int, start int")
-    shared = nodes.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("node", "least")
-    deep = nodes.join(shared.hint("shuffle_merge"), "node").where("doc_id > least").select("row_key", "first", "start", F.lit(1).alias("n"))
-    hits = stored(trees.unionByName(deep), "hits")
+    groups = stored(texts.mapInArrow(_contexts(window, prefix), _CONTEXT), "suffixes")
+    release(anchors, contexts)
+    hits, nodes, large = [], [], None
+    while True:
+        sizes = groups.groupBy("key").agg(F.count("*").alias("n"))
+        large = stored(sizes.where(F.col("n") > group_limit).select("key", F.lit(True).alias("large")), "large")
+        none = large.isEmpty()
+        marked = groups.withColumn("large", F.lit(None).cast("boolean")) if none else stored(join_skewed(groups, large, ["key"], "left"), "marked")
+        fits = marked.where("large is null").drop("large")
+        tasks = groups_for(fits.count(), per_task)
+        trees = fits.withColumn("part", F.expr(f"pmod(key, {tasks})")).groupBy("part").applyInPandas(_tree_task(window, prefix), "row_key long, origin int, start int, n int")
+        hits.append(stored(trees, "hits"))
+        if none:
+            break
+        longer = stored(marked.where("large").drop("large").mapInArrow(_lengthen(window), _CONTEXT), "suffixes")
+        release(marked)
+        # a single start is a node: its smallest document decides
+        nodes.append(longer.where("lo = hi").select("key", "row_key", "origin", "doc_id", F.col("first").alias("start")))
+        groups = longer.where("lo < hi")
+    for node in nodes:
+        shared = node.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
+        hits.append(stored(join_skewed(node, stored(shared, "shared"), ["key"]).where("doc_id > least").select("row_key", "origin", "start", F.lit(1).alias("n")), "hits"))
+    found = hits[0]
+    for more in hits[1:]:
+        found = found.unionByName(more)
     # the asked place's hits, moved to the context's other places in the smallest document; equal rows count once
     others = again.where("not copy").select("at_key", "at_first", F.col("row_key").alias("to_key"), F.col("first").alias("to_first")).distinct()
-    asked_hits = hits.distinct().select(F.col("row_key").alias("at_key"), F.col("first").alias("at_first"), (F.col("start") - F.col("first")).alias("skip"), "n")
+    asked_hits = found.distinct().select(F.col("row_key").alias("at_key"), F.col("origin").alias("at_first"), (F.col("start") - F.col("origin")).alias("skip"), "n")
     moved = others.join(asked_hits.hint("shuffle_merge"), ["at_key", "at_first"]).select(F.col("to_key").alias("row_key"), (F.col("to_first") + F.col("skip")).alias("start"), "n")
-    return whole.unionByName(hits.drop("first")).unionByName(moved)
-
-
-def _both(window: int):
-    near, far = _contexts(window, False), _contexts(window, True)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for deep, part in ((False, near), (True, far)):
-                for out in part(iter([batch])):
-                    yield out.append_column("deep", pa.array(np.full(out.num_rows, deep)))
-
-    return scan
+    return whole.unionByName(found.drop("origin")).unionByName(moved)
 
 
 def _tree_task(window: int, prefix: int):

@@ -86,6 +86,25 @@ def test_substring_dedup_repeats_within_the_least_document(spark, limit):
     assert got == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("limit", [1, 3, 4096])
+def test_substring_dedup_lengthens_prefixes(spark, limit):
+    """One hot prefix: 25 words that stand in many contexts, equal for more or fewer words on each side."""
+    rng = np.random.default_rng(8)
+    core = numbered(25, 9000).split()
+    left, right = ([" ".join(f"{s}{x}" for x in rng.integers(0, 2, 70)) for _ in range(6)] for s in "lr")
+    rows = [(int(i), f"{l[-j:]} {' '.join(core)} {r[: j + 40]} u{i}") for i, (l, r, j) in enumerate((left[rng.integers(6)], right[rng.integers(6)], int(rng.integers(20, 200))) for _ in range(60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(df, group_limit=limit).collect())
+    want = brute_repeats(rows)
+    assert got == want and sum(n for _, _, n, _ in want) > 500
+
+
+def test_substring_dedup_empty(spark, odd):
+    assert substring_dedup.remove_repeats(odd.limit(0)).count() == 0
+    clash = odd.selectExpr("*", "1 as runs", "2 as x", "3 as n_words", "4 as start")
+    assert substring_dedup.remove_repeats(clash).count() == odd.count()
+
+
 def brute_contamination(docs, items, length=10):
     phrases = defaultdict(set)
     for i, t in items:
