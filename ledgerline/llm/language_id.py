@@ -8,13 +8,15 @@ into a feature map, on which one-versus-rest kernel ridge regression is fitted
 in closed form.  Scoring is two matrix products for a batch of texts.
 
 Fitting uses a bounded sample: at most ``per_language`` labelled texts of each
-language, those with the smallest hash of the document id; the driver gets
-their presence bits (``buckets`` / 8 bytes each), never their texts.
+language, those with the smallest hash of the document id, of the
+``max_languages`` most frequent languages (ties by name); the driver gets their
+presence bits (``buckets`` / 8 bytes each), never their texts.
 Every text is scored whole.
 
 Defined cases: null text or one without a letter is ``und`` with score 0;
-with no labelled text at all everything is ``und``; repeated rows are scored
-alike; extra columns are ignored.
+with no labelled text at all everything is ``und``; of languages with equal
+scores the first by name is taken; repeated rows are scored alike; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm import _text as X
 
-_LETTER = regex.compile(r"\p{L}")
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[0x41:0x5B] += 0x20
 BLOCK_TEXTS = 128
@@ -87,10 +87,10 @@ class Model:
         return (presence @ self.landmarks / size) @ self.weights + self.offset
 
 
-def fit(labelled: DataFrame, per_language: int = 400, landmarks: int = 160, ridge: float = 1e-3, spectrum: Spectrum = Spectrum()) -> Model | None:  # noqa: B008
+def fit(labelled: DataFrame, per_language: int = 400, landmarks: int = 160, ridge: float = 1e-3, max_languages: int = 256, spectrum: Spectrum = Spectrum()) -> Model | None:  # noqa: B008
     """Fits on ``labelled (doc_id, text, lang)``; null languages and texts don't count."""
     fine = labelled.where("lang is not null and text is not null and length(text) > 0").select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["n"] for r in fine.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    counts = {r["lang"]: r["n"] for r in fine.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     if not counts:
         return None
     # a first cut by the hash leaves about 1.5 x per_language rows, however many there are
@@ -125,7 +125,7 @@ def fit(labelled: DataFrame, per_language: int = 400, landmarks: int = 160, ridg
     mean, y_mean = (phi * row_weight).sum(0), (y * row_weight).sum(0)
     centred = phi - mean
     gram = (centred * row_weight).T @ centred
-    solved = np.linalg.solve(gram + ridge * np.trace(gram) / len(gram) * np.eye(len(gram)), (centred * row_weight).T @ (y - y_mean))
+    solved = np.linalg.solve(gram + ridge * max(np.trace(gram) / len(gram), 1e-9) * np.eye(len(gram)), (centred * row_weight).T @ (y - y_mean))
     return Model(spectrum, languages, np.ascontiguousarray(marks.astype(np.float32)), (root @ solved).astype(np.float32), (y_mean - mean @ solved).astype(np.float32))
 
 
@@ -148,13 +148,12 @@ def predict(docs: DataFrame, model: Model | None, carry: tuple[str, ...] = ("doc
                     best = s.argmax(1)
                     lang[lo:hi] = names[best]
                     score[lo:hi] = np.clip(s[np.arange(hi - lo), best], 0, 1)
-            for i, t in enumerate(texts):
-                t = t.as_py()
-                if t is None or not _LETTER.search(t):
-                    lang[i], score[i] = "und", 0.0
+            none = ~np.asarray(batch.column("__letter"), bool)
+            lang[none], score[none] = "und", 0.0
             yield pa.record_batch({c: batch.column(c) for c in carry} | {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score)})
 
-    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(scan, schema)
+    letter = F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False)).alias("__letter")
+    return docs.select(*dict.fromkeys([*carry, "text"]), letter).mapInArrow(scan, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
