@@ -18,7 +18,8 @@ Words: A-Z lower-cased, ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.
 
 Defined cases: null text has no words; an item of fewer words than a phrase is
 one phrase; items without words match nothing; repeated items with one id
-count once; repeated documents each give a row; extra columns are ignored.
+count once; items with a null id hit, count as one item and are not named among
+the ids; repeated documents each give a row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -143,13 +144,20 @@ def proximity_starts(segment: _Segment, phrase: np.ndarray, rarity: dict[int, in
     return found
 
 
-def _query_blocks(items: DataFrame, max_words: int) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """Items as word hashes, in blocks of at most ``max_words`` words or one item."""
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi, data, offsets in X.blocks(batch.column("text")):
+            starts, ends, at = X.word_spans(data, offsets, X.ALNUM_WORDS)
+            words = X.word_hashes(data, starts, ends, lower=True)
+            yield pa.record_batch({"item_id": batch.column("item_id").slice(lo, hi - lo), "words": pa.array([words[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())})
+
+
+def _query_blocks(items: DataFrame, max_words: int) -> Iterator[list[tuple[int | None, np.ndarray]]]:
+    """Items as word hashes, in blocks of at most ``max_words`` words or one item; a block is what the driver holds."""
+    hashed = stored(items.select("item_id", "text").mapInArrow(_hashed, "item_id long, words binary"), "items")
     block, size = [], 0
-    for row in items.select("item_id", "text").where("item_id is not null").toLocalIterator():
-        (_, _, data, offsets), = X.blocks(pa.array([row["text"]], pa.string()))
-        starts, ends, _ = X.word_spans(data, offsets, X.ALNUM_WORDS)
-        words = X.word_hashes(data, starts, ends, lower=True)
+    for row in hashed.toLocalIterator():
+        words = np.frombuffer(row["words"], np.uint64)
         if size and size + len(words) > max_words:
             yield block
             block, size = [], 0
@@ -158,62 +166,65 @@ def _query_blocks(items: DataFrame, max_words: int) -> Iterator[list[tuple[int,
     yield block
 
 
-def _phrases(block: list[tuple[int, np.ndarray]], length: int) -> tuple[list[np.ndarray], list[list[int]]]:
+def _phrases(block: list[tuple[int | None, np.ndarray]], length: int) -> tuple[list[np.ndarray], list[list[int | None]]]:
     """Distinct phrases of a block and the items of each."""
-    owners: dict[bytes, set[int]] = {}
+    owners: dict[bytes, set[int | None]] = {}
     for item, words in block:
         for i in range(max(1, len(words) - length + 1) if len(words) else 0):
             owners.setdefault(words[i : i + length].tobytes(), set()).add(item)
-    return [np.frombuffer(x, np.uint64) for x in owners], [sorted(x) for x in owners.values()]
+    return [np.frombuffer(x, np.uint64) for x in owners], [_in_order(x) for x in owners.values()]
 
 
-def _answers(phrases: list[np.ndarray], owners: list[list[int]], rarity: dict[int, int], slop: int | None):
-    # phrases that share their rarest term share one look-up of it
-    first = [min(range(len(p)), key=lambda i, p=p: rarity.get(int(p[i]), 0)) for p in phrases]
-    lead = np.array([p[i] for p, i in zip(phrases, first, strict=True)], np.uint64)
+def _in_order(ids: set[int | None]) -> list[int | None]:
+    return sorted(ids - {None}) + [None] * (None in ids)
+
+
+def _answers(sent, slop: int | None):
+    """``sent`` is the broadcast (phrases, owners, rarity, lead) of one block."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases, owners, rarity, lead = sent.value
         for batch in batches:
             for row in batch.to_pylist():
-                s = _Segment(row)
-                cover = np.zeros(int(s.starts[-1] + s.n_words[-1]) + 2, np.int32)
-                hits: dict[int, set[int]] = {}
-                there = np.isin(lead, s.terms)
-                for k in np.flatnonzero(there):
-                    p = phrases[k]
-                    found = phrase_starts(s, p, rarity) if slop is None else proximity_starts(s, p, rarity, slop)
-                    if len(found):
-                        if slop is None:
-                            np.add.at(cover, found, 1)
-                            np.add.at(cover, found + len(p), -1)
-                        else:
-                            np.add.at(cover, found, 1)
-                            np.add.at(cover, found + 1, -1)
-                        for t in np.unique(s.text_of(found)).tolist():
-                            hits.setdefault(t, set()).update(owners[k])
-                hit = np.cumsum(cover[:-1]) > 0
-                spans = []
-                for t, (a, n) in enumerate(zip(s.starts.tolist(), s.n_words.tolist(), strict=True)):
-                    if t not in hits:
-                        spans.append([])
-                        continue
-                    edge = np.diff(np.concatenate([[0], hit[a : a + n].astype(np.int8), [0]]))
-                    spans.append([{"start": int(x), "end": int(y)} for x, y in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)])
-                n = len(s.ids)
-                yield pa.record_batch(
-                    {
-                        "place": pa.array([f"{row['segment']}-{t}" for t in range(n)]),
-                        "doc_id": pa.array(s.ids, pa.int64()),
-                        "row_key": pa.array(s.keys),
-                        "n_words": pa.array(s.n_words),
-                        "items": pa.array([sorted(hits.get(t, ())) for t in range(n)], pa.list_(pa.int64())),
-                        "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                    }
-                )
+                yield from _answer(_Segment(row), row["segment"], phrases, owners, rarity, lead, slop)
 
     return scan
 
 
+def _leads(phrases: list[np.ndarray], rarity: dict[int, int]) -> np.ndarray:
+    """Each phrase's rarest term."""
+    return np.array([min(p.tolist(), key=lambda t: rarity.get(t, 0)) for p in phrases], np.uint64)
+
+
+def _answer(s: _Segment, name: str, phrases: list[np.ndarray], owners: list[list[int | None]], rarity: dict[int, int], lead: np.ndarray, slop: int | None) -> Iterator[pa.RecordBatch]:
+    cover = np.zeros(int(s.starts[-1] + s.n_words[-1]) + 2, np.int32)
+    hits: dict[int, set[int | None]] = {}
+    for k in np.flatnonzero(np.isin(lead, s.terms)):
+        p = phrases[k]
+        found = phrase_starts(s, p, rarity) if slop is None else proximity_starts(s, p, rarity, slop)
+        if len(found):
+            np.add.at(cover, found, 1)
+            np.add.at(cover, found + (len(p) if slop is None else 1), -1)
+            for t in np.unique(s.text_of(found)).tolist():
+                hits.setdefault(t, set()).update(owners[k])
+    hit = np.cumsum(cover[:-1]) > 0
+    spans = []
+    for t, (a, n) in enumerate(zip(s.starts.tolist(), s.n_words.tolist(), strict=True)):
+        edge = np.diff(np.concatenate([[0], hit[a : a + n].astype(np.int8), [0]])) if t in hits else np.zeros(0)
+        spans.append([{"start": int(x), "end": int(y)} for x, y in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)])
+    n = len(s.ids)
+    yield pa.record_batch(
+        {
+            "place": pa.array([f"{name}-{t}" for t in range(n)]),
+            "doc_id": pa.array(s.ids, pa.int64()),
+            "row_key": pa.array(s.keys),
+            "n_words": pa.array(s.n_words),
+            "items": pa.array([_in_order(hits.get(t, set())) for t in range(n)], pa.list_(pa.int64())),
+            "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+        }
+    )
+
+
 _ANSWER = "place string, doc_id long, row_key long, n_words long, items array<long>, spans array<struct<start:int,end:int>>"
 
 
@@ -240,7 +251,8 @@ def search(docs: DataFrame, items: DataFrame, length: int = 10, slop: int | None
         # one count for each word of the block, so its size is bounded by the block
         rarity = {int(np.int64(r["term"]).view(np.uint64)): r["n"] for r in counts.groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
         phrases, owners = _phrases(block, length)
-        parts.append(index.mapInArrow(_answers(phrases, owners, rarity, slop), _ANSWER))
+        sent = docs.sparkSession.sparkContext.broadcast((phrases, owners, rarity, _leads(phrases, rarity)))  # bounded by the block
+        parts.append(index.mapInArrow(_answers(sent, slop), _ANSWER))
     if len(parts) == 1:
         return parts[0]
     every = parts[0]
