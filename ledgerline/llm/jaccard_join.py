@@ -5,15 +5,17 @@ a shorter text is one shingle).  Equal sets collapse to one class first, so
 copies cost a map-side aggregate.
 
 1. *Chosen paths.*  Each set has a min-wise sample of its shingles (one
-   permutation, densified; a byte of each is kept to compare sets).  In each of ``runs`` runs a sampled coordinate
-   sends the set to the bucket of the shingle sampled there; two sets of
-   similarity s share it with probability s, so all runs miss a pair at the
-   threshold with probability (1 - 0.8)^runs.  Buckets of at most
-   ``bucket_limit`` sets are brute-forced over the samples.  Larger ones meet a
-   leader first (sets that are nearly equal to it are linked and leave; all
-   that could be similar to one of those are linked, too, by the triangle
-   inequality of the Jaccard distance), and the rest splits again on
-   ``fan_out`` further sampled shingles, until buckets are small.
+   permutation, densified; a byte of each is kept to compare sets).  In each
+   run a sampled coordinate sends the set to the bucket of the shingle sampled
+   there; two sets of similarity s share it with probability s, so R runs miss
+   a pair at the threshold t with probability (1 - t)^R.  Runs are repeated
+   until that is at most 1 - ``target_recall`` (:func:`runs_for`).  Buckets of
+   at most ``bucket_limit`` sets are brute-forced over the samples.  Larger
+   ones meet a leader first (sets that are nearly equal to it are linked and
+   leave; all that could be similar to one of those are linked, too, by the
+   triangle inequality of the Jaccard distance), and the rest splits again on
+   ``fan_out`` further sampled shingles, until all buckets are small: each
+   bucket is split into subsets of itself without its leader, so it ends.
 2. *Groups.*  Links of the samples are lax (0.45), and their components
    are the groups within which every similar pair must lie.
 3. *Exact check.*  In each group all pairs are compared by their whole
@@ -31,6 +33,7 @@ unless all its members' are null; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,10 +44,10 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import _text as X
 from ledgerline.llm._graph import components
-from ledgerline.llm._work import groups_for, row_key, stored
+from ledgerline.llm._work import groups_for, join_skewed, row_key, stored
 
 SAMPLE = 128
-LINK, NEAR = 0.45, 0.9
+LINK, NEAR = 0.45, 0.85
 _SEED = np.random.default_rng(20240501)
 _DONORS = _SEED.integers(0, SAMPLE, (64, SAMPLE))
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -92,6 +95,11 @@ def sample(sets: list[np.ndarray]) -> np.ndarray:
 _SETS = "doc_id long, row_key long, set_id string, n int, keys array<long>, sig binary"
 
 
+def runs_for(threshold: float, target_recall: float) -> int:
+    """The fewest runs that find a pair at the threshold with probability ``target_recall``."""
+    return min(SAMPLE, math.ceil(math.log(1 - target_recall) / math.log(1 - threshold)))
+
+
 def _scan(size: int, runs: int):
     pick = np.random.default_rng(7).permutation(SAMPLE)[:runs]
 
@@ -180,34 +188,32 @@ def _split(depth: int, fan_out: int):
     return scan
 
 
-def candidate_links(sets: DataFrame, bucket_limit: int = 2048, fan_out: int = 3, max_depth: int = 12) -> DataFrame:
+def candidate_links(sets: DataFrame, bucket_limit: int = 2048, fan_out: int = 2) -> DataFrame:
     """Links (a, b) of sets whose samples may be similar."""
     sigs = sets.select("set_id", "sig")
     rows = sets.select("set_id", F.posexplode("keys").alias("run", "key")).select(F.xxhash64("run", "key").alias("bucket"), "set_id")
-    links = []
-    for depth in range(max_depth + 1):
+    links, depth = [], 0
+    while True:
         counts = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-        there = stored(rows.join(counts.hint("shuffle_merge"), "bucket").distinct(), f"paths{depth}")
+        # a shingle that a third of all sets hold is a hot bucket
+        there = stored(join_skewed(rows, counts, ["bucket"]).distinct(), f"paths{depth}")
         small = there.where(F.col("size") <= bucket_limit)
         tasks = groups_for(small.count(), 4_000)
         few = small.select("bucket", "set_id").join(sigs.hint("shuffle_merge"), "set_id")
         links.append(stored(few.withColumn("part", F.pmod(F.xxhash64("bucket"), F.lit(tasks))).groupBy("part").applyInPandas(_drop_part(_bucket_links), "a string, b string").distinct(), f"links{depth}"))
         large = there.where(F.col("size") > bucket_limit)
-        if not large.limit(1).count():
+        if large.isEmpty():
             break
         salts = F.ceil(F.col("size") / bucket_limit)
         leaders = large.groupBy("bucket", "size").agg(F.min(F.struct(F.xxhash64("bucket", "set_id").alias("h"), "set_id")).alias("x")).select("bucket", "size", F.col("x.set_id").alias("lead"))
         leaders = leaders.join(sigs.select(F.col("set_id").alias("lead"), F.col("sig").alias("lead_sig")).hint("shuffle_merge"), "lead")
         leaders = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts.cast("bigint") - 1))).drop("size")
         dealt = large.withColumn("salt", F.pmod(F.xxhash64("set_id"), salts).cast("bigint"))
-        if depth == max_depth:
-            # a link that is too many costs a comparison, never a result
-            links.append(dealt.join(leaders.hint("shuffle_merge"), ["bucket", "salt"]).where("lead <> set_id").select(F.col("lead").alias("a"), F.col("set_id").alias("b")))
-            break
         met = dealt.join(leaders.hint("shuffle_merge"), ["bucket", "salt"]).join(sigs.hint("shuffle_merge"), "set_id")
         out = stored(met.select("bucket", "set_id", "sig", "lead", "lead_sig").mapInArrow(_split(depth, fan_out), "bucket long, set_id string, lead string"), f"split{depth}")
         links.append(out.where("lead is not null").select(F.col("lead").alias("a"), F.col("set_id").alias("b")).distinct())
         rows = out.where("lead is null").select("bucket", "set_id").distinct()
+        depth += 1
     every = links[0]
     for more in links[1:]:
         every = every.unionByName(more)
@@ -327,10 +333,10 @@ def join(docs: DataFrame, **options) -> DataFrame:
     return _classes(docs, **options).drop("label")
 
 
-def _classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, runs: int = 8, bucket_limit: int = 2048, block_shingles: int = 600_000, block_sets: int = 2048) -> DataFrame:
+def _classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, target_recall: float = 0.99999, bucket_limit: int = 2048, block_shingles: int = 600_000, block_sets: int = 2048) -> DataFrame:
     """As :func:`join`, with each class's ``label`` (null for wordless rows), also where no row has an id."""
     rows = docs.select("doc_id", "text", row_key().alias("row_key"))
-    scanned = stored(rows.mapInArrow(_scan(size, runs), _SETS), "sets")
+    scanned = stored(rows.mapInArrow(_scan(size, runs_for(threshold, target_recall)), _SETS), "sets")
     members = scanned.select("doc_id", "row_key", "set_id")
     sets = scanned.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     sets = stored(sets, "distinct")
@@ -338,7 +344,7 @@ def _classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, runs: int =
     grouped = stored(sets.select("set_id", "least", "row_key", "copies", "n").join(groups.hint("shuffle_merge"), "set_id"), "grouped")
     per_group = grouped.groupBy("gid").agg(F.sum("n").alias("shingles_in"), F.count("*").alias("sets_in"))
     blocks = F.greatest(F.ceil(F.col("shingles_in") / block_shingles), F.ceil(F.col("sets_in") / block_sets)).cast("int")
-    placed = grouped.join(per_group.select("gid", blocks.alias("blocks")).hint("shuffle_merge"), "gid")
+    placed = join_skewed(grouped, per_group.select("gid", blocks.alias("blocks")), ["gid"])
     placed = placed.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")).select("row_key", "set_id", "gid", "copies", "blocks", "block")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,8 +367,9 @@ def _classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, runs: int =
     known = sets.select("set_id", "least", "copies").join(classes.hint("shuffle_merge"), "set_id", "left").join(links.hint("shuffle_merge"), "set_id", "left")
     known = stored(known.select("set_id", "least", "copies", F.coalesce("label", "set_id").alias("label"), F.coalesce("n", F.lit(0)).alias("n")), "known")
     names = known.groupBy("label").agg(F.min("least").alias("class_id"))
-    named = known.join(names.hint("shuffle_merge"), "label").select("set_id", "label", "class_id", "copies", "n")
-    out = members.join(named.hint("shuffle_merge"), "set_id", "left")
+    # a class, or one text, may hold a third of all documents
+    named = stored(join_skewed(known, names, ["label"]).select("set_id", "label", "class_id", "copies", "n"), "named")
+    out = join_skewed(members, named, ["set_id"], "left")
     return out.select(
         "doc_id", "row_key", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce(F.col("n") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("copies") - 1, F.lit(0)).cast("long").alias("n_copies"), "label",
@@ -373,7 +380,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each class: the smallest doc_id (null last), then row key; wordless rows stay."""
     rows = stored(_classes(docs, **options).where("label is not null").groupBy("label", "row_key").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("rows")), "rows")
     least = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("x")).select("label", F.col("x.row_key").alias("stays"))
-    held = stored(rows.join(least.hint("shuffle_merge"), "label").select("row_key", (F.col("row_key") == F.col("stays")).alias("stays"), "rows"), "held")
+    held = stored(join_skewed(rows, least, ["label"]).select("row_key", (F.col("row_key") == F.col("stays")).alias("stays"), "rows"), "held")
     keyed = docs.withColumn("__key", row_key())
     # a row that stays and has equal ones goes with the others here, and comes back once
     gone = held.where("not stays or rows > 1").select(F.col("row_key").alias("__key"))

@@ -139,6 +139,13 @@ def test_decontamination(spark, odd, docs, sf_dir, block, monkeypatch):
         assert got == brute_contamination([(r["doc_id"], r["text"]) for r in d.collect()], [(r["item_id"], r["text"]) for r in i.collect()])
 
 
+def test_decontamination_null_item_ids(spark):
+    docs = spark.createDataFrame([(1, f"x {numbered(12)} y"), (2, numbered(12, 50))], "doc_id long, text string")
+    items = spark.createDataFrame([(None, numbered(12)), (None, numbered(12)), (5, numbered(11)), (6, numbered(12, 90))], "item_id long, text string")
+    got = {r["doc_id"]: tuple(r[c] for c in ("n_hit", "n_items", "items_sha256", "contaminated")) for r in decontamination.contamination(docs, items).collect()}
+    assert got == {1: (12, 2, sha("5"), True), 2: (0, 0, sha(""), False)}
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x x beta"), (2, "alpha x x x x x beta"), (3, "beta alpha")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "Alpha beta")], "item_id long, text string")
@@ -157,6 +164,46 @@ def test_language_id(spark, odd, docs):
     assert {r["lang_pred"] for r in language_id.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_id_against_direct_kernel_ridge(spark, docs):
+    """With every text as a landmark the model is kernel ridge regression on the presence kernel."""
+    rows = [r for r in docs.where("lang is not null and length(text) > 20").orderBy("doc_id").limit(160).collect()]
+    train, test = rows[::2], rows[1::2]
+
+    def grams(text):
+        raw = text.encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
+        return {raw[i : i + n] for n in range(1, 5) for i in range(len(raw) - n + 1)}
+
+    def kernel(a, b):
+        return np.array([[len(x & z) / np.sqrt(len(x) * len(z)) for z in b] for x in a])
+
+    a, b = ([grams(r["text"]) for r in part] for part in (train, test))
+    names = sorted({r["lang"] for r in train})
+    y = np.array([[float(r["lang"] == n) for n in names] for r in train])
+    weight = (y / y.sum(0)).sum(1)
+    weight /= weight.sum()
+    k, k_test = kernel(a, a), kernel(b, a)
+    value, vector = np.linalg.eigh(k)
+    root = vector / np.sqrt(value)
+    phi, mean, y_mean = k @ root, weight @ (k @ root), weight @ y
+    gram = ((phi - mean) * weight[:, None]).T @ (phi - mean)
+    solved = np.linalg.solve(gram + 1e-3 * np.trace(gram) / len(gram) * np.eye(len(gram)), ((phi - mean) * weight[:, None]).T @ (y - y_mean))
+    want = (k_test @ root - mean) @ solved + y_mean
+    wide = language_id.Spectrum(log2_buckets=20)
+    model = language_id.fit(spark.createDataFrame(train, docs.schema), landmarks=10**6, spectrum=wide)
+    got = {r["doc_id"]: r for r in language_id.predict(spark.createDataFrame(test, docs.schema), model).collect()}
+    assert list(model.languages) == names
+    for r, s in zip(test, want, strict=True):
+        assert got[r["doc_id"]]["lang_pred"] == names[int(s.argmax())] and abs(got[r["doc_id"]]["score"] - min(1, max(0, s.max()))) < 0.02
+
+
+def test_language_id_bound_and_ties(spark):
+    rows = [(i, f"{'aaa' if i % 2 else 'bbb'} {i % 2}", "x" if i % 2 else "y") for i in range(40)] + [(100, "ccc", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.fit(df, max_languages=2).languages == ("x", "y")
+    same = df.withColumn("text", F.lit("one text"))  # all languages score alike: the first by name
+    assert {r["lang_pred"] for r in language_id.predict(same, language_id.fit(same.where("lang <> 'z'"))).collect()} == {"x"}
+
+
 def test_language_id_is_blind(docs):
     """Labels of held-out rows don't matter."""
     hidden = docs.withColumn("lang", F.when(language_id.held_out(), F.lit("zz")).otherwise(F.col("lang")))
