@@ -50,10 +50,10 @@ def release(*tables: DataFrame) -> None:
 HOT_KEYS = 200
 
 
-def join_skewed(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", hot_keys: int = HOT_KEYS, least: int = 1000) -> DataFrame:
+def join_skewed(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", hot_keys: int = HOT_KEYS, least: int = 100) -> DataFrame:
     """Joins ``left`` with ``right``, which has at most one row for each key, whatever the skew of ``left``.
 
-    Keys with more than 1 / ``hot_keys`` of the rows of ``left`` (and at least
+    Keys with more than 1 / ``hot_keys`` of the rows of ``left`` (and more than
     ``least``) are counted first.  They are fewer than ``hot_keys``, which is
     the proven bound of what is broadcast for them; all other keys meet by a
     shuffle.  ``left`` is read twice and should be a stored table.
