@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators.retrieval import bounded
 
 
 def _by_key():
@@ -54,13 +53,21 @@ def check_uploads(uploads: DataFrame, required: tuple[str, ...]) -> DataFrame:
     return uploads.withColumn("errors", F.array_compact(F.array(*missing, F.when(F.col("expiry_date") < F.col("effective_date"), F.lit("expiry before effective")))))
 
 
+def access_metadata(company: Column, scope: Column, effective_date: Column, required_permission: Column) -> Column:
+    """The access fields of a policy as strings; dates in ISO form, absent ones without a key."""
+    fields = {"company": company, "scope": scope, "effective_date": effective_date, "required_permission": required_permission}
+    return F.map_filter(F.create_map(*[x for name, v in fields.items() for x in (F.lit(name), v.cast("string"))]), lambda k, v: v.isNotNull())
+
+
 def access_decisions(items: DataFrame, contexts: DataFrame, max_askers: int = 10_000) -> DataFrame:
     """Items for each asker with the first failing reason (null: visible).
 
-    Askers of one batch are broadcast if their number, which is checked,
-    allows it; else items meet them block by block.
+    Every pair is an answer.  Askers of one batch are broadcast if their number,
+    which is checked, allows it; a larger batch is refused and must be cut.
     """
-    met = items.join(bounded(contexts, max_askers))
+    if contexts.limit(max_askers + 1).count() > max_askers:
+        raise ValueError(f"more than {max_askers} askers in one batch")
+    met = items.join(F.broadcast(contexts))
     reason = (
         F.when(F.col("item_company").isNotNull() & (F.col("item_company") != F.col("company")), "company")
         .when(F.col("item_scopes").isNotNull() & ~F.arrays_overlap("item_scopes", "scopes"), "scope")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.functions import scalars as S
 
@@ -25,50 +27,83 @@ def term_stats(chunks: DataFrame) -> DataFrame:
     return rows.groupBy("chunk", "term", "length").agg(F.count("*").alias("tf"))
 
 
-def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """(query, rank, chunk, score) by Okapi BM25; negative idf counts as epsilon x mean idf.
+def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, max_terms: int = 200_000) -> DataFrame:
+    """(query, chunk, score) by Okapi BM25; negative idf counts as epsilon x mean idf.
 
-    Only terms of the queries are joined; corpus sizes, the mean length and
-    the mean idf are aggregates of the whole corpus.
+    Postings are built for the asked terms only, which filter the words before
+    they are counted; of all other terms only the document frequencies are
+    needed (the mean idf is one of the whole corpus).
     """
-    stats = term_stats(chunks)
-    df = stats.groupBy("term").agg(F.count("*").alias("df"))
-    sizes = chunks.select(F.size(tokens(F.col("text"))).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("mean_length"))
+    asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
+    # sides of no more rows than the asked terms, which are counted, are broadcast; others are shuffled
+    few = asked.limit(max_terms + 1).count() <= max_terms
+    side = F.broadcast if few else (lambda rows: rows.hint("shuffle_hash"))
+    terms = asked.select("term").distinct()
+    words = chunks.select("chunk", tokens(F.col("text")).alias("words"))
+    sizes = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("mean_length"))
+    df = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     with_idf = df.join(F.broadcast(sizes)).withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
     mean = with_idf.agg(F.avg("idf").alias("mean_idf"))
-    asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("term"))
-    weights = with_idf.join(asked.select("term").distinct().hint("shuffle_hash"), "term").join(F.broadcast(mean)).select("term", "mean_length", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    postings = stats.join(weights.hint("shuffle_hash"), "term")
+    weights = with_idf.join(side(terms), "term").join(F.broadcast(mean)).select("term", "mean_length", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
+    found = words.select("chunk", F.size("words").alias("length"), F.explode("words").alias("term")).join(side(terms), "term", "left_semi")
+    postings = found.groupBy("chunk", "term", "length").agg(F.count("*").alias("tf")).join(side(weights), "term")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    scored = postings.select("term", "chunk", part.alias("part")).join(asked.hint("shuffle_hash"), "term").groupBy("query", "chunk").agg(F.sum("part").alias("score"))
-    return ranked(scored.where("score > 0"), k)
+    scored = postings.select("term", "chunk", part.alias("part")).join(side(asked), "term")
+    return scored.groupBy("query", "chunk").agg(F.sum(F.col("part") * F.col("times")).alias("score")).where("score > 0")
 
 
-def ranked(scored: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "chunk")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "chunk", "score")
+def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 5, **options) -> DataFrame:
+    """(query, rank, chunk, score): the best ``k`` of :func:`bm25_scores`."""
+    return ranked(bm25_scores(chunks, queries, **options), k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def search(chunks: DataFrame, queries: DataFrame, seen: DataFrame, k: int = 5, **options) -> DataFrame:
+    """(query, rank, chunk, score), ``query`` being ``asker/query``: lexical search of what each asker may see.
+
+    ``seen (asker, chunk)`` is packed to one row for each chunk, so a chunk's
+    scores meet its askers once; ranking comes last, and once.
+    """
+    packed = seen.groupBy("chunk").agg(F.collect_set("asker").alias("askers"))
+    allowed = bm25_scores(chunks, queries, **options).join(packed.hint("shuffle_merge"), "chunk")
+    rows = allowed.select("query", "chunk", "score", F.explode("askers").alias("asker"))
+    return ranked(rows.select(F.concat_ws("/", "asker", F.col("query").cast("string")).alias("query"), "chunk", "score"), k)
 
 
-def bounded(rows: DataFrame, most: int) -> DataFrame:
-    """Broadcast if there are at most ``most`` rows, else met in blocks."""
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows.hint("shuffle_replicate_nl")
+def ranked(scored: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "chunk")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "chunk", "score")
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "dot", max_queries: int = 1000) -> DataFrame:
-    """(query, rank, chunk, score).
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "dot", slice_rows: int = 20_000, block: int = 4_000) -> DataFrame:
+    """(query, rank, chunk, score) of ``vectors (chunk, vec)`` for ``queries (query, vec)``.
 
-    Up to ``max_queries`` queries (this is checked) are broadcast; more are met
-    block by block (each partition of vectors with each of queries).
+    Vectors are dealt in slices and queries in blocks; each pair is one task's
+    matrix products, which leave the best ``k`` of a slice.  Null vectors, and
+    those of another length than the query's, are not compared.
     """
-    score = dot(F.col("vec"), F.col("q_vec"))
-    if metric == "cosine":
-        score = F.try_divide(score, F.sqrt(dot(F.col("vec"), F.col("vec"))) * F.sqrt(dot(F.col("q_vec"), F.col("q_vec"))))
-    met = vectors.join(bounded(queries.select("query", F.col("vec").alias("q_vec")), max_queries))
-    return ranked(met.select("query", "chunk", score.alias("score")), k)
+    slices, blocks = max(1, -(-vectors.count() // slice_rows)), max(1, -(-queries.count() // block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda df, name: df.where("vec is not null").select(name, F.col("vec").cast("array<double>").alias("vec"))
+    v = dealt(vectors, "chunk").withColumn("slice", F.pmod(F.xxhash64("chunk"), F.lit(slices)).cast("int")).withColumn("block", every(blocks))
+    q = dealt(queries, "query").withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("slice", every(slices))
+
+    def best(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query": asked["query"].iloc[:0], "chunk": rows["chunk"].iloc[:0], "score": np.zeros(0)})]
+        for length in set(asked["vec"].map(len)) & set(rows["vec"].map(len)):
+            a, b = asked[asked["vec"].map(len) == length], rows[rows["vec"].map(len) == length]
+            x, y = np.stack(a["vec"].to_numpy()), np.stack(b["vec"].to_numpy())
+            for lo in range(0, len(x), 256):
+                s = x[lo : lo + 256] @ y.T
+                if metric == "cosine":
+                    s = s / (np.linalg.norm(x[lo : lo + 256], axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
+                n = min(k, len(y))
+                # ties of the rounded score are left to the ranking
+                i, j = np.nonzero(s >= -np.partition(-s, n - 1, axis=1)[:, n - 1 : n] - 2e-9)
+                out.append(pd.DataFrame({"query": a["query"].to_numpy()[lo + i], "chunk": b["chunk"].to_numpy()[j], "score": s[i, j]}))
+        return pd.concat(out)
+
+    schema = T.StructType([queries.schema["query"], vectors.schema["chunk"], T.StructField("score", T.DoubleType())])
+    return ranked(q.groupBy("slice", "block").cogroup(v.groupBy("slice", "block")).applyInPandas(best, schema), k)
 
 
 def rrf(*lists: DataFrame, k: int = 60, top_k: int = 5) -> DataFrame:
@@ -81,10 +116,20 @@ def rrf(*lists: DataFrame, k: int = 60, top_k: int = 5) -> DataFrame:
 
 
 def phrase_score(text: Column) -> Column:
-    """3 for each strong phrase, 1.5 for each other, 1 more with an amount beside any."""
+    """3 for each strong phrase, 1.5 for each other, 1 more with an amount of money beside any."""
     hay = S.match_key(text)
     score = sum((F.when(F.contains(hay, F.lit(p)), 3.0 if p in STRONG else 1.5).otherwise(0.0) for p in PHRASES), F.lit(0.0))
-    return F.when(score > 0, score + F.when(hay.rlike(r"\b\d+(?:[.,]\d+)?\s*(?:%|vnd|dong)\b"), 1.0).otherwise(0.0)).otherwise(0.0)
+    return F.when(score > 0, score + F.when(hay.rlike(r"\b[0-9]+ ?(vnd|dong)\b"), 1.0).otherwise(0.0)).otherwise(0.0)
+
+
+def point_id(source: Column, order: Column, text: Column) -> Column:
+    """A stable id of a chunk: its source, its place and its text."""
+    return F.substring(F.sha2(F.concat_ws("|", source, order.cast("string"), F.sha2(text, 256)), 256), 1, 32)
+
+
+def merged_metadata(document: Column, chunk: Column) -> Column:
+    """A document's fields below a chunk's own: the chunk's win."""
+    return F.map_concat(F.map_filter(document, lambda k, v: ~F.map_contains_key(chunk, k)), chunk)
 
 
 def budgeted_topk(scored: DataFrame, k: int = 8, budget: int = 18000) -> DataFrame:
@@ -125,7 +170,7 @@ def citation_check(citations: DataFrame, evidence: DataFrame, min_similarity: fl
 
         return pd.Series([ratio(q, s) for q, s in zip(quotes, sources, strict=True)])
 
-    joined = citations.join(evidence.select("evidence_id", F.col("text").alias("source")), "evidence_id", "left")
+    joined = citations.join(evidence.select("evidence_id", F.col("text").alias("source")).hint("shuffle_merge"), "evidence_id", "left")
     rows = joined.withColumn("similarity", likeness(flat(F.col("quote")), flat(F.col("source"))))
     issue = F.when(F.col("source").isNull(), "UNKNOWN_EVIDENCE_ID").when(F.col("quote").isNull(), None).when(S.number_mismatch(F.col("quote"), F.col("source")), "NUMBER_MISMATCH").when(F.col("similarity") < min_similarity, "QUOTE_NOT_FOUND")
     return rows.withColumn("issue", issue).drop("source")

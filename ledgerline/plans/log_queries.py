@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerline.functions import scalars as S
 from ledgerline.operators import logs as L
 from ledgerline.operators import registry as G
 from ledgerline.operators import retrieval as R
@@ -130,11 +131,9 @@ def i4(spark, d):
 
 
 def _search(spark, d, queries, k=5):
-    """Access first, then the ranking: each query is asked by each asker."""
+    """Each query is asked by each asker; what an asker may not see isn't ranked."""
     seen = G.access_decisions(access_items(spark, d), askers(spark)).where("reason is null").select("asker", F.col("doc_id").alias("chunk"))
-    scored = R.bm25_topk(chunks(spark, d), queries, k=1 << 30).select("query", "chunk", "score").join(seen, "chunk")
-    ranked = R.ranked(scored.withColumn("query", F.concat_ws("/", "asker", F.col("query").cast("string"))), k)
-    return ranked.withColumn("score", F.round("score", 6))
+    return R.search(chunks(spark, d), queries, seen, k).withColumn("score", F.round("score", 6))
 
 
 _SEARCH = "al AS (SELECT asker || '/' || query AS query, chunk, score FROM lex JOIN dec ON chunk = doc_id AND reason IS NULL) SELECT query, rank, chunk, round(score, 6) AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, chunk) AS INTEGER) AS rank FROM al) WHERE rank <= 5"
@@ -145,22 +144,33 @@ def i5(spark, d):
     return _search(spark, d, lexical_queries(spark, d))
 
 
-@query("i11_diff_evidence", f"WITH {_BM25}, {DECIDED}, {_SEARCH}")
+_DIFFS = "CASE WHEN item_id % 2 = 0 THEN substr(text, 101) ELSE substr(text, 1, 200) END"
+
+
+@query("i11_diff_evidence", f"WITH {_BM25.replace(_TOK.format('text') + ') AS term FROM benchmark', _TOK.format(_DIFFS) + ') AS term FROM benchmark')}, {DECIDED}, {_SEARCH}")
 def i11(spark, d):
     """A changed section asks with its new text, a removed one with its old."""
     q = lexical_queries(spark, d)
-    diffs = q.select("query", F.when(F.col("query") % 2 == 0, F.col("text")).alias("new_text"), F.col("text").alias("old_text"))
+    diffs = q.select("query", F.when(F.col("query") % 2 == 0, F.substring("text", 101, 1 << 30)).alias("new_text"), F.substring("text", 1, 200).alias("old_text"))
     return _search(spark, d, diffs.select("query", F.coalesce("new_text", "old_text").alias("text")))
 
 
-@query("i6_phrase_score", "SELECT doc_id, CAST(CASE doc_id % 4 WHEN 0 THEN 7.0 WHEN 1 THEN 7.5 WHEN 2 THEN 0.0 ELSE 4.0 END AS DOUBLE) AS score FROM documents")
+_HEADINGS = ("Lương cơ bản và phụ cấp", "Overtime payroll tax", "Recruitment", "Ngày công chuẩn 10 vnd")
+_HAY = f"trim(regexp_replace(translate(translate(lower(list_extract({list(_HEADINGS)!r}, CAST(doc_id % 4 + 1 AS BIGINT)) || chr(10) || text), '{S.MARKED}', '{S.PLAIN}'), 'đ', 'd'), '[^a-z0-9]+', ' ', 'g'))"
+_PHRASED = " + ".join(f"CASE WHEN contains(hay, '{p}') THEN {3.0 if p in R.STRONG else 1.5} ELSE 0 END" for p in R.PHRASES)
+
+
+@query("i6_phrase_score", f"WITH h AS (SELECT doc_id, {_HAY} AS hay FROM documents), s AS (SELECT doc_id, hay, {_PHRASED} AS n FROM h) SELECT doc_id, CAST(CASE WHEN n > 0 THEN n + CASE WHEN regexp_matches(hay, '[0-9] ?(vnd|dong)\\b') THEN 1 ELSE 0 END ELSE 0 END AS DOUBLE) AS score FROM s")
 def i6(spark, d):
-    k = F.col("doc_id") % 4
-    text = F.when(k == 0, "Lương cơ bản và phụ cấp 500 VND").when(k == 1, "Overtime payroll tax").when(k == 2, "nothing 5 vnd").otherwise("ngày công chuẩn 10 vnd")
-    return table(spark, d, "documents").select("doc_id", R.phrase_score(text).alias("score"))
+    """Documents below one of four headings."""
+    heading = F.element_at(F.array(*map(F.lit, _HEADINGS)), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", R.phrase_score(F.concat(heading, F.lit("\n"), F.col("text"))).alias("score"))
 
 
-@query("i7_budget")
+@query("i7_budget", """WITH RECURSIVE t AS (SELECT source AS query, doc_id AS chunk, n_chars AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id % 17 DESC, doc_id) AS rank FROM documents),
+w AS (SELECT query, 0::BIGINT AS rank, 0::BIGINT AS chunk, 0::BIGINT AS size, 0::BIGINT AS used, 0 AS n, false AS kept FROM (SELECT DISTINCT query FROM t)
+UNION ALL SELECT t.query, t.rank, t.chunk, t.size, CASE WHEN n = 0 OR used + t.size <= 18000 THEN used + t.size ELSE used END, n + CASE WHEN n = 0 OR used + t.size <= 18000 THEN 1 ELSE 0 END, n = 0 OR used + t.size <= 18000 FROM w JOIN t ON t.query IS NOT DISTINCT FROM w.query AND t.rank = w.rank + 1 WHERE t.rank <= 8)
+SELECT query, CAST(rank AS INTEGER) AS rank, chunk, size FROM w WHERE kept""")
 def i7(spark, d):
     scored = table(spark, d, "documents").select(F.col("source").alias("query"), F.col("doc_id").alias("chunk"), (F.col("doc_id") % 17).cast("double").alias("score"), F.col("n_chars").alias("size"))
     return R.budgeted_topk(scored)
@@ -174,9 +184,9 @@ def i8(spark, d):
 
 @query("d16_citation")
 def d16(spark, d):
-    """Quotes cut from documents: whole, with a digit added, of a wrong id, garbled, or none."""
+    """Quotes cut from documents: whole, with a number added, of a wrong id, garbled, or none."""
     k = F.col("doc_id")
-    docs = table(spark, d, "documents").where("length(text) > 60")
+    docs = table(spark, d, "documents")
     quote = F.when(k % 5 == 0, F.substring("text", 10, 40)).when(k % 5 == 1, F.concat(F.substring("text", 10, 40), F.lit(" 987654321"))).when(k % 5 == 2, F.substring("text", 10, 40)).when(k % 5 == 3, F.reverse(F.substring("text", 10, 40)))
     cites = docs.select("doc_id", F.when(k % 5 == 2, -1 - k).otherwise(k).alias("evidence_id"), quote.alias("quote"))
     return R.citation_check(cites, docs.select(k.alias("evidence_id"), "text")).select("doc_id", "issue", F.round("similarity", 6).alias("similarity"))
@@ -193,10 +203,11 @@ def j2(spark, d):
     return ST.run_to_parquet(ST.loop_guard(agent_log(streamed(spark, d))))
 
 
-@query("j3_stream_dedup", "SELECT event_id // 2 AS key, count(*) > 0 AS stored FROM events GROUP BY ALL")
+@query("j3_stream_dedup", "SELECT DISTINCT user_id || '/' || event_type AS key FROM events")
 def j3(spark, d):
-    keyed = streamed(spark, d).select(F.expr("event_id div 2").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
-    return ST.run_to_parquet(ST.dedup(keyed, "key", "ts")).select("key", F.lit(True).alias("stored"))
+    """One result for each user and kind of event, however often it's sent."""
+    keyed = streamed(spark, d).select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    return ST.run_to_parquet(ST.dedup(keyed, "key", "ts")).select("key")
 
 
 @query("j4_stream_audit", """SELECT '{"event_type":"agent.step","payload":"{\\"event_id\\":' || event_id || '}","actor":"system","timestamp":"' || user_id || '"}' AS value FROM events""")
