@@ -157,3 +157,18 @@ def apply_overrides(variables: DataFrame, edits: DataFrame) -> DataFrame:
     joined = variables.join(e, ["formula", "name"], "left")
     source = F.when(F.col("edited"), F.when(F.col("new_value").isNotNull() & F.col("new_source").isin("employee", "attendance"), "literal").otherwise(F.col("new_source"))).otherwise(F.col("source"))
     return joined.select("formula", "name", source.alias("source"), F.when(F.col("edited"), F.col("new_value")).otherwise(F.col("value")).alias("value"), "category")
+
+
+def type_changes(response: Column) -> Column:
+    """A model's JSON answer as struct(category, confidence, effective_date, evidence_refs).
+
+    The category is upper-cased and must be one of the known ones, else it is
+    AMBIGUOUS_OR_CONFLICT; an answer without an object has a null category.
+    """
+    x = F.from_json(S.extract_json(response), "category string, confidence double, effective_date string, evidence_refs array<string>")
+    category = F.upper(F.trim(x["category"]))
+    return F.struct(
+        F.when(category.isNull() | category.isin(*CATEGORY_RISK), category).otherwise("AMBIGUOUS_OR_CONFLICT").alias("category"),
+        F.coalesce(x["confidence"], F.lit(0.0)).alias("confidence"), x["effective_date"].try_cast("date").alias("effective_date"),
+        F.coalesce(x["evidence_refs"], F.array().cast("array<string>")).alias("evidence_refs"),
+    )

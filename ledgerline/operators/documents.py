@@ -99,7 +99,7 @@ def path_key(path: Column) -> Column:
 def section_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """(source_id, path, change) by normalized path, for paths that are unique in their version."""
     once = lambda s, name: s.groupBy("source_id", path_key(F.col("path")).alias("path")).agg(F.count("*").alias(f"n_{name}"), F.max("text").alias(name))
-    both = once(old, "old").where("n_old = 1").join(once(new, "new").where("n_new = 1"), ["source_id", "path"], "full_outer")
+    both = once(old, "old").where("n_old = 1").join(once(new, "new").where("n_new = 1").hint("shuffle_merge"), ["source_id", "path"], "full_outer")
     change = F.when(F.col("old").isNull(), "ADDED").when(F.col("new").isNull(), "REMOVED").when(F.col("old") == F.col("new"), "UNCHANGED").otherwise("MODIFIED")
     return both.select("source_id", "path", change.alias("change"))
 
@@ -265,7 +265,7 @@ def chunk_coverage(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
     """(source_id, covered, total): distinct blocks inside chunks."""
     inside = chunks.select("source_id", F.explode(F.sequence("first_order", "last_order")).alias("order"))
     have = blocks.select("source_id", "order").join(inside.distinct().hint("shuffle_merge"), ["source_id", "order"]).groupBy("source_id").agg(F.count("*").alias("covered"))
-    return blocks.groupBy("source_id").agg(F.count("*").alias("total")).join(have, "source_id", "left").select("source_id", F.coalesce("covered", F.lit(0)).alias("covered"), "total")
+    return blocks.groupBy("source_id").agg(F.count("*").alias("total")).join(have.hint("shuffle_merge"), "source_id", "left").select("source_id", F.coalesce("covered", F.lit(0)).alias("covered"), "total")
 
 
 def check_blocks(blocks: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def score_header_rows(cells: DataFrame) -> DataFrame:
     rows = filled(cells).groupBy("sheet", "row").agg(F.count("*").alias("n"), F.count_if(~F.replace(value, F.lit("."), F.lit("")).rlike(r"^\d+$")).alias("texts"), F.count_distinct(value).alias("kinds"))
     width = used_extent(cells).select("sheet", "last_col")
     score = F.col("n") / F.col("last_col") * 0.3 + F.col("texts") / F.col("n") * 0.5 + F.col("kinds") / F.col("n") * 0.2
-    return rows.join(width, "sheet").select("sheet", "row", F.when(F.col("n") < 2, 0.0).otherwise(F.round(score, 9)).alias("score"))
+    return rows.join(width.hint("shuffle_merge"), "sheet").select("sheet", "row", F.when(F.col("n") < 2, 0.0).otherwise(F.round(score, 9)).alias("score"))
 
 
 def detect_header(cells: DataFrame) -> DataFrame:
@@ -45,10 +45,10 @@ def detect_header(cells: DataFrame) -> DataFrame:
     scores = score_header_rows(cells).where(F.col("row") <= HEADER_ROWS)
     best = scores.groupBy("sheet").agg(F.max_by(F.struct("row", "score"), F.struct("score", -F.col("row"))).alias("b")).select("sheet", F.col("b.row").alias("header_row"), F.col("b.score").alias("score")).where(F.col("score") >= HEADER_SCORE)
     top = filled(cells).where(F.col("row") <= HEADER_ROWS + 1)
-    columns = best.select("sheet", F.col("header_row").alias("row")).join(top, ["sheet", "row"]).groupBy("sheet").agg(F.collect_set("col").alias("above"))
-    second = best.select("sheet", (F.col("header_row") + 1).alias("row")).join(top, ["sheet", "row"]).groupBy("sheet").agg(F.collect_set("col").alias("below"))
-    next_score = best.select("sheet", (F.col("header_row") + 1).alias("row")).join(score_header_rows(cells.where(F.col("row") <= HEADER_ROWS + 1).unionByName(_widest(cells))), ["sheet", "row"]).select("sheet", F.col("score").alias("next_score"))
-    joined = best.join(columns, "sheet", "left").join(second, "sheet", "left").join(next_score, "sheet", "left")
+    columns = best.select("sheet", F.col("header_row").alias("row")).join(top.hint("shuffle_merge"), ["sheet", "row"]).groupBy("sheet").agg(F.collect_set("col").alias("above"))
+    second = best.select("sheet", (F.col("header_row") + 1).alias("row")).join(top.hint("shuffle_merge"), ["sheet", "row"]).groupBy("sheet").agg(F.collect_set("col").alias("below"))
+    next_score = best.select("sheet", (F.col("header_row") + 1).alias("row")).join(score_header_rows(cells.where(F.col("row") <= HEADER_ROWS + 1).unionByName(_widest(cells))).hint("shuffle_merge"), ["sheet", "row"]).select("sheet", F.col("score").alias("next_score"))
+    joined = best.join(columns.hint("shuffle_merge"), "sheet", "left").join(second.hint("shuffle_merge"), "sheet", "left").join(next_score.hint("shuffle_merge"), "sheet", "left")
     two = (F.col("next_score") >= HEADER_SCORE * 0.6) & F.col("below").isNotNull() & ~F.arrays_overlap("above", "below")
     return joined.select("sheet", "header_row", F.when(two, 2).otherwise(1).alias("span"), "score")
 
@@ -78,7 +78,7 @@ def build_labels(cells: DataFrame, headers: DataFrame) -> DataFrame:
     every = used_extent(cells).select("sheet", F.explode(F.sequence(F.lit(1), "last_col")).alias("col"))
     first, last = F.min(F.col("header_row")), F.max(F.col("header_row") + F.col("span"))
     span = headers.groupBy("sheet").agg(first.alias("first"), last.alias("end"))
-    parts = filled(cells).join(span, "sheet").where((F.col("row") >= F.col("first")) & (F.col("row") < F.col("end"))).groupBy("sheet", "col").agg(F.array_sort(F.collect_list(F.struct("row", F.trim("value").alias("v")))).alias("p"))
+    parts = filled(cells).join(span.hint("shuffle_merge"), "sheet").where((F.col("row") >= F.col("first")) & (F.col("row") < F.col("end"))).groupBy("sheet", "col").agg(F.array_sort(F.collect_list(F.struct("row", F.trim("value").alias("v")))).alias("p"))
     text = F.array_join(F.array_distinct(F.transform("p", lambda x: x["v"])), " ")
     labels = every.join(span.hint("shuffle_merge"), "sheet").join(parts.hint("shuffle_merge"), ["sheet", "col"], "left").select("sheet", "col", F.coalesce(text, F.concat(F.lit("Col"), column_letters(F.col("col")))).alias("label"))
     return dedupe_labels(labels, " (", ")")
@@ -86,7 +86,7 @@ def build_labels(cells: DataFrame, headers: DataFrame) -> DataFrame:
 
 def rows_to_text(cells: DataFrame, headers: DataFrame, labels: DataFrame, row_cap: int | None = None) -> DataFrame:
     """(sheet, row, text): ``label: value | label: value`` of the rows below the header."""
-    body = filled(cells).join(headers.select("sheet", (F.col("header_row") + F.col("span")).alias("from")), "sheet").where(F.col("row") >= F.col("from"))
+    body = filled(cells).join(headers.select("sheet", (F.col("header_row") + F.col("span")).alias("from")).hint("shuffle_merge"), "sheet").where(F.col("row") >= F.col("from"))
     if row_cap is not None:
         body = body.where(F.col("row") < F.col("from") + row_cap)
     labelled = body.join(labels.hint("shuffle_merge"), ["sheet", "col"]).select("sheet", "row", "col", F.concat(F.col("label"), F.lit(": "), F.trim("value")).alias("part"))
@@ -100,7 +100,7 @@ def _joined(parts: DataFrame) -> DataFrame:
 
 def freeform_rows(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """(sheet, row, text) of sheets without a header."""
-    return _joined(filled(cells).join(headers, "sheet", "left_anti").select("sheet", "row", "col", F.trim("value").alias("part")))
+    return _joined(filled(cells).join(headers.hint("shuffle_merge"), "sheet", "left_anti").select("sheet", "row", "col", F.trim("value").alias("part")))
 
 
 def contract_header(cells: DataFrame, search_rows: int = 12) -> DataFrame:
@@ -114,11 +114,11 @@ def contract_header(cells: DataFrame, search_rows: int = 12) -> DataFrame:
 def unpivot_matrix(cells: DataFrame) -> DataFrame:
     """(sheet, customer, contract_type, component, cell, value, is_formula, note_col) of salary matrices."""
     head = contract_header(cells).select("sheet", "header_row")
-    placed = filled(cells).join(head, "sheet")
+    placed = filled(cells).join(head.hint("shuffle_merge"), "sheet")
     contract = placed.where(F.col("row") == F.col("header_row")).select("sheet", "col", F.trim("value").alias("contract_type"))
     customer = placed.where(F.col("row") == F.col("header_row") - 1).select("sheet", "col", F.trim("value").alias("customer"))
     # the header's columns: a few per sheet
-    every = contract.select("sheet", "col").union(customer.select("sheet", "col")).distinct().join(contract, ["sheet", "col"], "left").join(customer, ["sheet", "col"], "left")
+    every = contract.select("sheet", "col").union(customer.select("sheet", "col")).distinct().join(contract.hint("shuffle_merge"), ["sheet", "col"], "left").join(customer.hint("shuffle_merge"), ["sheet", "col"], "left")
     note = S.match_key(F.col("contract_type")) == "note"
     across = Window.partitionBy("sheet").orderBy("col")
     first = F.min(F.when(~note, F.col("col"))).over(Window.partitionBy("sheet"))
@@ -126,7 +126,7 @@ def unpivot_matrix(cells: DataFrame) -> DataFrame:
     values = carried.where(F.col("contract_type").isNotNull() & F.col("customer").isNotNull() & (S.match_key(F.col("contract_type")) != "note") & (F.col("component_col") >= 1))
     body = placed.where(F.col("row") > F.col("header_row")).select("sheet", "row", "col", "value")
     component = body.select("sheet", "row", F.col("col").alias("component_col"), F.trim("value").alias("component"))
-    joined = body.join(values, ["sheet", "col"]).join(component, ["sheet", "row", "component_col"])
+    joined = body.join(values.hint("shuffle_merge"), ["sheet", "col"]).join(component.hint("shuffle_merge"), ["sheet", "row", "component_col"])
     return joined.select("sheet", "customer", "contract_type", "component", F.concat(column_letters(F.col("col")), F.col("row").cast("string")).alias("cell"), "value", F.startswith("value", F.lit("=")).alias("is_formula"), "note_col")
 
 
@@ -136,6 +136,6 @@ def lookup_matrix(matrix: DataFrame, keys: DataFrame) -> DataFrame:
     k = [S.match_key(F.col(c)).alias(f"k_{c}") for c in names]
     found = matrix.select("sheet", *k, "cell").groupBy("sheet", *[f"k_{c}" for c in names]).agg(F.count("*").alias("n"), F.min("cell").alias("cell"))
     asked = keys.select("sheet", *names, *k)
-    joined = asked.join(found, ["sheet", *[f"k_{c}" for c in names]], "left")
+    joined = asked.join(found.hint("shuffle_merge"), ["sheet", *[f"k_{c}" for c in names]], "left")
     status = F.when(F.col("n").isNull(), "NOT_FOUND").when(F.col("n") > 1, "AMBIGUOUS").otherwise("FOUND")
     return joined.select("sheet", *names, status.alias("status"), F.when(F.col("n") == 1, F.col("cell")).alias("cell"))

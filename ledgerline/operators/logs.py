@@ -39,12 +39,12 @@ def loop_guard(log: DataFrame, max_steps: int = 10, same_observation: int = 3, n
 def run_completeness(steps: DataFrame, plans: DataFrame) -> DataFrame:
     """(run_id, complete): completed steps equal the plan's, each once."""
     done = steps.groupBy("run_id").agg(F.array_sort(F.collect_list("step_id")).alias("done"))
-    return plans.join(done, "run_id", "left").select("run_id", F.coalesce(F.array_sort("plan_steps") == F.col("done"), F.size("plan_steps") == 0).alias("complete"))
+    return plans.join(done.hint("shuffle_merge"), "run_id", "left").select("run_id", F.coalesce(F.array_sort("plan_steps") == F.col("done"), F.size("plan_steps") == 0).alias("complete"))
 
 
 def check_decisions(log: DataFrame, plans: DataFrame) -> DataFrame:
     """Adds ``issue`` of each decision against its run's plan (step to allowed tools)."""
-    joined = log.join(plans, ["run_id", "step_id"], "left")
+    joined = log.join(plans.hint("shuffle_merge"), ["run_id", "step_id"], "left")
     has_tool, has_input = F.col("tool").isNotNull(), F.col("tool_input").isNotNull()
     call = F.col("decision") == "tool_call"
     return joined.withColumn("issue", F.when(F.col("allowed_tools").isNull(), "unknown_step").when(call & ~(has_tool & has_input), "tool_missing").when(~call & (has_tool | has_input), "tool_unexpected").when(call & ~F.array_contains("allowed_tools", F.col("tool")), "tool_not_allowed"))

@@ -80,12 +80,19 @@ def flag_rows(flagged: DataFrame, *keys: str) -> DataFrame:
     return flagged.select(*keys, F.inline("flags"))
 
 
-def publish_gate(flags: DataFrame, resolved: DataFrame, *keys: str) -> DataFrame:
-    """(keys, open_flags, publishable) of the groups that have open flags: those
-    of ``flags`` that aren't among ``resolved (employee_id, period, code)``."""
+def publish_gate(flags: DataFrame, resolved: DataFrame, results: DataFrame, *keys: str) -> DataFrame:
+    """(keys, open_flags, publishable) of each group of ``results``, or of the whole run without keys.
+
+    Open are the ``flags`` that aren't among ``resolved (employee_id, period, code)``.
+    """
     on = ["employee_id", "period", "code"]
     still = flags.join(resolved.select(*on).distinct().hint("shuffle_merge"), on, "left_anti")
-    return still.groupBy(*keys).agg(F.count("*").alias("open_flags")).withColumn("publishable", F.col("open_flags") == 0)
+    if keys:
+        groups, counts = results.select(*keys).distinct(), still.groupBy(*keys).agg(F.count("*").alias("open_flags"))
+        counts = groups.join(counts.hint("shuffle_merge"), list(keys), "left").withColumn("open_flags", F.coalesce("open_flags", F.lit(0)))
+    else:
+        counts = still.agg(F.count("*").alias("open_flags"))
+    return counts.withColumn("publishable", F.col("open_flags") == 0)
 
 
 def payroll_report(flagged: DataFrame) -> DataFrame:

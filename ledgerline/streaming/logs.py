@@ -18,8 +18,13 @@ from ledgerline.sources.io import append_audit, audit_rows
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/ledgerline-shared"
+    """A new folder below ``spark.checkpoint.dir``; a session of one machine that names none gets a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file:///tmp/ledgerline-shared"
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
