@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerline.operators import changes as C
 from ledgerline.operators import formulas as FO
 from ledgerline.operators import registry as G
+from ledgerline.operators import retrieval as R
 from ledgerline.plans.base import query, table
 
 CATS = tuple(C.CATEGORY_RISK)
@@ -191,7 +192,9 @@ def c19(spark, d):
 def e5(spark, d):
     variables = table(spark, d, "part").select((F.col("p_partkey") / 8).cast("long").alias("formula_id"), F.explode(F.array(F.lit("basic"), F.lit("paid"))).alias("name")).distinct()
     variables = variables.withColumn("source", F.when((F.col("formula_id") % 4 == 0) & (F.col("name") == "paid"), "magic").otherwise("employee")).withColumn("field_code", F.when(F.col("formula_id") % 3 == 0, "base_salary").otherwise("basic_salary"))
-    return FO.lint_formulas(variables, FO.clean_rules(raw_rules(spark, d)), known_codes=tuple(f"R{i}" for i in range(7)))
+    rules = FO.clean_rules(raw_rules(spark, d)).withColumn("category", F.when(F.col("place") % 3 == 0, "PIT").when(F.col("place") % 3 == 1, "BASIC"))
+    categories = rules.select("formula_id", F.col("output_field").alias("code"), F.when(F.col("formula_id") % 2 == 0, "line_items").when(F.col("place") % 2 == 0, "deductions").otherwise("line_items").alias("section"))
+    return FO.lint_formulas(variables, rules, tuple(f"R{i}" for i in range(7)), categories)
 
 
 UP = "up AS (SELECT p_partkey AS policy_id, p_brand AS policy_key, CASE WHEN p_partkey % 29 = 0 THEN 'OTHER' ELSE p_type END AS category, p_partkey AS uploaded, sha256(p_name) AS checksum, DATE '1995-01-01' + p_size AS effective_date, CASE WHEN p_partkey % 4 > 0 THEN DATE '1995-01-15' + p_size + CAST(p_partkey % 30 AS INT) END AS expiry_date FROM part)"
@@ -264,11 +267,11 @@ def i9(spark, d):
     docs = table(spark, d, "documents")
     chunk = F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("source"), F.lit("chunk"))).otherwise(F.create_map().cast("map<string,string>"))
     base = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))
-    merged = F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(chunk, k)), chunk)
+    merged = R.merged_metadata(base, chunk)
     return docs.select("doc_id", F.array_join(F.array_sort(F.transform(F.map_entries(merged), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";").alias("metadata"))
 
 
 @query("i10_point_id", "SELECT doc_id, substr(sha256(source || '|' || doc_id || '|' || sha256(text)), 1, 32) AS point_id FROM documents")
 def i10(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.substring(F.sha2(F.concat_ws("|", "source", F.col("doc_id").cast("string"), F.sha2("text", 256)), 256), 1, 32).alias("point_id"))
+    return table(spark, d, "documents").select("doc_id", R.point_id(F.col("source"), F.col("doc_id"), F.col("text")).alias("point_id"))
 

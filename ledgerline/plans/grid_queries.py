@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerline.operators import grid as G
 from ledgerline.operators import ingest as I  # noqa: E741
 from ledgerline.plans.base import query, table, values
-from ledgerline.plans.scalar_queries import H, LABEL, headers
+from ledgerline.plans.scalar_queries import HEADS, LABEL, headers
 
 HEAD = [(1, 1, "Code"), (1, 2, "Name"), (1, 3, "Balance"), (1, 5, "Name"), (2, 4, "Note"), (2, 6, "Extra")]
 _BODY = "SELECT p_brand AS sheet, CAST(p_partkey + 3 AS INT) AS row, 1 AS col, CAST(p_partkey AS VARCHAR) AS value FROM part UNION ALL SELECT p_brand, CAST(p_partkey + 3 AS INT), 2, p_name FROM part UNION ALL SELECT p_brand, CAST(p_partkey + 3 AS INT), 3, CASE WHEN p_size % 4 = 0 THEN '  ' ELSE CAST(p_size AS VARCHAR) END FROM part UNION ALL SELECT p_brand, CAST(p_partkey + 3 AS INT), 4, p_type FROM part WHERE p_size % 3 = 0 UNION ALL SELECT p_brand, CAST(p_partkey + 3 AS INT), 5, p_name FROM part"
@@ -39,10 +39,14 @@ def a2(spark, d):
     return I.combine_headers(cells(spark, d).where("row <= 2"))
 
 
-@query("a3_dedupe_headers", "SELECT CAST(n_nationkey AS VARCHAR) AS sheet, h_no AS col, CASE WHEN n > 1 THEN label || '__' || n ELSE label END AS label FROM (SELECT *, row_number() OVER (PARTITION BY n_nationkey, label ORDER BY h_no) AS n FROM (SELECT n_nationkey, h_no, length(header) % 5 || 'x' AS label FROM nation, " + H + "))")
+@query("a3_dedupe_headers", f"WITH {HEADS}, l AS (SELECT CAST(p_partkey // 22 AS VARCHAR) AS sheet, p_partkey % 22 AS col, substr(header, 1, 5) AS label FROM heads) SELECT sheet, col, CASE WHEN n > 1 THEN label || '__' || n ELSE label END AS label FROM (SELECT *, row_number() OVER (PARTITION BY sheet, label ORDER BY col) AS n FROM l)")
 def a3(spark, d):
-    labels = headers(spark, d).select(F.col("n_nationkey").cast("string").alias("sheet"), F.col("h_no").alias("col"), F.concat((F.length("header") % 5).cast("string"), F.lit("x")).alias("label"))
-    return I.dedupe_labels(labels)
+    return I.dedupe_labels(sheet_headers(spark, d).withColumn("label", F.substring("label", 1, 5)))
+
+
+def sheet_headers(spark, d):
+    """Header rows of 22 columns."""
+    return headers(spark, d).select(F.expr("cast(p_partkey div 22 as string)").alias("sheet"), (F.col("p_partkey") % 22).alias("col"), F.col("header").alias("label"))
 
 
 @query("a4_drop_blank", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS a, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS b FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
@@ -143,11 +147,12 @@ def a17(spark, d):
 ID_LABELS = ("Full name", "Employee code", "Mã NV", "x", "Employee ID (old)")
 
 
-@query("a22_id_column", "SELECT CAST(n_nationkey AS VARCHAR) AS sheet, CASE n_nationkey % 3 WHEN 0 THEN 'Employee code' WHEN 1 THEN 'Mã NV' ELSE 'Employee ID (old)' END AS id_column FROM nation")
+@query("a22_id_column", "SELECT CAST(p_partkey AS VARCHAR) AS sheet, CASE p_size % 3 WHEN 0 THEN 'Employee code' WHEN 1 THEN 'Mã NV' ELSE 'Employee ID (old)' END AS id_column FROM part")
 def a22(spark, d):
-    labels = table(spark, d, "nation").select("n_nationkey", F.posexplode(F.array(*map(F.lit, ID_LABELS))).alias("col", "label"))
-    kept = labels.where(~((F.col("n_nationkey") % 3 > 0) & (F.col("col") == 1)) & ~((F.col("n_nationkey") % 3 == 2) & (F.col("col") == 2)))
-    return I.id_column(kept.select(F.col("n_nationkey").cast("string").alias("sheet"), "col", "label"))
+    """A sheet for each part, with its type among the labels."""
+    labels = table(spark, d, "part").select("p_partkey", "p_size", F.posexplode(F.array(F.lit(ID_LABELS[0]), F.col("p_type"), *map(F.lit, ID_LABELS[1:]))).alias("col", "label"))
+    kept = labels.where(~((F.col("p_size") % 3 > 0) & (F.col("col") == 2)) & ~((F.col("p_size") % 3 == 2) & (F.col("col") == 3)))
+    return I.id_column(kept.select(F.col("p_partkey").cast("string").alias("sheet"), "col", "label"))
 
 
 @query("a23_usable_text", r"SELECT doc_id, length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) >= 24 AND length(text) - length(replace(text, '�', '')) <= 0.02 * length(text) AS usable FROM documents")
@@ -157,7 +162,7 @@ def a23(spark, d):
 
 @query("c4_map_columns")
 def c4(spark, d):
-    """Header rows of each nation's sheets against the codes of its formulas."""
-    h = headers(spark, d).select(F.col("n_nationkey").cast("string").alias("sheet"), F.col("h_no").alias("col"), F.col("header").alias("label"))
-    need = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("sheet"), F.explode(F.array(*map(F.lit, ("basic_salary", "standard_working_days", "total_working_days", "salary_ot_night_holiday_300", "meal_allowance", "iban")))).alias("field_code"))
+    """Header rows against the codes of formulas."""
+    h = sheet_headers(spark, d)
+    need = h.select("sheet").distinct().select("sheet", F.explode(F.array(*map(F.lit, ("basic_salary", "standard_working_days", "total_working_days", "salary_ot_night_holiday_300", "meal_allowance", "iban")))).alias("field_code"))
     return I.map_columns(h, need, None)

@@ -154,10 +154,17 @@ def _resolved(spark, d):
     return r.select("employee_id", "period", F.lit("NET_SALARY_DEVIATION").alias("code")).unionByName(r.select("employee_id", "period", F.lit("OT_HOURS_EXCEEDED").alias("code")))
 
 
-@query("f4_gate", _FLAGS + " SELECT company_id, count(*) AS open_flags, false AS publishable FROM flags WHERE NOT (CAST(employee_id AS BIGINT) % 3 = 0 AND code IN ('NET_SALARY_DEVIATION', 'OT_HOURS_EXCEEDED')) GROUP BY company_id")
+_OPEN = ", still AS (SELECT * FROM flags WHERE NOT (CAST(employee_id AS BIGINT) % 3 = 0 AND code IN ('NET_SALARY_DEVIATION', 'OT_HOURS_EXCEEDED')))"
+
+
+@query("f4_gate", _FLAGS + _OPEN + """ SELECT employee_id, period, count(code) AS open_flags, count(code) = 0 AS publishable FROM (SELECT DISTINCT employee_id, period FROM paid) LEFT JOIN still USING (employee_id, period) GROUP BY ALL
+UNION ALL SELECT NULL, NULL, count(*), count(*) = 0 FROM still""")
 def f4(spark, d):
-    flags = P.flag_rows(flagged(spark, d), "employee_id", "company_id", "period")
-    return P.publish_gate(flags, _resolved(spark, d), "company_id")
+    """Each employee's month, and the whole run (null keys)."""
+    results, resolved = flagged(spark, d), _resolved(spark, d)
+    flags = P.flag_rows(results, "employee_id", "company_id", "period")
+    run = P.publish_gate(flags, resolved, results).select(F.lit(None).cast("string").alias("employee_id"), F.lit(None).cast("string").alias("period"), "open_flags", "publishable")
+    return P.publish_gate(flags, resolved, results, "employee_id", "period").unionByName(run)
 
 
 @query("f5_queue", _FLAGS + " SELECT employee_id, period, code, row_number() OVER (PARTITION BY employee_id ORDER BY period, code, field_code) AS place FROM flags WHERE severity = 'critical'")

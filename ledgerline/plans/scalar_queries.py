@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as S
+from ledgerline.operators import changes as C
+from ledgerline.operators import formulas as FO
+from ledgerline.operators import registry as RG
 from ledgerline.plans.base import query, table, values
 
 HEADERS = (
@@ -16,10 +19,14 @@ LABEL = f"trim(regexp_replace(translate(translate(lower({{}}), '{S.MARKED}', '{S
 SLUG = f"lower(trim(regexp_replace(regexp_replace(translate({{}}, '{S.MARKED}', '{S.PLAIN}'), '[^\\x00-\\x7F]+', '', 'g'), '[^0-9a-zA-Z_]+', '_', 'g'), '_'))"
 
 
+HEADS = f"heads AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN header WHEN 1 THEN p_type ELSE p_name END AS header FROM part JOIN {H} ON h_no = p_partkey % 22)"
+
+
 def headers(spark, sf_dir):
-    """Header labels of each nation's sheets."""
-    rows = spark.createDataFrame(list(enumerate(HEADERS)), "h_no int, header string")
-    return table(spark, sf_dir, "nation").select("n_nationkey").crossJoin(F.broadcast(rows))  # 22 fixed labels
+    """A header for each part: a known label, or its type or name."""
+    k = F.col("p_partkey")
+    known = F.element_at(F.array(*map(F.lit, HEADERS)), (k % len(HEADERS) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.when(k % 3 == 0, known).when(k % 3 == 1, F.col("p_type")).otherwise(F.col("p_name")).alias("header"))
 
 
 @query("c1_label", f"SELECT doc_id, {LABEL.format('text')} AS label FROM documents")
@@ -27,9 +34,9 @@ def c1(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.normalize_label(F.col("text")).alias("label"))
 
 
-@query("c2_canonical", f"SELECT n_nationkey, h_no, coalesce(code, s) AS code FROM (SELECT n_nationkey, h_no, {SLUG.format('header')} AS s FROM nation, {H}) LEFT JOIN {values(list(S.CODE_ALIASES.items()), 'alias', 'code')} ON s = alias")
+@query("c2_canonical", f"WITH {HEADS} SELECT p_partkey, coalesce(code, s) AS code FROM (SELECT p_partkey, {SLUG.format('header')} AS s FROM heads) LEFT JOIN {values(list(S.CODE_ALIASES.items()), 'alias', 'code')} ON s = alias")
 def c2(spark, sf_dir):
-    return headers(spark, sf_dir).select("n_nationkey", "h_no", S.canonical_code(F.col("header")).alias("code"))
+    return headers(spark, sf_dir).select("p_partkey", S.canonical_code(F.col("header")).alias("code"))
 
 
 _ALIAS = values([(i, code, a) for i, (code, _, aliases) in enumerate(S.FIELD_CATALOG) for a in sorted({*aliases, code})], "pos", "code", "alias")
@@ -37,16 +44,16 @@ _INSIDE = values([(i, code, a) for i, (code, _, aliases) in enumerate(S.FIELD_CA
 
 
 @query("c3_suggest_code", f"""
-WITH l AS (SELECT n_nationkey, h_no, {LABEL.format('header')} AS l FROM nation, {H}),
-e AS (SELECT n_nationkey, h_no, min_by(code, pos) AS code FROM l JOIN {_ALIAS} ON l = alias GROUP BY ALL),
-i AS (SELECT n_nationkey, h_no, min_by(code, pos) AS code FROM l JOIN {_INSIDE} ON contains('_' || l || '_', '_' || alias || '_') GROUP BY ALL)
-SELECT l.n_nationkey, l.h_no, CASE WHEN l LIKE '%tang\\_ca%' ESCAPE '\\' OR l LIKE '%lam\\_them%' ESCAPE '\\' OR l LIKE '%overtime%' OR starts_with(l, 'ot') THEN
+WITH {HEADS}, l AS (SELECT p_partkey, {LABEL.format('header')} AS l FROM heads),
+e AS (SELECT p_partkey, min_by(code, pos) AS code FROM l JOIN {_ALIAS} ON l = alias GROUP BY ALL),
+i AS (SELECT p_partkey, min_by(code, pos) AS code FROM l JOIN {_INSIDE} ON contains('_' || l || '_', '_' || alias || '_') GROUP BY ALL)
+SELECT l.p_partkey, CASE WHEN l LIKE '%tang\\_ca%' ESCAPE '\\' OR l LIKE '%lam\\_them%' ESCAPE '\\' OR l LIKE '%overtime%' OR starts_with(l, 'ot') THEN
  'salary_ot_' || CASE WHEN regexp_matches(l, 'dem|night') THEN 'night' ELSE 'day' END || '_' || CASE WHEN regexp_matches(l, 'le|holiday') THEN 'holiday' WHEN regexp_matches(l, 'nghi|rest|off') THEN 'rest' ELSE 'normal' END || '_' ||
  CASE WHEN contains(l, '390') THEN '390' WHEN contains(l, '350') THEN '350' WHEN contains(l, '300') THEN '300' WHEN contains(l, '270') THEN '270' WHEN contains(l, '250') THEN '250' WHEN contains(l, '200') THEN '200' ELSE '150' END
  ELSE coalesce(e.code, i.code, nullif(l, ''), 'field') END AS code
-FROM l LEFT JOIN e USING (n_nationkey, h_no) LEFT JOIN i USING (n_nationkey, h_no)""")
+FROM l LEFT JOIN e USING (p_partkey) LEFT JOIN i USING (p_partkey)""")
 def c3(spark, sf_dir):
-    return headers(spark, sf_dir).select("n_nationkey", "h_no", S.suggest_code(F.col("header")).alias("code"))
+    return headers(spark, sf_dir).select("p_partkey", S.suggest_code(F.col("header")).alias("code"))
 
 
 @query("c5_id_text", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey AS VARCHAR) WHEN o_orderkey % 3 = 1 THEN '00' || o_custkey ELSE CAST(o_custkey AS VARCHAR) || '.5' END AS id FROM orders")
@@ -142,7 +149,7 @@ def c16(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", S.rounded_by(F.col("o_totalprice"), rule).alias("amount"))
 
 
-_OT = "(CASE e.event_id % 6 WHEN 0 THEN 'OT_HOURS_150' WHEN 1 THEN 'OT_HOLIDAY_NIGHT_SHIFT_390_HOURS' WHEN 2 THEN 'tang_ca_ca_dem_200_ngay_nghi' WHEN 3 THEN 'overtime 270 day off' WHEN 4 THEN 'OT_HOURS' ELSE 'bonus_150' END)"
+_OT = "(CASE e.event_id % 6 WHEN 0 THEN 'OT_HOURS_150' WHEN 1 THEN 'OT_HOLIDAY_NIGHT_SHIFT_390_HOURS' WHEN 2 THEN 'tang_ca_ca_dem_200_ngay_nghi' WHEN 3 THEN 'overtime 270 day off' WHEN 4 THEN 'OT_HOURS' ELSE 'bonus_150' END || ' ' || e.event_type)"
 
 
 @query("c17_infer_ot", f"""WITH v AS (SELECT event_id, {_OT} AS t FROM events e), w AS (SELECT *, regexp_matches(t, '(?i)(^OT_)|(_OT$)|OVERTIME|TANG_?CA') AND regexp_matches(t, '150|200|250|270|300|350|390') AS ok FROM v)
@@ -156,7 +163,8 @@ def c17(spark, sf_dir):
 
 def _ot_text():
     k = F.col("event_id") % 6
-    return F.when(k == 0, "OT_HOURS_150").when(k == 1, "OT_HOLIDAY_NIGHT_SHIFT_390_HOURS").when(k == 2, "tang_ca_ca_dem_200_ngay_nghi").when(k == 3, "overtime 270 day off").when(k == 4, "OT_HOURS").otherwise("bonus_150")
+    name = F.when(k == 0, "OT_HOURS_150").when(k == 1, "OT_HOLIDAY_NIGHT_SHIFT_390_HOURS").when(k == 2, "tang_ca_ca_dem_200_ngay_nghi").when(k == 3, "overtime 270 day off").when(k == 4, "OT_HOURS").otherwise("bonus_150")
+    return F.concat(name, F.lit(" "), F.col("event_type"))
 
 
 @query("c18_ot_code", "SELECT event_id, 'SALARY_OT_' || CASE WHEN user_id % 2 = 0 THEN 'DAY' ELSE 'NIGHT' END || '_' || CASE event_id % 3 WHEN 0 THEN 'NORMAL' WHEN 1 THEN 'REST' ELSE 'HOLIDAY' END || '_' || CASE event_id % 3 WHEN 0 THEN '150' WHEN 1 THEN '270' ELSE '390' END AS code FROM events")
@@ -212,39 +220,37 @@ def c25(spark, sf_dir):
     source = F.when(k == 0, "employee").when(k == 1, "rate_config").when(k == 2, "regulatory").otherwise("literal")
     v = F.when(F.col("p_size") % 2 == 0, F.col("p_retailprice"))
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), source.alias("source"), F.col("p_brand").alias("field_code"), v.alias("value"))
-    open_source = F.col("source").isin("rate_config", "regulatory")
-    return rows.select("p_partkey", F.when(open_source, F.when(F.col("value").isNull(), "employee").otherwise("literal")).otherwise(F.col("source")).alias("source"), F.when(open_source & F.col("value").isNull(), F.col("name")).otherwise(F.col("field_code")).alias("field_code"), "value")
+    return FO.prepare_variables(rows).select("p_partkey", "source", "field_code", "value")
 
 
 @query("c26_access_meta", """SELECT p_partkey, array_to_string(list_filter(['company=' || p_brand, CASE WHEN p_size % 3 > 0 THEN 'scope=' || p_type END, CASE WHEN p_partkey % 4 > 0 THEN 'effective_date=' || strftime(DATE '1995-01-01' + p_size, '%Y-%m-%d') END, CASE WHEN p_size % 5 = 0 THEN 'required_permission=' || (p_size % 4) END], lambda x: x IS NOT NULL), ';') AS metadata FROM part""")
 def c26(spark, sf_dir):
-    bag = F.map_filter(
-        F.create_map(F.lit("company"), F.col("p_brand"), F.lit("scope"), F.when(F.col("p_size") % 3 > 0, F.col("p_type")), F.lit("effective_date"), F.when(F.col("p_partkey") % 4 > 0, F.date_add(F.lit("1995-01-01").cast("date"), F.col("p_size")).cast("string")), F.lit("required_permission"), F.when(F.col("p_size") % 5 == 0, (F.col("p_size") % 4).cast("string"))),
-        lambda k, v: v.isNotNull(),
-    )
+    day = F.date_add(F.lit("1995-01-01").cast("date"), F.col("p_size"))
+    bag = RG.access_metadata(F.col("p_brand"), F.when(F.col("p_size") % 3 > 0, F.col("p_type")), F.when(F.col("p_partkey") % 4 > 0, day), F.when(F.col("p_size") % 5 == 0, F.col("p_size") % 4))
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(F.map_entries(bag), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("metadata"))
 
 
 def _responses(spark, sf_dir):
     """Model responses: a JSON object in prose or in a fence, at times cut off."""
-    body = F.to_json(F.struct(F.col("role").alias("category"), F.col("turn").alias("confidence"), F.lit("2024-01-05").alias("effective_date")))
+    word = F.when(F.col("turn") % 4 == 0, F.col("role")).when(F.col("turn") % 4 == 1, " Parameter_Change").when(F.col("turn") % 4 == 2, "editorial").otherwise("SCOPE_CHANGE")
+    body = F.to_json(F.struct(word.alias("category"), F.col("turn").alias("confidence"), F.lit("2024-01-05").alias("effective_date")))
     k = F.col("conv_id") % 3
     text = F.when(k == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 1, F.concat(F.lit("Answer: "), body, F.lit(" done"))).otherwise(F.substring(body, 1, 12))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("response"))
 
 
-@query("c27_extract_json", """SELECT conv_id, turn, CASE WHEN conv_id % 3 < 2 THEN '{"category":"' || role || '","confidence":' || turn || ',"effective_date":"2024-01-05"}' END AS body FROM conversations""")
+_WORD = "CASE turn % 4 WHEN 0 THEN role WHEN 1 THEN ' Parameter_Change' WHEN 2 THEN 'editorial' ELSE 'SCOPE_CHANGE' END"
+
+
+@query("c27_extract_json", f"""SELECT conv_id, turn, CASE WHEN conv_id % 3 < 2 THEN '{{"category":"' || {_WORD} || '","confidence":' || turn || ',"effective_date":"2024-01-05"}}' END AS body FROM conversations""")
 def c27(spark, sf_dir):
     return _responses(spark, sf_dir).select("conv_id", "turn", S.extract_json(F.col("response")).alias("body"))
 
 
-@query("c28_type_changes", """SELECT conv_id, turn, CASE WHEN conv_id % 3 < 2 THEN CASE WHEN upper(role) IN ('USER', 'ASSISTANT') THEN upper(role) ELSE 'AMBIGUOUS_OR_CONFLICT' END END AS category, CASE WHEN conv_id % 3 < 2 THEN DATE '2024-01-05' END AS effective_date, CASE WHEN conv_id % 3 < 2 THEN CAST(turn AS DOUBLE) ELSE 0 END AS confidence, CAST(0 AS INTEGER) AS n_refs FROM conversations""")
+@query("c28_type_changes", f"""SELECT conv_id, turn, CASE WHEN conv_id % 3 < 2 THEN CASE WHEN upper(trim({_WORD})) IN {tuple(C.CATEGORY_RISK)} THEN upper(trim({_WORD})) ELSE 'AMBIGUOUS_OR_CONFLICT' END END AS category, CASE WHEN conv_id % 3 < 2 THEN DATE '2024-01-05' END AS effective_date, CASE WHEN conv_id % 3 < 2 THEN CAST(turn AS DOUBLE) ELSE 0 END AS confidence, CAST(0 AS INTEGER) AS n_refs FROM conversations""")
 def c28(spark, sf_dir):
-    schema = "category string, confidence double, effective_date string, evidence_refs array<string>"
-    x = F.from_json(S.extract_json(F.col("response")), schema)
-    rows = _responses(spark, sf_dir).select("conv_id", "turn", x.alias("x"))
-    category = F.upper("x.category")
-    return rows.select("conv_id", "turn", F.when(category.isNull() | category.isin("USER", "ASSISTANT"), category).otherwise("AMBIGUOUS_OR_CONFLICT").alias("category"), F.col("x.effective_date").try_cast("date").alias("effective_date"), F.coalesce("x.confidence", F.lit(0.0)).alias("confidence"), F.size(F.coalesce("x.evidence_refs", F.array().cast("array<string>"))).alias("n_refs"))
+    rows = _responses(spark, sf_dir).select("conv_id", "turn", C.type_changes(F.col("response")).alias("x"))
+    return rows.select("conv_id", "turn", "x.category", "x.effective_date", "x.confidence", F.size("x.evidence_refs").alias("n_refs"))
 
 
 @query("c29_stable_hash", """SELECT event_id, sha256('{"event_type":"' || event_type || '","user_id":' || user_id || '}') AS h FROM events""")
