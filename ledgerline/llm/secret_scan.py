@@ -108,17 +108,18 @@ def trigram_query(pattern: str, limit: int = 32) -> list[list[list[str]]]:
     return groups
 
 
-def postings(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """The trigrams of a text that the rules ask for."""
+def postings(low: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The trigrams of a lower-cased text that the rules ask for."""
     asked = sorted({t for r in rules for g in trigram_query(r.pattern) for c in g for t in c})
-    low = F.lower(text)
     return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in asked])) if asked else F.array().cast("array<string>")
 
 
 def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, row_key, trigrams, text): each document with its posting list."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), postings(text, rules).alias("trigrams"), text.alias("text"))
+    # a column of its own: the text is lower-cased once, not for each trigram
+    low = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), text.alias("text"), F.lower(text).alias("low"))
+    return low.select("doc_id", "row_key", postings(F.col("low"), rules).alias("trigrams"), "text")
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
