@@ -272,7 +272,7 @@ def _listed(values: np.ndarray) -> Column:
     return F.from_json(F.lit(json.dumps(values.tolist())), "array<int>")
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", slice_rows: int = 10_000, query_block: int = 40_000, **options) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", slice_rows: int = 4_000, query_block: int = 40_000, **options) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found for each query row."""
     every = stored(usable(rows, id_col, vec_col), "vectors")
     asked = every.where(is_query)
