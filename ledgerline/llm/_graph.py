@@ -19,9 +19,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = stored(both, "edges")
+    degree = stored(both.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("degree")), "degree")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
-        near = join_skewed(both, labels.select(F.col("node").alias("b"), "label"), ["b"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        far = labels.join(degree.hint("shuffle_merge"), "node").select(F.col("node").alias("b"), "label", "degree")
+        near = join_skewed(both, far, ["b"], size="degree").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         new = stored(labels.join(near.hint("shuffle_merge"), "node").select("node", "label", F.least("label", "near").alias("new")), "near")
         jump = new.select(F.col("node").alias("new"), F.col("new").alias("further"))
         least = F.least("new", F.coalesce("further", "new"))
@@ -29,5 +31,5 @@ def components(edges: DataFrame) -> DataFrame:
         release(labels, new)
         labels = done
         if not done.where("moved").limit(1).count():
-            release(both)
+            release(both, degree)
             return labels.select("node", "label")

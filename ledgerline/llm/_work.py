@@ -47,26 +47,30 @@ def release(*tables: DataFrame) -> None:
 
 
 #: A key that holds more than this part of a table's rows is hot; there are at most that many such keys.
-HOT_KEYS = 200
+HOT_KEYS, SALTS = 200, 64
 
 
-def join_skewed(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", hot_keys: int = HOT_KEYS, least: int = 100) -> DataFrame:
+def join_skewed(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", size: str | None = None, by: list[str] | None = None, least: int = 100) -> DataFrame:
     """Joins ``left`` with ``right``, which has at most one row for each key, whatever the skew of ``left``.
 
-    Keys with more than 1 / ``hot_keys`` of the rows of ``left`` (and more than
-    ``least``) are counted first.  They are fewer than ``hot_keys``, which is
-    the proven bound of what is broadcast for them; all other keys meet by a
-    shuffle.  ``left`` is read twice and should be a stored table.
+    Keys with more than 1 / ``HOT_KEYS`` of the rows of ``left`` (and more than
+    ``least``) are salted: their rows are dealt to ``SALTS`` places by a hash of
+    the columns ``by`` (all others, if none are named), and their row of
+    ``right`` goes to each.  Hot keys are fewer than ``HOT_KEYS``, which is the
+    proven bound of what is broadcast.  ``size`` names a column of ``right``
+    that holds at least the number of a key's rows in ``left``; without one
+    they are counted.  ``left`` is read twice and should be a stored table.
     """
-    counts = left.groupBy(*on).agg(F.count("*").alias("__n"))
-    most = max(least, left.count() // hot_keys)
-    hot = stored(counts.where(F.col("__n") > most).select(*on), "hot")
-    usual = right.hint("shuffle_merge")
+    most = max(least, left.count() // HOT_KEYS)
+    counts = right.select(*on, F.col(size).alias("__n")) if size else left.groupBy(*on).agg(F.count("*").alias("__n"))
+    hot = stored(counts.where(F.col("__n") > most).select(*on, F.lit(True).alias("__hot")).limit(HOT_KEYS), "hot")
     if hot.isEmpty():
-        return left.join(usual, on, how)
-    few = stored(right.join(F.broadcast(hot), on, "left_semi"), "hot_rows")
-    cold = left.join(F.broadcast(hot), on, "left_anti").join(usual, on, how)
-    return cold.unionByName(left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(few), on, how))
+        return left.join(right.hint("shuffle_merge"), on, how)
+    place = F.pmod(F.xxhash64(*(by or [c for c in left.columns if c not in on])), F.lit(SALTS)).cast("int")
+    dealt = left.join(F.broadcast(hot), on, "left").withColumn("__salt", F.when(F.col("__hot"), place).otherwise(0)).drop("__hot")
+    places = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = right.join(F.broadcast(hot), on, "left").withColumn("__salt", F.explode(places)).drop("__hot")
+    return dealt.join(spread.hint("shuffle_merge"), [*on, "__salt"], how).drop("__salt")
 
 
 def row_key() -> Column:

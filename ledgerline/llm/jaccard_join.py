@@ -196,7 +196,7 @@ def candidate_links(sets: DataFrame, bucket_limit: int = 2048, fan_out: int = 2)
     while True:
         counts = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
         # a shingle that a third of all sets hold is a hot bucket
-        there = stored(join_skewed(rows, counts, ["bucket"]).distinct(), f"paths{depth}")
+        there = stored(join_skewed(rows, counts, ["bucket"], size="size").distinct(), f"paths{depth}")
         small = there.where(F.col("size") <= bucket_limit)
         tasks = groups_for(small.count(), 4_000)
         few = small.select("bucket", "set_id").join(sigs.hint("shuffle_merge"), "set_id")
@@ -344,7 +344,7 @@ def _classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, target_reca
     grouped = stored(sets.select("set_id", "least", "row_key", "copies", "n").join(groups.hint("shuffle_merge"), "set_id"), "grouped")
     per_group = grouped.groupBy("gid").agg(F.sum("n").alias("shingles_in"), F.count("*").alias("sets_in"))
     blocks = F.greatest(F.ceil(F.col("shingles_in") / block_shingles), F.ceil(F.col("sets_in") / block_sets)).cast("int")
-    placed = join_skewed(grouped, per_group.select("gid", blocks.alias("blocks")), ["gid"])
+    placed = join_skewed(grouped, per_group.select("gid", "sets_in", blocks.alias("blocks")), ["gid"], size="sets_in")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")).select("row_key", "set_id", "gid", "copies", "blocks", "block")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,10 +366,10 @@ def _classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, target_reca
     classes = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("set_id"), "label")
     known = sets.select("set_id", "least", "copies").join(classes.hint("shuffle_merge"), "set_id", "left").join(links.hint("shuffle_merge"), "set_id", "left")
     known = stored(known.select("set_id", "least", "copies", F.coalesce("label", "set_id").alias("label"), F.coalesce("n", F.lit(0)).alias("n")), "known")
-    names = known.groupBy("label").agg(F.min("least").alias("class_id"))
+    names = known.groupBy("label").agg(F.min("least").alias("class_id"), F.count("*").alias("sets"))
     # a class, or one text, may hold a third of all documents
-    named = stored(join_skewed(known, names, ["label"]).select("set_id", "label", "class_id", "copies", "n"), "named")
-    out = join_skewed(members, named, ["set_id"], "left")
+    named = stored(join_skewed(known, names, ["label"], size="sets").select("set_id", "label", "class_id", "copies", "n"), "named")
+    out = join_skewed(members, named, ["set_id"], "left", size="copies")
     return out.select(
         "doc_id", "row_key", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce(F.col("n") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("copies") - 1, F.lit(0)).cast("long").alias("n_copies"), "label",
@@ -379,8 +379,8 @@ def _classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, target_reca
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each class: the smallest doc_id (null last), then row key; wordless rows stay."""
     rows = stored(_classes(docs, **options).where("label is not null").groupBy("label", "row_key").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("rows")), "rows")
-    least = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("x")).select("label", F.col("x.row_key").alias("stays"))
-    held = stored(join_skewed(rows, least, ["label"]).select("row_key", (F.col("row_key") == F.col("stays")).alias("stays"), "rows"), "held")
+    least = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("x"), F.count("*").alias("keys")).select("label", "keys", F.col("x.row_key").alias("stays"))
+    held = stored(join_skewed(rows, least, ["label"], size="keys").select("row_key", (F.col("row_key") == F.col("stays")).alias("stays"), "rows"), "held")
     keyed = docs.withColumn("__key", row_key())
     # a row that stays and has equal ones goes with the others here, and comes back once
     gone = held.where("not stays or rows > 1").select(F.col("row_key").alias("__key"))

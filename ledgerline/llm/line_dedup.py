@@ -49,14 +49,16 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     lines = stored(_lines(docs, min_chars), "lines")
     # the first place of a key in a document, then in all documents of a salt
     place = F.struct("doc_id", (-F.col("pos")).alias("back"))
-    first = lines.groupBy("h1", "h2", "doc_id").agg(F.max(place).alias("place"))
-    per_salt = first.groupBy("h1", "h2", F.expr("pmod(doc_id, 16)").alias("salt")).agg(F.max("place").alias("place"), F.count("*").alias("n"))
+    first = lines.groupBy("h1", "h2", "doc_id").agg(F.max(place).alias("place"), F.count("*").alias("n_lines"))
+    per_salt = first.groupBy("h1", "h2", F.expr("pmod(doc_id, 16)").alias("salt")).agg(F.max("place").alias("place"), F.count("*").alias("n"), F.sum("n_lines").alias("n_lines"))
     # range partitions with a secondary sort: the keeper is the first row of each key
     ranged = per_salt.repartitionByRange("h1").sortWithinPartitions("h1", "h2", F.desc("place"))
     stream = Window.partitionBy("h1", "h2").orderBy(F.desc("place"))
-    keys = ranged.withColumn("nth", F.row_number().over(stream)).withColumn("n_docs", F.sum("n").over(stream.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    keys = stored(keys.where((F.col("nth") == 1) & (F.col("n_docs") >= min_docs)).select("h1", "h2", F.col("place.doc_id").alias("keeper")), "keepers")
-    dropped = join_skewed(lines, keys, ["h1", "h2"]).where("doc_id <> keeper")
+    whole = stream.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    keys = ranged.select("*", F.row_number().over(stream).alias("nth"), F.sum("n").over(whole).alias("n_docs"), F.sum("n_lines").over(whole).alias("all_lines"))
+    keys = keys.drop("n_lines").withColumnRenamed("all_lines", "n_lines")
+    keys = stored(keys.where((F.col("nth") == 1) & (F.col("n_docs") >= min_docs)).select("h1", "h2", F.col("place.doc_id").alias("keeper"), "n_lines"), "keepers")
+    dropped = join_skewed(lines, keys, ["h1", "h2"], size="n_lines").where("doc_id <> keeper")
     words = dropped.groupBy("row_key", F.expr("pos div 64").cast("int").alias("word")).agg(F.bitwise_not(F.expr("bit_or(shiftleft(1L, pos % 64))")).alias("bits"))
     return words.groupBy("row_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("keep"))
 

@@ -172,7 +172,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0,
     # equal rows are counted and differ by a number; a source's name is never null as a key
     named = sizes.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("n")).withColumns({"no_source": F.col("source").isNull(), "source": F.coalesce("source", F.lit(""))})
     keyed = share.withColumns({"no_source": F.col("source").isNull(), "source": F.coalesce("source", F.lit(""))})
-    joined = join_skewed(stored(named, "rows"), keyed, ["source", "no_source"]).withColumn("source", F.when(~F.col("no_source"), F.col("source"))).drop("no_source")
+    joined = join_skewed(stored(named, "rows"), keyed, ["source", "no_source"], size="rows").withColumn("source", F.when(~F.col("no_source"), F.col("source"))).drop("no_source")
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
     rows = joined.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).withColumn("nth", F.col("nth").cast("long")).withColumn("rate", rate)
     slices = F.ceil(F.col("rows") / leaf).cast("long")

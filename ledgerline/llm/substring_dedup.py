@@ -235,13 +235,13 @@ def repeated_windows(docs: DataFrame, window: int = 50, prefix: int = 18, group_
     contexts = anchors.groupBy(*leaf).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min(F.struct("doc_id", "row_key", "first")).alias("at"), F.count("*").alias("places"))
     contexts = stored(contexts, "contexts")
     prefixes = contexts.groupBy("prefix_hash").agg(F.min("least").alias("p_least"), F.max("most").alias("p_most"), F.count("*").alias("n_contexts")).where("p_least < p_most")
-    again = contexts.where("places > 1").select(*leaf, "least", F.col("at.row_key").alias("at_key"), F.col("at.first").alias("at_first"))
+    again = contexts.where("places > 1").select(*leaf, "least", "places", F.col("at.row_key").alias("at_key"), F.col("at.first").alias("at_first"))
     # a context that a third of all documents share is joined apart
-    again = join_skewed(anchors, again, leaf).where("doc_id > least or row_key <> at_key or first <> at_first")
+    again = join_skewed(anchors, again, leaf, size="places").where("doc_id > least or row_key <> at_key or first <> at_first")
     again = stored(again.select("row_key", "first", "width", (F.col("doc_id") > F.col("least")).alias("copy"), "at_key", "at_first"), "again")
     whole = again.where("copy").select("row_key", F.col("first").alias("start"), F.col("width").alias("n"))
-    several = stored(prefixes.where("n_contexts > 1").select("prefix_hash"), "prefixes")
-    asked = join_skewed(contexts, several, ["prefix_hash"]).select("at.row_key", F.struct("prefix_hash", "lead", "width", F.col("at.first").alias("first")).alias("x"))
+    several = stored(prefixes.where("n_contexts > 1").select("prefix_hash", "n_contexts"), "prefixes")
+    asked = join_skewed(contexts, several, ["prefix_hash"], size="n_contexts").select("at.row_key", F.struct("prefix_hash", "lead", "width", F.col("at.first").alias("first")).alias("x"))
     asked = asked.groupBy("row_key").agg(F.collect_list("x").alias("asked"))
     # repeated equal rows give equal answers, so one of them is asked
     texts = rows.join(asked.hint("shuffle_merge"), "row_key").select("row_key", "doc_id", "text", "asked")
@@ -250,9 +250,9 @@ def repeated_windows(docs: DataFrame, window: int = 50, prefix: int = 18, group_
     hits, nodes, large = [], [], None
     while True:
         sizes = groups.groupBy("key").agg(F.count("*").alias("n"))
-        large = stored(sizes.where(F.col("n") > group_limit).select("key", F.lit(True).alias("large")), "large")
+        large = stored(sizes.where(F.col("n") > group_limit).select("key", "n", F.lit(True).alias("large")), "large")
         none = large.isEmpty()
-        marked = groups.withColumn("large", F.lit(None).cast("boolean")) if none else stored(join_skewed(groups, large, ["key"], "left"), "marked")
+        marked = groups.withColumn("large", F.lit(None).cast("boolean")) if none else stored(join_skewed(groups, large, ["key"], "left", size="n").drop("n"), "marked")
         fits = marked.where("large is null").drop("large")
         tasks = groups_for(fits.count(), per_task)
         trees = fits.withColumn("part", F.expr(f"pmod(key, {tasks})")).groupBy("part").applyInPandas(_tree_task(window, prefix), "row_key long, origin int, start int, n int")
@@ -265,8 +265,8 @@ def repeated_windows(docs: DataFrame, window: int = 50, prefix: int = 18, group_
         nodes.append(longer.where("lo = hi").select("key", "row_key", "origin", "doc_id", F.col("first").alias("start")))
         groups = longer.where("lo < hi")
     for node in nodes:
-        shared = node.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
-        hits.append(stored(join_skewed(node, stored(shared, "shared"), ["key"]).where("doc_id > least").select("row_key", "origin", "start", F.lit(1).alias("n")), "hits"))
+        shared = node.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least < most").select("key", "least", F.col("n").alias("size"))
+        hits.append(stored(join_skewed(node, stored(shared, "shared"), ["key"], size="size").where("doc_id > least").select("row_key", "origin", "start", F.lit(1).alias("n")), "hits"))
     found = hits[0]
     for more in hits[1:]:
         found = found.unionByName(more)

@@ -108,9 +108,9 @@ def _writer(folder: str):
 def write_archives(pages: DataFrame, revisit_bytes: int = 1000) -> DataFrame:
     """Writes ``pages (page_id, url, html)``; returns the stored capture lines."""
     rows = pages.select("page_id", "url", "html", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n_bytes"))
-    shared = rows.where(F.col("n_bytes") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").select("digest", "original")
+    shared = rows.where(F.col("n_bytes") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1")
     # a payload that a third of all pages share is joined apart
-    typed = join_skewed(rows, stored(shared, "shared"), ["digest"], "left")
+    typed = join_skewed(rows, stored(shared, "shared"), ["digest"], "left", size="n", by=["page_id"])
     again = F.col("original").isNotNull() & ~F.col("original").eqNullSafe(F.col("page_id"))
     typed = typed.select("page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("original")).alias("refers_to"), url_key(F.col("url")).alias("urlkey"))
     return stored(typed.mapInArrow(_writer(f"{work_dir(pages.sparkSession)}/archive"), _CAPTURE), "captures")

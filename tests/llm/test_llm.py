@@ -438,6 +438,8 @@ def test_join_skewed(spark):
     for how in ("inner", "left"):
         want = Counter(tuple(r) for r in left.join(right, ["k"], how).collect())
         assert Counter(tuple(r) for r in join_skewed(left, right, ["k"], how, least=100).collect()) == want
+        sized = right.withColumn("n", F.when(F.col("k") == 0, 1000).otherwise(1))
+        assert Counter(tuple(r) for r in join_skewed(left, sized, ["k"], how, size="n").drop("n").collect()) == want
 
 
 def test_components_of_chains_and_stars(spark):
