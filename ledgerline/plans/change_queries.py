@@ -183,8 +183,23 @@ def raw_rules(spark, d):
     return table(spark, d, "part").select((F.col("p_partkey") / 8).cast("long").alias("formula_id"), k.alias("place"), output.alias("output_field"), expression.alias("expression"), condition.alias("condition"), rounding.alias("rounding"), section.alias("section"))
 
 
-@query("c19_clean_rules")
+_RAW_RULES = """raw AS (SELECT p_partkey // 8 AS formula_id, p_partkey % 8 AS place, CASE WHEN p_partkey % 24 = 9 THEN 'R0' ELSE 'R' || (p_partkey % 8) END AS output_field,
+CASE p_partkey % 8 WHEN 0 THEN 'basic / 26' WHEN 1 THEN 'if paid > 20 then basic else 0' WHEN 2 THEN 'employee.basic * 2' WHEN 3 THEN 'bonus + unknown_name' WHEN 4 THEN 'R0 + R1' WHEN 5 THEN 'basic ** 2' WHEN 6 THEN 'min(basic, 10' ELSE 'R7 * 1.1' END AS expression,
+CASE p_partkey % 8 WHEN 0 THEN 'when the month is full' WHEN 2 THEN 'paid == true' WHEN 3 THEN 'paid > 3' END AS condition,
+CASE p_partkey % 8 WHEN 1 THEN 'Floor' WHEN 3 THEN 'nearest_currency' WHEN 4 THEN 'none' WHEN 5 THEN 'round_up' END AS rounding,
+CASE p_partkey % 8 WHEN 4 THEN 'net' WHEN 2 THEN 'deductions' WHEN 6 THEN 'other' END AS section FROM part)"""
+
+
+def _rewritten(c: str) -> str:
+    plain = f"regexp_replace(regexp_replace(replace(trim({c}), 'employee.', ''), '(?i)\\btrue\\b', 'True', 'g'), '(?i)\\bfalse\\b', 'False', 'g')"
+    return f"regexp_replace({plain}, '(?i)^if\\s+(.+?)\\s+then\\s+(.+?)\\s+else\\s+(.+)$', '(\\2) if (\\1) else (\\3)')"
+
+
+@query("c19_clean_rules", f"""WITH {_RAW_RULES}, n AS (SELECT *, row_number() OVER (PARTITION BY formula_id, output_field ORDER BY place) AS nth, {_rewritten("condition")} AS said, lower(trim(coalesce(rounding, ''))) AS rounds FROM raw)
+SELECT formula_id, place, CASE WHEN nth > 1 THEN output_field || '_' || nth ELSE output_field END AS output_field, {_rewritten("expression")} AS expression, CASE WHEN regexp_matches(said, '^\\w+ *(==|!=|<=?|>=?) *\\w+$') THEN said END AS condition,
+CASE WHEN rounds IN ('', 'none', 'no', 'null') THEN NULL WHEN rounds IN {FO.ROUND_NAMES!r} THEN 'round' WHEN rounds IN {FO.FLOOR_NAMES!r} THEN 'round_down_1000' ELSE rounds END AS rounding, section FROM n WHERE lower(trim(coalesce(section, ''))) <> 'net'""")
 def c19(spark, d):
+    """Conditions of one comparison are sentences of the rule language, the rest is prose."""
     return FO.clean_rules(raw_rules(spark, d))
 
 

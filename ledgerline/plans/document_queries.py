@@ -127,17 +127,32 @@ def parts(spark, d):
     return D.split_oversized(b)
 
 
-@query("h1_split")
+_PARTS = "WITH RECURSIVE " + _BLOCKS.removeprefix("WITH ") + ", " + _OPEN.format("CURRENT ROW") + r""", hc AS (SELECT source_id, "order", block_type, array_to_string(list_filter([t5, CASE WHEN p6 > coalesce(p5, -1) THEN t6 END], lambda x: x IS NOT NULL), ' > ') AS heading_path, text FROM o5),
+cut AS (SELECT source_id, "order", 0 AS n, '' AS piece, text AS rest FROM hc WHERE length(text) > 1000
+UNION ALL SELECT source_id, "order", n + 1, substr(rest, 1, size), substr(rest, size + 1) FROM (SELECT *, CASE WHEN length(rest) > 1000 AND length(regexp_extract(substr(rest, 1, 1000), '(?s)^.* ')) > 1 THEN length(regexp_extract(substr(rest, 1, 1000), '(?s)^.* ')) ELSE 1000 END AS size FROM cut WHERE rest <> '')),
+pt AS (SELECT source_id, "order", block_type, heading_path, 0 AS part, text FROM hc WHERE length(text) <= 1000
+UNION ALL SELECT source_id, "order", block_type, heading_path, CAST(row_number() OVER (PARTITION BY source_id, "order" ORDER BY n) - 1 AS INTEGER), piece FROM cut JOIN hc USING (source_id, "order") WHERE regexp_matches(piece, '\S'))"""
+_PACKED = _PARTS + """, pk AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY "order", part) AS i, length(text) AS len FROM pt),
+g1 AS (SELECT source_id, i, 0 AS c, len AS size FROM pk WHERE i = 1 UNION ALL SELECT source_id, i, CASE WHEN fresh THEN c + 1 ELSE c END, CASE WHEN fresh THEN len ELSE size + 1 + len END FROM (SELECT pk.source_id, pk.i, c, size, len, block_type = 'heading' OR size + 1 + len > 1000 AS fresh FROM g1 JOIN pk ON pk.source_id = g1.source_id AND pk.i = g1.i + 1)),
+q1 AS (SELECT source_id, c, max(size) AS len, arg_min(heading_path, i) AS h FROM g1 JOIN pk USING (source_id, i) GROUP BY source_id, c)"""
+_MERGED = """, g2 AS (SELECT source_id, c, 0 AS b, len AS size, h FROM q1 WHERE c = 0 UNION ALL SELECT source_id, c, CASE WHEN fits THEN b ELSE b + 1 END, CASE WHEN fits THEN size + 1 + len ELSE len END, h FROM (SELECT q1.source_id, q1.c, b, size, len, q1.h, len < 100 AND q1.h = g2.h AND size + 1 + len <= 1000 AS fits FROM g2 JOIN q1 ON q1.source_id = g2.source_id AND q1.c = g2.c + 1)),
+q2 AS (SELECT source_id, b, max(size) AS len, any_value(h) AS h FROM g2 GROUP BY source_id, b),
+g3 AS (SELECT source_id, b, 0 AS f, len AS size, h FROM q2 WHERE b = 0 UNION ALL SELECT source_id, b, CASE WHEN fits THEN f ELSE f + 1 END, CASE WHEN fits THEN size + 1 + len ELSE len END, h FROM (SELECT q2.source_id, q2.b, f, size, len, q2.h, size < 100 AND q2.h = g3.h AND size + 1 + len <= 1000 AS fits FROM g3 JOIN q2 ON q2.source_id = g3.source_id AND q2.b = g3.b + 1)),
+cs AS (SELECT g2.source_id, c, f FROM g2 JOIN g3 ON g2.source_id = g3.source_id AND g2.b = g3.b)"""
+_CHUNK_ROWS = """ SELECT source_id, CAST(no AS INTEGER) AS chunk_no, min("order") AS first_order, max("order") AS last_order, CAST(count(DISTINCT "order") AS INTEGER) AS n_blocks, arg_min(heading_path, i) AS heading_path, string_agg(text, chr(10) ORDER BY i) AS text FROM {} GROUP BY source_id, no"""
+
+
+@query("h1_split", _PARTS + " SELECT * FROM pt")
 def h1(spark, d):
     return parts(spark, d)
 
 
-@query("h2_pack")
+@query("h2_pack", _PACKED + _CHUNK_ROWS.format("(SELECT pk.*, c AS no FROM pk JOIN g1 USING (source_id, i))"))
 def h2(spark, d):
     return D.pack_chunks(parts(spark, d), merge=False)
 
 
-@query("h3_merge")
+@query("h3_merge", _PACKED + _MERGED + _CHUNK_ROWS.format("(SELECT pk.*, f AS no FROM pk JOIN g1 USING (source_id, i) JOIN cs USING (source_id, c))"))
 def h3(spark, d):
     return D.pack_chunks(parts(spark, d))
 
