@@ -369,11 +369,13 @@ def _classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, target_reca
     names = known.groupBy("label").agg(F.min("least").alias("class_id"), F.count("*").alias("sets"))
     # a class, or one text, may hold a third of all documents
     named = stored(join_skewed(known, names, ["label"], size="sets").select("set_id", "label", "class_id", "copies", "n"), "named")
-    out = join_skewed(members, named, ["set_id"], "left", size="copies")
-    return out.select(
-        "doc_id", "row_key", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce(F.col("n") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("copies") - 1, F.lit(0)).cast("long").alias("n_copies"), "label",
+    out = join_skewed(members.where("set_id is not null"), named, ["set_id"], size="copies")
+    out = out.select(
+        "doc_id", "row_key", "class_id", (F.col("n") + F.col("copies") - 1).cast("long").alias("n_links"), (F.col("copies") - 1).cast("long").alias("n_copies"), "label",
     )
+    # wordless rows, possibly many, have no set to meet: they don't take part in the join
+    alone = members.where("set_id is null").select("doc_id", "row_key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies"), F.lit(None).cast("string").alias("label"))
+    return out.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
