@@ -50,9 +50,28 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, f.payload_digest
 FROM f LEFT JOIN o ON f.payload_digest = o.payload_digest AND payload_bytes >= 1000
 """
 
+_OP12 = r"""
+WITH ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, CAST(xor(list_reduce(list_transform(range(0, 8 * length(CAST(c AS VARCHAR))), lambda i: CAST(CASE WHEN i % 8 = 0 THEN ascii(substr(CAST(c AS VARCHAR), CAST(i // 8 + 1 AS BIGINT), 1)) ELSE 0 END AS BIGINT)),
+    lambda a, x: CASE WHEN xor(a, x) & 1 = 1 THEN xor(xor(a, x) >> 1, 3988292384) ELSE xor(a, x) >> 1 END, CAST(4294967295 AS BIGINT)), 4294967295) % 6 AS BIGINT) AS h FROM ids),
+t AS (SELECT conv_id AS c, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS id, length(coalesce(text, '')) AS n,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT h.c, t.pos, t.id, t.n FROM h JOIN t ON t.c = h.c - h.c % 100 AND t.pos <= h.h UNION ALL SELECT h.c, t.pos + 1000000 AS pos, t.id, t.n FROM h JOIN t ON t.c = h.c AND t.pos > h.h),
+s AS (SELECT c, list(id ORDER BY pos) AS ids, list(n ORDER BY pos) AS ns FROM r GROUP BY c),
+q AS (SELECT ids.c, coalesce(s.ids, []) AS ids, coalesce(s.ns, []) AS ns FROM ids LEFT JOIN s USING (c)),
+p AS (SELECT c, d, array_to_string(ids[1:d], '') AS key, CASE WHEN d > 0 THEN array_to_string(ids[1:d - 1], '') END AS up, CASE WHEN d > 0 THEN ns[d] ELSE 0 END AS n, d = len(ids) AS ends FROM (SELECT *, unnest(range(0, len(ids) + 1)) AS d FROM q)),
+node AS (SELECT key, any_value(up) AS up, d, min(c) AS c, count(*) AS n_convs, any_value(n) AS n, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256 FROM p GROUP BY key, d),
+kids AS (SELECT up, d - 1 AS d, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids ON node.key = kids.up AND node.d = kids.d),
+sums AS (SELECT p.key, p.d, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * f.n) AS saved_tokens FROM full_node f JOIN p ON p.c = f.c AND p.d <= f.d GROUP BY p.key, p.d)
+SELECT a.c AS conv_id, CAST(a.d AS BIGINT) AS depth, b.c AS parent_conv_id, a.n_convs, CAST(a.n_children AS BIGINT) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, a.ends_sha256
+FROM full_node a JOIN sums ON a.key = sums.key AND a.d = sums.d LEFT JOIN node b ON a.up = b.key AND a.d = b.d + 1
+"""
+
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": _OP2,
     "op3_decontamination": _OP3,
     "op9_line_dedup": _OP9,
     "op10_warc": _OP10,
+    "op12_prefix_trie": _OP12,
 }
