@@ -50,6 +50,22 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, f.payload_digest
 FROM f LEFT JOIN o ON f.payload_digest = o.payload_digest AND payload_bytes >= 1000
 """
 
+_OP11 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+totals AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) AS sizes(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS x, array_to_string(w[cut + 1:k], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+s AS (SELECT cuts.lang, cuts.phrase, a, cut, fx.f AS l, fy.f AS r, CAST(2000000 AS HUGEINT) * a // (CAST(fx.f AS HUGEINT) + fy.f) AS score FROM cuts JOIN f fx ON fx.lang = cuts.lang AND fx.phrase = x JOIN f fy ON fy.lang = cuts.lang AND fy.phrase = y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (SELECT lang, array_to_string(w[i:i + j - 1], ' ') AS phrase, max(a) AS m FROM (SELECT *, unnest(range(1, k - j + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS j FROM c)) GROUP BY ALL),
+kept AS (SELECT b.* FROM b LEFT JOIN longer USING (lang, phrase) WHERE m IS NULL OR 100 * CAST(m AS HUGEINT) < 80 * CAST(a AS HUGEINT)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 _OP12 = r"""
 WITH ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
 h AS (SELECT c, CAST(xor(list_reduce(list_transform(range(0, 8 * length(CAST(c AS VARCHAR))), lambda i: CAST(CASE WHEN i % 8 = 0 THEN ascii(substr(CAST(c AS VARCHAR), CAST(i // 8 + 1 AS BIGINT), 1)) ELSE 0 END AS BIGINT)),
@@ -73,5 +89,6 @@ ORACLES: dict[str, str] = {
     "op3_decontamination": _OP3,
     "op9_line_dedup": _OP9,
     "op10_warc": _OP10,
+    "op11_collocations": _OP11,
     "op12_prefix_trie": _OP12,
 }

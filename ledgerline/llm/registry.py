@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontamination, jaccard_join, language_id, license_scan, line_dedup, mixing, nearest, prefix_trie, secret_scan, substring_dedup, warc
+from ledgerline.llm import collocations, decontamination, jaccard_join, language_id, license_scan, line_dedup, mixing, nearest, prefix_trie, secret_scan, substring_dedup, warc
 from ledgerline.llm.oracles import ORACLES
 from pyspark.sql import functions as F
 
@@ -59,6 +59,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
 
@@ -74,5 +78,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8,
     "op9_line_dedup": op9,
     "op10_warc": op10,
+    "op11_collocations": op11,
     "op12_prefix_trie": op12,
 }
