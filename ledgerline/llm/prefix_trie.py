@@ -207,10 +207,9 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def trie(seqs: DataFrame, capacity: int = 256) -> DataFrame:
-    """The nodes (:data:`NODE`) of ``seqs (seq, n, first, ends)``, a stored table with one row for each sequence."""
-    total = seqs.count()
-    most = max(capacity, -(-total // MAX_HEADS))
-    rows = seqs.select(F.unhex(F.md5(F.lit(b""))).alias("box"), F.lit(0).alias("depth"), F.lit(None).cast("binary").alias("up"), F.lit(None).cast("long").alias("up_conv"), "seq", "n", "first", "ends")
+    """The nodes (:data:`NODE`) of ``seqs (seq, n, first, ends)``, one row for each sequence."""
+    rows = stored(seqs.select(F.unhex(F.md5(F.lit(b""))).alias("box"), F.lit(0).alias("depth"), F.lit(None).cast("binary").alias("up"), F.lit(None).cast("long").alias("up_conv"), "seq", "n", "first", "ends"), "sequences")
+    most = max(capacity, -(-rows.count() // MAX_HEADS))
     small, rounds = [], []
     while True:
         large = stored(rows.groupBy("box").agg(F.count("*").alias("rows")).where(F.col("rows") > most).select("box", F.lit(True).alias("bursts")), "large")
@@ -248,4 +247,4 @@ def trie(seqs: DataFrame, capacity: int = 256) -> DataFrame:
 def conversation_trie(conversations: DataFrame, capacity: int = 256) -> DataFrame:
     """The trie of the rebuilt ``conversations (conv_id, turn, role, text)``, one row for each node."""
     convs = rebuilt(stored(sequences(conversations), "convs"))
-    return trie(stored(distinct_sequences(convs), "sequences"), capacity)
+    return trie(distinct_sequences(convs), capacity)

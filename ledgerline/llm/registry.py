@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import collocations, decontamination, jaccard_join, language_id, license_scan, line_dedup, mixing, nearest, prefix_trie, secret_scan, substring_dedup, warc
+from ledgerline.llm import collocations, decontamination, jaccard_join, language_id, license_scan, line_dedup, mixing, nearest, prefix_trie, secret_scan, substring_dedup, toxicity, warc
 from ledgerline.llm.oracles import ORACLES
 from pyspark.sql import functions as F
 
@@ -67,6 +67,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1,
     "op2_substring_dedup": op2,
@@ -80,4 +84,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10,
     "op11_collocations": op11,
     "op12_prefix_trie": op12,
+    "op13_toxicity": op13,
 }
