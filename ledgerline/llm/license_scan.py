@@ -135,7 +135,10 @@ def headers(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES,
     """(row_key, pos, n_words, license, score): lines at least that similar to a template."""
     model = model or _Model(templates, *document_frequencies(docs, templates))
     heavy = _holding(heavy_words(model.vectors, threshold))
-    lines = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("row_key"), F.posexplode(F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("pos"), F.lower(x).alias("line"))), lambda s: s["line"].rlike(heavy))).alias("nth", "s"))
+    held = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("pos"), F.lower(x).alias("line"))), lambda s: s["line"].rlike(heavy))
+    # key and lines are made below the explode: above it, the whole text would be hashed for each line
+    keyed = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("row_key"), held.alias("held"))
+    lines = keyed.select("row_key", F.explode("held").alias("s"))
     # repeated equal rows share a key and need one answer
     some = lines.select("row_key", "s.pos", words_of(F.col("s.line")).alias("words"))
     return _scored(some.withColumn("n_words", F.size("words")), ["row_key", "pos", "n_words"], model, threshold)
@@ -158,7 +161,8 @@ def header_runs(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLAT
     texts = docs.where("text is not null").where(F.lower("text").rlike(_holding(some))).select(F.xxhash64("doc_id", "text").alias("row_key"), word.alias("words"))
     here = F.filter(F.transform("words", lambda x, i: F.when(x["w"].isin(some), i)), lambda i: i.isNotNull())
     near = F.transform(here, lambda i: F.struct(i.alias("i"), F.greatest(i - reach, F.lit(0)).alias("base"), F.slice(F.col("words"), F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * reach + 1)).alias("words")))
-    found = texts.select("row_key", F.size("words").alias("size"), F.explode(near).alias("x")).select("row_key", "size", "x.*").withColumn("w", F.expr("words[i - base].w")).join(offsets, "w")
+    cut = texts.select("row_key", F.size("words").alias("size"), near.alias("near"))  # so that no row carries all words of its text
+    found = cut.select("row_key", "size", F.explode("near").alias("x")).select("row_key", "size", "x.*").withColumn("w", F.expr("words[i - base].w")).join(offsets, "w")
     start = F.greatest(F.least(F.col("i") - F.col("place"), F.col("size") - F.col("length")), F.lit(0))
     runs = found.withColumn("start", start).withColumn("run", F.expr("slice(words, start - base + 1, length)"))
     return _scored(runs.select("row_key", "start", F.col("run.line").alias("at"), F.col("run.w").alias("words")), ["row_key", "start", "at"], model, threshold)

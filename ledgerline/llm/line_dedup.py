@@ -14,7 +14,8 @@ Keys are told apart by two independent 64-bit hashes.
 
 Defined cases: null or empty text is one empty line; rows that share a doc_id
 count as one document, and all rows with the keeper's doc_id keep the line;
-rows with a null doc_id keep all lines and don't count; an empty table gives
+rows with a null doc_id keep all lines and don't count; a very long text costs
+time and memory in proportion to its length; an empty table gives
 an empty result; extra columns pass, whatever their names, but for those named
 n_lines, n_dropped or kept, which the result replaces.
 """
@@ -38,7 +39,9 @@ def line_key(line: Column) -> Column:
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """(h1, h2, doc_id, row_key, pos) of the lines whose keys are long enough."""
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    # the key is made below the explode: above it, the whole text would be hashed for each line
+    keyed = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.split("text", "\n", -1).alias("lines"))
+    rows = keyed.select("doc_id", "row_key", F.posexplode("lines").alias("pos", "line"))
     rows = rows.where(F.char_length("line") >= min_chars).select("doc_id", "row_key", "pos", F.btrim("line", F.lit(_STRIP)).alias("line"))
     rows = rows.where(F.char_length("line") >= min_chars).withColumn("key", line_key(F.col("line")))
     return rows.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(41), "key").alias("h2"), "doc_id", "row_key", "pos")
@@ -63,24 +66,39 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     return words.groupBy("row_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("keep"))
 
 
+def _dense(bitmaps: DataFrame) -> DataFrame:
+    """(row_key, dense): the words of each bitmap up to its last, those left out written as all ones.
+
+    It is made before the join, so once a document, and in one pass: a look into
+    the map for each line would cost the square of a text's length.
+    """
+    words = bitmaps.select("row_key", F.sort_array(F.map_entries("keep")).alias("e"))
+
+    def filled(x: Column, i: Column) -> Column:
+        before = F.coalesce(F.get("e", i - 1)["key"], F.lit(-1))
+        return F.concat(F.array_repeat(F.lit(-1).cast("long"), x["key"] - before - 1), F.array(x["value"]))
+
+    return words.select("row_key", F.flatten(F.transform("e", filled)).alias("dense"))
+
+
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with n_lines, n_dropped and ``kept``, the lines that stay."""
     extra = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
     # a document's columns travel as one, so that no name of theirs meets another
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in extra]).alias("doc"))
-    rows = rows.join(bitmaps.hint("shuffle_merge"), "row_key", "left")
+    rows = rows.join(_dense(bitmaps).hint("shuffle_merge"), "row_key", "left")
     text = F.coalesce(F.col("doc.text"), F.lit(""))
     lines = F.split(text, "\n", -1)
 
     def stays(_: Column, i: Column) -> Column:
-        bit = F.call_function("getbit", F.try_element_at("keep", F.floor(i / 64).cast("int")), F.pmod(i, F.lit(64)).cast("int"))
+        bit = F.call_function("getbit", F.get("dense", F.floor(i / 64).cast("int")), F.pmod(i, F.lit(64)).cast("int"))
         return F.coalesce(bit, F.lit(1)) == 1
 
     out = rows.select(
         "doc",
         F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.aggregate(F.map_values("keep"), F.lit(0), lambda a, b: a + 64 - F.bit_count(b)), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("keep").isNull(), text).otherwise(F.array_join(F.filter(lines, stays), "\n")).alias("kept"),
+        F.coalesce(F.aggregate("dense", F.lit(0), lambda a, b: a + 64 - F.bit_count(b)), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("dense").isNull(), text).otherwise(F.array_join(F.filter(lines, stays), "\n")).alias("kept"),
     )
     return out.select(*[F.col(f"doc.`{c}`") for c in extra], "n_lines", "n_dropped", "kept")
 
