@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Iterator
 
@@ -10,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators import matching
+from ledgerline.sources.io import written
+
 #: Fixed patterns of headings by level, and of list items.
 LEVELS = ((1, r"^Phần\s+[IVXLC0-9]+\b"), (2, r"^Chương\s+[IVXLC0-9]+\b"), (3, r"^Mục\s+[IVXLC0-9]+\b"), (4, r"^Điều\s+\d+\b"))
 NUMBERED = r"^\d{1,3}(?:(\.\d{1,3}){1,6}\.?|\.)\s+(?!(đ|đồng|vnd|usd)\b)\S"
@@ -110,77 +112,80 @@ def diff_summary(changes: DataFrame, *keys: str) -> DataFrame:
     return changes.groupBy(*keys).agg(*[F.count_if(F.col("change") == k).alias(k.lower()) for k in kinds])
 
 
-def similarity(a: str, b: str) -> float:
-    """Ratcliff-Obershelp ratio; two empty texts are equal."""
-    return 1.0 if a == b else difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
-
-
 def text_similarity(a: Column, b: Column) -> Column:
+    """Ratcliff-Obershelp likeness of two texts (null is empty); see :mod:`matching` for its cost."""
+
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similarity(p or "", q or "") for p, q in zip(x, y, strict=True)])
+        return pd.Series([matching.similarity(p or "", q or "") for p, q in zip(x, y, strict=True)])
 
     return ratio(a, b)
 
 
-def _word_ops(x: str, y: str) -> list[dict]:
-    if x == y:
-        return [{"op": "equal", "old": x, "new": y}] if x else []
-    old, new = ([t for t in re.split(r"(\s+)", s or "") if t] for s in (x, y))
-    found = difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes()
-    return [{"op": op, "old": "".join(old[i:j]), "new": "".join(new[k:n])} for op, i, j, k, n in found]
-
-
 def word_diff(a: Column, b: Column) -> Column:
     """Word-level operations as array<struct<op, old, new>>; runs of white space are tokens of their own."""
 
     @F.pandas_udf("array<struct<op:string,old:string,new:string>>")
     def ops(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_word_ops(p, q) for p, q in zip(x, y, strict=True)])
+        return pd.Series([matching.word_edits(p, q) for p, q in zip(x, y, strict=True)])
 
     return ops(a, b)
 
 
-_ALIGNED = "source_id long, old_no int, new_no int, change string, similarity double"
+_PLACES = "source_id long, old_no long, new_no long, gap int"
+_RENAMED = "source_id long, old_no long, new_no long, change string, similarity double"
 
 
-def align_sections(old: DataFrame, new: DataFrame, rename_at: float = 0.5, max_pairs: int = 2500) -> DataFrame:
+def _in_order(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """Sections matched in order by the hashes of their paths; what lies between two matches is a gap."""
+    a, b = a.sort_values("section_no"), b.sort_values("section_no")
+    old, new, rows = a["section_no"].tolist(), b["section_no"].tolist(), []
+    for gap, (op, i, j, k, n) in enumerate(matching.edits(*matching.numbered(a["key"].tolist(), b["key"].tolist()))):
+        if op == "equal":
+            rows += [(x, y, None) for x, y in zip(old[i:j], new[k:n], strict=True)]
+        else:
+            rows += [(x, None, gap) for x in old[i:j]] + [(None, y, gap) for y in new[k:n]]
+    out = pd.DataFrame(rows, columns=["old_no", "new_no", "gap"]).astype({"old_no": "Int64", "new_no": "Int64", "gap": "Int32"})
+    out.insert(0, "source_id", (a if len(a) else b)["source_id"].iloc[0])
+    return out
+
+
+def align_sections(old: DataFrame, new: DataFrame, rename_at: float = 0.5) -> DataFrame:
     """(source_id, old_no, new_no, change, similarity): sections matched in order
-    by their path; what is left between matches is paired by likeness of text,
-    unless there are more than ``max_pairs`` pairs.  One document is one group."""
-
-    def task(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        key = (a if len(a) else b)["source_id"].iloc[0]
-        a, b = (x.sort_values("section_no").to_dict("records") for x in (a, b))
-        rows: list[tuple] = []
-
-        def pair(x: dict, y: dict) -> None:
-            same = x["text"] == y["text"] and x["heading"].lower().split() == y["heading"].lower().split()
-            rows.append((key, x["section_no"], y["section_no"], "UNCHANGED" if same else "MODIFIED", 1.0 if same else similarity(x["text"], y["text"])))
-
-        def leftovers(xs: list[dict], ys: list[dict]) -> None:
-            ys = list(ys)
-            fuzzy = len(xs) * len(ys) <= max_pairs
-            for x in xs:
-                scores = [similarity(x["text"], y["text"]) for y in ys] if fuzzy else []
-                best = max(range(len(scores)), key=scores.__getitem__, default=None)
-                if best is not None and scores[best] >= rename_at:
-                    pair(x, ys.pop(best))
-                else:
-                    rows.append((key, x["section_no"], None, "REMOVED", None))
-            rows.extend((key, None, y["section_no"], "ADDED", None) for y in ys)
-
-        norm = lambda s: " ".join(s["path"].lower().split())
-        for op, i, j, k, n in difflib.SequenceMatcher(None, [norm(s) for s in a], [norm(s) for s in b], autojunk=False).get_opcodes():
-            if op == "equal":
-                for x, y in zip(a[i:j], b[k:n], strict=True):
-                    pair(x, y)
-            else:
-                leftovers(a[i:j], b[k:n])
-        out = pd.DataFrame(rows, columns=["source_id", "old_no", "new_no", "change", "similarity"])
-        return out.astype({"old_no": "Int32", "new_no": "Int32"})
+    by their path; what is left between two matches is paired by likeness of text.
 
-    return old.groupBy("source_id").cogroup(new.groupBy("source_id")).applyInPandas(task, _ALIGNED)
+    Only numbers and path hashes of a document meet in one group; texts travel
+    with their pair or gap.  In a gap each old section takes the most alike new
+    one that is left, if that is ``rename_at`` or more alike; those that can't
+    be are not compared (:class:`matching.Likeness`), however many there are.
+    """
+    old, new = written(old.select("source_id", "section_no", "heading", "path", "text"), "old"), written(new.select("source_id", "section_no", "heading", "path", "text"), "new")
+    keys = lambda s: s.select("source_id", "section_no", F.xxhash64(path_key(F.col("path"))).alias("key")).groupBy("source_id")
+    places = written(keys(old).cogroup(keys(new)).applyInPandas(_in_order, _PLACES), "places")
+    side = lambda s, no, other: s.withColumnRenamed("section_no", no).join(places.where(f"{no} is not null").hint("shuffle_merge"), ["source_id", no]).select("source_id", no, other, F.col("gap").alias("gap"), "heading", "text")
+    a, b = side(old, "old_no", "new_no"), side(new, "new_no", "old_no")
+    both = a.where("gap is null").drop("gap").join(b.where("gap is null").select("source_id", "new_no", F.col("heading").alias("new_heading"), F.col("text").alias("new_text")).hint("shuffle_merge"), ["source_id", "new_no"])
+    same = (F.col("text") == F.col("new_text")) & (path_key(F.col("heading")) == path_key(F.col("new_heading")))
+    likeness = F.when(same, 1.0).otherwise(text_similarity(F.col("text"), F.col("new_text")))
+    matched = both.select("source_id", "old_no", "new_no", F.when(same, "UNCHANGED").otherwise("MODIFIED").alias("change"), likeness.alias("similarity"))
+
+    def leftovers(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        x, y = x.sort_values("old_no"), y.sort_values("new_no")
+        numbers, headings, texts = y["new_no"].tolist(), y["heading"].tolist(), y["text"].tolist()
+        among, rows = matching.Likeness(texts), []
+        for no, heading, text in zip(x["old_no"], x["heading"], x["text"], strict=True):
+            found = among.take(text, rename_at)
+            if found is None:
+                rows.append((key[0], no, None, "REMOVED", None))
+            else:
+                alike = text == texts[found[0]] and heading.lower().split() == headings[found[0]].lower().split()
+                rows.append((key[0], no, numbers[found[0]], "UNCHANGED" if alike else "MODIFIED", found[1]))
+        rows += [(key[0], None, numbers[i], "ADDED", None) for i in among.left.nonzero()[0]]
+        return pd.DataFrame(rows, columns=["source_id", "old_no", "new_no", "change", "similarity"]).astype({"old_no": "Int64", "new_no": "Int64"})
+
+    gaps = lambda s, no: s.where("gap is not null").select("source_id", "gap", no, "heading", "text").groupBy("source_id", "gap")
+    rest = gaps(a, "old_no").cogroup(gaps(b, "new_no")).applyInPandas(leftovers, _RENAMED)
+    return matched.unionByName(rest).select("source_id", F.col("old_no").cast("int").alias("old_no"), F.col("new_no").cast("int").alias("new_no"), "change", "similarity")
 
 
 def _cut(text: str, size: int) -> list[str]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.functions import scalars as S
+from ledgerline.operators import matching
 
 #: Phrases of pay rules, and those that weigh more.
 PHRASES = ("luong co ban", "tien luong", "bang luong", "ngay cong", "cong chuan", "phu cap", "tang ca", "lam them", "bao hiem", "bhxh", "bhyt", "bhtn", "thue thu nhap", "thue tncn", "tam ung", "khau tru", "thuong", "don gia", "salary", "allowance", "overtime", "insurance", "deduction", "tax", "payroll")
@@ -155,20 +154,17 @@ def evidence_rows(chosen: DataFrame, cut: int = 500) -> DataFrame:
 
 
 def citation_check(citations: DataFrame, evidence: DataFrame, min_similarity: float = 0.8) -> DataFrame:
-    """Adds ``issue`` (null: valid) and ``similarity`` of quotes to their evidence."""
+    """Adds ``issue`` (null: valid) and ``similarity`` of quotes to their evidence.
+
+    A quote that isn't in its source is compared with the stretch of it that
+    begins with their longest common block, found in time linear in the source
+    (:func:`matching.quoted`).
+    """
     flat = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
 
     @F.pandas_udf("double")
     def likeness(quotes: pd.Series, sources: pd.Series) -> pd.Series:
-        def ratio(q: str | None, s: str | None) -> float | None:
-            if q is None or s is None:
-                return None
-            if not q or q in s:
-                return 1.0
-            m = difflib.SequenceMatcher(None, q, s, autojunk=False).find_longest_match()
-            return difflib.SequenceMatcher(None, q, s[m.b : m.b + max(m.size, len(q))], autojunk=False).ratio()
-
-        return pd.Series([ratio(q, s) for q, s in zip(quotes, sources, strict=True)])
+        return pd.Series([None if q is None or s is None else matching.quoted(q, s) for q, s in zip(quotes, sources, strict=True)])
 
     joined = citations.join(evidence.select("evidence_id", F.col("text").alias("source")).hint("shuffle_merge"), "evidence_id", "left")
     rows = joined.withColumn("similarity", likeness(flat(F.col("quote")), flat(F.col("source"))))

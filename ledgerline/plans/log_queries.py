@@ -184,11 +184,15 @@ def i8(spark, d):
 
 @query("d16_citation")
 def d16(spark, d):
-    """Quotes cut from documents: whole, with a number added, of a wrong id, garbled, or none."""
+    """Quotes of varied place and length: exact, with a number added, of a wrong id, with words put in or left out, reversed, or none."""
     k = F.col("doc_id")
     docs = table(spark, d, "documents")
-    quote = F.when(k % 5 == 0, F.substring("text", 10, 40)).when(k % 5 == 1, F.concat(F.substring("text", 10, 40), F.lit(" 987654321"))).when(k % 5 == 2, F.substring("text", 10, 40)).when(k % 5 == 3, F.reverse(F.substring("text", 10, 40)))
-    cites = docs.select("doc_id", F.when(k % 5 == 2, -1 - k).otherwise(k).alias("evidence_id"), quote.alias("quote"))
+    cut = F.substring("text", (k * 37 % F.greatest(F.col("n_chars") - 60, F.lit(1)) + 1).cast("int"), (20 + k * 11 % 180).cast("int"))
+    half = (F.char_length(cut) / 2).cast("int")
+    left, right = F.substring(cut, F.lit(1), half), F.substring(cut, half + 1, F.lit(1 << 20))
+    kinds = [cut, F.concat(cut, F.lit(" 987654321")), cut, F.concat(left, F.lit(" also "), right), F.concat(left, F.substring(right, 7, 1 << 20)), F.reverse(cut), F.concat(F.substring(left, 3, 1 << 20), F.lit("so"), right, F.lit(" or not"))]
+    quote = F.coalesce(*[F.when(k % 8 == i, x) for i, x in enumerate(kinds)])
+    cites = docs.select("doc_id", F.when(k % 8 == 2, -1 - k).otherwise(k).alias("evidence_id"), quote.alias("quote"))
     return R.citation_check(cites, docs.select(k.alias("evidence_id"), "text")).select("doc_id", "issue", F.round("similarity", 6).alias("similarity"))
 
 

@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession, kind: str = "table") -> str:
+    """A new folder below ``spark.checkpoint.dir``; a session of one machine that names none gets a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file:///tmp/ledgerline-shared"
+    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written once to the shared folder and read from there: what follows doesn't repeat it."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_inputs(spark: SparkSession, path: str, format: str = "parquet", schema: str | None = None, **options) -> DataFrame:  # noqa: A002
     """Tables that stand in for uploaded sheets: parquet, orc, csv or json."""
     if format in ("csv", "json") and schema is None:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators import changes, documents, formulas, grid, logs, payroll, registry, retrieval
+from ledgerline.operators import changes, documents, formulas, grid, logs, matching, payroll, registry, retrieval
 from ledgerline.plans import catalog
 from ledgerline.sources import io
 
@@ -41,8 +41,8 @@ def test_versions(spark):
     new = spark.createDataFrame([(1, 0, "A", "A", "one two three"), (1, 1, "B2", "B2", "pay is 500000 per month for all"), (1, 2, "D", "D", "###")], t)
     got = [(r["old_no"], r["new_no"], r["change"]) for r in documents.align_sections(old, new).collect()]
     assert got == [(0, 0, "UNCHANGED"), (1, 1, "MODIFIED"), (2, None, "REMOVED"), (None, 2, "ADDED")]
-    assert documents._word_ops("pay 450 now", "pay 500 now") == [{"op": "equal", "old": "pay ", "new": "pay "}, {"op": "replace", "old": "450", "new": "500"}, {"op": "equal", "old": " now", "new": " now"}]
-    assert documents.similarity("", "") == 1.0 and documents.similarity("ab", "ac") == 0.5
+    assert matching.word_edits("pay 450 now", "pay 500 now") == [{"op": "equal", "old": "pay ", "new": "pay "}, {"op": "replace", "old": "450", "new": "500"}, {"op": "equal", "old": " now", "new": " now"}]
+    assert matching.similarity("", "") == 1.0 and matching.similarity("ab", "ac") == 0.5
 
 
 def test_grid(spark):
