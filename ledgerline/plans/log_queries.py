@@ -8,8 +8,10 @@ from ledgerline.functions import scalars as S
 from ledgerline.operators import logs as L
 from ledgerline.operators import registry as G
 from ledgerline.operators import retrieval as R
+from ledgerline.operators.lexical_index import LexicalIndex
 from ledgerline.plans.base import query, table
 from ledgerline.plans.change_queries import DECIDED, access_items, askers
+from ledgerline.sources.io import shared_folder
 from ledgerline.streaming import logs as ST
 
 USAGE = "usage AS (SELECT user_id AS case_id, event_type AS model, CASE WHEN event_id % 3 = 0 THEN 'plan' ELSE 'react' END AS phase, CAST(floor(abs(value)) AS BIGINT) AS input_tokens, event_id % 50 AS output_tokens, CAST(floor(abs(value)) AS BIGINT) + event_id % 50 + CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END AS total_tokens, CAST(event_id % 4 AS INT) - CASE WHEN event_id % 101 = 0 THEN 9 ELSE 0 END AS tool_calls, CASE WHEN event_id % 10 > 0 THEN event_id % 900 END AS latency_ms, CAST((event_id % 1000) / 1000.0 AS DECIMAL(18, 6)) AS cost, ts AS recorded_at, event_id FROM events)"
@@ -92,6 +94,19 @@ def i1(spark, d):
     return R.term_stats(chunks(spark, d))
 
 
+_INDEXES: dict[tuple, LexicalIndex] = {}
+
+
+def lexical_index(spark, d):
+    """The index of all documents: made once for a session and a state of the table's files, then only read."""
+    files = table(spark, d, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.bit_xor(F.xxhash64("file_path", "file_size", "file_modification_time"))).first()[0]
+    key = (spark.sparkContext.applicationId, d, state)
+    if key not in _INDEXES:
+        _INDEXES[key] = LexicalIndex(spark, shared_folder(spark, "lexical")).append(chunks(spark, d))
+    return _INDEXES[key]
+
+
 def lexical_queries(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
 
@@ -104,7 +119,7 @@ lex AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY round(
 
 @query("i2_bm25", f"WITH {_BM25} SELECT query, rank, chunk, round(score, 6) AS score FROM lex WHERE rank <= 5")
 def i2(spark, d):
-    return R.bm25_topk(chunks(spark, d), lexical_queries(spark, d)).withColumn("score", F.round("score", 6))
+    return lexical_index(spark, d).topk(lexical_queries(spark, d)).withColumn("score", F.round("score", 6))
 
 
 _VEC = "vq AS (SELECT vec_id AS query, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0), vs AS (SELECT query, vec_id AS chunk, list_sum(list_transform(list_zip(embedding, qv), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) AS score FROM embeddings, vq), den AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, chunk) AS INTEGER) AS rank, chunk, score FROM vs)"
@@ -126,14 +141,14 @@ def i3(spark, d):
 
 @query("i4_rrf", f"WITH {_BM25}, {_VEC}, u AS (SELECT query, chunk, 1 / (60 + rank) AS p FROM lex WHERE rank <= 5 UNION ALL SELECT query, chunk, 1 / (60 + rank) FROM den WHERE rank <= 5), f AS (SELECT query, chunk, sum(p) AS score FROM u GROUP BY ALL) SELECT query, rank, chunk, round(score, 9) AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, chunk) AS INTEGER) AS rank FROM f) WHERE rank <= 5")
 def i4(spark, d):
-    lexical = R.bm25_topk(chunks(spark, d), lexical_queries(spark, d))
+    lexical = lexical_index(spark, d).topk(lexical_queries(spark, d))
     return R.rrf(dense(spark, d), lexical).withColumn("score", F.round("score", 9))
 
 
 def _search(spark, d, queries, k=5):
     """Each query is asked by each asker; what an asker may not see isn't ranked."""
     seen = G.access_decisions(access_items(spark, d), askers(spark)).where("reason is null").select("asker", F.col("doc_id").alias("chunk"))
-    return R.search(chunks(spark, d), queries, seen, k).withColumn("score", F.round("score", 6))
+    return lexical_index(spark, d).search(queries, seen, k).withColumn("score", F.round("score", 6))
 
 
 _SEARCH = "al AS (SELECT asker || '/' || query AS query, chunk, score FROM lex JOIN dec ON chunk = doc_id AND reason IS NULL) SELECT query, rank, chunk, round(score, 6) AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, chunk) AS INTEGER) AS rank FROM al) WHERE rank <= 5"
@@ -198,8 +213,8 @@ def d16(spark, d):
 
 @query("j1_stream_meter", f"WITH {USAGE} SELECT date_trunc('day', recorded_at) AS window_start, model, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM usage GROUP BY ALL")
 def j1(spark, d):
-    out = ST.run_complete(ST.token_meter(_usage(streamed(spark, d))))
-    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    """The files are one batch for the watermark, so none of their rows is late."""
+    return ST.run_meter(_usage(streamed(spark, d))).rows().withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("j2_stream_guard", _GUARDED)
@@ -209,11 +224,11 @@ def j2(spark, d):
 
 @query("j3_stream_dedup", "SELECT DISTINCT user_id || '/' || event_type AS key FROM events")
 def j3(spark, d):
-    """One result for each user and kind of event, however often it's sent."""
+    """One result for each user and kind of event, however often and late it is sent."""
     keyed = streamed(spark, d).select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
-    return ST.run_to_parquet(ST.dedup(keyed, "key", "ts")).select("key")
+    return ST.run_once(keyed, "key", "ts").rows().select("key")
 
 
 @query("j4_stream_audit", """SELECT '{"event_type":"agent.step","payload":"{\\"event_id\\":' || event_id || '}","actor":"system","timestamp":"' || user_id || '"}' AS value FROM events""")
 def j4(spark, d):
-    return ST.run_audit(streamed(spark, d), "agent.step", "system", "user_id", "event_id")
+    return ST.run_audit(streamed(spark, d), "agent.step", "system", "user_id", "event_id").rows()
