@@ -1,0 +1,226 @@
+"""Collocations, prefix tries and toxicity against brute force, with their edge cases."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from ledgerline.llm import _text as X
+from ledgerline.llm import collocations, license_scan, line_dedup, prefix_trie, toxicity
+
+# --- collocations
+
+
+def plain_phrases(docs, min_count):
+    f, n = defaultdict(Counter), Counter()
+    for text, lang in docs:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            w = [x for x in re.split(r"[ \t]+", piece) if x]
+            n[lang or "und"] += len(w)
+            for k in range(1, 5):
+                f[lang or "und"].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    return {lang: {p: c for p, c in some.items() if c >= min_count} for lang, some in f.items()}, n
+
+
+def plain_collocations(docs, min_count, top, covered):
+    found, totals = plain_phrases(docs, min_count)
+    rows = []
+    for lang, f in found.items():
+        kept = []
+        for p, a in f.items():
+            if len(p) < 2 or any(100 * c >= covered * a for q, c in f.items() if len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1))):
+                continue
+            score, _, left, right = min((2_000_000 * a // (f[p[:k]] + f[p[k:]]), k, f[p[:k]], f[p[k:]]) for k in range(1, len(p)))
+            kept.append((-score, -a, " ".join(p).encode(), left, right))
+        rows += [(lang, i + 1, p.decode(), -a, left, right, totals[lang], -s) for i, (s, a, p, left, right) in enumerate(sorted(kept)[:top])]
+    return sorted(rows)
+
+
+def phrase_docs(seed, n=160):
+    rng = random.Random(seed)
+    words = ["The", "the", "of", "Ä", "ü", "x1", "a-b", "new", "york", "city"]
+    docs = []
+    for _ in range(n):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", " ", "\t ", ". ", "\n", "!?"]) for _ in range(rng.randint(0, 60)))
+        docs.append((rng.choice([text, text.upper(), None, ""]) if rng.random() < 0.2 else text, rng.choice(["en", "de", None, "und"])))
+    return docs + [("rare pair " * 3, "en"), ("only here", "fr")]
+
+
+def test_collocations_against_brute_force(spark):
+    docs = phrase_docs(1)
+    table = spark.createDataFrame(docs, "text string, lang string").withColumns({"key": F.lit(1), "level": F.lit("x"), "n": F.lit(0)})
+    for options in ({"min_count": 4, "top": 2000, "covered": 80, "sample_every": 8}, {"min_count": 9, "top": 15, "covered": 60, "sample_every": 1}):
+        got = sorted(map(tuple, collocations.collocations(table, **options).collect()))
+        assert got == plain_collocations(docs, options["min_count"], options["top"], options["covered"])
+
+
+def test_border_failures_are_followed(spark):
+    """Nothing of the table is in the sample, so every level fails once before the mining is closed."""
+    docs = [("alpha beta gamma delta epsilon", "en")] * 40 + [(f"filler{i} words{i}", "en") for i in range(40)]
+    table = spark.createDataFrame(docs, "text string, lang string")
+    passes = []
+    apart = lambda n: table.where("text like 'alpha%'").select((F.pmod(F.xxhash64("text"), F.lit(n)) != 0).alias("x")).first()["x"]
+    every = next(n for n in range(5, 12) if apart(n))
+    phrases, _ = collocations.frequent_phrases(table, 30, every, lambda i, df: passes.append({r["level"] for r in df.collect()}))
+    want, _ = plain_phrases(docs, 30)
+    assert {tuple(r["phrase"].split(" ")): r["f"] for r in phrases.collect()} == want["en"]
+    assert passes[:4] == [{0, 1}, {2}, {3}, {4}]
+
+
+def test_collocations_edge_cases(spark):
+    assert collocations.collocations(spark.createDataFrame([], "text string, lang string")).count() == 0
+    one = spark.createDataFrame([(None, "en"), ("", None), (" .,", "en")], "text string, lang string")
+    assert collocations.collocations(one, min_count=1).count() == 0
+    long = spark.range(1).select(F.repeat(F.lit("big apple "), 200_000).alias("text"), F.lit("en").alias("lang"))
+    rows = collocations.collocations(long, covered=101).collect()
+    assert {r["phrase"]: r["a"] for r in rows}["big apple"] == 200_000 and rows[0]["n"] == 400_000
+
+
+# --- prefix tries
+
+
+def plain_trie(turns):
+    convs = defaultdict(list)
+    for c, turn, role, text in turns:
+        if c is not None:
+            role, text = role or "", text or ""
+            key = hashlib.md5(f"{len(role)}:{role}{text}".encode()).hexdigest()
+            convs[c].append(((turn is not None, turn or 0), key, (role, text)))
+    convs = {c: [t for _, _, t in sorted(x)] for c, x in convs.items()}
+    nodes = defaultdict(list)
+    rebuilt = {}
+    for c, own in convs.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        base = c - int(c / 100) * 100
+        rebuilt[c] = tuple(convs.get(c - base, [])[:h] + own[h:])
+        for d in range(len(rebuilt[c]) + 1):
+            nodes[rebuilt[c][:d]].append(c)
+    kids = defaultdict(list)
+    for p in nodes:
+        if p:
+            kids[p[:-1]].append(p)
+    rows = []
+    for p, members in nodes.items():
+        below, todo = [], [p]
+        while todo:
+            q = todo.pop()
+            below.append(q)
+            todo += kids[q]
+        ends = ",".join(map(str, sorted(c for c in members if rebuilt[c] == p)))
+        rows.append((min(members), len(p), min(nodes[p[:-1]]) if p else None, len(members), len(kids[p]), sum(not kids[q] for q in below), sum((len(nodes[q]) - 1) * len(q[-1][1]) for q in below if q), hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(rows, key=str)
+
+
+def trie_turns(seed, n=260):
+    rng = random.Random(seed)
+    rows = []
+    for c in rng.sample(range(-150, 1000), n):
+        for turn in range(rng.choice([1, 2, 3, 8])):
+            rows.append((c, rng.choice([turn, turn, None]) if c % 7 == 0 else turn, rng.choice(["user", "bot", None]), rng.choice(["", None, "hi", "grüße 😀", "a longer one"])))
+    return rows + [(None, 0, "user", "lost"), rows[0]]
+
+
+def test_trie_against_brute_force(spark):
+    turns = trie_turns(3)
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({"seq": F.lit(1), "box": F.lit("x"), "n": F.lit(2)})
+    want = plain_trie(turns)
+    for capacity in (1, 2, 7, 10_000):
+        got = sorted(map(tuple, prefix_trie.conversation_trie(table, capacity).collect()), key=str)
+        assert got == want, capacity
+
+
+def test_trie_of_copies_and_long_conversations(spark):
+    """3,000 equal conversations beside some with 300 shared turns that part late."""
+    copies = [(c, 0, "user", "same") for c in range(1000, 4000)]
+    long = [(c, t, "user", f"turn {t}" if t < 300 or c == 5000 else f"{c} {t}") for c in (5000, 5101, 5202, 5303) for t in range(305)]
+    turns = copies + long
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    want = plain_trie(turns)
+    for capacity in (2, 256):
+        assert sorted(map(tuple, prefix_trie.conversation_trie(table, capacity).collect()), key=str) == want
+
+
+def test_trie_edge_cases(spark):
+    t = "conv_id long, turn long, role string, text string"
+    assert prefix_trie.conversation_trie(spark.createDataFrame([], t)).count() == 0
+    only = spark.createDataFrame([(7, None, None, None)], t)
+    assert sorted(map(tuple, prefix_trie.conversation_trie(only).collect()), key=str) == plain_trie([(7, None, None, None)])
+    big = [(100, 0, "user", "x" * 2_000_000), (101, 0, "user", "x" * 2_000_000)]
+    assert sorted(map(tuple, prefix_trie.conversation_trie(spark.createDataFrame(big, t)).collect()), key=str) == plain_trie(big)
+
+
+# --- toxicity
+
+
+def auc(scores, labels):
+    good, bad = np.sort(scores[labels == 0]), scores[labels == 1]
+    return float((np.searchsorted(good, bad, "left") + np.searchsorted(good, bad, "right")).mean() / 2 / len(good))
+
+
+def test_channel(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    channel = toxicity.Channel(toxicity.language_model(docs))
+    for written, meant in {"1d10t": "idiot", "m0r0n": "moron", "tr@sh": "trash", "$cum": "scum", "mooooron": "moron", "worth1ess": "worthless", "7be4b2ced": "7be4b2ced", "clean": "clean"}.items():
+        assert channel.decode(written) == meant
+    assert channel.decode("m-o-r-o-n", True) == "moron" and channel.decode("t r 4 s h", True) == "trash"
+    texts = ["An 1D10T and m o r o n. fine", "call 555-1234 now", "", "stuuuupid éàç CL0WN", "x" * 90 + "1", None]
+    for _, _, data, offsets in X.blocks(pa.array(texts)):
+        data, offsets = channel.restore(data, offsets)
+        got = [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    assert got == ["An idiot and moron. fine", "call 555-1234 now", "", "stupid éàç clown", "x" * 90 + "1", ""]
+    apart = "a b c d " * 30_000  # one stretch of single letters
+    for _, _, data, offsets in X.blocks(pa.array([apart, "x y"])):
+        data, offsets = channel.restore(data, offsets)
+        assert offsets[-1] == len(data) and data[offsets[1] :].tobytes() == b"x y"
+
+
+def test_language_model_counts_all_texts(spark):
+    docs = spark.createDataFrame([("Ab, ab", ), (None, ), ("é1", )], "text string")
+    rows = {r["gram"]: r["n"] for r in docs.where("text is not null").mapInArrow(toxicity._grams, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+    s = toxicity.SYMBOLS
+    a, b = 1, 2
+    assert rows == {a: 2, a * s + b: 2, (a * s + b) * s: 2, toxicity.OTHER: 1, toxicity.OTHER * s + toxicity.DIGIT: 1, (toxicity.OTHER * s + toxicity.DIGIT) * s: 1}
+
+
+def test_held_out_toxicity(spark):
+    """Disguised and plain toxic documents of the fifth of ids that no label is learned from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
+    got = toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score").join(labels.hint("shuffle_merge"), "doc_id").where("held_out").toPandas()
+    assert auc(got["score"].to_numpy(), got["toxic"].to_numpy()) > 0.95
+    assert ((got["score"] >= 0.5) & (got["toxic"] == 0)).mean() < 0.01
+    said = "the thing is that you are a {} and so is the other one"
+    told = spark.createDataFrame([(1, said.format("m0r0n")), (2, said.format("i-d-i-o-t")), (3, said.format("clowwwwn")), (4, said.format("thing")), (5, None), (6, "")], "doc_id long, text string")
+    rows = {r["doc_id"]: r["score"] for r in toxicity.score(told, model).collect()}
+    assert min(rows[1], rows[2], rows[3]) > rows[4] >= rows[5] == rows[6]
+
+
+def test_toxicity_edge_cases(spark):
+    docs = spark.createDataFrame([(1, "you idiot", 0), (1, "you idiot", 0), (None, "x", 1), (3, None, 2), (4, "word " * 300_000, 3)], "doc_id long, text string, score int")
+    none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    assert [(r["score"], r["predicted"]) for r in toxicity.toxicity(docs, none).collect()] == [(0.0, 0)] * 5
+    one = spark.createDataFrame([(2, 1, 0), (None, 0, 0), (3, None, 0)], "doc_id long, toxic int, quality int")
+    assert {r["score"] for r in toxicity.toxicity(docs, one).collect()} == {1.0}
+    assert toxicity.toxicity(docs.limit(0), none).count() == 0
+    assert toxicity.toxicity(docs, none).schema.simpleString() == "struct<doc_id:bigint,held_out:boolean,score:double,predicted:int>"
+    both = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (3, 0, 0), (4, 0, 0), (2, 0, 0)], "doc_id long, toxic int, quality int")
+    rows = toxicity.toxicity(docs, both, least=1, odds=1.0).collect()
+    assert len(rows) == 5 and len({r["score"] for r in rows if r["doc_id"] == 1}) == 1
+
+
+# --- texts with very many lines
+
+
+def test_line_dedup_of_a_text_of_many_lines(spark, tmp_path):
+    lines = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda x: F.concat(F.lit("a line of more than forty characters, number "), x.cast("string"))), "\n")
+    spark.range(5).select(F.col("id").alias("doc_id"), lines.alias("text")).write.parquet(f"file://{tmp_path}/d")
+    docs = spark.read.parquet(f"file://{tmp_path}/d")
+    assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"]) for r in line_dedup.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped").collect()) == [(i, 200_000, 200_000 if i < 4 else 0) for i in range(5)]
+    files = docs.limit(1).select("doc_id", F.lit("a/b").alias("path"), F.concat("text", F.lit("\nLicensed under the Apache License, Version 2.0")).alias("text"))
+    assert [(r["license"], r["line"]) for r in license_scan.scan(files).collect()] == [("Apache-2.0", 200_000)]
