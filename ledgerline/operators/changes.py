@@ -96,7 +96,7 @@ def draft_operations(items: DataFrame) -> DataFrame:
 
 def op_checks(ops: DataFrame, items: DataFrame) -> DataFrame:
     """(check, key): operations outside their set, and targets hit twice."""
-    stray = ops.join(items.select("item_id", "changeset_id"), ["item_id", "changeset_id"], "left_anti").select(F.lit("not_in_set").alias("check"), F.col("op_id").cast("string").alias("key"))
+    stray = ops.join(items.select("item_id", "changeset_id").hint("shuffle_merge"), ["item_id", "changeset_id"], "left_anti").select(F.lit("not_in_set").alias("check"), F.col("op_id").cast("string").alias("key"))
     twice = ops.groupBy("changeset_id", "sheet", "cell").count().where("count > 1").select(F.lit("duplicate_target").alias("check"), F.concat_ws("/", F.col("changeset_id").cast("string"), "sheet", "cell").alias("key"))
     return stray.unionByName(twice)
 

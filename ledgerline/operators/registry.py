@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def _by_key():
     return Window.partitionBy("policy_key").orderBy("uploaded", "policy_id")
 
@@ -27,24 +26,49 @@ def category_changes(uploads: DataFrame) -> DataFrame:
     return uploads.withColumn("previous_category", F.lag("category").over(_by_key())).withColumn("changed", F.coalesce(F.col("category") != F.col("previous_category"), F.lit(False)))
 
 
-def overlaps(policies: DataFrame, days: int = 365) -> DataFrame:
+#: Days from the first date that count as one tree's leaves: 1900-01-01 to 2258.
+_LEVELS = 17
+
+
+def _cover(first: Column, last: Column) -> Column:
+    """The fewest whole stretches of 1, 2, 4, ... days that make up the days from ``first`` to ``last``, as (level, place)."""
+
+    def at(k: Column) -> Column:
+        size = F.pow(F.lit(2), k).cast("long")
+        low, high = F.ceil(first / size).cast("long"), F.floor((last + 1) / size).cast("long")
+        odd = low % 2 == 1
+        left = F.when(odd & (low < high), low)
+        right = F.when((high % 2 == 1) & (low + odd.cast("long") < high), high - 1)
+        return F.transform(F.array_compact(F.array(left, right)), lambda x: F.struct(k.cast("int").alias("level"), x.alias("place")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS)), at))
+
+
+def overlaps(policies: DataFrame) -> DataFrame:
     """Pairs of active policies of one category and different keys whose closed
     intervals meet; open ends are null.
 
-    Intervals are cut into bins of ``days`` days and joined on category and
-    bin; a pair counts in the bin where its overlap starts, so it comes once.
+    Of two intervals that meet, one begins within the other (on equal days the
+    smaller id counts as the earlier).  An interval is made up of at most 34
+    dyadic stretches of days, of which exactly one holds a given beginning, and
+    a beginning lies in one stretch of each of 18 sizes.  The two meet by an
+    equality join on category and stretch, so every joined pair is a result and
+    comes once, whatever the intervals' lengths; a category with a third of all
+    intervals is spread over its stretches.
     """
     first, last = F.to_date(F.lit("1900-01-01")), F.to_date(F.lit("2200-12-31"))
     p = policies.where("status = 'active'").select("policy_id", "policy_key", "category", F.coalesce("effective_date", first).alias("lo"), F.coalesce("expiry_date", last).alias("hi"), "effective_date", "expiry_date")
-    bin_of = lambda c: F.floor(F.datediff(c, first) / days)
-    binned = p.withColumn("bin", F.explode(F.sequence(bin_of(F.col("lo")), bin_of(F.col("hi")))))
-    a, b = binned.alias("a"), binned.alias("b").hint("shuffle_merge")
-    start, end = F.greatest("a.lo", "b.lo"), F.least("a.hi", "b.hi")
-    joined = a.join(b, (F.col("a.category") == F.col("b.category")) & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.policy_id") < F.col("b.policy_id")) & (F.col("a.policy_key") != F.col("b.policy_key")) & (start <= end))
-    once = joined.where(F.col("a.bin") == bin_of(start))
+    p = p.where("lo <= hi and category is not null").withColumn("day", F.datediff("lo", first).cast("long")).withColumn("end", F.datediff("hi", first).cast("long"))
+    whole = F.struct("policy_id", "policy_key", "day", "lo", "hi", "effective_date", "expiry_date")
+    a = p.select("category", whole.alias("a"), F.explode(_cover(F.col("day"), F.col("end"))).alias("s")).select("category", "a", "s.level", "s.place")
+    steps = F.transform(F.sequence(F.lit(0), F.lit(_LEVELS)), lambda k: F.struct(k.cast("int").alias("level"), F.floor(F.col("day") / F.pow(F.lit(2), k)).cast("long").alias("place")))
+    b = p.select("category", whole.alias("b"), F.explode(steps).alias("s")).select("category", "b", "s.level", "s.place")
+    earlier = (F.col("a.day") < F.col("b.day")) | (F.col("a.day") == F.col("b.day")) & (F.col("a.policy_id") < F.col("b.policy_id"))
+    met = a.join(b.hint("shuffle_merge"), ["category", "level", "place"]).where(earlier & (F.col("a.policy_key") != F.col("b.policy_key")))
+    start, end = F.col("b.lo"), F.least("a.hi", "b.hi")
     open_start = F.col("a.effective_date").isNull() & F.col("b.effective_date").isNull()
     open_end = F.col("a.expiry_date").isNull() & F.col("b.expiry_date").isNull()
-    return once.select(F.col("a.policy_id").alias("policy_a"), F.col("b.policy_id").alias("policy_b"), F.col("a.category").alias("category"), F.when(~open_start, start).alias("overlap_start"), F.when(~open_end, end).alias("overlap_end"))
+    return met.select(F.least("a.policy_id", "b.policy_id").alias("policy_a"), F.greatest("a.policy_id", "b.policy_id").alias("policy_b"), "category", F.when(~open_start, start).alias("overlap_start"), F.when(~open_end, end).alias("overlap_end"))
 
 
 def check_uploads(uploads: DataFrame, required: tuple[str, ...]) -> DataFrame:
@@ -62,12 +86,15 @@ def access_metadata(company: Column, scope: Column, effective_date: Column, requ
 def access_decisions(items: DataFrame, contexts: DataFrame, max_askers: int = 10_000) -> DataFrame:
     """Items for each asker with the first failing reason (null: visible).
 
-    Every pair is an answer.  Askers of one batch are broadcast if their number,
-    which is checked, allows it; a larger batch is refused and must be cut.
+    Every pair is an answer.  Askers are counted and broadcast in blocks of at
+    most ``max_askers``; the items are read once for each block.
     """
-    if contexts.limit(max_askers + 1).count() > max_askers:
-        raise ValueError(f"more than {max_askers} askers in one batch")
-    met = items.join(F.broadcast(contexts))
+    blocks = max(1, -(-contexts.count() // max_askers))
+    block = F.pmod(F.xxhash64("asker"), F.lit(blocks))
+    # a block by hash holds about max_askers
+    met = items.join(F.broadcast(contexts.where(block == 0)))
+    for i in range(1, blocks):
+        met = met.unionByName(items.join(F.broadcast(contexts.where(block == i))))
     reason = (
         F.when(F.col("item_company").isNotNull() & (F.col("item_company") != F.col("company")), "company")
         .when(F.col("item_scopes").isNotNull() & ~F.arrays_overlap("item_scopes", "scopes"), "scope")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +12,7 @@ from pyspark.sql import types as T
 
 from ledgerline.functions import scalars as S
 from ledgerline.operators import matching
+from ledgerline.sources.io import written
 
 #: Phrases of pay rules, and those that weigh more.
 PHRASES = ("luong co ban", "tien luong", "bang luong", "ngay cong", "cong chuan", "phu cap", "tang ca", "lam them", "bao hiem", "bhxh", "bhyt", "bhtn", "thue thu nhap", "thue tncn", "tam ung", "khau tru", "thuong", "don gia", "salary", "allowance", "overtime", "insurance", "deduction", "tax", "payroll")
@@ -73,36 +76,143 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "chunk", "score")
 
 
+def _best(asked: pd.DataFrame, rows: pd.DataFrame, k: int, metric: str) -> pd.DataFrame:
+    """The best ``k`` of ``rows (chunk, vec)`` for each of ``asked (query, vec)``, with all that tie."""
+    out = [pd.DataFrame({"query": asked["query"].iloc[:0], "chunk": rows["chunk"].iloc[:0], "score": np.zeros(0)})]
+    for length in set(asked["vec"].map(len)) & set(rows["vec"].map(len)):
+        a, b = asked[asked["vec"].map(len) == length], rows[rows["vec"].map(len) == length]
+        x, y = np.stack(a["vec"].to_numpy()), np.stack(b["vec"].to_numpy())
+        for lo in range(0, len(x), 256):
+            s = x[lo : lo + 256] @ y.T
+            if metric == "cosine":
+                s = s / (np.linalg.norm(x[lo : lo + 256], axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
+            n = min(k, len(y))
+            # ties of the rounded score are left to the ranking
+            i, j = np.nonzero(s >= -np.partition(-s, n - 1, axis=1)[:, n - 1 : n] - 2e-9)
+            out.append(pd.DataFrame({"query": a["query"].to_numpy()[lo + i], "chunk": b["chunk"].to_numpy()[j], "score": s[i, j]}))
+    return pd.concat(out)
+
+
+def _vectors(df: DataFrame, name: str) -> DataFrame:
+    return df.where("vec is not null").select(name, F.col("vec").cast("array<double>").alias("vec"))
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "dot", slice_rows: int = 20_000, block: int = 4_000) -> DataFrame:
     """(query, rank, chunk, score) of ``vectors (chunk, vec)`` for ``queries (query, vec)``.
 
-    Vectors are dealt in slices and queries in blocks; each pair is one task's
-    matrix products, which leave the best ``k`` of a slice.  Null vectors, and
-    those of another length than the query's, are not compared.
+    Few vectors are dealt in slices and queries in blocks; each pair is one
+    task's matrix products, which leave the best ``k`` of a slice.  More than
+    one slice of vectors is first dealt to balls (:class:`VectorBalls`).  Null
+    vectors, and those of another length than the query's, are not compared.
     """
-    slices, blocks = max(1, -(-vectors.count() // slice_rows)), max(1, -(-queries.count() // block))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = lambda df, name: df.where("vec is not null").select(name, F.col("vec").cast("array<double>").alias("vec"))
-    v = dealt(vectors, "chunk").withColumn("slice", F.pmod(F.xxhash64("chunk"), F.lit(slices)).cast("int")).withColumn("block", every(blocks))
-    q = dealt(queries, "query").withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("slice", every(slices))
-
-    def best(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query": asked["query"].iloc[:0], "chunk": rows["chunk"].iloc[:0], "score": np.zeros(0)})]
-        for length in set(asked["vec"].map(len)) & set(rows["vec"].map(len)):
-            a, b = asked[asked["vec"].map(len) == length], rows[rows["vec"].map(len) == length]
-            x, y = np.stack(a["vec"].to_numpy()), np.stack(b["vec"].to_numpy())
-            for lo in range(0, len(x), 256):
-                s = x[lo : lo + 256] @ y.T
-                if metric == "cosine":
-                    s = s / (np.linalg.norm(x[lo : lo + 256], axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
-                n = min(k, len(y))
-                # ties of the rounded score are left to the ranking
-                i, j = np.nonzero(s >= -np.partition(-s, n - 1, axis=1)[:, n - 1 : n] - 2e-9)
-                out.append(pd.DataFrame({"query": a["query"].to_numpy()[lo + i], "chunk": b["chunk"].to_numpy()[j], "score": s[i, j]}))
-        return pd.concat(out)
-
+    n = vectors.count()
+    if n > slice_rows:
+        return VectorBalls(vectors, metric, slice_rows=slice_rows, rows=n).topk(queries, k)
+    blocks = max(1, -(-queries.count() // block))
+    v = _vectors(vectors, "chunk").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    q = _vectors(queries, "query").withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
     schema = T.StructType([queries.schema["query"], vectors.schema["chunk"], T.StructField("score", T.DoubleType())])
-    return ranked(q.groupBy("slice", "block").cogroup(v.groupBy("slice", "block")).applyInPandas(best, schema), k)
+    return ranked(q.groupBy("block").cogroup(v.groupBy("block")).applyInPandas(lambda a, b: _best(a, b, k, metric), schema), k)
+
+
+class VectorBalls:
+    """Vectors in balls around pivots, with exact search that leaves out far balls.
+
+    Pivots are vectors of the table with the smallest hashes, at most
+    ``max_pivots`` (about the square root of all).  Each vector goes to its
+    nearest pivot of equal length; a ball keeps its radius and its number of
+    rows.  An inner product with a member is at most that with the pivot plus
+    the query's norm times the radius.  Each query is scored in the balls with
+    the highest bounds first; its k-th score then rules out the balls whose
+    bound is lower.  Balls of more than ``slice_rows`` rows are split by hash.
+    Cosine is the inner product of vectors divided by their norms.
+    """
+
+    def __init__(self, vectors: DataFrame, metric: str = "dot", max_pivots: int = 1024, slice_rows: int = 20_000, rows: int | None = None):
+        self.metric, self.slice_rows, self.kind = metric, slice_rows, vectors.schema["chunk"]
+        rows = vectors.count() if rows is None else rows
+        v = _vectors(vectors, "chunk")
+        most = min(max_pivots, max(1, int(rows**0.5)))
+        chosen = v.where(F.size("vec") > 0).orderBy(F.xxhash64("chunk", "vec")).limit(most).select("vec").collect()  # bounded by max_pivots
+        pivots: dict[int, list] = {}
+        for r in chosen:
+            x = np.array(r["vec"])
+            pivots.setdefault(len(x), []).append(x)
+        self.lengths, self.first, at = {}, {}, 0
+        for length, some in sorted(pivots.items()):
+            self.lengths[length], self.first[length] = self._unit(np.stack(some)), at
+            at += len(some)
+        lengths, first, unit = self.lengths, self.first, self._unit
+
+        def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                size = f["vec"].map(len)
+                # vectors of a length without a pivot share the ball of minus their length
+                ball, far = -size.to_numpy(np.int64), np.full(len(f), np.inf)
+                for length, p in lengths.items():
+                    some = (size == length).to_numpy()
+                    if some.any():
+                        x = unit(np.stack(f["vec"].to_numpy()[some]))
+                        d = (x * x).sum(1)[:, None] - 2 * x @ p.T + (p * p).sum(1)[None, :]
+                        near = d.argmin(1)
+                        ball[some], far[some] = near + first[length], np.sqrt(np.maximum(d[np.arange(len(near)), near], 0))
+                yield f.assign(ball=ball, far=far)
+
+        schema = T.StructType([*v.schema.fields, T.StructField("ball", T.LongType()), T.StructField("far", T.DoubleType())])
+        dealt = written(v.mapInPandas(deal, schema), "balls")
+        #: (ball, radius, n): at most one row for each pivot and for each length without one.
+        self.balls = written(dealt.groupBy("ball").agg(F.max("far").alias("radius"), F.count("*").alias("n")), "radii")
+        salts = F.greatest(F.lit(1), F.ceil(F.col("n") / slice_rows)).cast("int")
+        self.rows = dealt.join(self.balls.hint("shuffle_hash"), "ball").select("chunk", "vec", "ball", F.pmod(F.xxhash64("chunk"), salts).cast("int").alias("salt"))
+
+    def _unit(self, x: np.ndarray) -> np.ndarray:
+        if self.metric != "cosine":
+            return x
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where(norm > 0, norm, 1)
+
+    def bounds(self, queries: DataFrame) -> DataFrame:
+        """(query, vec, ball, salts, bound) of every query and ball of its length."""
+        lengths, first, unit = self.lengths, self.first, self._unit
+        told = {r["ball"]: (r["radius"], r["n"]) for r in self.balls.limit(1 << 16).collect()}
+        slice_rows, q = self.slice_rows, _vectors(queries, "query")
+
+        def bound(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                for query, vec in zip(f["query"], f["vec"], strict=True):
+                    p, balls, limit = lengths.get(len(vec)), [], []
+                    if p is not None:
+                        x = unit(np.asarray(vec)[None, :])[0]
+                        dots, norm = p @ x, float(np.linalg.norm(x))
+                        balls = [i for i in range(first[len(vec)], first[len(vec)] + len(p)) if i in told]
+                        limit = [float(dots[i - first[len(vec)]]) + norm * told[i][0] for i in balls]
+                    if -len(vec) in told:
+                        balls, limit = [*balls, -len(vec)], [*limit, np.inf]
+                    yield pd.DataFrame({"query": [query] * len(balls), "vec": [vec] * len(balls), "ball": balls, "salts": [max(1, -(-told[i][1] // slice_rows)) for i in balls], "bound": limit}).astype({"ball": "int64", "salts": "int32", "bound": "float64"})
+
+        schema = T.StructType([*q.schema.fields, T.StructField("ball", T.LongType()), T.StructField("salts", T.IntegerType()), T.StructField("bound", T.DoubleType())])
+        return q.mapInPandas(bound, schema)
+
+    def scored(self, asked: DataFrame, k: int) -> DataFrame:
+        """(query, chunk, score): of each ball in ``asked (query, vec, ball, salts)`` the best ``k``."""
+        metric = self.metric
+        q = asked.select("query", "vec", "ball", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        schema = T.StructType([asked.schema["query"], self.kind, T.StructField("score", T.DoubleType())])
+        return q.groupBy("ball", "salt").cogroup(self.rows.groupBy("ball", "salt")).applyInPandas(lambda a, b: _best(a, b, k, metric), schema)
+
+    def plan(self, queries: DataFrame, k: int, first: int = 4) -> tuple[DataFrame, DataFrame]:
+        """(what the first balls give, the balls that can still hold one of the best ``k``)."""
+        order = Window.partitionBy("query").orderBy(F.desc("bound"), "ball")
+        every = written(self.bounds(queries).withColumn("nth", F.row_number().over(order)), "bounds")
+        begun = written(self.scored(every.where(F.col("nth") <= first), k), "first")
+        kth = begun.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("nth") == k).select("query", F.col("score").alias("floor"))
+        rest = every.where(F.col("nth") > first).join(kth.hint("shuffle_hash"), "query", "left").where("floor is null or bound >= floor - 1e-6")
+        return begun, written(rest.select("query", "vec", "ball", "salts"), "rest")
+
+    def topk(self, queries: DataFrame, k: int = 5) -> DataFrame:
+        """(query, rank, chunk, score), as by comparing all."""
+        begun, rest = self.plan(queries, k)
+        return ranked(begun.unionByName(self.scored(rest, k)), k)
 
 
 def rrf(*lists: DataFrame, k: int = 60, top_k: int = 5) -> DataFrame:

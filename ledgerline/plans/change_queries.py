@@ -46,7 +46,7 @@ def checked(spark, d):
     i = items(spark, d)
     fab = C.fabricated_refs(i, evidence(spark)).groupBy("item_id").agg(F.collect_set("ref").alias("fabricated"))
     dep = C.dependents(i, edges(spark))
-    joined = i.join(fab, "item_id", "left").join(dep, "item_id", "left").withColumn("fabricated", F.coalesce("fabricated", F.array().cast("array<string>")))
+    joined = i.join(fab.hint("shuffle_merge"), "item_id", "left").join(dep.hint("shuffle_merge"), "item_id", "left").withColumn("fabricated", F.coalesce("fabricated", F.array().cast("array<string>")))
     n = F.coalesce(F.size("dependency_ids"), F.lit(0))
     return C.validate_changes(joined).withColumn("risk_level", C.assign_risk(F.col("category"), F.when(n > 0, n).otherwise(0), F.col("confidence")))
 

@@ -133,9 +133,13 @@ def a15(spark, d):
     return G.unpivot_matrix(matrix(spark, d))
 
 
-@query("a16_contract_header", "SELECT DISTINCT CAST(s_nationkey AS VARCHAR) AS sheet, 2 AS header_row, 13 AS score FROM supplier")
+@query("a16_contract_header", """WITH c AS (SELECT CAST(s_nationkey AS VARCHAR) AS sheet, CAST(s_suppkey % 15 + 1 AS INT) AS r, CASE s_suppkey * 7 % 11 WHEN 0 THEN 10 WHEN 1 THEN 10 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE 0 END AS points FROM supplier),
+s AS (SELECT sheet, r, CAST(sum(points) AS BIGINT) AS score FROM c WHERE r <= 12 GROUP BY ALL HAVING sum(points) > 0) SELECT sheet, r AS header_row, score FROM s QUALIFY row_number() OVER (PARTITION BY sheet ORDER BY score DESC, r) = 1""")
 def a16(spark, d):
-    return G.contract_header(matrix(spark, d))
+    """A cell for each supplier: notes and contract labels stand in rows 1 to 15, of which the first 12 are searched."""
+    s, k = table(spark, d, "supplier"), F.col("s_suppkey") * 7 % 11
+    value = F.when(k == 0, "NOTE").when(k == 1, " note ").when(k == 2, "Thời vụ").when(k == 3, "HĐ chính thức").when(k == 4, "CHÍNH  THỨC").otherwise(F.col("s_name"))
+    return G.contract_header(s.select(F.col("s_nationkey").cast("string").alias("sheet"), (F.col("s_suppkey") % 15 + 1).cast("int").alias("row"), F.col("s_suppkey").cast("int").alias("col"), value.alias("value")))
 
 
 @query("a17_matrix_lookup", "SELECT CAST(s_nationkey AS VARCHAR) AS sheet, 'cust  a' AS customer, 'CHÍNH THỨC' AS contract_type, CASE WHEN s_suppkey % 3 = 0 THEN 'unknown' ELSE lower(s_name) END AS component, CASE WHEN s_suppkey % 3 = 0 THEN 'NOT_FOUND' ELSE 'FOUND' END AS status, CASE WHEN s_suppkey % 3 > 0 THEN 'B' || (s_suppkey + 3) END AS cell FROM supplier")
