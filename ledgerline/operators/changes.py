@@ -117,11 +117,6 @@ def apply_ops(target: DataFrame, ops: DataFrame) -> DataFrame:
     return target.join(fine, ["sheet", "cell"], "left").select("sheet", "cell", F.coalesce("after", "value").alias("value"))
 
 
-def restore(versions: DataFrame, version: int) -> DataFrame:
-    """The rows of an older version of a table whose versions are a partition column."""
-    return versions.where(F.col("version") == version).drop("version")
-
-
 def reconcile(target: DataFrame, ops: DataFrame) -> DataFrame:
     """(op_id, matches): whether the re-read target holds what was to be written."""
     joined = ops.join(target.select("sheet", "cell", "value"), ["sheet", "cell"], "left")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,25 +69,31 @@ def id_column(labels: DataFrame) -> DataFrame:
     return labels.withColumn("rank", rank).where("rank is not null").groupBy("sheet").agg(F.min_by("label", F.struct("rank", "col")).alias("id_column"))
 
 
-def map_columns(headers: DataFrame, required: DataFrame, source: str) -> DataFrame:
+def map_columns(headers: DataFrame, required: DataFrame, source: str | None) -> DataFrame:
     """(sheet, field_code, label): required codes in order; the catalog's match
     beats the name's, the leftmost column wins, and each column serves once.
-    ``label`` is null where nothing fits.  Greedy, so one sheet is one group."""
-    h = headers.select("sheet", "col", "label", S.suggest_code(F.col("label"), source).alias("code"), S.normalize_label(F.col("label")).alias("name"))
-    r = required.select("sheet", "field_code", S.normalize_label(F.col("field_code")).alias("name"))
-    alias = {a: code for code, _, aliases in S.FIELD_CATALOG for a in (*aliases, code)}
-
-    def assign(labels: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
-        free = labels.sort_values("col").to_dict("records")
-        out = []
-        for c in codes.sort_values("field_code").itertuples():
-            expected = alias.get(c.name, c.name)
-            fits = [(alias.get(x["code"], x["code"]) != expected, x["col"], i) for i, x in enumerate(free) if alias.get(x["code"], x["code"]) == expected or x["name"] == c.name]
-            found = free.pop(min(fits)[2]) if fits else None
-            out.append((c.sheet, c.field_code, found and found["label"]))
-        return pd.DataFrame(out, columns=["sheet", "field_code", "label"])
-
-    return h.groupBy("sheet").cogroup(r.groupBy("sheet")).applyInPandas(assign, "sheet string, field_code string, label string")
+    ``label`` is null where nothing fits.
+
+    A sheet's header is one sorted array, and its codes, in order, take their
+    columns from it in one aggregate, which carries the columns taken so far.
+    """
+    known = {a: code for code, _, aliases in S.FIELD_CATALOG for a in (*aliases, code)}
+    alias = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    resolved = lambda c: F.coalesce(F.try_element_at(alias, c), c)
+    h = headers.select("sheet", "col", "label", resolved(S.suggest_code(F.col("label"), source)).alias("code"), S.normalize_label(F.col("label")).alias("name"))
+    r = required.select("sheet", "field_code", S.normalize_label(F.col("field_code")).alias("name")).withColumn("expected", resolved(F.col("name")))
+    columns = h.groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("col", "label", "code", "name"))).alias("columns"))
+    codes = r.groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("field_code", "name", "expected"))).alias("codes"))
+    both = codes.join(columns.hint("shuffle_merge"), "sheet", "left").withColumn("columns", F.coalesce(F.transform("columns", lambda x, i: x.withField("i", i)), F.array().cast("array<struct<col:bigint,label:string,code:string,name:string,i:int>>")))
+    start = F.struct(F.array().cast("array<int>").alias("taken"), F.array().cast("array<struct<field_code:string,label:string>>").alias("found"))
+
+    def take(a: Column, c: Column) -> Column:
+        fits = F.filter("columns", lambda x: ~F.array_contains(a["taken"], x["i"]) & ((x["code"] == c["expected"]) | (x["name"] == c["name"])))
+        best = F.array_min(F.transform(fits, lambda x: F.struct((x["code"] != c["expected"]).alias("late"), x["col"].cast("bigint").alias("col"), x["i"].alias("i"), x["label"].alias("label"))))
+        taken = F.when(best.isNull(), a["taken"]).otherwise(F.concat(a["taken"], F.array(best["i"])))
+        return F.struct(taken.alias("taken"), F.concat(a["found"], F.array(F.struct(c["field_code"].alias("field_code"), best["label"].alias("label")))).alias("found"))
+
+    return both.select("sheet", F.inline(F.aggregate("codes", start, take, lambda a: a["found"])))
 
 
 def usable_text(text: Column) -> Column:

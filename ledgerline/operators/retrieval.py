@@ -115,6 +115,13 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str
     return ranked(q.groupBy("block").cogroup(v.groupBy("block")).applyInPandas(lambda a, b: _best(a, b, k, metric), schema), k)
 
 
+def _unit(x: np.ndarray, metric: str) -> np.ndarray:
+    if metric != "cosine":
+        return x
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norm > 0, norm, 1)
+
+
 class VectorBalls:
     """Vectors in balls around pivots, with exact search that leaves out far balls.
 
@@ -140,9 +147,9 @@ class VectorBalls:
             pivots.setdefault(len(x), []).append(x)
         self.lengths, self.first, at = {}, {}, 0
         for length, some in sorted(pivots.items()):
-            self.lengths[length], self.first[length] = self._unit(np.stack(some)), at
+            self.lengths[length], self.first[length] = _unit(np.stack(some), metric), at
             at += len(some)
-        lengths, first, unit = self.lengths, self.first, self._unit
+        lengths, first, metric = self.lengths, self.first, self.metric
 
         def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
@@ -152,7 +159,7 @@ class VectorBalls:
                 for length, p in lengths.items():
                     some = (size == length).to_numpy()
                     if some.any():
-                        x = unit(np.stack(f["vec"].to_numpy()[some]))
+                        x = _unit(np.stack(f["vec"].to_numpy()[some]), metric)
                         d = (x * x).sum(1)[:, None] - 2 * x @ p.T + (p * p).sum(1)[None, :]
                         near = d.argmin(1)
                         ball[some], far[some] = near + first[length], np.sqrt(np.maximum(d[np.arange(len(near)), near], 0))
@@ -165,15 +172,9 @@ class VectorBalls:
         salts = F.greatest(F.lit(1), F.ceil(F.col("n") / slice_rows)).cast("int")
         self.rows = dealt.join(self.balls.hint("shuffle_hash"), "ball").select("chunk", "vec", "ball", F.pmod(F.xxhash64("chunk"), salts).cast("int").alias("salt"))
 
-    def _unit(self, x: np.ndarray) -> np.ndarray:
-        if self.metric != "cosine":
-            return x
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        return x / np.where(norm > 0, norm, 1)
-
     def bounds(self, queries: DataFrame) -> DataFrame:
         """(query, vec, ball, salts, bound) of every query and ball of its length."""
-        lengths, first, unit = self.lengths, self.first, self._unit
+        lengths, first, metric = self.lengths, self.first, self.metric
         told = {r["ball"]: (r["radius"], r["n"]) for r in self.balls.limit(1 << 16).collect()}
         slice_rows, q = self.slice_rows, _vectors(queries, "query")
 
@@ -182,7 +183,7 @@ class VectorBalls:
                 for query, vec in zip(f["query"], f["vec"], strict=True):
                     p, balls, limit = lengths.get(len(vec)), [], []
                     if p is not None:
-                        x = unit(np.asarray(vec)[None, :])[0]
+                        x = _unit(np.asarray(vec)[None, :], metric)[0]
                         dots, norm = p @ x, float(np.linalg.norm(x))
                         balls = [i for i in range(first[len(vec)], first[len(vec)] + len(p)) if i in told]
                         limit = [float(dots[i - first[len(vec)]]) + norm * told[i][0] for i in balls]

@@ -8,7 +8,9 @@ from ledgerline.operators import changes as C
 from ledgerline.operators import formulas as FO
 from ledgerline.operators import registry as G
 from ledgerline.operators import retrieval as R
+from ledgerline.operators.versions import VersionedSheets, digest
 from ledgerline.plans.base import query, table
+from ledgerline.sources.io import shared_folder
 
 CATS = tuple(C.CATEGORY_RISK)
 _CAT = "CASE o_orderkey % 6 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CATS)) + " END"
@@ -114,16 +116,24 @@ def d13(spark, d):
     return C.preview_ops(ops(spark, d), target(spark, d)).select("op_id", "sheet", "cell", "status")
 
 
+def _versioned(spark, d):
+    """The target as version 1, the operations drafted on it as version 2."""
+    sheets = VersionedSheets(spark, shared_folder(spark, "sheets"))
+    sheets.create(target(spark, d))
+    return sheets, sheets.apply(ops(spark, d), digest(sheets.read()))
+
+
 @query("d14_apply", f"WITH {_NEXT} SELECT * FROM nxt")
 def d14(spark, d):
-    return C.apply_ops(target(spark, d), ops(spark, d))
+    sheets, version = _versioned(spark, d)
+    return sheets.read(version)
 
 
 @query("d15_restore", f"WITH {_TARGET} SELECT sheet, cell, value FROM target")
 def d15(spark, d):
-    one = target(spark, d)
-    both = one.withColumn("version", F.lit(1)).unionByName(C.apply_ops(one, ops(spark, d)).withColumn("version", F.lit(2)))
-    return C.restore(both, 1)
+    """What is read after version 1 has been made the last one again."""
+    sheets, _ = _versioned(spark, d)
+    return sheets.read(sheets.restore(1))
 
 
 @query("b4_reconcile", f"WITH {_NEXT} SELECT op_id, coalesce(value = after, false) AS matches FROM ops LEFT JOIN nxt USING (sheet, cell)")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ledgerline.operators import grid as G
 from ledgerline.operators import ingest as I  # noqa: E741
 from ledgerline.plans.base import query, table, values
-from ledgerline.plans.scalar_queries import HEADS, LABEL, headers
+from ledgerline.plans.scalar_queries import _CODE_PARTS, _CODE_SQL, HEADS, LABEL, headers
+from ledgerline.sources.io import read_checked, shared_folder
 
 HEAD = [(1, 1, "Code"), (1, 2, "Name"), (1, 3, "Balance"), (1, 5, "Name"), (2, 4, "Note"), (2, 6, "Extra")]
 _BODY = "SELECT p_brand AS sheet, CAST(p_partkey + 3 AS INT) AS row, 1 AS col, CAST(p_partkey AS VARCHAR) AS value FROM part UNION ALL SELECT p_brand, CAST(p_partkey + 3 AS INT), 2, p_name FROM part UNION ALL SELECT p_brand, CAST(p_partkey + 3 AS INT), 3, CASE WHEN p_size % 4 = 0 THEN '  ' ELSE CAST(p_size AS VARCHAR) END FROM part UNION ALL SELECT p_brand, CAST(p_partkey + 3 AS INT), 4, p_type FROM part WHERE p_size % 3 = 0 UNION ALL SELECT p_brand, CAST(p_partkey + 3 AS INT), 5, p_name FROM part"
@@ -164,9 +165,34 @@ def a23(spark, d):
     return table(spark, d, "documents").select("doc_id", I.usable_text(F.col("text")).alias("usable"))
 
 
-@query("c4_map_columns")
+NEEDED = ("basic_salary", "standard_working_days", "total_working_days", "salary_ot_night_holiday_300", "meal_allowance", "iban")
+
+
+@query("c4_map_columns", f"""WITH RECURSIVE {_CODE_PARTS}, coded AS ({_CODE_SQL}), sh AS (SELECT p_partkey // 22 AS sheet, list({{'col': p_partkey % 22, 'label': header, 'name': l, 'code': code}} ORDER BY p_partkey % 22) AS ls FROM coded JOIN l USING (p_partkey) JOIN heads USING (p_partkey) GROUP BY ALL),
+w AS (SELECT sheet, ls, 0 AS n, CAST([] AS BIGINT[]) AS used, CAST(NULL AS VARCHAR) AS label FROM sh UNION ALL SELECT sheet, ls, n + 1, CASE WHEN b IS NULL THEN used ELSE list_append(used, b.col) END, b.label
+ FROM (SELECT *, list_sort(list_transform(list_filter(ls, lambda x: NOT list_contains(used, x.col) AND (x.code = req[n + 1] OR x.name = req[n + 1])), lambda x: {{'late': x.code <> req[n + 1], 'col': x.col, 'label': x.label}}))[1] AS b FROM (SELECT *, {sorted(NEEDED)!r} AS req FROM w WHERE n < {len(NEEDED)})))
+SELECT CAST(sheet AS VARCHAR) AS sheet, {sorted(NEEDED)!r}[n] AS field_code, label FROM w WHERE n > 0""")
 def c4(spark, d):
     """Header rows against the codes of formulas."""
     h = sheet_headers(spark, d)
-    need = h.select("sheet").distinct().select("sheet", F.explode(F.array(*map(F.lit, ("basic_salary", "standard_working_days", "total_working_days", "salary_ot_night_holiday_300", "meal_allowance", "iban")))).alias("field_code"))
+    need = h.select("sheet").distinct().select("sheet", F.explode(F.array(*map(F.lit, NEEDED))).alias("field_code"))
     return I.map_columns(h, need, None)
+
+
+@query("a21_read_inputs", """SELECT 'json' AS format, CASE WHEN s_suppkey % 7 > 0 THEN s_suppkey END AS id, CASE WHEN s_suppkey % 7 > 0 THEN s_name END AS name, CASE WHEN s_suppkey % 7 > 0 THEN round(s_acctbal, 2) END AS balance, CASE WHEN s_suppkey % 7 = 0 THEN '{"id":' || s_suppkey END AS corrupt FROM supplier
+UNION ALL SELECT 'csv', CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey END, CASE WHEN s_suppkey % 5 > 0 THEN s_name END, CASE WHEN s_suppkey % 5 > 0 THEN round(s_acctbal, 2) END, CASE WHEN s_suppkey % 5 = 0 THEN 'n' || s_suppkey || ',x' END FROM supplier""")
+def a21(spark, d):
+    """Suppliers written as JSON and as CSV lines, some of them broken, and read again."""
+    s, schema, out = table(spark, d, "supplier"), "id bigint, name string, balance double", None
+    k, balance = F.col("s_suppkey"), F.round("s_acctbal", 2)
+    told = F.to_json(F.struct(k.alias("id"), F.col("s_name").alias("name"), balance.alias("balance")))
+    lines = {
+        "json": F.when(k % 7 > 0, told).otherwise(F.concat(F.lit('{"id":'), k.cast("string"))),
+        "csv": F.when(k % 5 > 0, F.concat_ws(",", k.cast("string"), "s_name", balance.cast("string"))).otherwise(F.concat(F.lit("n"), k.cast("string"), F.lit(",x"))),
+    }
+    for kind, line in lines.items():
+        path = shared_folder(spark, kind)
+        s.select(line.alias("value")).write.text(path)
+        rows = read_checked(spark, path, schema, kind).select(F.lit(kind).alias("format"), "id", "name", "balance", "corrupt")
+        out = rows if out is None else out.unionByName(rows)
+    return out

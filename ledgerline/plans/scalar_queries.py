@@ -43,15 +43,17 @@ _ALIAS = values([(i, code, a) for i, (code, _, aliases) in enumerate(S.FIELD_CAT
 _INSIDE = values([(i, code, a) for i, (code, _, aliases) in enumerate(S.FIELD_CATALOG) for a in aliases], "pos", "code", "alias")
 
 
-@query("c3_suggest_code", f"""
-WITH {HEADS}, l AS (SELECT p_partkey, {LABEL.format('header')} AS l FROM heads),
+_CODE_PARTS = f"""{HEADS}, l AS (SELECT p_partkey, {LABEL.format('header')} AS l FROM heads),
 e AS (SELECT p_partkey, min_by(code, pos) AS code FROM l JOIN {_ALIAS} ON l = alias GROUP BY ALL),
-i AS (SELECT p_partkey, min_by(code, pos) AS code FROM l JOIN {_INSIDE} ON contains('_' || l || '_', '_' || alias || '_') GROUP BY ALL)
-SELECT l.p_partkey, CASE WHEN l LIKE '%tang\\_ca%' ESCAPE '\\' OR l LIKE '%lam\\_them%' ESCAPE '\\' OR l LIKE '%overtime%' OR starts_with(l, 'ot') THEN
+i AS (SELECT p_partkey, min_by(code, pos) AS code FROM l JOIN {_INSIDE} ON contains('_' || l || '_', '_' || alias || '_') GROUP BY ALL)"""
+_CODE_SQL = """SELECT l.p_partkey, CASE WHEN l LIKE '%tang\\_ca%' ESCAPE '\\' OR l LIKE '%lam\\_them%' ESCAPE '\\' OR l LIKE '%overtime%' OR starts_with(l, 'ot') THEN
  'salary_ot_' || CASE WHEN regexp_matches(l, 'dem|night') THEN 'night' ELSE 'day' END || '_' || CASE WHEN regexp_matches(l, 'le|holiday') THEN 'holiday' WHEN regexp_matches(l, 'nghi|rest|off') THEN 'rest' ELSE 'normal' END || '_' ||
  CASE WHEN contains(l, '390') THEN '390' WHEN contains(l, '350') THEN '350' WHEN contains(l, '300') THEN '300' WHEN contains(l, '270') THEN '270' WHEN contains(l, '250') THEN '250' WHEN contains(l, '200') THEN '200' ELSE '150' END
  ELSE coalesce(e.code, i.code, nullif(l, ''), 'field') END AS code
-FROM l LEFT JOIN e USING (p_partkey) LEFT JOIN i USING (p_partkey)""")
+FROM l LEFT JOIN e USING (p_partkey) LEFT JOIN i USING (p_partkey)"""
+
+
+@query("c3_suggest_code", f"WITH {_CODE_PARTS} {_CODE_SQL}")
 def c3(spark, sf_dir):
     return headers(spark, sf_dir).select("p_partkey", S.suggest_code(F.col("header")).alias("code"))
 

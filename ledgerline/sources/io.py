@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,37 @@ def read_inputs(spark: SparkSession, path: str, format: str = "parquet", schema:
     return (reader.schema(schema) if schema else reader).format(format).load(path)
 
 
+def read_checked(spark: SparkSession, path: str, schema: str, format: str = "json", **options) -> DataFrame:  # noqa: A002
+    """Lines of csv or json files with the columns of ``schema`` and ``corrupt``.
+
+    A line that doesn't fit the schema is a row of nulls with the line itself in
+    ``corrupt``; all others have null there.  Spark plans the partitions by file
+    blocks and prunes columns and filters; the path may be any that Spark reads.
+    """
+    wanted = f"{schema}, corrupt string"
+    reader = spark.read.schema(wanted).options(mode="PERMISSIVE", columnNameOfCorruptRecord="corrupt", **options)
+    rows = reader.format(format).load(path)
+    fields = [f.name for f in rows.schema.fields if f.name != "corrupt"]
+    # csv keeps what it could read of a corrupt line
+    return rows.select(*[F.when(F.col("corrupt").isNull(), F.col(f"`{f}`")).alias(f) for f in fields], "corrupt")
+
+
+def read_cells(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """(sheet, row, col, value) of delimited text files, one sheet a file, rows and columns from 1.
+
+    A field may stand in double quotes, doubled within; empty fields are null.
+    A sheet is read as a whole, since its rows are numbered: it is one row of
+    the scan, as a workbook's sheet is one part of an upload.
+    """
+    files = spark.read.format("text").option("wholetext", "true").load(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("sheet"), F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n", -1).alias("lines"))
+    lines = files.select("sheet", F.posexplode("lines").alias("row", "line"))
+    quote = '"'
+    fields = F.split("line", f"{re.escape(sep)}(?=(?:[^{quote}]*{quote}[^{quote}]*{quote})*[^{quote}]*$)", -1)
+    cells = lines.select("sheet", (F.col("row") + 1).alias("row"), F.posexplode(fields).alias("col", "raw"))
+    bare = F.regexp_replace(F.regexp_replace("raw", f"^{quote}(.*){quote}$", "$1"), quote * 2, quote)
+    return cells.select("sheet", "row", (F.col("col") + 1).alias("col"), F.when(bare != "", bare).alias("value"))
+
+
 def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
 
