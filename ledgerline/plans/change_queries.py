@@ -15,11 +15,11 @@ from ledgerline.sources.io import shared_folder
 CATS = tuple(C.CATEGORY_RISK)
 _CAT = "CASE o_orderkey % 6 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CATS)) + " END"
 ITEMS = f"""items AS (SELECT o_orderkey AS item_id, o_custkey AS changeset_id, {_CAT} AS category, CASE WHEN o_orderkey % 13 > 0 THEN 'pay.' || (o_orderkey % 20) END AS field_path,
-CASE WHEN o_orderkey % 7 > 0 THEN CAST(o_orderkey % 50 AS VARCHAR) END AS old_value, CAST(o_orderkey % 45 AS VARCHAR) AS proposed_value, CASE WHEN o_orderkey % 9 > 0 THEN ['e' || (o_orderkey % 30), 'e' || (o_orderkey % 40)] ELSE [] END AS evidence_refs,
+CASE WHEN o_orderkey % 7 > 0 THEN CAST(o_orderkey % 50 AS VARCHAR) END AS old_value, CAST(o_orderkey % 45 AS VARCHAR) AS proposed_value, CASE WHEN o_orderkey % 9 > 0 THEN ['e' || o_custkey, 'e' || (o_custkey + 1)] ELSE [] END AS evidence_refs,
 CASE WHEN o_orderkey % 2 = 0 THEN 'all' END AS scope, CASE WHEN o_orderkey % 11 > 0 THEN CAST(o_orderdate AS DATE) END AS effective_date, (o_orderkey % 100) / 100.0::DOUBLE AS confidence, CASE WHEN o_orderkey % 4 = 0 THEN 'which?' END AS clarifying_question,
-CASE WHEN o_orderkey % 10 > 0 THEN 'fc' END AS formula_candidate_id, ['v' || (o_orderkey % 25)] AS affected FROM orders),
-fab AS (SELECT item_id, list_filter(evidence_refs, lambda r: CAST(substr(r, 2) AS INT) >= 30) AS fabricated FROM items),
-dep AS (SELECT item_id, CASE WHEN CAST(substr(affected[1], 2) AS INT) % 5 = 0 THEN 2 ELSE 0 END AS n_dep FROM items),
+CASE WHEN o_orderkey % 10 > 0 THEN 'fc' END AS formula_candidate_id, ['v' || o_custkey] AS affected FROM orders),
+refs AS (SELECT item_id, unnest(evidence_refs) AS ref FROM items), bad AS (SELECT item_id, list(DISTINCT ref) AS fabricated FROM refs WHERE ref NOT IN (SELECT 'e' || c_custkey FROM customer WHERE c_custkey % 4 > 0) GROUP BY item_id),
+fab AS (SELECT items.item_id, coalesce(fabricated, []) AS fabricated FROM items LEFT JOIN bad USING (item_id)), dep AS (SELECT item_id, CASE WHEN p_partkey IS NULL THEN 0 ELSE 2 END AS n_dep FROM items LEFT JOIN part ON p_partkey % 5 = 0 AND affected[1] = 'v' || p_partkey),
 v AS (SELECT items.*, len(fabricated) AS n_fab, n_dep, (coalesce(field_path, '') = '')::INT + (len(evidence_refs) = 0)::INT + (len(fabricated) > 0)::INT + (category IN ('PARAMETER_CHANGE', 'FORMULA_CHANGE') AND (old_value IS NULL OR proposed_value IS NULL))::INT + (category = 'SCOPE_CHANGE' AND scope IS NULL)::INT + (category = 'AMBIGUOUS_OR_CONFLICT' AND clarifying_question IS NULL)::INT + (effective_date IS NULL AND category NOT IN ('EDITORIAL', 'AMBIGUOUS_OR_CONFLICT'))::INT AS n_errors,
 coalesce(category IN ('PARAMETER_CHANGE', 'FORMULA_CHANGE') AND old_value = proposed_value, false)::INT + (confidence < 0.6)::INT AS n_warnings,
 CASE WHEN category = 'REGULATORY_REFERENCE' THEN 'CRITICAL' WHEN n_dep > 0 AND category IN ('EDITORIAL', 'PARAMETER_CHANGE') THEN 'HIGH' WHEN category = 'EDITORIAL' AND confidence < 0.6 THEN 'MEDIUM' WHEN category = 'EDITORIAL' THEN 'LOW' WHEN category = 'PARAMETER_CHANGE' THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level FROM items JOIN fab USING (item_id) JOIN dep USING (item_id))"""
@@ -31,23 +31,27 @@ def items(spark, d):
     category = F.element_at(F.array(*map(F.lit, CATS)), (k % 6 + 1).cast("int"))
     return table(spark, d, "orders").select(
         k.alias("item_id"), F.col("o_custkey").alias("changeset_id"), category.alias("category"), F.when(k % 13 > 0, text("pay.", 20)).alias("field_path"), F.when(k % 7 > 0, (k % 50).cast("string")).alias("old_value"), (k % 45).cast("string").alias("proposed_value"),
-        F.when(k % 9 > 0, F.array(text("e", 30), text("e", 40))).otherwise(F.array().cast("array<string>")).alias("evidence_refs"), F.when(k % 2 == 0, "all").alias("scope"), F.when(k % 11 > 0, F.to_date("o_orderdate")).alias("effective_date"), ((k % 100) / 100).alias("confidence"),
-        F.when(k % 4 == 0, "which?").alias("clarifying_question"), F.when(k % 10 > 0, "fc").alias("formula_candidate_id"), F.array(text("v", 25)).alias("affected"),
+        F.when(k % 9 > 0, F.array(*[F.concat(F.lit("e"), (F.col("o_custkey") + n).cast("string")) for n in (0, 1)])).otherwise(F.array().cast("array<string>")).alias("evidence_refs"), F.when(k % 2 == 0, "all").alias("scope"), F.when(k % 11 > 0, F.to_date("o_orderdate")).alias("effective_date"), ((k % 100) / 100).alias("confidence"),
+        F.when(k % 4 == 0, "which?").alias("clarifying_question"), F.when(k % 10 > 0, "fc").alias("formula_candidate_id"), F.array(F.concat(F.lit("v"), F.col("o_custkey").cast("string"))).alias("affected"),
     )
 
 
-def evidence(spark):
-    return spark.createDataFrame([(f"e{i}",) for i in range(30)], "evidence_id string")
+def evidence(spark, d):
+    """A piece of evidence for three of four customers."""
+    return table(spark, d, "customer").where("c_custkey % 4 > 0").select(F.concat(F.lit("e"), F.col("c_custkey").cast("string")).alias("evidence_id"))
 
 
-def edges(spark):
-    return spark.createDataFrame([(f"v{i}", x) for i in range(0, 25, 5) for x in (f"r{i}", f"r{i + 1}")], "name string, dependent string")
+def edges(spark, d):
+    """Two dependents for every fifth part."""
+    k = F.col("p_partkey")
+    dependent = F.explode(F.array(*[F.concat(F.lit("r"), (k + n).cast("string")) for n in (0, 1)]))
+    return table(spark, d, "part").where(k % 5 == 0).select(F.concat(F.lit("v"), k.cast("string")).alias("name"), dependent.alias("dependent"))
 
 
 def checked(spark, d):
     i = items(spark, d)
-    fab = C.fabricated_refs(i, evidence(spark)).groupBy("item_id").agg(F.collect_set("ref").alias("fabricated"))
-    dep = C.dependents(i, edges(spark))
+    fab = C.fabricated_refs(i, evidence(spark, d)).groupBy("item_id").agg(F.collect_set("ref").alias("fabricated"))
+    dep = C.dependents(i, edges(spark, d))
     joined = i.join(fab.hint("shuffle_merge"), "item_id", "left").join(dep.hint("shuffle_merge"), "item_id", "left").withColumn("fabricated", F.coalesce("fabricated", F.array().cast("array<string>")))
     n = F.coalesce(F.size("dependency_ids"), F.lit(0))
     return C.validate_changes(joined).withColumn("risk_level", C.assign_risk(F.col("category"), F.when(n > 0, n).otherwise(0), F.col("confidence")))
@@ -55,12 +59,12 @@ def checked(spark, d):
 
 @query("d10_fabricated", f"WITH {ITEMS} SELECT DISTINCT item_id, ref FROM (SELECT item_id, unnest(fabricated) AS ref FROM fab)")
 def d10(spark, d):
-    return C.fabricated_refs(items(spark, d), evidence(spark)).distinct()
+    return C.fabricated_refs(items(spark, d), evidence(spark, d)).distinct()
 
 
-@query("d17_dependents", f"WITH {ITEMS} SELECT item_id, 'r' || substr(affected[1], 2) || ',r' || (CAST(substr(affected[1], 2) AS INT) + 1) AS deps FROM items WHERE CAST(substr(affected[1], 2) AS INT) % 5 = 0")
+@query("d17_dependents", f"WITH {ITEMS} SELECT item_id, 'r' || p_partkey || ',r' || (p_partkey + 1) AS deps FROM items JOIN part ON p_partkey % 5 = 0 AND affected[1] = 'v' || p_partkey")
 def d17(spark, d):
-    return C.dependents(items(spark, d), edges(spark)).select("item_id", F.array_join("dependency_ids", ",").alias("deps"))
+    return C.dependents(items(spark, d), edges(spark, d)).select("item_id", F.array_join("dependency_ids", ",").alias("deps"))
 
 
 @query("f12_validate_changes", f"WITH {ITEMS} SELECT item_id, n_errors, n_warnings FROM v")
