@@ -33,6 +33,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -61,18 +62,25 @@ def _fs(path: str):
     return pf.FileSystem.from_uri(path) if "://" in path else (pf.LocalFileSystem(), path)
 
 
+#: Signs that a URI may hold as they are; all others are written as %XX.
+_URI = "%:/?#[]@!$&'()*+,;=-._~"
+
+
 def _header(record: dict, digest: str) -> bytes:
-    page, refers = record["page_id"], record["refers_to"]
+    page, refers, url = record["page_id"], record["refers_to"], record["url"]
+    uri = quote(url or "", safe=_URI)
     head = [
         "WARC/1.1",
         f"WARC-Type: {record['record_type']}",
         f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Target-URI: {json.dumps(record['url'] or '')}",
+        f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
         f"X-Page-Id: {'' if page is None else page}",
         f"X-Payload-Length: {record['payload_bytes']}",
     ]
+    if uri != (url or ""):
+        head.append(f"X-Target-As-Given: {json.dumps(url)}")
     if record["record_type"] == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers}')}>", f"X-Refers-To-Page: {refers}"]
     return "\r\n".join(head).encode()
@@ -84,8 +92,7 @@ def _writer(folder: str):
         out, name, at = None, "", 0
         for batch in batches:
             lines = []
-            for i in range(batch.num_rows):
-                r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+            for r in batch.to_pylist():
                 payload = (r["html"] or "").encode()
                 body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (payload if r["record_type"] == "response" else b"")
                 head = _header(r | {"payload_bytes": len(payload)}, hashlib.sha1(payload).hexdigest())
@@ -173,8 +180,12 @@ def parse_record(member: bytes) -> dict:
     digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
     if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
         raise ValueError(f"record of page {page} does not match its digest")
-    refers = fields.get("X-Refers-To-Page")
-    return {"page_id": int(page) if page else None, "url": json.loads(fields["WARC-Target-URI"]), "payload_bytes": int(fields["X-Payload-Length"]), "payload_digest": digest, "record_type": kind, "refers_to": int(refers) if refers else None, "payload": payload if kind == "response" else None}
+    # a response is measured; a revisit has no payload of its own
+    size = len(payload) if kind == "response" else int(fields["X-Payload-Length"])
+    if size != int(fields["X-Payload-Length"]):
+        raise ValueError(f"record of page {page} does not have its length")
+    refers, given = fields.get("X-Refers-To-Page"), fields.get("X-Target-As-Given")
+    return {"page_id": int(page) if page else None, "url": json.loads(given) if given else fields["WARC-Target-URI"], "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": int(refers) if refers else None, "payload": payload if kind == "response" else None}
 
 
 def read_records(captures: DataFrame, payloads: bool = True) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ledgerline.llm import _text as X
-from ledgerline.llm import collocations, license_scan, line_dedup, prefix_trie, toxicity
+from ledgerline.llm import collocations, license_scan, line_dedup, prefix_trie, toxicity, warc
 
 # --- collocations
 
@@ -224,3 +224,20 @@ def test_line_dedup_of_a_text_of_many_lines(spark, tmp_path):
     assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"]) for r in line_dedup.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped").collect()) == [(i, 200_000, 200_000 if i < 4 else 0) for i in range(5)]
     files = docs.limit(1).select("doc_id", F.lit("a/b").alias("path"), F.concat("text", F.lit("\nLicensed under the Apache License, Version 2.0")).alias("text"))
     assert [(r["license"], r["line"]) for r in license_scan.scan(files).collect()] == [("Apache-2.0", 200_000)]
+
+
+# --- WARC headers
+
+
+def test_warc_urls_are_plain_and_come_back(spark):
+    """URIs stand unquoted in the header; odd ones, null and repeated page ids come back as they were given."""
+    urls = ["https://a.org/x?y=1&z=%20", "http://ä.de/ü b", "bad\r\nHeader: x", "", None, 'say "hi"']
+    body = "z" * 1500
+    rows = [(i, u, body if i % 2 else "short") for i, u in enumerate(urls)] + [(None, "http://n/", body), (None, "http://n/", body), (5, "http://twice/", body)]
+    captures = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = warc.read_records(captures).collect()
+    assert sorted(((r["page_id"], r["url"]) for r in got), key=str) == sorted(((i, u or "") for i, u, _ in rows), key=str)
+    assert all(r["payload_bytes"] == len(h) for r in got for h in [body if r["page_id"] in (None, 1, 3, 5) else "short"])
+    kinds = {(r["page_id"], r["record_type"], r["refers_to"]) for r in got}
+    assert kinds == {(0, "response", None), (2, "response", None), (4, "response", None), (1, "revisit", 5), (3, "revisit", 5), (5, "response", None), (None, "revisit", 5)}
+    assert b"WARC-Target-URI: https://a.org/x?y=1&z=%20\r\n" in warc._header({"page_id": 1, "url": urls[0], "refers_to": None, "record_type": "response", "payload_bytes": 0}, "00") + b"\r\n"
