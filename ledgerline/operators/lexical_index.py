@@ -9,7 +9,7 @@ Three Parquet tables in one folder, each with a partition for every append
   length among them.  So a stop word is as many rows as there are segments, and
   no row outgrows a segment.  Rows lie in folders by a hash of their term
   (``bucket``), sorted by term.
-* ``terms``: the number of chunks that hold each term.
+* ``terms``: the number of chunks that hold each term, in the same folders.
 * ``stats``: number and mean length of all chunks, mean idf of all terms; it is
   written last, and a generation without it is not seen.
 
@@ -67,10 +67,12 @@ class LexicalIndex:
         dealt = counted.withColumn("segment", F.pmod(F.xxhash64("chunk"), F.lit(segments)).cast("int")).withColumn("bucket", self._bucket())
         rows = dealt.groupBy("bucket", "term", "segment").agg(F.collect_list(F.struct("chunk", F.col("tf").cast("int").alias("tf"), "length")).alias("held"), F.max("tf").cast("int").alias("max_tf"), F.min("length").alias("min_length"))
         at = f"generation={generation}"
-        rows.repartition("bucket", F.pmod(F.xxhash64("term", "segment"), F.lit(4))).sortWithinPartitions("bucket", "term", "segment").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/{at}")
-        counted.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{self.path}/terms/{at}")
+        # a stop word has a row for each segment, so its rows are dealt to many tasks and files
+        rows.repartition("bucket", F.pmod(F.xxhash64("term", "segment"), F.lit(max(4, segments // 64)))).sortWithinPartitions("bucket", "term", "segment").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/{at}")
+        held = counted.groupBy("term").agg(F.count("*").alias("df")).withColumn("bucket", self._bucket())
+        held.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms/{at}")
         n, told, words = ((new[x] or 0) + (last[y] if last else 0) for x, y in (("n", "n_chunks"), ("told", "n_told"), ("words", "n_words")))
-        df = self._terms(generation)
+        df = self._terms(generation).groupBy("term").agg(F.sum("df").alias("df"))
         idf = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         mean = df.agg(F.coalesce(F.avg(idf), F.lit(0.0)).alias("mean_idf"))
         stats = mean.select(F.lit(n).cast("long").alias("n_chunks"), F.lit(told).cast("long").alias("n_told"), F.lit(words).cast("long").alias("n_words"), "mean_idf", F.lit(chunks.schema["chunk"].dataType.simpleString()).alias("kind"))
@@ -78,20 +80,24 @@ class LexicalIndex:
         return self
 
     def _terms(self, generation: int) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.path}/terms").where(F.col("generation") <= generation)
-        return rows.groupBy("term").agg(F.sum("df").alias("df"))
+        """(generation, bucket, term, df) of all appends up to one."""
+        return self.spark.read.schema("term string, df long, generation int, bucket int").parquet(f"{self.path}/terms").where(F.col("generation") <= generation)
 
-    def postings(self, terms: DataFrame, most: int = 4096) -> DataFrame:
-        """Rows of the asked ``terms (term)``: filters of the scan name them, or their buckets if they are many."""
-        stats = self._stats().first()
-        schema = f"term string, segment int, held array<struct<chunk:{stats['kind']},tf:int,length:int>>, max_tf int, min_length int, generation int, bucket int"
-        rows = self.spark.read.schema(schema).parquet(f"{self.path}/postings").where(F.col("generation") <= stats["generation"])
+    def _only(self, rows: DataFrame, terms: DataFrame, most: int = 4096) -> DataFrame:
+        """Of the asked ``terms (term)``: filters of the scan name them, or a join if they are more than ``most``."""
         asked = [r["term"] for r in terms.limit(most + 1).collect()]  # at most ``most`` + 1 words
         if len(asked) > most:
             return rows.join(terms.withColumn("bucket", self._bucket()).hint("shuffle_hash"), ["bucket", "term"], "left_semi")
         held = self.spark.createDataFrame([(t,) for t in asked], "term string").select(self._bucket().alias("b")).distinct().collect()
         return rows.where(F.col("bucket").isin([r["b"] for r in held]) & F.col("term").isin(asked))
 
+    def postings(self, terms: DataFrame) -> DataFrame:
+        """(generation, bucket, term, segment, held, max_tf, min_length) of the asked ``terms (term)``."""
+        stats = self._stats().first()
+        schema = f"term string, segment int, held array<struct<chunk:{stats['kind']},tf:int,length:int>>, max_tf int, min_length int, generation int, bucket int"
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/postings").where(F.col("generation") <= stats["generation"])
+        return self._only(rows, terms)
+
     def scores(self, queries: DataFrame, k: int | None = None, seen: DataFrame | None = None, first: int = 4, always: bool = False) -> DataFrame:
         """(query, chunk, score) of ``queries (query, text)``: all above 0, or with ``k`` at least each query's best ``k``.
 
@@ -105,7 +111,7 @@ class LexicalIndex:
         generation, n = stats["generation"], stats["n_chunks"]
         mean_length = stats["n_words"] / max(1, stats["n_told"])  # chunks without text have no length
         idf = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        known = self._terms(generation).join(terms.hint("shuffle_hash"), "term", "left_semi").withColumn("idf", idf)
+        known = self._only(self._terms(generation), terms).groupBy("term").agg(F.sum("df").alias("df")).withColumn("idf", idf)
         weights = known.select("term", F.when(F.col("idf") < 0, self.epsilon * stats["mean_idf"]).otherwise(F.col("idf")).alias("idf"))
         asked = asked.join(weights.hint("shuffle_hash"), "term").select("query", "term", (F.col("idf") * F.col("times")).alias("weight"))
         postings = self.postings(terms)
