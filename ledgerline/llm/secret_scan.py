@@ -1,12 +1,20 @@
 """Secret scanning with a trigram inverted index, DataFrame operations only.
 
 From each rule's regular expression a Boolean query of mandatory trigrams is
-derived (an AND of ORs of conjunctions, over the lower-cased text).  The index
-is split by document: a document's posting list, of the trigrams that any rule
-asks for, stays with the document, so neither postings nor texts are shuffled.
-A rule's candidates are the documents whose list meets its query; only those
-are scanned with the expression.  Rules without a mandatory trigram (a run of
-hex digits) scan every text.
+derived (an AND of ORs of conjunctions, over the lower-cased text).
+
+* Documents are numbered as they are read, ``SEGMENT`` to a segment, and stored
+  in a table bucketed by segment; each task writes its own segments, so no text
+  is shuffled.
+* The inverted index holds, for each trigram that a rule asks for and each
+  segment, the posting list as words of 64 bits, one bit for a document; it is
+  stored in order of trigram.  It is an aggregate within buckets.
+* A rule's query is evaluated on the posting lists: intersections and unions
+  are AND and OR of their words.  What remains are the rule's candidates.
+* The candidates' bits, a row for each segment, join the documents bucket by
+  bucket, again without a shuffle of texts, and only candidates are scanned
+  with the rule's expression.  Rules without a mandatory trigram (a run of hex
+  digits) scan every text.
 
 Spans count code points, end exclusive.  They come from the texts between
 matches (``split``) and the matches (``regexp_extract_all``), which scan
@@ -21,12 +29,19 @@ their listed order on ties.
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm._work import stored, work_dir
+
+#: Documents of a segment.
+SEGMENT = 512
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -108,33 +123,82 @@ def trigram_query(pattern: str, limit: int = 32) -> list[list[list[str]]]:
     return groups
 
 
+def asked_trigrams(rules: tuple[Rule, ...] = RULES) -> list[str]:
+    return sorted({t for r in rules for g in trigram_query(r.pattern) for c in g for t in c})
+
+
 def postings(low: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """The trigrams of a lower-cased text that the rules ask for."""
-    asked = sorted({t for r in rules for g in trigram_query(r.pattern) for c in g for t in c})
+    asked = asked_trigrams(rules)
     return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in asked])) if asked else F.array().cast("array<string>")
 
 
-def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, row_key, trigrams, text): each document with its posting list."""
-    text = F.coalesce("text", F.lit(""))
+def _bucketed(rows: DataFrame, name: str, buckets: int) -> DataFrame:
+    """``rows`` as a table in the shared folder, bucketed by its column ``segment``."""
+    spark = rows.sparkSession
+    table = f"ledgerline_{uuid.uuid4().hex}"
+    rows.write.format("parquet").option("compression", "zstd").option("path", f"{work_dir(spark)}/{name}").bucketBy(buckets, "segment").saveAsTable(table)
+    return spark.table(table)
+
+
+@dataclass(frozen=True)
+class Index:
+    """``docs (doc_id, text, segment, place)`` and their posting lists ``(trigram, segment, word, bits)``."""
+
+    docs: DataFrame
+    lists: DataFrame
+    buckets: int
+
+
+def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> Index:
+    """Numbers and stores the documents ``(doc_id, text)``, and stores the posting lists of the asked trigrams."""
+    spark = docs.sparkSession
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    at = F.monotonically_increasing_id()  # by input partition; fixed once it's stored
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), at.alias("at"))
+    rows = rows.select("doc_id", "text", F.expr(f"at div {SEGMENT}").alias("segment"), F.expr(f"cast(at % {SEGMENT} as int)").alias("place"))
+    table = _bucketed(rows, "documents", buckets)
     # a column of its own: the text is lower-cased once, not for each trigram
-    low = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), text.alias("text"), F.lower(text).alias("low"))
-    return low.select("doc_id", "row_key", postings(F.col("low"), rules).alias("trigrams"), "text")
+    low = table.select("segment", "place", F.lower("text").alias("low"))
+    marks = low.select("segment", "place", F.explode(postings(F.col("low"), rules)).alias("trigram"))
+    lists = marks.groupBy("segment", "trigram", F.expr("cast(place div 64 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, place % 64))").alias("bits"))
+    return Index(table, stored(lists.sortWithinPartitions("trigram", "segment", "word").select("trigram", "segment", "word", "bits"), "postings"), buckets)
 
 
-def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``index`` with ``kinds``: the rules whose Boolean query a document's posting list meets."""
+def candidates(index: Index, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(segment, word, <kind>...): for each rule with a query the bits of its candidates, by AND and OR of posting lists."""
+    bits = {t: f"t{i}" for i, t in enumerate(asked_trigrams(rules))}
+    none = F.lit(0).cast("long")
+    lists = index.lists.groupBy("segment", "word").agg(F.lit(1).alias("one"), *[F.coalesce(F.expr(f"bit_or(if(trigram = '{t.replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}', bits, null))"), none).alias(c) for t, c in bits.items()])
 
     def met(rule: Rule) -> Column:
-        out = F.lit(True)
+        every = F.lit(-1).cast("long")
         for group in trigram_query(rule.pattern):
-            some = F.lit(False)
+            some = none
             for all_of in group:
-                some = some | (F.size(F.array_except(F.array(*[F.lit(t) for t in all_of]), "trigrams")) == 0)
-            out = out & some
-        return out
-
-    return index.withColumn("kinds", F.array_compact(F.array(*[F.when(met(r), F.lit(r.kind)) for r in rules])))
+                both = F.lit(-1).cast("long")
+                for t in all_of:
+                    both = both.bitwiseAND(F.col(bits[t]))
+                some = some.bitwiseOR(both)
+            every = every.bitwiseAND(some)
+        return every
+
+    asked = [r for r in rules if trigram_query(r.pattern)]
+    return lists.select("segment", "word", *[met(r).alias(r.kind) for r in asked]).where(reduce(lambda a, b: a | b, [F.col(r.kind) != 0 for r in asked], F.lit(False)))
+
+
+def candidate_documents(index: Index, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``index.docs`` with ``kinds``: the rules to scan each document with."""
+    asked = [r.kind for r in rules if trigram_query(r.pattern)]
+    if not asked:
+        return index.docs.select("doc_id", "text", F.array(*[F.lit(r.kind) for r in rules]).cast("array<string>").alias("kinds"))
+    found = candidates(index, rules).select("segment", F.struct("word", F.struct(*asked).alias("bits")).alias("x"))
+    # SEGMENT / 64 words at most
+    words = found.groupBy("segment").agg(F.map_from_entries(F.collect_list("x")).alias("words"))
+    words = _bucketed(words.repartition(index.buckets, "segment"), "candidates", index.buckets)
+    both = index.docs.join(words.hint("shuffle_hash"), "segment", "left").withColumn("mine", F.try_element_at("words", F.expr("cast(place div 64 as int)")))
+    bit = lambda kind: F.coalesce(F.call_function("getbit", F.col("mine")[kind], F.expr("place % 64")), F.lit(0).cast("tinyint")) == 1
+    return both.select("doc_id", "text", F.array_compact(F.array(*[F.when(bit(r.kind) if r.kind in asked else F.lit(True), F.lit(r.kind)) for r in rules])).alias("kinds"))
 
 
 def _bound(value: Column, use) -> Column:
@@ -178,7 +242,7 @@ def spans_of(text: Column, rule: Rule, place: int) -> Column:
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, spans): spans sorted by start, then by the rules' order."""
-    found = candidates(build_index(docs, rules), rules)
+    found = candidate_documents(build_index(docs, rules), rules)
     none = F.array().cast("array<struct<start:int,place:int,kind:string,end:int,match:string>>")
     parts = [F.when(F.array_contains("kinds", r.kind), spans_of(F.col("text"), r, i)).otherwise(none) for i, r in enumerate(rules)]
     return found.select("doc_id", F.array_sort(F.flatten(F.array(*parts))).alias("spans"))
