@@ -102,7 +102,7 @@ def lexical_index(spark, d):
     files = table(spark, d, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
     state = files.agg(F.bit_xor(F.xxhash64("file_path", "file_size", "file_modification_time"))).first()[0]
     key = (spark.sparkContext.applicationId, d, state)
-    if key not in _INDEXES:
+    if key not in _INDEXES or not _INDEXES[key].exists():  # the shared folder may have been cleared
         _INDEXES[key] = LexicalIndex(spark, shared_folder(spark, "lexical")).append(chunks(spark, d))
     return _INDEXES[key]
 
