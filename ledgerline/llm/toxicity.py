@@ -197,11 +197,10 @@ class Channel:
         if not len(spots):
             return data, offsets
         raw, parts, done = data.tobytes(), [], 0
-        rows = np.searchsorted(offsets, spots, "right")
-        moved = np.zeros(len(offsets), np.int64)
-        for at, row in zip(spots.tolist(), rows.tolist(), strict=True):
-            if at < done:
-                continue
+        moved, i = np.zeros(len(offsets), np.int64), 0
+        while i < len(spots):
+            at = int(spots[i])
+            row, i = int(np.searchsorted(offsets, at, "right")), i + 1
             end = int(offsets[row])
             before = _EDGE.search(raw, max(done, int(offsets[row - 1]), at - 4 * LONGEST), at)
             start = before.start() if before else at
@@ -221,6 +220,7 @@ class Channel:
             parts += [raw[done:a], new]
             moved[row:] += len(new) - len(old)
             done = b
+            i = max(i, int(np.searchsorted(spots, done)))
         parts.append(raw[done:])
         return np.frombuffer(b"".join(parts), np.uint8), offsets + moved
 
