@@ -22,9 +22,10 @@ those of :func:`retrieval.bm25_scores`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators import retrieval as R
@@ -83,20 +84,21 @@ class LexicalIndex:
         """(generation, bucket, term, df) of all appends up to one."""
         return self.spark.read.schema("term string, df long, generation int, bucket int").parquet(f"{self.path}/terms").where(F.col("generation") <= generation)
 
-    def _only(self, rows: DataFrame, terms: DataFrame, most: int = 4096) -> DataFrame:
-        """Of the asked ``terms (term)``: filters of the scan name them, or a join if they are more than ``most``."""
-        asked = [r["term"] for r in terms.limit(most + 1).collect()]  # at most ``most`` + 1 words
+    def _named(self, terms: DataFrame, most: int = 4096) -> Callable[[DataFrame], DataFrame]:
+        """A filter by the asked ``terms (term)``: it names them and their buckets to the scan, or joins them if they are more than ``most``."""
+        asked = terms.select("term", self._bucket().alias("bucket")).limit(most + 1).collect()  # at most ``most`` + 1 words
         if len(asked) > most:
-            return rows.join(terms.withColumn("bucket", self._bucket()).hint("shuffle_hash"), ["bucket", "term"], "left_semi")
-        held = self.spark.createDataFrame([(t,) for t in asked], "term string").select(self._bucket().alias("b")).distinct().collect()
-        return rows.where(F.col("bucket").isin([r["b"] for r in held]) & F.col("term").isin(asked))
+            return lambda rows: rows.join(terms.withColumn("bucket", self._bucket()).hint("shuffle_hash"), ["bucket", "term"], "left_semi")
+        return lambda rows: rows.where(F.col("bucket").isin(sorted({r["bucket"] for r in asked})) & F.col("term").isin([r["term"] for r in asked]))
 
-    def postings(self, terms: DataFrame) -> DataFrame:
-        """(generation, bucket, term, segment, held, max_tf, min_length) of the asked ``terms (term)``."""
-        stats = self._stats().first()
+    def _postings(self, stats: Row) -> DataFrame:
+        """(generation, bucket, term, segment, held, max_tf, min_length) of all appends up to that of ``stats``."""
         schema = f"term string, segment int, held array<struct<chunk:{stats['kind']},tf:int,length:int>>, max_tf int, min_length int, generation int, bucket int"
-        rows = self.spark.read.schema(schema).parquet(f"{self.path}/postings").where(F.col("generation") <= stats["generation"])
-        return self._only(rows, terms)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/postings").where(F.col("generation") <= stats["generation"])
+
+    def postings(self, terms: DataFrame) -> DataFrame:
+        """The postings of the asked ``terms (term)``."""
+        return self._named(terms)(self._postings(self._stats().first()))
 
     def scores(self, queries: DataFrame, k: int | None = None, seen: DataFrame | None = None, first: int = 4, always: bool = False) -> DataFrame:
         """(query, chunk, score) of ``queries (query, text)``: all above 0, or with ``k`` at least each query's best ``k``.
@@ -111,10 +113,11 @@ class LexicalIndex:
         generation, n = stats["generation"], stats["n_chunks"]
         mean_length = stats["n_words"] / max(1, stats["n_told"])  # chunks without text have no length
         idf = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        known = self._only(self._terms(generation), terms).groupBy("term").agg(F.sum("df").alias("df")).withColumn("idf", idf)
+        named = self._named(terms)
+        known = named(self._terms(generation)).groupBy("term").agg(F.sum("df").alias("df")).withColumn("idf", idf)
         weights = known.select("term", F.when(F.col("idf") < 0, self.epsilon * stats["mean_idf"]).otherwise(F.col("idf")).alias("idf"))
         asked = asked.join(weights.hint("shuffle_hash"), "term").select("query", "term", (F.col("idf") * F.col("times")).alias("weight"))
-        postings = self.postings(terms)
+        postings = named(self._postings(stats))
 
         def part(tf: Column, length: Column) -> Column:
             return tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length / mean_length))
