@@ -41,7 +41,7 @@ class LexicalIndex:
 
     spark: SparkSession
     path: str
-    buckets: int = 64
+    buckets: int = 8
     segment_chunks: int = 1024
     k1: float = 1.5
     b: float = 0.75
@@ -69,7 +69,7 @@ class LexicalIndex:
         rows = dealt.groupBy("bucket", "term", "segment").agg(F.collect_list(F.struct("chunk", F.col("tf").cast("int").alias("tf"), "length")).alias("held"), F.max("tf").cast("int").alias("max_tf"), F.min("length").alias("min_length"))
         at = f"generation={generation}"
         # a stop word has a row for each segment, so its rows are dealt to many tasks and files
-        rows.repartition("bucket", F.pmod(F.xxhash64("term", "segment"), F.lit(max(4, segments // 64)))).sortWithinPartitions("bucket", "term", "segment").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/{at}")
+        rows.repartition("bucket", F.pmod(F.xxhash64("term", "segment"), F.lit(max(1, segments // 64)))).sortWithinPartitions("bucket", "term", "segment").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/{at}")
         held = counted.groupBy("term").agg(F.count("*").alias("df")).withColumn("bucket", self._bucket())
         held.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms/{at}")
         n, told, words = ((new[x] or 0) + (last[y] if last else 0) for x, y in (("n", "n_chunks"), ("told", "n_told"), ("words", "n_words")))
@@ -84,12 +84,19 @@ class LexicalIndex:
         """(generation, bucket, term, df) of all appends up to one."""
         return self.spark.read.schema("term string, df long, generation int, bucket int").parquet(f"{self.path}/terms").where(F.col("generation") <= generation)
 
-    def _named(self, terms: DataFrame, most: int = 4096) -> Callable[[DataFrame], DataFrame]:
-        """A filter by the asked ``terms (term)``: it names them and their buckets to the scan, or joins them if they are more than ``most``."""
-        asked = terms.select("term", self._bucket().alias("bucket")).limit(most + 1).collect()  # at most ``most`` + 1 words
-        if len(asked) > most:
-            return lambda rows: rows.join(terms.withColumn("bucket", self._bucket()).hint("shuffle_hash"), ["bucket", "term"], "left_semi")
-        return lambda rows: rows.where(F.col("bucket").isin(sorted({r["bucket"] for r in asked})) & F.col("term").isin([r["term"] for r in asked]))
+    def _named(self, terms: DataFrame, literals: int = 256, most: int = 200_000) -> Callable[[DataFrame], DataFrame]:
+        """A filter by the asked ``terms (term)``.
+
+        Their buckets, and up to ``literals`` of the terms themselves, are named
+        to the scan; up to ``most`` terms are broadcast, more are shuffled.
+        """
+        asked = terms.select("term", self._bucket().alias("bucket"))
+        some = asked.limit(literals + 1).collect()
+        if len(some) <= literals:
+            return lambda rows: rows.where(F.col("bucket").isin(sorted({r["bucket"] for r in some})) & F.col("term").isin([r["term"] for r in some]))
+        buckets = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # at most ``buckets``
+        few = asked.limit(most + 1).count() <= most
+        return lambda rows: rows.where(F.col("bucket").isin(buckets)).join(F.broadcast(asked) if few else asked.hint("shuffle_hash"), ["bucket", "term"], "left_semi")
 
     def _postings(self, stats: Row) -> DataFrame:
         """(generation, bucket, term, segment, held, max_tf, min_length) of all appends up to that of ``stats``."""
@@ -108,7 +115,8 @@ class LexicalIndex:
         """
         stats = self._stats().first()
         asked = queries.select("query", F.explode(R.tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-        asked = written(asked, "asked")
+        few = asked.limit(200_001).count() <= 200_000
+        side = F.broadcast if few else (lambda rows: rows.hint("shuffle_hash"))
         terms = asked.select("term").distinct()
         generation, n = stats["generation"], stats["n_chunks"]
         mean_length = stats["n_words"] / max(1, stats["n_told"])  # chunks without text have no length
@@ -116,7 +124,7 @@ class LexicalIndex:
         named = self._named(terms)
         known = named(self._terms(generation)).groupBy("term").agg(F.sum("df").alias("df")).withColumn("idf", idf)
         weights = known.select("term", F.when(F.col("idf") < 0, self.epsilon * stats["mean_idf"]).otherwise(F.col("idf")).alias("idf"))
-        asked = asked.join(weights.hint("shuffle_hash"), "term").select("query", "term", (F.col("idf") * F.col("times")).alias("weight"))
+        asked = asked.join(side(weights), "term").select("query", "term", (F.col("idf") * F.col("times")).alias("weight"))
         postings = named(self._postings(stats))
 
         def part(tf: Column, length: Column) -> Column:
@@ -125,19 +133,22 @@ class LexicalIndex:
         where = ["generation", "segment"]
         packed = seen.groupBy("chunk").agg(F.collect_set("asker").alias("askers")) if seen is not None else None
 
-        def scored(blocks: DataFrame) -> DataFrame:
-            """Of the terms and segments in ``blocks``."""
-            rows = postings.select("term", *where, "held").join(blocks.hint("shuffle_hash"), ["term", *where])
+        def summed(rows: DataFrame) -> DataFrame:
+            """Of ``rows (query, weight, held)``."""
             each = rows.select("query", "weight", F.explode("held").alias("h")).select("query", F.col("h.chunk").alias("chunk"), (F.col("weight") * part(F.col("h.tf"), F.col("h.length"))).alias("part"))
             out = each.groupBy("query", "chunk").agg(F.sum("part").alias("score")).where("score > 0")
             if packed is None:
                 return out
             return out.join(packed.hint("shuffle_merge"), "chunk").select(F.explode("askers").alias("asker"), "query", "chunk", "score")
 
-        blocks = postings.select("term", *where, "max_tf", "min_length").join(asked.hint("shuffle_hash"), "term")
+        def scored(blocks: DataFrame) -> DataFrame:
+            """Of the terms and segments in ``blocks``."""
+            return summed(postings.select("term", *where, "held").join(blocks.hint("shuffle_hash"), ["term", *where]))
+
         # a few segments are scored at once: bounds would cost more than they save
         if k is None or n <= 4 * first * self.segment_chunks and not always:
-            return scored(blocks.select("term", *where, "query", "weight"))
+            return summed(postings.select("term", "held").join(side(asked), "term"))
+        blocks = postings.select("term", *where, "max_tf", "min_length").join(asked.hint("shuffle_hash"), "term")
         blocks = written(blocks.select("term", *where, "query", "weight", (F.greatest("weight", F.lit(0.0)) * part(F.col("max_tf"), F.col("min_length"))).alias("bound")), "blocks")
         bounds = blocks.groupBy("query", *where).agg(F.sum("bound").alias("bound"))
         order = Window.partitionBy("query").orderBy(F.desc("bound"), *where)
