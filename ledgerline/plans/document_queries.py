@@ -24,7 +24,21 @@ def _blocks(version: int = 1) -> str:
 
 
 _BLOCKS = _blocks()
-_OPEN = "o5 AS (SELECT *, last_value(CASE WHEN heading_level = 5 THEN \"order\" END IGNORE NULLS) OVER w AS p5, last_value(CASE WHEN heading_level = 6 THEN \"order\" END IGNORE NULLS) OVER w AS p6, last_value(CASE WHEN heading_level = 5 THEN text END IGNORE NULLS) OVER w AS t5, last_value(CASE WHEN heading_level = 6 THEN text END IGNORE NULLS) OVER w AS t6 FROM b WINDOW w AS (PARTITION BY source_id ORDER BY \"order\" ROWS BETWEEN UNBOUNDED PRECEDING AND {} ))"
+#: Levels that a numbered heading can have: 4 and its 1 to 7 segments.
+_DEPTHS = range(5, 12)
+_OPEN = "o5 AS (SELECT *, " + ", ".join(f'last_value(CASE WHEN heading_level = {k} THEN "order" END IGNORE NULLS) OVER w AS p{k}, last_value(CASE WHEN heading_level = {k} THEN text END IGNORE NULLS) OVER w AS t{k}' for k in _DEPTHS) + ' FROM b WINDOW w AS (PARTITION BY source_id ORDER BY "order" ROWS BETWEEN UNBOUNDED PRECEDING AND {} ))'
+
+
+def _opened(level: int, more: str = "") -> str:
+    """Text of the heading of a level that no heading of a level above has closed."""
+    after = "".join(f" AND p{level} > coalesce(p{k}, -1)" for k in _DEPTHS if k < level)
+    return f"CASE WHEN p{level} IS NOT NULL{after}{more} THEN t{level} END"
+
+
+def _path(sep: str, above: bool = False) -> str:
+    """All open headings joined; with ``above`` only those that a heading's own level leaves open."""
+    names = ", ".join(_opened(k, f" AND coalesce(heading_level, 99) > {k}" if above else "") for k in _DEPTHS)
+    return f"array_to_string(list_filter([{names}], lambda x: x IS NOT NULL), '{sep}')"
 
 
 def sources(spark, d, version: int = 1):
@@ -59,17 +73,17 @@ def a19(spark, d):
     return blocks(spark, d).where("block_type = 'heading'").select("source_id", "order", F.col("heading_level").alias("level")).unionByName(parts)
 
 
-@query("a20_section_path", _BLOCKS + ", " + _OPEN.format("1 PRECEDING") + """ SELECT source_id, "order", array_to_string(list_filter([CASE WHEN p5 IS NOT NULL AND coalesce(heading_level, 99) > 5 THEN t5 END, CASE WHEN p6 > coalesce(p5, -1) AND coalesce(heading_level, 99) > 6 THEN t6 END], lambda x: x IS NOT NULL), ' / ') AS path FROM o5""")
+@query("a20_section_path", _BLOCKS + ", " + _OPEN.format("1 PRECEDING") + f' SELECT source_id, "order", {_path(" / ", above=True)} AS path FROM o5')
 def a20(spark, d):
     return D.section_path(blocks(spark, d)).select("source_id", "order", F.array_join("section_path", " / ").alias("path"))
 
 
-@query("h4_context", _BLOCKS + ", " + _OPEN.format("CURRENT ROW") + """ SELECT source_id, "order", CASE WHEN p5 IS NOT NULL THEN t5 END AS h2, CASE WHEN p6 > coalesce(p5, -1) THEN t6 END AS h3, array_to_string(list_filter([t5, CASE WHEN p6 > coalesce(p5, -1) THEN t6 END], lambda x: x IS NOT NULL), ' > ') AS heading_path FROM o5""")
+@query("h4_context", _BLOCKS + ", " + _OPEN.format("CURRENT ROW") + f' SELECT source_id, "order", {_opened(5)} AS h2, {_opened(6)} AS h3, {_path(" > ")} AS heading_path FROM o5')
 def h4(spark, d):
     return D.heading_context(blocks(spark, d)).select("source_id", "order", "h2", "h3", "heading_path")
 
 
-_SECTIONS = ", " + _OPEN.format("CURRENT ROW") + """, n AS (SELECT *, CAST(sum(CASE WHEN block_type = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY "order") AS BIGINT) AS section_no, array_to_string(list_filter([t5, CASE WHEN p6 > coalesce(p5, -1) THEN t6 END], lambda x: x IS NOT NULL), ' > ') AS hp FROM o5),
+_SECTIONS = ", " + _OPEN.format("CURRENT ROW") + f""", n AS (SELECT *, CAST(sum(CASE WHEN block_type = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY "order") AS BIGINT) AS section_no, {_path(" > ")} AS hp FROM o5),
 sec AS (SELECT source_id, section_no, coalesce(max(CASE WHEN block_type = 'heading' THEN text END), '') AS heading, coalesce(max(CASE WHEN block_type = 'heading' THEN hp END), '') AS path, coalesce(string_agg(CASE WHEN block_type <> 'heading' THEN text END, chr(10) ORDER BY "order"), '') AS text FROM n GROUP BY source_id, section_no)"""
 
 
@@ -127,7 +141,7 @@ def parts(spark, d):
     return D.split_oversized(b)
 
 
-_PARTS = "WITH RECURSIVE " + _BLOCKS.removeprefix("WITH ") + ", " + _OPEN.format("CURRENT ROW") + r""", hc AS (SELECT source_id, "order", block_type, array_to_string(list_filter([t5, CASE WHEN p6 > coalesce(p5, -1) THEN t6 END], lambda x: x IS NOT NULL), ' > ') AS heading_path, text FROM o5),
+_PARTS = "WITH RECURSIVE " + _BLOCKS.removeprefix("WITH ") + ", " + _OPEN.format("CURRENT ROW") + rf""", hc AS (SELECT source_id, "order", block_type, {_path(" > ")} AS heading_path, text FROM o5),
 cut AS (SELECT source_id, "order", 0 AS n, '' AS piece, text AS rest FROM hc WHERE length(text) > 1000
 UNION ALL SELECT source_id, "order", n + 1, substr(rest, 1, size), substr(rest, size + 1) FROM (SELECT *, CASE WHEN length(rest) > 1000 AND length(regexp_extract(substr(rest, 1, 1000), '(?s)^.* ')) > 1 THEN length(regexp_extract(substr(rest, 1, 1000), '(?s)^.* ')) ELSE 1000 END AS size FROM cut WHERE rest <> '')),
 pt AS (SELECT source_id, "order", block_type, heading_path, 0 AS part, text FROM hc WHERE length(text) <= 1000

@@ -186,3 +186,20 @@ def test_against_sql(spark, sf_dir, oracle, name):
 def test_every_query_is_paired_or_listed():
     without = set(catalog.QUERIES) - set(catalog.ORACLES)
     assert without == {"e5_lint", "h7_align", "h9_word_diff", "h10_similarity", "d16_citation"}
+
+
+DEEP = ["a20_section_path", "f9_diff_summary", "h1_split", "h2_pack", "h3_merge", "h4_context", "h6_sections", "h8_section_changes"]
+
+
+@pytest.mark.parametrize("name", DEEP)
+def test_deep_headings_against_sql(spark, tmp_path, name):
+    """Numbers of three and more segments, an address among them, open and close levels in the SQL too."""
+    texts = ["56.187.231.175 Keit in lich\nauf\n1.2.3 x\n4. y\nz\n1.1 a\n\nb\n2.1.1.1.1.1.1 deep\nc\n1.1.2 d\ne\nf", "1.2.3.4 one\ntwo\n\n1.2.3.4 one\n" + "long word " * 150 + "\n2.1 x\ny\n3.1.1 z"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    want = con.execute(catalog.ORACLES[name])
+    names = [d[0] for d in want.description]
+    rows = sorted(tuple(shown(r[c]) for c in names) for r in df.collect())
+    assert rows and rows == sorted(tuple(map(shown, r)) for r in want.fetchall())
