@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as S
 from ledgerline.operators.rules import FUNCTIONS
+from ledgerline.sources.io import written
 
 SOURCES = ("employee", "attendance", "rate_config", "regulatory", "literal")
 SECTIONS = ("line_items", "deductions", "employer_cost")
@@ -53,7 +54,8 @@ def expression_facts(text: Column) -> Column:
 
     @F.pandas_udf("struct<ok:boolean,names:array<string>,bad:array<string>>")
     def facts(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_read(t) for t in texts])
+        read = {t: _read(t) for t in texts.unique()}
+        return pd.DataFrame([read[t] for t in texts])
 
     return facts(text)
 
@@ -96,9 +98,13 @@ def lint_formulas(variables: DataFrame, rules: DataFrame, known_codes: tuple[str
     ``categories (formula_id, code, section)`` are the sections that a formula
     gives its outputs; they must agree with the ``category`` of a rule, if the
     rules have that column.  Issues that only warn begin with ``warning``.
+    Each check reads the rules again, so they are parsed once and written.
     """
     issue = lambda df, text: df.select("formula_id", F.coalesce(F.col("place").cast("int"), F.lit(-1)).alias("place"), text.alias("issue"))
+    variables = written(variables, "variables")
     facts = rules.withColumn("e", expression_facts(F.col("expression"))).withColumn("c", expression_facts(F.col("condition"))).withColumn("names", F.array_union(F.coalesce("e.names", F.array().cast("array<string>")), F.coalesce("c.names", F.array().cast("array<string>"))))
+    facts = written(facts, "facts")
+    rules = facts.select(*rules.columns)
     outputs = rules.select("formula_id", F.col("output_field").alias("name"))
     known = variables.select("formula_id", "name").unionByName(outputs).distinct()
     reads = facts.select("formula_id", "place", "output_field", F.explode("names").alias("name")).where(~F.col("name").isin("True", "False"))

@@ -10,7 +10,7 @@ from ledgerline.operators import registry as G
 from ledgerline.operators import retrieval as R
 from ledgerline.operators.versions import VersionedSheets, digest
 from ledgerline.plans.base import query, table
-from ledgerline.sources.io import shared_folder
+from ledgerline.sources.io import shared_folder, written
 
 CATS = tuple(C.CATEGORY_RISK)
 _CAT = "CASE o_orderkey % 6 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CATS)) + " END"
@@ -222,6 +222,7 @@ def e5(spark, d):
     variables = table(spark, d, "part").select((F.col("p_partkey") / 8).cast("long").alias("formula_id"), F.explode(F.array(F.lit("basic"), F.lit("paid"))).alias("name")).distinct()
     variables = variables.withColumn("source", F.when((F.col("formula_id") % 4 == 0) & (F.col("name") == "paid"), "magic").otherwise("employee")).withColumn("field_code", F.when(F.col("formula_id") % 3 == 0, "base_salary").otherwise("basic_salary"))
     rules = FO.clean_rules(raw_rules(spark, d)).withColumn("category", F.when(F.col("place") % 3 == 0, "PIT").when(F.col("place") % 3 == 1, "BASIC"))
+    rules = written(rules, "rules")
     categories = rules.select("formula_id", F.col("output_field").alias("code"), F.when(F.col("formula_id") % 2 == 0, "line_items").when(F.col("place") % 2 == 0, "deductions").otherwise("line_items").alias("section"))
     return FO.lint_formulas(variables, rules, tuple(f"R{i}" for i in range(7)), categories)
 

@@ -97,3 +97,9 @@ def test_lint_of_the_whole_table(spark, sf_dir, monkeypatch):
     want = plain(*([r.asDict() for r in df.collect()] for df in (variables, rules)), codes, [r.asDict() for r in categories.collect()], canonical)
     assert got == want
     assert {k[2].split(":")[0] for k in got} >= {"invalid syntax", "forbidden", "unknown variable", "not in catalog", "circular", "invalid source", "alias code", "invalid section"}
+
+
+def test_rules_are_parsed_once(spark, sf_dir):
+    """The checks read parsed rules from a table; none of them parses again."""
+    plan = change_queries.e5(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan
