@@ -219,7 +219,7 @@ def j1(spark, d):
 
 @query("j2_stream_guard", _GUARDED)
 def j2(spark, d):
-    return ST.run_to_parquet(ST.loop_guard(agent_log(streamed(spark, d))))
+    return ST.run_guard(agent_log(streamed(spark, d))).rows()
 
 
 @query("j3_stream_dedup", "SELECT DISTINCT user_id || '/' || event_type AS key FROM events")

@@ -9,15 +9,14 @@ under its number, so a batch that is run again replaces what it had written.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ledgerline.sources.io import audit_rows, shared_folder
+from ledgerline.operators import logs as L
+from ledgerline.sources.io import audit_rows, shared_folder, written
 
 
 _METER = ["window_start", "model"]
@@ -92,36 +91,72 @@ def late_rows(usage: DataFrame, sink: MeterSink, window: str = "1 day") -> DataF
     return both.where("missing > 0").select(*_METER, "missing")
 
 
-_GUARD = "run_id string, turn long, reason string"
-_STATE = "steps int, last string, idle int, stopped boolean, seen map<string,int>"
+_RESULT = "run_id string, turn long, reason string, batch long, bucket int"
+_TURNS = "run_id string, turn long, action_hash string, observation_hash string, progress boolean, batch long, bucket int"
 
 
-def loop_guard(log: DataFrame, max_steps: int = 10, same_observation: int = 3, no_progress: int = 3) -> DataFrame:
-    """(run_id, turn, reason): the first turn at which each run must stop.
+class GuardSink:
+    """The first turn at which each run must stop, over any number of micro-batches.
 
-    State per run: steps, the last action, idle turns and how often each
-    observation was seen (at most ``max_steps`` of them, as the run stops then).
-    Rows of one micro-batch are taken in order of ``turn``.
+    What a run still needs is its turns so far, at most ``max_steps`` of them, as
+    it stops then.  Those of runs that go on, and the results of runs that have
+    stopped, lie in folders by micro-batch and by a hash of the run
+    (``bucket``).  A batch meets what earlier batches have stored in the buckets
+    it touches, and all its runs are judged at once by
+    :func:`ledgerline.operators.logs.loop_guard`, in order of batch and turn.
+    Both folders of a batch are written over if it is run again.
     """
 
-    def guard(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        steps, last, idle, stopped, seen = state.get if state.exists else (0, None, 0, False, {})
-        seen = dict(seen)
-        rows = pd.concat(list(frames)).sort_values("turn")
-        for r in rows.itertuples():
-            if stopped:
-                break
-            steps += 1
-            seen[r.observation_hash] = seen.get(r.observation_hash, 0) + 1
-            idle = 0 if r.progress else idle + 1
-            reason = "max_steps" if steps > max_steps else "same_action" if steps > 1 and r.action_hash == last else "same_observation" if seen[r.observation_hash] >= same_observation else "no_progress" if idle >= no_progress else None
-            last = r.action_hash
-            if reason:
-                stopped = True
-                yield pd.DataFrame([(key[0], r.turn, reason)], columns=["run_id", "turn", "reason"])
-        state.update((steps, last, idle, stopped, {} if stopped else seen))
-
-    return log.groupBy("run_id").applyInPandasWithState(guard, _GUARD, _STATE, "append", GroupStateTimeout.NoTimeout)
+    def __init__(self, spark: SparkSession, folder: str, max_steps: int = 10, same_observation: int = 3, no_progress: int = 3, buckets: int = 64):
+        self.spark, self.folder, self.buckets, self.max_steps = spark, folder, buckets, max_steps
+        self.rules = {"max_steps": max_steps, "same_observation": same_observation, "no_progress": no_progress}
+
+    def _stored(self, name: str, schema: str) -> DataFrame | None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return None
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+
+    def put(self, log: DataFrame, batch_id: int) -> None:
+        order = ("batch", "turn")
+        bucket = F.pmod(F.xxhash64("run_id"), F.lit(self.buckets)).cast("int")
+        # a turn without progress known is one without progress
+        fresh = log.select("run_id", F.col("turn").cast("long").alias("turn"), "action_hash", "observation_hash", F.coalesce("progress", F.lit(False)).alias("progress"), F.lit(batch_id).cast("long").alias("batch"), bucket.alias("bucket"))
+        nth = F.row_number().over(Window.partitionBy("run_id").orderBy("turn"))
+        # a run stops after max_steps turns at the latest: no later one can matter
+        fresh = fresh.withColumn("nth", nth).where(F.col("nth") <= self.max_steps + 1).drop("nth")
+        stopped, going = self._stored("stopped", _RESULT), self._stored("open", _TURNS)
+        earlier = [x for x in (stopped, going) if x is not None]
+        if batch_id > 0 and earlier:
+            touched = [r["bucket"] for r in log.select(bucket.alias("bucket")).distinct().collect()]  # at most ``buckets``
+            of = lambda x: x.where((F.col("batch") < batch_id) & F.col("bucket").isin(touched))
+            if stopped is not None:
+                fresh = fresh.join(of(stopped).select("run_id", "bucket").hint("shuffle_merge"), ["bucket", "run_id"], "left_anti").select(*fresh.columns)
+            fresh = written(fresh, "turns")
+            runs = fresh.select("bucket", "run_id").distinct()
+            every = fresh if going is None else fresh.unionByName(of(going).join(runs.hint("shuffle_merge"), ["bucket", "run_id"], "left_semi").select(*fresh.columns))
+        else:
+            every = fresh = written(fresh, "turns")
+        found = L.loop_guard(every, **self.rules, order=order).withColumn("bucket", bucket)
+        self._put(found, "stopped", batch_id)
+        ended = self.spark.read.schema(_RESULT).parquet(f"{self.folder}/stopped").where(F.col("batch") == batch_id)
+        self._put(fresh.drop("batch").join(ended.select("run_id", "bucket").hint("shuffle_merge"), ["bucket", "run_id"], "left_anti"), "open", batch_id)
+
+    def _put(self, rows: DataFrame, name: str, batch_id: int) -> None:
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}/batch={batch_id}")
+
+    def rows(self) -> DataFrame:
+        """(run_id, turn, reason) of every run that has stopped."""
+        stored = self._stored("stopped", _RESULT)
+        return (self.spark.createDataFrame([], _RESULT) if stored is None else stored).drop("bucket", "batch")
+
+
+def run_guard(log: DataFrame, folder: str | None = None, each: Callable[[GuardSink, DataFrame, int], None] = GuardSink.put, **rules) -> GuardSink:
+    """Guards what is new in the stream ``log`` since the last run on ``folder``, and returns the sink."""
+    folder = folder or shared_folder(log.sparkSession)
+    sink = GuardSink(log.sparkSession, f"{folder}/guard", **rules)
+    log.writeStream.foreachBatch(lambda batch, i: each(sink, batch, i)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return sink
 
 
 def dedup(events: DataFrame, key: str, time: str, late: str = "1 hour") -> DataFrame:

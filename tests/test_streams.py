@@ -97,3 +97,28 @@ def test_audit_lines_once(source):
     put(("c", "m", 3, "2026-01-02 08:00:00"))
     sink = run(ST.AuditSink.put)
     assert sorted(json.loads(json.loads(r["value"])["payload"])["key"] for r in sink.rows().collect()) == ["a", "a", "b", "c"]
+
+
+def test_guard_over_batches(spark, tmp_path):
+    """Runs go on over batches and restarts; a batch that fails after writing is run again; nothing is grouped in Python."""
+    schema, path, folder = "run_id string, turn long, action_hash string, observation_hash string, progress boolean", f"file://{tmp_path}/in", f"file://{tmp_path}/work"
+    put = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    put(("a", 2, "y", "o", True), ("a", 1, "x", "o", True), ("b", 1, "x", "p", None), ("c", 1, "x", "q", True), ("c", 2, "x", "r", True), ("d", 1, None, "s", True), *[("long", i, f"x{i}", f"o{i}", True) for i in range(1, 9)])
+    got = lambda sink: {r["run_id"]: (r["turn"], r["reason"]) for r in sink.rows().collect()}
+    assert got(ST.run_guard(stream(), folder)) == {"c": (2, "same_action")}
+    # a turn number below the last batch's still comes after it
+    put(("a", 0, "z", "o", True), ("b", 2, "y", "t", False), ("c", 3, "x", "q", True), ("d", 2, None, "u", True), ("long", 9, "x9", "o9", True))
+
+    def half(sink, batch, batch_id):
+        ST.GuardSink.put(sink, batch, batch_id)
+        raise Fail
+
+    with pytest.raises(Exception, match="Fail"):
+        ST.run_guard(stream(), folder, half)
+    want = {"c": (2, "same_action"), "a": (0, "same_observation"), "d": (2, "same_action")}
+    assert got(ST.run_guard(stream(), folder)) == want
+    put(("b", 3, "x", "w", False), ("long", 10, "y", "n", True), ("long", 11, "z", "m", True), ("long", 12, "z", "m", True), ("e", 1, "x", "x", True))
+    sink = ST.run_guard(stream(), folder)
+    assert got(sink) == {**want, "b": (3, "no_progress"), "long": (11, "max_steps")} and sink.rows().count() == 5
+    assert spark.read.parquet(f"{sink.folder}/open").where("run_id = 'e'").count() == 1
