@@ -16,11 +16,16 @@ copies cost a map-side aggregate.
    triangle inequality of the Jaccard distance), and the rest splits again on
    ``fan_out`` further sampled shingles, until all buckets are small: each
    bucket is split into subsets of itself without its leader, so it ends.
+   Sets linked to a leader keep its name as their root; sets of one root are
+   connected already, so they aren't linked again, and a bucket with a single
+   root is finished.
 2. *Groups.*  Links of the samples are lax (0.45), and their components
    are the groups within which every similar pair must lie.
 3. *Exact check.*  In each group all pairs are compared by their whole
-   shingle sets.  Groups too large for a task are dealt as pairs of blocks.  A
-   task returns counts and a spanning forest, never the pairs.
+   shingle sets.  Groups too large for a task are dealt as pairs of blocks:
+   each block with itself first, then those of two, which link what is
+   connected within a block as one.  A task returns counts and a spanning
+   forest, never the pairs.
 
 Result: one row per document with its class (smallest doc_id of the connected
 component of pairs with similarity at least ``threshold``), its number of
@@ -127,14 +132,16 @@ def _sigs(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(-1, SAMPLE)
 
 
-def leader_links(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def leader_links(sig: np.ndarray, roots: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among the samples of one bucket.
 
     Leaders are compared with all that follow; only links that join two
     components so far are kept, so a bucket gives fewer links than members.
+    Sets with equal ``roots`` are one component from the start.
     """
-    left, part, a, b = np.arange(len(sig)), np.arange(len(sig)), [], []
-    while len(left) > 1:
+    left, a, b = np.arange(len(sig)), [], []
+    part = left.copy() if roots is None else np.unique(roots, return_inverse=True)[1]
+    while len(left) > 1 and (part[left] != part[left[0]]).any():
         lead, rest = left[0], left[1:]
         same = (sig[rest] == sig[lead]).mean(1)
         near = rest[same >= LINK]
@@ -151,10 +158,11 @@ def leader_links(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _bucket_links(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["bucket", "set_id"], kind="stable")
     sig, ids, bucket = _sigs(pdf["sig"]), pdf["set_id"].to_numpy(object), pdf["bucket"].to_numpy()
+    roots = pdf["root"].fillna(pdf["set_id"]).factorize()[0]
     edge = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
     a, b = [], []
     for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        x, y = leader_links(sig[lo:hi])
+        x, y = leader_links(sig[lo:hi], roots[lo:hi])
         a.append(x + lo)
         b.append(y + lo)
     a, b = np.concatenate(a), np.concatenate(b)
@@ -167,10 +175,12 @@ def _split(depth: int, fan_out: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig, lead = _sigs(batch.column("sig").to_pylist()), _sigs(batch.column("lead_sig").to_pylist())
-            bucket, ids = batch.column("bucket").to_numpy(), np.array(batch.column("set_id").to_pylist(), object)
-            leads = np.array(batch.column("lead").to_pylist(), object)
+            bucket = batch.column("bucket").to_numpy()
+            ids, root, leads, top = (np.array(batch.column(c).to_pylist(), object) for c in ("set_id", "root", "lead", "lead_root"))
             same = (sig == lead).mean(1)
-            link = (same >= LINK) & (ids != leads)
+            near = same >= LINK
+            link = near & (np.where(root == None, ids, root) != top)  # noqa: E711
+            root = np.where(near, top, root)
             go_on = np.flatnonzero(same < NEAR)
             # coordinates sampled anew in each bucket, alike for all its members
             draw = X.mix(bucket.view(np.uint64)[:, None] + (np.arange(fan_out, dtype=np.uint64) + np.uint64(1 + 100 * depth)) * _SALT) % np.uint64(SAMPLE)
@@ -182,6 +192,7 @@ def _split(depth: int, fan_out: int):
                     "bucket": pa.array(np.concatenate([np.zeros(int(link.sum()), np.int64), child])),
                     "set_id": pa.array(np.concatenate([ids[link], ids[rows]]), pa.string()),
                     "lead": pa.array(np.concatenate([leads[link], np.full(len(rows), None)]), pa.string()),
+                    "root": pa.array(np.concatenate([root[link], root[rows]]), pa.string()),
                 }
             )
 
@@ -191,33 +202,43 @@ def _split(depth: int, fan_out: int):
 def candidate_links(sets: DataFrame, bucket_limit: int = 2048, fan_out: int = 2) -> DataFrame:
     """Links (a, b) of sets whose samples may be similar."""
     sigs = sets.select("set_id", "sig")
-    rows = sets.select("set_id", F.posexplode("keys").alias("run", "key")).select(F.xxhash64("run", "key").alias("bucket"), "set_id")
+    rows = sets.select("set_id", F.posexplode("keys").alias("run", "key")).select(F.xxhash64("run", "key").alias("bucket"), "set_id", F.lit(None).cast("string").alias("root"))
     links, depth = [], 0
     while True:
-        counts = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+        counts = rows.groupBy("bucket").agg(F.count("*").alias("size"), *([F.min(F.coalesce("root", "set_id")).alias("low"), F.max(F.coalesce("root", "set_id")).alias("high")] if depth else []))
+        counts = counts.where("size > 1 and low < high" if depth else "size > 1").select("bucket", "size")
         # a shingle that a third of all sets hold is a hot bucket
         there = stored(join_skewed(rows, counts, ["bucket"], size="size").distinct(), f"paths{depth}")
         small = there.where(F.col("size") <= bucket_limit)
         tasks = groups_for(small.count(), 4_000)
-        few = small.select("bucket", "set_id").join(sigs.hint("shuffle_merge"), "set_id")
+        few = small.select("bucket", "set_id", "root").join(sigs.hint("shuffle_merge"), "set_id")
         links.append(stored(few.withColumn("part", F.pmod(F.xxhash64("bucket"), F.lit(tasks))).groupBy("part").applyInPandas(_drop_part(_bucket_links), "a string, b string").distinct(), f"links{depth}"))
         large = there.where(F.col("size") > bucket_limit)
         if large.isEmpty():
             break
         salts = F.ceil(F.col("size") / bucket_limit)
-        leaders = large.groupBy("bucket", "size").agg(F.min(F.struct(F.xxhash64("bucket", "set_id").alias("h"), "set_id")).alias("x")).select("bucket", "size", F.col("x.set_id").alias("lead"))
+        leaders = large.groupBy("bucket", "size").agg(F.min(F.struct("set_id", "root")).alias("x")).select("bucket", "size", F.col("x.set_id").alias("lead"), F.coalesce("x.root", "x.set_id").alias("lead_root"))
         leaders = leaders.join(sigs.select(F.col("set_id").alias("lead"), F.col("sig").alias("lead_sig")).hint("shuffle_merge"), "lead")
         leaders = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts.cast("bigint") - 1))).drop("size")
         dealt = large.withColumn("salt", F.pmod(F.xxhash64("set_id"), salts).cast("bigint"))
         met = dealt.join(leaders.hint("shuffle_merge"), ["bucket", "salt"]).join(sigs.hint("shuffle_merge"), "set_id")
-        out = stored(met.select("bucket", "set_id", "sig", "lead", "lead_sig").mapInArrow(_split(depth, fan_out), "bucket long, set_id string, lead string"), f"split{depth}")
+        out = stored(met.select("bucket", "set_id", "root", "sig", "lead", "lead_root", "lead_sig").mapInArrow(_split(depth, fan_out), "bucket long, set_id string, lead string, root string"), f"split{depth}")
         links.append(out.where("lead is not null").select(F.col("lead").alias("a"), F.col("set_id").alias("b")).distinct())
-        rows = out.where("lead is null").select("bucket", "set_id").distinct()
+        rows = out.where("lead is null").select("bucket", "set_id", "root").distinct()
         depth += 1
     every = links[0]
     for more in links[1:]:
         every = every.unionByName(more)
-    return every
+    return thinned(every)
+
+
+def thinned(links: DataFrame) -> DataFrame:
+    """Fewer links with the same components: each set stays linked to its least leader, and its others to that one.
+
+    A set has at most one leader for each of its buckets; sets of a large group share theirs.
+    """
+    leads = links.groupBy("b").agg(F.sort_array(F.collect_set("a")).alias("leads"))
+    return leads.select(F.col("leads")[0].alias("a"), F.explode(F.concat(F.array("b"), F.slice("leads", 2, F.size("leads")))).alias("b"))
 
 
 def _drop_part(f):
@@ -303,6 +324,29 @@ def forest(match: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def connected(match: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric Boolean matrix the first row of its component."""
+    out = np.full(len(match), -1)
+    for r in range(len(match)):
+        if out[r] < 0:
+            out[r], front = r, np.array([r])
+            while len(front):
+                front = np.flatnonzero(match[front].any(0) & (out < 0))
+                out[front] = r
+    return out
+
+
+def _merged(match: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The matrix with rows, and columns, of one name taken together; names of both."""
+    names = []
+    for axis, of in enumerate((rows, cols)):
+        name, code = np.unique(of, return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        match = np.logical_or.reduceat(match.take(order, axis), np.searchsorted(code[order], np.arange(len(name))), axis)
+        names.append(name)
+    return match, *names
+
+
 def _verify(threshold: float):
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -316,13 +360,15 @@ def _verify(threshold: float):
             la, lb = (np.array([len(x) for x in s]) for s in sets)
             common = overlaps(np.concatenate(sets[0]), la, np.concatenate(sets[1]), lb)
             match = common >= threshold * (la[:, None] + lb[None, :] - common) - 1e-6
+            ia, ib, wa, wb = a["set_id"].to_numpy(object), b["set_id"].to_numpy(object), a["copies"].to_numpy(np.int64), b["copies"].to_numpy(np.int64)
             if a is b:
                 np.fill_diagonal(match, False)
-            ia, ib, wa, wb = a["set_id"].to_numpy(object), b["set_id"].to_numpy(object), a["copies"].to_numpy(np.int64), b["copies"].to_numpy(np.int64)
-            out += [(x, None, int(n)) for x, n in zip(ia, match @ wb, strict=True) if n]
-            if a is not b:
+                out += [(x, top, int(n)) for x, top, n in zip(ia, ia[connected(match)], match @ wa, strict=True) if n]
+            else:
+                out += [(x, None, int(n)) for x, n in zip(ia, match @ wb, strict=True) if n]
                 out += [(x, None, int(n)) for x, n in zip(ib, match.T @ wa, strict=True) if n]
-            out += [(ia[i], ib[j], 0) for i, j in forest(match)]
+                few, x, y = _merged(match, a["top"].to_numpy(object), b["top"].to_numpy(object))
+                out += [(x[i], y[j], 0) for i, j in forest(few)]
         return pd.DataFrame(out, columns=["a", "b", "n"])
 
     return task
@@ -356,13 +402,23 @@ def _classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, target_reca
     # equal rows of documents share a key; one of them stands for the set
     texts = rows.join(placed.hint("shuffle_merge"), "row_key").select("text", "set_id", "gid", "copies", "blocks", "block")
     whole = stored(texts.mapInArrow(shingles, "set_id string, gid string, copies long, blocks int, block int, shingles binary, n long"), "shingles")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = whole.withColumn("other", other).select("set_id", "gid", "copies", "block", "shingles", "n", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "blocks")
     total = whole.agg(F.sum("n")).first()[0] or 0
     tasks = groups_for(int(total), block_shingles // 2)
-    part = F.when(F.col("blocks") > 1, F.concat_ws("/", "gid", "one", "two")).otherwise(F.pmod(F.xxhash64("gid"), F.lit(tasks)).cast("string"))
-    found = stored(pairs.withColumn("part", part).drop("blocks", "n").groupBy("part").applyInPandas(_drop_part(_verify(threshold)), "a string, b string, n long"), "links")
-    links = found.where("b is null").groupBy(F.col("a").alias("set_id")).agg(F.sum("n").alias("n"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        part = F.when(F.col("blocks") > 1, F.concat_ws("/", "gid", "one", "two")).otherwise(F.pmod(F.xxhash64("gid"), F.lit(tasks)).cast("string"))
+        return stored(pairs.withColumn("part", part).drop("blocks").groupBy("part").applyInPandas(_drop_part(_verify(threshold)), "a string, b string, n long"), "links")
+
+    within = whole.drop("n").withColumn("one", F.col("block")).withColumn("two", F.col("block"))
+    found = checked(within)
+    large = whole.where("blocks > 1")
+    if not large.isEmpty():
+        # pairs of blocks know what is connected within each, so that they link components and not sets
+        tops = found.where("b is not null").select(F.col("a").alias("set_id"), F.col("b").alias("top"))
+        named = large.drop("n").join(tops.hint("shuffle_merge"), "set_id", "left").withColumn("top", F.coalesce("top", "set_id"))
+        pairs = named.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
+        found = found.unionByName(checked(pairs.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).drop("other")))
+    links = found.where("n > 0").groupBy(F.col("a").alias("set_id")).agg(F.sum("n").alias("n"))
     classes = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("set_id"), "label")
     known = sets.select("set_id", "least", "copies").join(classes.hint("shuffle_merge"), "set_id", "left").join(links.hint("shuffle_merge"), "set_id", "left")
     known = stored(known.select("set_id", "least", "copies", F.coalesce("label", "set_id").alias("label"), F.coalesce("n", F.lit(0)).alias("n")), "known")

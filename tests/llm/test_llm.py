@@ -391,6 +391,24 @@ def test_jaccard_join_splits_large_buckets_and_groups(spark):
     assert {r["doc_id"] for r in jaccard_join.keep_one(df).collect()} == {c for _, c, _ in got}
 
 
+def test_jaccard_join_gives_few_links_for_a_large_group(spark, monkeypatch):
+    """Links and exact links of a group of near copies are about as many as its sets, in buckets and blocks of any number."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(300):
+        w = [f"b{j}" for j in range(200)]
+        for j in rng.integers(0, 200, 4):
+            w[j] = f"e{i}_{j}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(f"o{i}_{j}" for j in range(30))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    made, components = [], jaccard_join.components
+    monkeypatch.setattr(jaccard_join, "components", lambda edges: made.append(edges.distinct().count()) or components(edges))
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join.join(df, bucket_limit=64, block_sets=20).collect())
+    assert got == brute_join(rows)
+    assert len(made) == 2 and made[0] <= 2 * 300 and made[1] <= 1.5 * 300, made
+
+
 def brute_lines(rows, chars=40, least=5):
     key = lambda x: x.strip(" \t\n\x0b\f\r").translate(LOW)
     where = defaultdict(set)
