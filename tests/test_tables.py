@@ -89,6 +89,28 @@ def test_overlaps_against_all_pairs(spark):
     assert registry.overlaps(table.limit(0)).count() == 0
 
 
+POLICIES = "policy_id long, policy_key string, category string, status string, effective_date date, expiry_date date"
+
+
+def test_overlaps_in_cells(spark):
+    """Blocks of a few rows leave the pairs as they are; ends beyond those of open intervals are kept."""
+    rng = random.Random(9)
+    day = lambda: date(2019, 12, 25) + timedelta(days=rng.choice([0, 0, 1, 7, rng.randint(0, 900)]))
+    policies = [(i, f"k{rng.randint(0, 30)}", "hot" if i % 3 else "c", "active", None if rng.random() < 0.3 else day(), None if rng.random() < 0.3 else day() + timedelta(days=400)) for i in range(200)]
+    table = spark.createDataFrame(policies, POLICIES)
+    assert rows(registry.overlaps(table, block=7)) == rows(registry.overlaps(table)) == plain_overlaps(policies)
+    far = spark.createDataFrame([(1, "a", "X", "active", date(2020, 1, 1), date(2300, 1, 1)), (2, "b", "X", "active", date(2020, 2, 1), None)], POLICIES)
+    assert rows(registry.overlaps(far)) == [(1, 2, "X", date(2020, 2, 1), date(2300, 1, 1))]
+
+
+def test_overlaps_of_one_stretch_are_spread(spark):
+    """Intervals that all begin on a day and stay open meet in one stretch; no task makes half of their pairs."""
+    n = 9000
+    table = spark.range(n).selectExpr("id policy_id", "concat('k', id) policy_key", "if(id < 0, 'Y', 'X') category", "'active' status", "date'2020-01-01' effective_date", "cast(null as date) expiry_date")
+    made = [r["count"] for r in registry.overlaps(table).groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(made) == n * (n - 1) // 2 and max(made) < sum(made) / 2
+
+
 def test_askers_in_blocks(spark):
     items = spark.range(20).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("item_company"), F.lit(None).cast("array<string>").alias("item_scopes"), F.lit(None).cast("date").alias("effective_date"), F.lit(None).cast("date").alias("expiry_date"), (F.col("id") % 3).cast("int").alias("required_permission"))
     askers = spark.range(50).select(F.concat(F.lit("a"), "id").alias("asker"), F.lit("c").alias("company"), F.array(F.lit("x")).alias("scopes"), (F.col("id") % 3).cast("int").alias("permission"), F.current_date().alias("as_of"))
