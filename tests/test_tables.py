@@ -103,6 +103,18 @@ def test_overlaps_in_cells(spark):
     assert rows(registry.overlaps(far)) == [(1, 2, "X", date(2020, 2, 1), date(2300, 1, 1))]
 
 
+def test_overlaps_of_far_dates(spark):
+    """Days before 1900 and ends like 9999-12-31, of open beginnings too."""
+    rng = random.Random(3)
+    first, last = [None, date(1850, 3, 1), date(1871, 7, 12), date(1899, 12, 31), date(1995, 5, 5)], [None, date(1899, 12, 31), date(1995, 5, 5), date(2300, 1, 1), date(2700, 2, 2), date(9999, 12, 31)]
+    policies = [(i, f"k{i % 11}", "c", rng.choice(first), rng.choice(last)) for i in range(120)]
+    lo, hi = (lambda p: p[3] or date(1900, 1, 1)), (lambda p: p[4] or date(2200, 12, 31))
+    want = {(a[0], b[0]) for a in policies for b in policies if a[0] < b[0] and a[1] != b[1] and max(lo(a), lo(b)) <= min(hi(a), hi(b)) and lo(a) <= hi(a) and lo(b) <= hi(b)}
+    table = spark.createDataFrame([(*p[:3], "active", *p[3:]) for p in policies], POLICIES)
+    got = [(r["policy_a"], r["policy_b"]) for r in registry.overlaps(table).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_overlaps_of_one_stretch_are_spread(spark):
     """Intervals that all begin on a day and stay open meet in one stretch; no task makes half of their pairs."""
     n = 9000
