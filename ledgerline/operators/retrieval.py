@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,43 +77,66 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "chunk", "score")
 
 
+def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each row, as a column."""
+    return -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+
+
 def _best(asked: pd.DataFrame, rows: pd.DataFrame, k: int, metric: str) -> pd.DataFrame:
-    """The best ``k`` of ``rows (chunk, vec)`` for each of ``asked (query, vec)``, with all that tie."""
+    """The best ``k`` of ``rows (chunk, vec)`` for each of ``asked (query, vec)``, with all that tie and a few more; NaN is no score."""
     out = [pd.DataFrame({"query": asked["query"].iloc[:0], "chunk": rows["chunk"].iloc[:0], "score": np.zeros(0)})]
     for length in set(asked["vec"].map(len)) & set(rows["vec"].map(len)):
         a, b = asked[asked["vec"].map(len) == length], rows[rows["vec"].map(len) == length]
-        x, y = np.stack(a["vec"].to_numpy()), np.stack(b["vec"].to_numpy())
-        for lo in range(0, len(x), 256):
-            s = x[lo : lo + 256] @ y.T
+        x, y = (np.stack(side["vec"].to_numpy()).astype(np.float64) for side in (a, b))
+        n, group = min(k, len(y)), max(1, min(64, len(y) // (8 * k)))
+        whole, step = len(y) // group * group, max(1, min(256, 4_000_000 // len(y)))
+        for lo in range(0, len(x), step):
+            s = x[lo : lo + step] @ y.T
             if metric == "cosine":
-                s = s / (np.linalg.norm(x[lo : lo + 256], axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
-            n = min(k, len(y))
-            # ties of the rounded score are left to the ranking
-            i, j = np.nonzero(s >= -np.partition(-s, n - 1, axis=1)[:, n - 1 : n] - 2e-9)
+                s = s / (np.linalg.norm(x[lo : lo + step], axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
+            if np.isnan(s.sum()):
+                s[np.isnan(s)] = -np.inf
+            # ties of the rounded score are left to the ranking; the k-th best of the maxima of groups is no more than the k-th best of all
+            tops = np.concatenate([s[:, :whole].reshape(len(s), group, -1).max(axis=1), s[:, whole:]], axis=1)
+            i, j = np.nonzero(s >= np.maximum(_kth(tops, n) - 2e-9, np.finfo(float).min))
+            if len(i) > 4 * n * len(s):
+                i, j = np.nonzero(s >= np.maximum(_kth(s, n) - 2e-9, np.finfo(float).min))
             out.append(pd.DataFrame({"query": a["query"].to_numpy()[lo + i], "chunk": b["chunk"].to_numpy()[j], "score": s[i, j]}))
     return pd.concat(out)
 
 
-def _vectors(df: DataFrame, name: str) -> DataFrame:
-    return df.where("vec is not null").select(name, F.col("vec").cast("array<double>").alias("vec"))
+def _vectors(df: DataFrame, name: str, kind: str = "array<double>") -> DataFrame:
+    return df.where("vec is not null").select(name, F.col("vec").cast(kind).alias("vec"))
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "dot", slice_rows: int = 20_000, block: int = 4_000) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "dot", slice_rows: int = 20_000, block: int = 4_000, tile: int = 50_000) -> DataFrame:
     """(query, rank, chunk, score) of ``vectors (chunk, vec)`` for ``queries (query, vec)``.
 
-    Few vectors are dealt in slices and queries in blocks; each pair is one
+    Few vectors are one slice and queries are dealt in blocks; each pair is one
     task's matrix products, which leave the best ``k`` of a slice.  More than
-    one slice of vectors is first dealt to balls (:class:`VectorBalls`).  Null
-    vectors, and those of another length than the query's, are not compared.
+    ``slice_rows`` vectors are first dealt to balls (:class:`VectorBalls`), but
+    if as many queries ask, a bound for each query and ball would be far more
+    than the tables: then both sides are cut by hash into parts of at most about
+    ``tile``, and each pair of parts is a tile of scores.  Null vectors, and
+    those of another length than the query's, are not compared.
     """
-    n = vectors.count()
-    if n > slice_rows:
+    n, asked = vectors.count(), queries.count()
+    if n > slice_rows >= asked:
         return VectorBalls(vectors, metric, slice_rows=slice_rows, rows=n).topk(queries, k)
-    blocks = max(1, -(-queries.count() // block))
-    v = _vectors(vectors, "chunk").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    q = _vectors(queries, "query").withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    tiled = n > slice_rows
+    cuts = lambda rows: max(-(-rows // tile), math.isqrt(4 * cores) + 1)  # noqa: E731  tiles enough for all cores
+    slices, blocks = (cuts(n), cuts(asked)) if tiled else (1, max(1, -(-asked // block)))
+    part = lambda name, parts: F.pmod(F.xxhash64(name), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    plain = {x.schema["vec"].dataType.simpleString() for x in (vectors, queries)} == {"array<float>"}
+    kind = "array<float>" if plain else "array<double>"  # half the bytes to deal; multiplied as doubles in any case
+    v = _vectors(vectors, "chunk", kind).withColumn("slice", part("chunk", slices)).withColumn("block", every(blocks))
+    q = _vectors(queries, "query", kind).withColumn("block", part("query", blocks)).withColumn("slice", every(slices))
+    if tiled:  # not coalesced by size: a tile's work is far more than its bytes tell
+        v, q = (side.repartition(max(32, 4 * cores), "block", "slice") for side in (v, q))
     schema = T.StructType([queries.schema["query"], vectors.schema["chunk"], T.StructField("score", T.DoubleType())])
-    return ranked(q.groupBy("block").cogroup(v.groupBy("block")).applyInPandas(lambda a, b: _best(a, b, k, metric), schema), k)
+    return ranked(q.groupBy("block", "slice").cogroup(v.groupBy("block", "slice")).applyInPandas(lambda a, b: _best(a, b, k, metric), schema), k)
 
 
 def _unit(x: np.ndarray, metric: str) -> np.ndarray:

@@ -122,25 +122,27 @@ def i2(spark, d):
     return lexical_index(spark, d).topk(lexical_queries(spark, d)).withColumn("score", F.round("score", 6))
 
 
-_VEC = "vq AS (SELECT vec_id AS query, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0), vs AS (SELECT query, vec_id AS chunk, list_sum(list_transform(list_zip(embedding, qv), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) AS score FROM embeddings, vq), den AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, chunk) AS INTEGER) AS rank, chunk, score FROM vs)"
+_VEC = "vq AS (SELECT vec_id AS query, embedding AS qv FROM embeddings), vs AS (SELECT query, vec_id AS chunk, list_sum(list_transform(list_zip(embedding, qv), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) AS score FROM embeddings, vq), den AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, chunk) AS INTEGER) AS rank, chunk, score FROM vs)"
+_ASKED = _VEC.replace("FROM embeddings)", "FROM embeddings WHERE vec_id % 100 = 0)", 1)
 
 
 def vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk"), F.col("embedding").alias("vec"))
 
 
-def dense(spark, d, k=5):
+def dense(spark, d, asked="true", k=5):
     v = vectors(spark, d)
-    return R.vector_topk(v, v.where("chunk % 100 = 0").withColumnRenamed("chunk", "query"), k)
+    return R.vector_topk(v, v.where(asked).withColumnRenamed("chunk", "query"), k)
 
 
-@query("i3_vector_topk", f"WITH {_VEC} SELECT query, rank, chunk, round(score, 6) AS score FROM den WHERE rank <= 5")
+@query("i3_vector_topk", f"WITH {_ASKED} SELECT query, rank, chunk, round(score, 6) AS score FROM den WHERE rank <= 5")
 def i3(spark, d):
-    return dense(spark, d).withColumn("score", F.round("score", 6))
+    return dense(spark, d, "chunk % 100 = 0").withColumn("score", F.round("score", 6))
 
 
 @query("i4_rrf", f"WITH {_BM25}, {_VEC}, u AS (SELECT query, chunk, 1 / (60 + rank) AS p FROM lex WHERE rank <= 5 UNION ALL SELECT query, chunk, 1 / (60 + rank) FROM den WHERE rank <= 5), f AS (SELECT query, chunk, sum(p) AS score FROM u GROUP BY ALL) SELECT query, rank, chunk, round(score, 9) AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, chunk) AS INTEGER) AS rank FROM f) WHERE rank <= 5")
 def i4(spark, d):
+    """Every text and every vector asks; those of one number are one query."""
     lexical = lexical_index(spark, d).topk(lexical_queries(spark, d))
     return R.rrf(dense(spark, d), lexical).withColumn("score", F.round("score", 9))
 

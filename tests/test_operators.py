@@ -106,6 +106,18 @@ def test_vector_topk_slices_and_blocks(spark):
         assert got == want
 
 
+def test_vector_topk_of_copies_and_of_nan(spark):
+    """As many queries as vectors in tiles: many equal vectors, and vectors whose scores are NaN."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.integers(-3, 4, (400, 5)), np.full((400, 5), 3)]).astype(float)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, [float("nan")] * 5)]
+    vectors = spark.createDataFrame(rows, "chunk long, vec array<float>")
+    queries = vectors.withColumnRenamed("chunk", "query")
+    want = {(q, r + 1, int(c)) for q in range(800) for r, c in enumerate(np.lexsort((np.arange(800), -(x @ x[q])))[:5])}
+    for size in (100, 1000):
+        assert {(r["query"], r["rank"], r["chunk"]) for r in retrieval.vector_topk(vectors, queries, slice_rows=size, tile=300).collect()} == want
+
+
 def test_publish_gate_of_clean_groups(spark):
     flags = spark.createDataFrame([("1", "p", "A"), ("2", "p", "B")], "employee_id string, period string, code string")
     everyone = spark.createDataFrame([("1", "p"), ("2", "p"), ("3", "p")], "employee_id string, period string")
@@ -183,6 +195,13 @@ def test_against_sql(spark, sf_dir, oracle, name):
     assert sorted(tuple(map(shown, r)) for r in want.fetchall()) == sorted(tuple(shown(r[c]) for c in names) for r in df.collect())
 
 
+def test_fused_lists_of_every_vector(spark, sf_dir, oracle):
+    """No vector is left out as a query: a text's list is fused with that of the vector of its number."""
+    got = catalog.QUERIES["i4_rrf"](spark, sf_dir).collect()
+    assert {r["query"] for r in got} == {q for (q,) in oracle.execute("SELECT vec_id FROM embeddings UNION SELECT item_id FROM benchmark").fetchall()}
+    assert sorted(tuple(map(shown, r)) for r in oracle.execute(catalog.ORACLES["i4_rrf"]).fetchall()) == sorted(tuple(map(shown, r)) for r in got)
+
+
 def test_every_query_is_paired_or_listed():
     without = set(catalog.QUERIES) - set(catalog.ORACLES)
     assert without == {"e5_lint", "h7_align", "h9_word_diff", "h10_similarity", "d16_citation"}
