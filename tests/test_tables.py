@@ -123,6 +123,17 @@ def test_overlaps_of_one_stretch_are_spread(spark):
     assert sum(made) == n * (n - 1) // 2 and max(made) < sum(made) / 2
 
 
+def test_overlaps_follow_dates(spark):
+    """Pairs that follow each other mostly share their dates, which takes few bytes in files."""
+    rng = random.Random(8)
+    policies = []
+    for i in range(600):
+        start = date(2020, 1, 1) + timedelta(days=rng.randint(0, 9))
+        policies.append((i, f"k{rng.randint(0, 24)}", "X", "active", start, None if i % 4 == 0 else start + timedelta(days=14 + 3 * rng.randint(0, 3))))
+    pairs = [(r["overlap_start"], r["overlap_end"]) for r in registry.overlaps(spark.createDataFrame(policies, POLICIES)).collect()]
+    assert len(pairs) > 100_000 and sum(x != y for x, y in zip(pairs, pairs[1:])) < 0.25 * len(pairs)
+
+
 def test_askers_in_blocks(spark):
     items = spark.range(20).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("item_company"), F.lit(None).cast("array<string>").alias("item_scopes"), F.lit(None).cast("date").alias("effective_date"), F.lit(None).cast("date").alias("expiry_date"), (F.col("id") % 3).cast("int").alias("required_permission"))
     askers = spark.range(50).select(F.concat(F.lit("a"), "id").alias("asker"), F.lit("c").alias("company"), F.array(F.lit("x")).alias("scopes"), (F.col("id") % 3).cast("int").alias("permission"), F.current_date().alias("as_of"))
