@@ -83,7 +83,7 @@ def _kth(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def _best(asked: pd.DataFrame, rows: pd.DataFrame, k: int, metric: str) -> pd.DataFrame:
-    """The best ``k`` of ``rows (chunk, vec)`` for each of ``asked (query, vec)``, with all that tie and a few more; NaN is no score."""
+    """The best ``k`` of ``rows (chunk, vec)`` for each of ``asked (query, vec)``, with those that tie and a few more; NaN is no score."""
     out = [pd.DataFrame({"query": asked["query"].iloc[:0], "chunk": rows["chunk"].iloc[:0], "score": np.zeros(0)})]
     for length in set(asked["vec"].map(len)) & set(rows["vec"].map(len)):
         a, b = asked[asked["vec"].map(len) == length], rows[rows["vec"].map(len) == length]
@@ -101,7 +101,10 @@ def _best(asked: pd.DataFrame, rows: pd.DataFrame, k: int, metric: str) -> pd.Da
             i, j = np.nonzero(s >= np.maximum(_kth(tops, n) - 2e-9, np.finfo(float).min))
             if len(i) > 4 * n * len(s):
                 i, j = np.nonzero(s >= np.maximum(_kth(s, n) - 2e-9, np.finfo(float).min))
-            out.append(pd.DataFrame({"query": a["query"].to_numpy()[lo + i], "chunk": b["chunk"].to_numpy()[j], "score": s[i, j]}))
+            found = pd.DataFrame({"query": a["query"].to_numpy()[lo + i], "chunk": b["chunk"].to_numpy()[j], "score": s[i, j]})
+            if len(i) > 4 * n * len(s):  # of copies of a vector the ranking takes those with the smallest ids
+                found = found.assign(at=i).sort_values("chunk").groupby(["at", "score"]).head(n).drop(columns="at")
+            out.append(found)
     return pd.concat(out)
 
 

@@ -165,6 +165,18 @@ def test_vector_topk_of_copies_and_of_nan(spark):
         assert {(r["query"], r["rank"], r["chunk"]) for r in retrieval.vector_topk(vectors, queries, slice_rows=size, tile=300).collect()} == want
 
 
+def test_best_of_many_copies_are_few():
+    """A thousand copies of one vector give each query a few rows, those of the smallest ids."""
+    import pandas as pd
+
+    vec = [np.array([0.1, 0.2, 0.7])] * 1000 + [np.array([0.1, 0.2, 0.6])] * 200
+    rows = pd.DataFrame({"chunk": np.arange(1200)[::-1], "vec": vec})
+    got = retrieval._best(rows.rename(columns={"chunk": "query"}), rows, 5, "dot")
+    assert len(got) <= 30 * 1200
+    top = got.assign(score=got["score"].round(9)).sort_values(["query", "score", "chunk"], ascending=[True, False, True]).groupby("query").head(5)
+    assert len(top) == 6000 and set(top["chunk"]) == set(range(200, 205))
+
+
 def test_publish_gate_of_clean_groups(spark):
     flags = spark.createDataFrame([("1", "p", "A"), ("2", "p", "B")], "employee_id string, period string, code string")
     everyone = spark.createDataFrame([("1", "p"), ("2", "p"), ("3", "p")], "employee_id string, period string")
